@@ -11,6 +11,7 @@ from sitelode.functions.text import fold_title
 from sitelode.operators.content import quoted_replacement
 from sitelode.operators.jsonld import date_published
 from sitelode.operators.ordered import ordered_blocks, spread_lookup
+from sitelode.operators.stages import computed_once
 
 # Class names that mark an article page and its byline.
 IMAGE_CLASS = 'class="insight-detail-image"'
@@ -78,11 +79,8 @@ def add_bylines(pages: DataFrame, authors: Mapping[str, str], default: str, html
         .when(F.col("title").isNull() | ~F.rlike(text, F.lit(BYLINE_ANCHOR)), "no_match")
         .otherwise("updated")
     )
-    return (
-        titled.withColumn("status", status)
-        .withColumn("author", author)
-        .withColumn("html_new", F.when(F.col("status") == "updated", new).otherwise(text))
-    )
+    marked = titled.withColumn("status", status).withColumn("author", author)
+    return computed_once(marked, {"html_new": F.when(F.col("status") == "updated", new).otherwise(text)})
 
 
 def backfill_dates(pages: DataFrame, path: str, legacy: Sequence[str] = (), html: str = "html") -> DataFrame:
@@ -107,12 +105,10 @@ def backfill_dates(pages: DataFrame, path: str, legacy: Sequence[str] = (), html
         .when(who == "", "no_match")
         .otherwise("updated")
     )
-    return (
-        article_pages(pages, html)
-        .where(F.contains(html, F.lit(BYLINE_CLASS)))
-        .withColumn("status", status)
-        .withColumn("assigned", F.when(F.col("status") == "updated", date))
-        .withColumn("html_new", F.when(F.col("status") == "updated", stamped).otherwise(text))
+    marked = article_pages(pages, html).where(F.contains(html, F.lit(BYLINE_CLASS))).withColumn("status", status)
+    done = F.col("status") == "updated"
+    return computed_once(
+        marked, {"assigned": F.when(done, date), "html_new": F.when(done, stamped).otherwise(text)}
     )
 
 

@@ -20,6 +20,7 @@ from sitelode.functions.text import (
     quote_pattern,
 )
 from sitelode.operators.ordered import with_neighbours
+from sitelode.operators.stages import computed_once
 
 LINE_TEXT = r"[^\n\r\x{2028}\x{2029}]"
 SPACE = f"[{BROWSER_SPACE}]"
@@ -72,11 +73,12 @@ def front_matter(docs: DataFrame, text: str = "text", dialect: str = "tolerant")
     out = docs.withColumn("_split", split)
     present = F.col("_split").isNotNull()
     empty = F.create_map().cast("map<string,string>")
-    return out.withColumns(
+    return computed_once(
+        out,
         {
             "meta": F.when(present, _meta_map(F.col("_split.header"), dialect)).otherwise(empty),
             "body": F.when(present, browser_trim(F.col("_split.rest"))).otherwise(c),
-        }
+        },
     ).drop("_split")
 
 
@@ -266,12 +268,9 @@ def prerender(pages: DataFrame, rendered: DataFrame, key: str, tag: str = "main"
         .when(F.col("rendered").isNull(), "no_body")
         .otherwise("updated")
     )
-    return (
-        pages.join(rendered.select(key, "rendered"), key, "left")
-        .withColumn("status", status)
-        .withColumn("html_new", F.when(F.col("status") == "updated", new).otherwise(html))
-        .drop("rendered")
-    )
+    met = pages.join(rendered.select(key, "rendered"), key, "left").withColumn("status", status)
+    text = F.when(F.col("status") == "updated", new).otherwise(html)
+    return computed_once(met, {"html_new": text}).drop("rendered")
 
 
 def render_article(docs: DataFrame, default_cta: str, asset_prefix: str = "../") -> DataFrame:

@@ -92,22 +92,26 @@ def subscription_requests(submits: DataFrame) -> DataFrame:
 def gate_by_consent(events: DataFrame, consents: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     """Events whose visitor's latest consent at that time allows analytics.
 
-    A consent counts from its own instant on. The as-of search is cut into time buckets, so a
-    visitor with a large share of all events is not handled by a single task.
+    A consent counts from its own instant on; of two given at one instant the refusal counts. The
+    as-of search is cut into time buckets, so a visitor with a large share of all events is not
+    handled by a single task.
     """
     payload = [c for c in events.columns if c not in ("visitor_id", "ts")]
     timeline = events.where(F.col("visitor_id").isNotNull()).select(
         "visitor_id",
         "ts",
-        F.lit(1).alias("_kind"),
+        F.lit(2).alias("_kind"),
         F.lit(None).cast("boolean").alias("_analytics"),
         F.struct(*payload).alias("_event"),
     ).unionByName(
         consents.where(F.col("visitor_id").isNotNull()).select(
-            "visitor_id", "ts", F.lit(0).alias("_kind"), F.col("analytics").alias("_analytics")
+            "visitor_id",
+            "ts",
+            F.when(F.col("analytics"), 0).otherwise(1).alias("_kind"),
+            F.col("analytics").alias("_analytics"),
         ),
         allowMissingColumns=True,
     )
     bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_seconds)
     known = last_known(timeline, ["visitor_id"], bucket, ["ts", "_kind"], "_analytics", "_allowed")
-    return known.where((F.col("_kind") == 1) & F.col("_allowed")).select("visitor_id", "ts", "_event.*")
+    return known.where((F.col("_kind") == 2) & F.col("_allowed")).select("visitor_id", "ts", "_event.*")

@@ -26,6 +26,7 @@ from sitelode.functions.text import (
     replace_segments,
 )
 from sitelode.operators.ordered import spread_lookup
+from sitelode.operators.stages import computed_once
 
 UPDATED, ALREADY, NO_MATCH, UNCHANGED, OUT_OF_SCOPE = "updated", "already", "no_match", "unchanged", "out_of_scope"
 
@@ -257,7 +258,8 @@ def rewrite_pages(pages: DataFrame, rules: Sequence[Rule], html: str = "html") -
             ),
         )
         entries.append(step)
-    return out.withColumn("ledger", F.array(*entries)).drop(*entries)
+    done = computed_once(out, {"html_new": F.col("html_new"), "ledger": F.array(*entries)})
+    return done.drop(*entries)
 
 
 def changed_only(rewritten: DataFrame, html: str = "html") -> DataFrame:
@@ -451,6 +453,6 @@ def enrich_images(
 
     met = pages.where(with_images).join(known, key, "left")
     done = F.when(F.col("_sizes").isNull(), text).otherwise(replace_segments(text, IMG_TAG, enriched))
-    rewritten = met.withColumn("html_new", done).drop("_sizes")
+    rewritten = computed_once(met, {"html_new": done}).drop("_sizes")
     untouched = pages.where(~with_images).withColumn("html_new", text)
     return rewritten.select(*pages.columns, "html_new").unionByName(untouched)

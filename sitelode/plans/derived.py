@@ -15,7 +15,7 @@ SITE = "site.example"
 SITE_URL = "https://site.example"
 
 
-def submissions(spark: SparkSession, folder: str) -> DataFrame:
+def submission_columns(customers: DataFrame) -> DataFrame:
     """One submission per customer; every seventeenth key has a wrong set of answers."""
     answers = F.expr(
         "transform(sequence(0, 10), i -> cast(least(3, "
@@ -27,7 +27,7 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
         .when(c % 17 == 0, F.transform(answers, lambda x, i: F.when(i != 5, x)))
         .otherwise(answers)
     )
-    return table(spark, folder, "customer").select(
+    return customers.select(
         c.cast("string").alias("idempotency_id"),
         F.expr(
             "case when c_custkey % 7 = 0 then concat('no-at-', c_custkey) "
@@ -49,6 +49,10 @@ def submissions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def submissions(spark: SparkSession, folder: str) -> DataFrame:
+    return submission_columns(table(spark, folder, "customer"))
+
+
 SUBMISSIONS_SQL = r"""
 submissions_all AS (
   SELECT c_custkey AS c,
@@ -76,8 +80,8 @@ scored AS (
   FROM submissions)
 """
 
-def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").select(
+def event_columns(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("user_id").cast("string").alias("visitor_id"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -133,15 +137,15 @@ def submit_columns(events: DataFrame) -> DataFrame:
 
 
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
-    return click_columns(_events(spark, folder))
+    return click_columns(event_columns(table(spark, folder, "events")))
 
 
 def consents(spark: SparkSession, folder: str) -> DataFrame:
-    return consent_columns(_events(spark, folder))
+    return consent_columns(event_columns(table(spark, folder, "events")))
 
 
 def submits(spark: SparkSession, folder: str) -> DataFrame:
-    return submit_columns(_events(spark, folder))
+    return submit_columns(event_columns(table(spark, folder, "events")))
 
 
 EVENTS_SQL = r"""
@@ -174,7 +178,7 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
     body = F.col("text")
     for letters, mark in (("AEIO", "- "), ("T", "1. "), ("L", "## "), ("RS", "### ")):
         body = F.regexp_replace(body, f"(?md)^([{letters}])", f"{mark}$1")
-    body = F.regexp_replace(body, r"([a-z]+)!!", "**$1**")
+    body = F.regexp_replace(body, r"([A-Za-z]+)!!", "**$1**")
     head = F.concat(
         F.lit('---\ntitle: "Doc: '),
         F.col("doc_id"),
@@ -199,7 +203,7 @@ md AS (
   SELECT doc_id, lang, source,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
       '(?m)^([AEIO])', '- \1', 'g'), '(?m)^([T])', '1. \1', 'g'), '(?m)^([L])', '## \1', 'g'),
-      '(?m)^([RS])', '### \1', 'g'), '([a-z]+)!!', '**\1**', 'g') AS marked
+      '(?m)^([RS])', '### \1', 'g'), '([A-Za-z]+)!!', '**\1**', 'g') AS marked
   FROM documents),
 docs AS (
   SELECT doc_id, lang, source,

@@ -1 +1,257 @@
-PLANS = {}
+"""Queries over JSON-LD blocks."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelode.operators import content, jsonld
+from sitelode.operators.attribution import path_date
+from sitelode.plans.derived import MARKDOWN_SQL, SITE_URL, markdown, with_sql
+from sitelode.plans.registry import Plan, table
+
+COMPANY = jsonld.Organization("Example Co", SITE_URL + "/", SITE_URL + "/logo.png")
+OLD_FAQ = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[]}</script>'
+
+
+def trail() -> Column:
+    """Home page and one entry per segment of the page's path."""
+    segments = F.filter(F.split(F.regexp_extract("url", "^https?://[^/]+([^?#]*)", 1), "/"), lambda s: s != "")
+    home = F.struct(F.lit("Home").alias("name"), F.lit(SITE_URL + "/").alias("url"))
+    steps = F.transform(
+        segments,
+        lambda s, i: F.struct(
+            s.alias("name"), F.concat(F.lit(SITE_URL + "/"), F.array_join(F.slice(segments, F.lit(1), i + 1), "/"), F.lit("/")).alias("url")
+        ),
+    )
+    return F.concat(F.array(home), steps)
+
+
+def breadcrumbs(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages").select("page_id", jsonld.breadcrumb_list(trail()).alias("json"))
+
+
+def nav_names() -> Column:
+    return F.regexp_extract_all("html", F.lit('<li><a href="/([^"]*)">'), F.lit(1))
+
+
+def item_lists(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.concat(F.lit("Links of "), "url")
+    return table(spark, folder, "pages").select("page_id", jsonld.item_list(name, nav_names()).alias("json"))
+
+
+def linked_item_lists(spark: SparkSession, folder: str) -> DataFrame:
+    items = F.transform(nav_names(), lambda n: F.struct(n.alias("name"), F.concat(F.lit(SITE_URL + "/"), n).alias("url")))
+    return table(spark, folder, "pages").select(
+        "page_id", jsonld.linked_item_list("Links", items, description="All links").alias("json")
+    )
+
+
+def pages_with_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page with its breadcrumbs, every third with a list as well, every fifth with a broken block."""
+    html = jsonld.insert_block(F.col("html"), jsonld.breadcrumb_list(trail()))
+    html = F.when(F.col("page_id") % 3 == 0, jsonld.insert_block(html, jsonld.item_list("Links", nav_names()))).otherwise(html)
+    html = F.when(F.col("page_id") % 5 == 0, jsonld.insert_block(html, F.lit('{"@type":'))).otherwise(html)
+    return table(spark, folder, "pages").select("page_id", html.alias("html"))
+
+
+def blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return jsonld.json_blocks(pages_with_blocks(spark, folder), ["page_id"])
+
+
+def block_types(spark: SparkSession, folder: str) -> DataFrame:
+    return blocks(spark, folder).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def lacking(spark: SparkSession, folder: str) -> DataFrame:
+    return jsonld.pages_lacking(pages_with_blocks(spark, folder), "ItemList").select("page_id")
+
+
+def articles(spark: SparkSession, folder: str) -> DataFrame:
+    docs = content.front_matter(markdown(spark, folder))
+    none = F.lit(None).cast("string")
+    n = F.col("doc_id")
+    pages = table(spark, folder, "documents").select(
+        F.concat(F.lit("insights/doc-"), n, F.lit(".html")).alias("path"),
+        F.concat(F.lit("doc-"), n).alias("slug"),
+        F.col("source").alias("section"),
+        F.when(n % 2 == 0, F.concat(F.lit("Headline “"), n, F.lit("”"))).alias("headline"),
+        none.alias("description"),
+        F.when(n % 5 == 0, "/a.png").alias("image"),
+        F.when(n % 3 == 0, "Ann Author").alias("author"),
+    )
+    return jsonld.article_blocks(pages, docs, COMPANY, SITE_URL)
+
+
+def faq(spark: SparkSession, folder: str) -> DataFrame:
+    """Questions and answers of each conversation, in blocks of two to exercise the split."""
+    turns = table(spark, folder, "conversations")
+    text = F.concat("text", F.lit(" &mdash; &amp;rsquo; &rsquo;s"))
+    pairs = (
+        turns.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair"))
+        .agg(
+            F.max(F.when(F.col("role") == "user", text)).alias("q"),
+            F.max(F.when(F.col("role") == "assistant", text)).alias("a"),
+        )
+        .where(F.col("q").isNotNull() & F.col("a").isNotNull())
+    )
+    return jsonld.faq_blocks(pairs, ["conv_id"], F.col("pair"), size=2)
+
+
+def faq_upserts(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the pages have a FAQ block to replace."""
+    had = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<title>"), F.lit(OLD_FAQ + "<title>"))).otherwise(F.col("html"))
+    qa = F.transform(nav_names(), lambda n: F.struct(F.concat(n, F.lit("?")).alias("q"), F.concat(F.lit("$1 "), n).alias("a")))
+    pages = table(spark, folder, "pages").select("page_id", had.alias("html"), jsonld.faq_page(qa).alias("json"))
+    return pages.select("page_id", jsonld.upsert_block(F.col("html"), "FAQPage", F.col("json")).alias("html"))
+
+
+def services(spark: SparkSession, folder: str) -> DataFrame:
+    name = F.col("c_mktsegment")
+    return table(spark, folder, "customer").select(
+        "c_custkey",
+        jsonld.service(
+            COMPANY,
+            "Advisory",
+            name,
+            F.col("c_name"),
+            F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("For "), name)),
+            F.lit("Plan"),
+            F.concat(F.lit(SITE_URL + "/"), F.lower(name)),
+        ).alias("json"),
+    )
+
+
+def people(spark: SparkSession, folder: str) -> DataFrame:
+    n = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        n,
+        jsonld.person(
+            COMPANY,
+            F.col("c_name"),
+            F.lit("Partner"),
+            F.concat(F.lit("Knows "), "c_mktsegment"),
+            F.concat(F.lit(SITE_URL + "/"), n, F.lit(".webp")),
+            F.concat(F.lit("https://profiles.example/"), n),
+            F.array(F.col("c_mktsegment"), F.lit("AI & data")),
+        ).alias("json"),
+    )
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    stamp = F.date_format(path_date(F.col("url")), "yyyy-MM-dd")
+    block = F.concat(F.lit('{"@type":"Article","datePublished" : "'), stamp, F.lit('","x":1'))
+    html = F.when(F.col("page_id") % 3 > 0, jsonld.insert_block(F.col("html"), block)).otherwise(F.col("html"))
+    pages = table(spark, folder, "pages").select("page_id", html.alias("html"))
+    return pages.select("page_id", F.date_format(jsonld.date_published(F.col("html")), "yyyy-MM-dd").alias("published"))
+
+
+TRAIL_SQL = r"""
+segs AS (SELECT page_id, html, url, list_filter(string_split(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/'), lambda s: s <> '') AS s FROM pages),
+crumbs AS (SELECT page_id, html, url,
+  '{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"https://site.example/"}'
+  || array_to_string(list_transform(range(1, len(s) + 1), lambda i: ',{"@type":"ListItem","position":' || (i + 1) || ',"name":"' || s[i]
+       || '","item":"https://site.example/' || array_to_string(s[1:i], '/') || '/"}'), '') || ']}' AS crumb FROM segs),
+names AS (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">', 1) AS n FROM pages),
+lists AS (SELECT page_id, n, array_to_string(list_transform(range(1, len(n) + 1), lambda i: '{"@type":"ListItem","position":' || i || ',"name":"' || n[i] || '"}'), ',') AS items FROM names)
+"""
+_TAG = """'<script type="application/ld+json">' || {0} || '</script>'"""
+_LIST = """'{"@context":"https://schema.org","@type":"ItemList","name":"Links","itemListElement":[' || items || ']}'"""
+_ORG = '{"@type":"Organization","name":"Example Co","url":"https://site.example/","logo":"https://site.example/logo.png"}'
+_REF = '{"@type":"Organization","name":"Example Co","url":"https://site.example/"}'
+
+PLANS = {
+    "breadcrumb_blocks": Plan(breadcrumbs, with_sql(TRAIL_SQL, select="SELECT page_id, crumb AS json FROM crumbs")),
+    "item_list_blocks": Plan(
+        item_lists,
+        with_sql(
+            TRAIL_SQL,
+            select="""SELECT page_id, '{"@context":"https://schema.org","@type":"ItemList","name":"Links of ' || url || '","itemListElement":[' || items || ']}' AS json
+              FROM lists JOIN pages USING (page_id)""",
+        ),
+    ),
+    "linked_item_list_blocks": Plan(
+        linked_item_lists,
+        with_sql(
+            TRAIL_SQL,
+            select="""SELECT page_id, '{"@context":"https://schema.org","@type":"ItemList","name":"Links","description":"All links","itemListElement":['
+              || array_to_string(list_transform(range(1, len(n) + 1), lambda i: '{"@type":"ListItem","position":' || i || ',"name":"' || n[i] || '","url":"https://site.example/' || n[i] || '"}'), ',')
+              || ']}' AS json FROM lists""",
+        ),
+    ),
+    "json_blocks": Plan(
+        blocks,
+        with_sql(
+            TRAIL_SQL,
+            f"""every AS (
+              SELECT page_id, 0 AS pos, 'BreadcrumbList' AS type, crumb AS json FROM crumbs
+              UNION ALL SELECT page_id, 1, 'ItemList', {_LIST} FROM lists WHERE page_id % 3 = 0
+              UNION ALL SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END, NULL, '{{"@type":' FROM pages WHERE page_id % 5 = 0)""",
+            select="SELECT page_id, pos, type, json FROM every",
+        ),
+    ),
+    "json_block_types": Plan(
+        block_types,
+        """SELECT type, n FROM (SELECT 'BreadcrumbList' AS type, count(*) AS n FROM pages
+           UNION ALL SELECT 'ItemList', count(*) FROM pages WHERE page_id % 3 = 0
+           UNION ALL SELECT NULL, count(*) FROM pages WHERE page_id % 5 = 0)""",
+    ),
+    "pages_lacking_type": Plan(lacking, "SELECT page_id FROM pages WHERE page_id % 3 <> 0"),
+    "article_blocks": Plan(
+        articles,
+        with_sql(
+            MARKDOWN_SQL,
+            f"""f AS (SELECT doc_id, source, lang,
+                CASE WHEN doc_id % 2 = 0 THEN 'Headline “' || doc_id || '”' ELSE replace(title, '"', '\\"') END AS headline,
+                CASE WHEN lang NOT IN ('de', 'en') THEN 'Short' END AS description FROM docs)""",
+            select=f"""SELECT 'insights/doc-' || doc_id || '.html' AS path,
+              '{{"@context":"https://schema.org","@type":"Article",'
+              || coalesce('"headline":"' || headline || '",', '') || coalesce('"description":"' || description || '",', '')
+              || CASE WHEN doc_id % 5 = 0 THEN '"image":"/a.png",' ELSE '' END
+              || '"author":' || CASE WHEN doc_id % 3 = 0 THEN '{{"@type":"Person","name":"Ann Author","worksFor":{_REF}}}' ELSE '{_ORG}' END
+              || ',"publisher":{_ORG},"mainEntityOfPage":{{"@type":"WebPage","@id":"https://site.example/insights/doc-' || doc_id
+              || '.html"}},"articleSection":"' || source || '","inLanguage":"en"}}' AS json FROM f""",
+        ),
+    ),
+    "faq_blocks": Plan(
+        faq,
+        r"""
+        WITH p AS (SELECT conv_id, turn // 2 AS pair, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a
+          FROM conversations GROUP BY 1, 2),
+        j AS (SELECT conv_id, pair, '{"@type":"Question","name":' || CAST(to_json(q || ' — &rsquo; ’s') AS VARCHAR)
+          || ',"acceptedAnswer":{"@type":"Answer","text":' || CAST(to_json(a || ' — &rsquo; ’s') AS VARCHAR) || '}}' AS e
+          FROM p WHERE q IS NOT NULL AND a IS NOT NULL)
+        SELECT conv_id, CAST(pair // 2 AS INTEGER) AS block,
+          '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg(e, ',' ORDER BY pair) || ']}' AS json
+        FROM j GROUP BY conv_id, pair // 2""",
+    ),
+    "faq_upserts": Plan(
+        faq_upserts,
+        with_sql(
+            TRAIL_SQL,
+            f"""b AS (SELECT page_id, {_TAG.format('''
+                '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || array_to_string(list_transform(n, lambda x:
+                '{"@type":"Question","name":"' || x || '?","acceptedAnswer":{"@type":"Answer","text":"$1 ' || x || '"}}'), ',') || ']}'
+                ''')} AS tag FROM lists)""",
+            select="""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '<title>', tag || '<title>')
+              ELSE replace(html, '</head>', tag || chr(10) || '</head>') END AS html FROM pages JOIN b USING (page_id)""",
+        ),
+    ),
+    "service_blocks": Plan(
+        services,
+        f"""SELECT c_custkey, '{{"@context":"https://schema.org","@type":"Service","serviceType":"Advisory","name":"Example Co for ' || c_mktsegment
+          || '","provider":{_ORG},"areaServed":"United States","audience":{{"@type":"BusinessAudience","name":"' || c_name
+          || '","audienceType":"Mid-Market Operators in ' || c_mktsegment || '"}},' || CASE WHEN c_custkey % 2 = 0 THEN '"description":"For ' || c_mktsegment || '",' ELSE '' END
+          || '"serviceOutput":"Plan","url":"https://site.example/' || lower(c_mktsegment) || '"}}' AS json FROM customer""",
+    ),
+    "person_blocks": Plan(
+        people,
+        f"""SELECT c_custkey, '{{"@context":"https://schema.org","@type":"Person","name":"' || c_name || '","jobTitle":"Partner","description":"Knows ' || c_mktsegment
+          || '","image":"https://site.example/' || c_custkey || '.webp","url":"https://profiles.example/' || c_custkey || '","sameAs":["https://profiles.example/' || c_custkey
+          || '"],"worksFor":{_REF},"knowsAbout":["' || c_mktsegment || '","AI & data"]}}' AS json FROM customer""",
+    ),
+    "published_dates": Plan(
+        published,
+        """SELECT page_id, CASE WHEN page_id % 3 > 0 THEN '2026-05-' || lpad(CAST(('0x' || substr(sha256(url), 1, 2))::INT % 15 + 1 AS VARCHAR), 2, '0') END AS published FROM pages""",
+    ),
+}

@@ -1 +1,82 @@
-PLANS = {}
+"""Queries that write with a sink and read back with the matching source."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelode.operators import links
+from sitelode.operators.attribution import path_date
+from sitelode.operators.rewrite import ReplacePattern, rewrite_pages
+from sitelode.plans.derived import SITE_PAGES_SQL, SITE_URL, SUBMISSIONS_SQL, site_pages, submissions, with_sql
+from sitelode.plans.registry import Plan, table
+from sitelode.session import work_dir
+from sitelode.sources import corpus, records
+
+
+def sitemap(spark: SparkSession, folder: str) -> DataFrame:
+    entries = table(spark, folder, "pages").select(
+        F.col("url").alias("loc"),
+        F.date_format(path_date(F.col("url")), "yyyy-MM-dd").alias("lastmod"),
+        F.when(F.col("page_id") % 2 == 0, "weekly").otherwise("monthly").alias("changefreq"),
+        (F.col("page_id") % 10 / 10).alias("priority"),
+    )
+    path = work_dir(spark, "sitemap")
+    records.write_sitemap(entries, path)
+    return records.read_sitemap(spark, path)
+
+
+def submission_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines, every thirteenth of them cut off, read back with the broken ones set apart."""
+    rows = submissions(spark, folder)
+    line = F.to_json(F.struct(*rows.columns))
+    broken = F.col("idempotency_id").cast("bigint") % 13 == 0
+    path = work_dir(spark, "submissions")
+    rows.select(F.when(broken, F.left(line, F.length(line) - 2)).otherwise(line).alias("value")).write.text(path)
+    back = records.read_submissions(spark, path)
+    return back.select(
+        "idempotency_id", "email", F.size("answers").alias("n_answers"), F.col(records.CORRUPT).isNotNull().alias("is_broken")
+    )
+
+
+def changed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    rule = ReplacePattern(name="r", pattern="<b>([^<]*)", replacement="<b>$1!", hint="<b>")
+    path = work_dir(spark, "changed")
+    records.write_changed(rewrite_pages(table(spark, folder, "pages"), [rule]), path)
+    return spark.read.parquet(path).select("page_id", "html")
+
+
+def url_log(spark: SparkSession, folder: str) -> DataFrame:
+    path = work_dir(spark, "url-log")
+    records.write_url_log(links.redirects(site_pages(spark, folder), F.col("path"), SITE_URL), path)
+    return spark.read.text(path)
+
+
+def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of the data folder itself."""
+    return corpus.scan_inventory(spark, folder, "*.parquet")
+
+
+PLANS = {
+    "sitemap_entries": Plan(
+        sitemap,
+        """SELECT url AS loc, '2026-05-' || lpad(CAST(('0x' || substr(sha256(url), 1, 2))::INT % 15 + 1 AS VARCHAR), 2, '0') AS lastmod,
+             CASE WHEN page_id % 2 = 0 THEN 'weekly' ELSE 'monthly' END AS changefreq, page_id % 10 / 10 AS priority FROM pages""",
+    ),
+    "submission_lines": Plan(
+        submission_lines,
+        with_sql(
+            SUBMISSIONS_SQL,
+            select="""SELECT CASE WHEN c % 13 <> 0 THEN idempotency_id END AS idempotency_id, CASE WHEN c % 13 <> 0 THEN email END AS email,
+              CASE WHEN c % 13 <> 0 THEN CAST(len(a) AS INTEGER) END AS n_answers, c % 13 = 0 AS is_broken FROM submissions_all""",
+        ),
+    ),
+    "changed_pages": Plan(
+        changed_pages,
+        r"""SELECT page_id, regexp_replace(html, '<b>([^<]*)', '<b>\1!', 'g') AS html FROM pages WHERE html LIKE '%<b>%'""",
+    ),
+    "url_log": Plan(
+        url_log, with_sql(SITE_PAGES_SQL, select="SELECT path || ' -> ' || replace(path, '.html', '/') AS value FROM site")
+    ),
+    "file_inventory": Plan(file_inventory),
+}

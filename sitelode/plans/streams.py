@@ -1 +1,93 @@
-PLANS = {}
+"""Queries run as streams over all data there is."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitelode.operators.events import normalise_consent
+from sitelode.plans.derived import (
+    EVENTS_SQL,
+    SUBMISSIONS_SQL,
+    click_columns,
+    consent_columns,
+    event_columns,
+    submission_columns,
+    with_sql,
+)
+from sitelode.plans.events import stamped
+from sitelode.plans.registry import Plan, table
+from sitelode.session import work_dir
+from sitelode.streaming import events, submissions
+
+
+def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    schema = table(spark, folder, name).schema
+    # As a pattern the path may be one file as well as a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+
+
+def finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
+    return spark.read.schema(stream.schema).parquet(events.run_once(stream, work_dir(spark, label)))
+
+
+def gated(spark: SparkSession, folder: str) -> DataFrame:
+    """The event job; what the watermark has not reached at the end stays waiting."""
+    source = event_columns(stream_of(spark, folder, "events"))
+    allowed = normalise_consent(consent_columns(source)).select("visitor_id", "ts", "analytics")
+    stream = events.event_stream(click_columns(source), allowed, delay="0 seconds", shards=4)
+    return stamped(finished(spark, stream, "gated"))
+
+
+def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    posts = stream_of(spark, folder, "events").select(
+        F.concat_ws("-", "user_id", "event_type").alias("idempotency_id"), F.col("ts").cast("timestamp").alias("submitted_at")
+    )
+    stream = submissions.deduplicate(posts, delay="400 days")
+    return finished(spark, stream, "deduplicated").select("idempotency_id")
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    stream = submissions.score_stream(submission_columns(stream_of(spark, folder, "customer")))
+    return finished(spark, stream, "scored").select("idempotency_id", "total_score", "tier_public", "source")
+
+
+def updated(spark: SparkSession, folder: str) -> DataFrame:
+    """Submissions joined with the updates that came within an hour of them."""
+    posts = submission_columns(stream_of(spark, folder, "customer")).select(
+        "idempotency_id", F.timestamp_seconds(F.lit(1704067200) + F.col("idempotency_id").cast("bigint") * 60).alias("submitted_at")
+    )
+    updates = stream_of(spark, folder, "events").select(
+        F.col("user_id").cast("string").alias("idempotency_id"),
+        F.concat(F.lit(" "), "props").alias("pain_point_text"),
+        F.when(F.col("event_type") == "view", "other").otherwise("pain_point").alias("update"),
+        F.col("ts").cast("timestamp").alias("received_at"),
+    )
+    stream = submissions.attach_updates(posts, updates, delay="1 minute", window="3 hours")
+    out = finished(spark, stream, "updated").where(F.col("pain_point_text").isNotNull())
+    return out.select("idempotency_id", "pain_point_text", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"))
+
+
+PLANS = {
+    "stream_gated_events": Plan(
+        gated,
+        with_sql(
+            EVENTS_SQL,
+            select="""SELECT visitor_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, name, link_url, link_text, page_path, page_title, cta_location
+              FROM gated WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM ev WHERE event_type IN ('signup', 'click', 'error'))""",
+        ),
+    ),
+    "stream_first_posts": Plan(
+        deduplicated, "SELECT DISTINCT user_id || '-' || event_type AS idempotency_id FROM events"
+    ),
+    "stream_scored_submissions": Plan(
+        scored, with_sql(SUBMISSIONS_SQL, select="SELECT idempotency_id, total_score, tier_public, source FROM scored")
+    ),
+    "stream_pain_points": Plan(
+        updated,
+        """SELECT CAST(c_custkey AS VARCHAR) AS idempotency_id, props AS pain_point_text, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS received_at
+           FROM customer JOIN events ON user_id = c_custkey
+           WHERE event_type <> 'view' AND ts BETWEEN TIMESTAMP '2024-01-01' + to_minutes(c_custkey) - INTERVAL 3 HOURS
+             AND TIMESTAMP '2024-01-01' + to_minutes(c_custkey) + INTERVAL 3 HOURS""",
+    ),
+}

@@ -49,13 +49,13 @@ def _release(
     line = state.getCurrentWatermarkMs() * 1000
     due = sorted(w for w in waiting if w[0] <= line)
     later = [w for w in waiting if w[0] > line]
-    consents.sort(key=lambda c: c[0])
+    consents.sort(key=lambda c: (c[0], not c[1]))
     if due:
         rows = pd.DataFrame(due, columns=["us", "payload"])
         known = pd.DataFrame(consents, columns=["us", "ok"])
         if len(known):
-            asof = pd.merge_asof(rows, known, on="us", direction="backward")
-            passed = asof[asof["ok"].fillna(False).astype(bool)]
+            asof = pd.merge_asof(rows, known, on="us", direction="backward").dropna(subset=["ok"])
+            passed = asof[asof["ok"].astype(bool)]
             if len(passed):
                 yield pd.DataFrame(
                     {
