@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The white space a browser's trim() removes. SQL trim removes only the space.
+# The white space a browser's trim() removes, as a pattern class and as characters.
+# SQL trim without a list removes only the space.
 BROWSER_SPACE = (
     r"\t\n\x0B\f\r\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
+SPACE_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Entities decoded for structured data; the ampersand comes last so that an escaped
 # entity is decoded once only.
@@ -47,7 +49,7 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def browser_trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{BROWSER_SPACE}]+|[{BROWSER_SPACE}]+\\z", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def first_filled(*cols: Column) -> Column:
@@ -64,7 +66,11 @@ def escape_html(c: Column) -> Column:
 
 def inline_bold(c: Column) -> Column:
     """Escaped text with ``**x**`` as strong emphasis; a pair never spans lines."""
-    return F.regexp_replace(escape_html(c), r"\*\*([^\n\r\x{2028}\x{2029}]+?)\*\*", "<strong>$1</strong>")
+    pattern = r"\*\*([^\n\r\x{2028}\x{2029}]+?)\*\*"
+    return bind(
+        escape_html(c),
+        lambda e: F.when(F.contains(e, F.lit("**")), F.regexp_replace(e, pattern, "<strong>$1</strong>")).otherwise(e),
+    )
 
 
 def decode_entities(c: Column, entities: tuple[tuple[str, str], ...] = FAQ_ENTITIES) -> Column:
@@ -111,11 +117,19 @@ def replace_first(text: Column, old: str, new: Column | str) -> Column:
     return F.when(F.contains(text, F.lit(old)), F.concat(before, as_col(new), after)).otherwise(text)
 
 
-def replace_segments(text: Column, pattern: str, edit: Callable[[Column], Column]) -> Column:
+def replace_segments(
+    text: Column, pattern: str, edit: Callable[[Column], Column], hint: str | None = None
+) -> Column:
     """Replace every match of ``pattern`` by ``edit(match)`` and keep the rest as it is.
 
     Splitting drops the separators, so they are extracted and zipped back in. Row-local: no shuffle.
+    ``hint``: literal in every match; text without it is not scanned.
     """
+    if hint:
+        return bind(
+            text,
+            lambda t: F.when(F.contains(t, F.lit(hint)), replace_segments(t, pattern, edit)).otherwise(t),
+        )
     rest = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     joined = F.zip_with(

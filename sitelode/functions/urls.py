@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sitelode.functions.text import browser_trim
+from sitelode.functions.text import bind, browser_trim
 
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
@@ -19,20 +19,19 @@ def url_scheme(url: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Host with port as a browser shows it: lower case, no user part, no default port; '' if none."""
-    authority = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#\\]*)", 1)
-    host = F.lower(F.regexp_replace(authority, r"^.*@", ""))
-    scheme = url_scheme(url)
-    return (
-        F.when(scheme == "http", F.regexp_replace(host, r":80\z", ""))
-        .when(scheme == "https", F.regexp_replace(host, r":443\z", ""))
-        .otherwise(host)
+    authority = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#\\@]*@)*([^/?#\\]*)", 1)
+    return bind(
+        F.lower(authority),
+        lambda host: F.when(F.endswith(host, F.lit(":80")) & (url_scheme(url) == "http"), F.left(host, F.length(host) - 3))
+        .when(F.endswith(host, F.lit(":443")) & (url_scheme(url) == "https"), F.left(host, F.length(host) - 4))
+        .otherwise(host),
     )
 
 
 def url_path(url: Column) -> Column:
     """Path part, ``/`` when empty; works on absolute URLs and on root-anchored paths."""
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
-    return F.when(path == "", F.lit("/")).otherwise(path)
+    return F.coalesce(F.nullif(path, F.lit("")), F.lit("/"))
 
 
 def query_value(url: Column, name: str) -> Column:
@@ -48,11 +47,22 @@ def acquisition_source(url: Column) -> Column:
 
 def is_external(href: Column, page_url: Column) -> Column:
     """True when the link, resolved against its page, is http(s) on another host."""
+
+    def other_host(url: Column) -> Column:
+        return bind(url_host(url), lambda host: (host != "") & (host != url_host(page_url)))
+
+    page_scheme = url_scheme(page_url)
     ref = browser_trim(href)
-    scheme = F.coalesce(F.nullif(url_scheme(ref), F.lit("")), url_scheme(page_url))
-    ref_host = url_host(F.when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref)).otherwise(ref))
-    external = (ref_host != "") & (ref_host != url_host(page_url)) & scheme.isin("http", "https")
-    return F.coalesce(external, F.lit(False))
+    return F.coalesce(
+        # Most links stay on the site, and are told by their first characters.
+        F.when(
+            F.startswith(ref, F.lit("//")),
+            page_scheme.isin("http", "https") & other_host(F.concat(page_scheme, F.lit(":"), ref)),
+        )
+        .when(F.lower(F.left(ref, F.lit(8))).rlike("^https?://"), other_host(ref))
+        .otherwise(F.lit(False)),
+        F.lit(False),
+    )
 
 
 def fold_segments(path: Column) -> Column:
@@ -64,8 +74,11 @@ def fold_segments(path: Column) -> Column:
         .when(part == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(part))),
     )
-    tail = F.when(F.endswith(path, F.lit("/")) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), tail)
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return bind(
+        joined,
+        lambda out: F.when(F.endswith(path, F.lit("/")) & (out != "/"), F.concat(out, F.lit("/"))).otherwise(out),
+    )
 
 
 def resolve_ref(page_path: Column, ref: Column) -> Column:
@@ -73,16 +86,17 @@ def resolve_ref(page_path: Column, ref: Column) -> Column:
 
     The result always starts with one slash, whether or not the page path itself is root-anchored.
     """
-    folder = F.regexp_replace(page_path, r"[^/]*\z", "")
+    file = F.substring_index(page_path, "/", -1)
+    folder = F.left(page_path, F.length(page_path) - F.length(file))
     return F.when(~F.rlike(ref, F.lit(SPECIAL_REF)), fold_segments(F.concat(folder, ref)))
 
 
 def clean_url(path: Column, suffix: Column) -> Column:
     """``/x.html`` as ``/x/``, the index page as ``/``, anything else unchanged; fragment or query kept."""
-    bare = F.regexp_replace(path, r"^/+", "")
+    bare = F.ltrim(path, F.lit("/"))
     clean = (
         F.when(bare.isin("index.html", ""), F.lit("/"))
-        .when(F.endswith(bare, F.lit(".html")), F.concat(F.lit("/"), F.regexp_replace(bare, r"\.html\z", "/")))
+        .when(F.endswith(bare, F.lit(".html")), F.concat(F.lit("/"), F.left(bare, F.length(bare) - 5), F.lit("/")))
         .otherwise(path)
     )
     return F.concat(clean, F.coalesce(suffix, F.lit("")))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.text import (
     BROWSER_SPACE,
+    bind,
     browser_trim,
     escape_html,
     first_filled,
@@ -27,9 +28,9 @@ SPACE = f"[{BROWSER_SPACE}]"
 
 # Three ways front matter is delimited and its lines are read.
 FRONT_MATTER = {
-    "tolerant": rf"\A---{SPACE}*\n([\s\S]*?)\n---{SPACE}*\n([\s\S]*)\z",
-    "strict": r"\A---\n([\s\S]*?)\n---\n([\s\S]*)\z",
-    "letters": rf"\A---{SPACE}*\n([\s\S]*?)\n---([\s\S]*)\z",
+    "tolerant": rf"\A---{SPACE}*\n([\s\S]*?)\n---{SPACE}*\n",
+    "strict": r"\A---\n([\s\S]*?)\n---\n",
+    "letters": rf"\A---{SPACE}*\n([\s\S]*?)\n---",
 }
 META_LINE = {
     "tolerant": rf"^([^:]+):{SPACE}*({LINE_TEXT}*){SPACE}*\z",
@@ -66,20 +67,22 @@ def _meta_map(header: Column, dialect: str) -> Column:
 def front_matter(docs: DataFrame, text: str = "text", dialect: str = "tolerant") -> DataFrame:
     """Adds ``meta`` and ``body``. Without front matter: an empty map and the whole text."""
     pattern, c = FRONT_MATTER[dialect], F.col(text)
-    split = F.when(
-        F.startswith(c, F.lit("---")) & F.rlike(c, F.lit(pattern)),
-        F.struct(F.regexp_extract(c, pattern, 1).alias("header"), F.regexp_extract(c, pattern, 2).alias("rest")),
-    )
-    out = docs.withColumn("_split", split)
-    present = F.col("_split").isNotNull()
+    # Only the head of the document is matched; the body is what follows it.
+    head = F.when(F.startswith(c, F.lit("---")), F.nullif(F.regexp_extract(c, pattern, 0), F.lit("")))
     empty = F.create_map().cast("map<string,string>")
+
+    def parse(head: Column) -> Column:
+        body = browser_trim(F.substring(c, F.length(head) + 1, F.length(c)))
+        meta = _meta_map(F.regexp_extract(head, pattern, 1), dialect)
+        return F.struct(
+            F.when(head.isNotNull(), meta).otherwise(empty).alias("meta"),
+            F.when(head.isNotNull(), body).otherwise(c).alias("body"),
+        )
+
+    parsed = docs.withColumn("_parsed", bind(head, parse))
     return computed_once(
-        out,
-        {
-            "meta": F.when(present, _meta_map(F.col("_split.header"), dialect)).otherwise(empty),
-            "body": F.when(present, browser_trim(F.col("_split.rest"))).otherwise(c),
-        },
-    ).drop("_split")
+        parsed, {"meta": F.col("_parsed.meta"), "body": F.col("_parsed.body")}
+    ).drop("_parsed")
 
 
 def _meta(key: str) -> Column:
@@ -135,20 +138,22 @@ def _line_kinds(body: Column) -> Column:
     """Array of ``(kind, item)``, one per line."""
 
     def parse(line: Column) -> Column:
-        number = F.regexp_extract(line, ORDERED_ITEM, 1)
-
         def is_a(kind: str, item: Column) -> Column:
             return F.struct(F.lit(kind).alias("kind"), item.alias("item"))
 
         def after(n: int) -> Column:
             return F.substring(line, F.lit(n + 1), F.length(line))
 
+        def numbered(item: Column) -> Column:
+            return F.when(item != "", is_a("ol", item)).otherwise(is_a("p", line))
+
+        # The first character tells most lines apart; the pattern is tried on numbers only.
         return (
             F.when(F.startswith(line, F.lit("- ")), is_a("ul", after(2)))
-            .when(number != "", is_a("ol", number))
-            .when(browser_trim(line) == "", is_a("blank", F.lit("")))
+            .when(F.left(line, F.lit(1)).between("0", "9"), bind(F.regexp_extract(line, ORDERED_ITEM, 1), numbered))
             .when(F.startswith(line, F.lit("### ")), is_a("h3", after(4)))
             .when(F.startswith(line, F.lit("## ")), is_a("h2", after(3)))
+            .when(browser_trim(line) == "", is_a("blank", F.lit("")))
             .otherwise(is_a("p", line))
         )
 
@@ -156,24 +161,27 @@ def _line_kinds(body: Column) -> Column:
 
 
 def _edges(lines: Column) -> Column:
-    """Array of ``(kind, opens, closes)``: whether the line opens and closes a block.
+    """Array of ``(kind, item, opens, closes)``: whether the line opens and closes a block.
 
     Neighbouring items of one list form one block; every other line is a block of its own.
+    ``lines`` is referred to several times: bind it, or store it in a column.
     """
-    kinds = F.transform(lines, lambda x: x["kind"])
-    none = F.array(F.lit(None).cast("string"))
-    before = F.concat(none, F.slice(kinds, F.lit(1), F.size(kinds) - 1))
-    after = F.concat(F.slice(kinds, F.lit(2), F.size(kinds)), none)
+    none = F.array(F.lit(None).cast("struct<kind:string,item:string>"))
+    before = F.concat(none, F.slice(lines, F.lit(1), F.size(lines) - 1))
+    after = F.concat(F.slice(lines, F.lit(2), F.size(lines)), none)
 
-    def differs(kind: Column, other: Column) -> Column:
-        return ~kind.isin(*LISTS) | ~kind.eqNullSafe(other)
+    def differs(line: Column, other: Column) -> Column:
+        return ~line["kind"].isin(*LISTS) | ~line["kind"].eqNullSafe(other["kind"])
 
-    opens = F.zip_with(kinds, before, lambda k, b: F.struct(k.alias("kind"), differs(k, b).alias("opens")))
+    opened = F.zip_with(lines, before, lambda x, b: F.struct(x.alias("line"), differs(x, b).alias("opens")))
     return F.zip_with(
-        opens,
+        opened,
         after,
         lambda o, a: F.struct(
-            o["kind"].alias("kind"), o["opens"].alias("opens"), differs(o["kind"], a).alias("closes")
+            o["line"]["kind"].alias("kind"),
+            o["line"]["item"].alias("item"),
+            o["opens"].alias("opens"),
+            differs(o["line"], a).alias("closes"),
         ),
     )
 
@@ -184,19 +192,13 @@ def markdown_blocks(docs: DataFrame, keys: Sequence[str], body: str = "body") ->
     The starts of the blocks are listed in the row and the line array is cut there, so gaps and
     islands need neither a window nor a shuffle.
     """
-    staged = (
-        docs.select(*keys, _line_kinds(F.col(body)).alias("_lines"))
-        .withColumn("_edges", _edges(F.col("_lines")))
-        .withColumn(
-            "_starts",
-            F.filter(
-                F.transform(
-                    "_edges", lambda e, i: F.when(e["opens"] & (e["kind"] != "blank"), i + 1)
-                ),
-                lambda i: i.isNotNull(),
-            ),
-        )
+    starts = F.filter(
+        F.transform(
+            _edges(F.col("_lines")), lambda e, i: F.when(e["opens"] & (e["kind"] != "blank"), i + 1)
+        ),
+        lambda i: i.isNotNull(),
     )
+    staged = docs.select(*keys, _line_kinds(F.col(body)).alias("_lines")).withColumn("_starts", starts)
     ends = F.concat(
         F.slice(F.col("_starts"), F.lit(2), F.size("_starts")), F.array(F.size("_lines") + 1)
     )
@@ -214,30 +216,26 @@ def markdown_blocks(docs: DataFrame, keys: Sequence[str], body: str = "body") ->
 
 
 def render_body(body: Column) -> Column:
-    """Rendered HTML of a Markdown body, blocks on lines of their own."""
-    lines = _line_kinds(body)
-
-    def piece(line: Column, edge: Column) -> Column:
-        kind, text = line["kind"], inline_bold(line["item"])
+    """Rendered HTML of a Markdown body, blocks on lines of their own.
 
-        def tag(name: Column | str, slash: str = "") -> Column:
-            return F.concat(F.lit("<" + slash), name if isinstance(name, Column) else F.lit(name), F.lit(">"))
+    Escaping and emphasis never change what kind of line a line is and never cross its end, so the
+    whole body is escaped once, before it is cut into lines.
+    """
 
+    def piece(line: Column) -> Column:
+        kind, text = line["kind"], line["item"]
         item = F.concat(
-            F.when(edge["opens"], tag(kind)).otherwise(""),
-            tag("li"),
+            F.when(line["opens"], F.concat(F.lit("<"), kind, F.lit(">"))).otherwise(""),
+            F.lit("<li>"),
             text,
-            tag("li", "/"),
-            F.when(edge["closes"], F.concat(tag(kind, "/"), F.lit("\n"))).otherwise(""),
-        )
-        return (
-            F.when(kind == "blank", "")
-            .when(kind.isin(*LISTS), item)
-            .otherwise(F.concat(tag(kind), text, tag(kind, "/"), F.lit("\n")))
+            F.lit("</li>"),
+            F.when(line["closes"], F.concat(F.lit("</"), kind, F.lit(">\n"))).otherwise(""),
         )
+        block = F.concat(F.lit("<"), kind, F.lit(">"), text, F.lit("</"), kind, F.lit(">\n"))
+        return F.when(kind == "blank", "").when(kind.isin(*LISTS), item).otherwise(block)
 
-    html = F.array_join(F.zip_with(lines, _edges(lines), piece), "")
-    return F.regexp_replace(html, r"\n\z", "")
+    html = bind(_line_kinds(inline_bold(body)), lambda lines: F.array_join(F.transform(_edges(lines), piece), ""))
+    return F.rtrim(html, F.lit("\n"))
 
 
 def quoted_replacement(c: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelode.functions.text import js_json, quote_pattern, replace_segments
+from sitelode.functions.text import bind, js_json, quote_pattern, replace_segments
 from sitelode.functions.urls import clean_url, resolve_ref
 
 LINK = r'(href|src)="([^"#?]*)([#?][^"]*)?"'
@@ -67,17 +67,26 @@ def link_table(pages: DataFrame, keys: Sequence[str], page_path: Column, html: s
 
 
 def _rewrite_link(match: Column, page_path: Column) -> Column:
-    attr, ref, frag = (F.regexp_extract(match, RELATIVE_LINK, i) for i in (1, 2, 3))
-    is_page = F.endswith(ref, F.lit(".html")) & ~F.contains(ref, F.lit(":"))
-    rooted = F.startswith(ref, F.lit("/"))
-    special = F.rlike(ref, F.lit(r"^(https?:|mailto:|tel:|data:|javascript:)"))
-    target = (
-        F.when(F.startswith(ref, F.lit("//")) | special, F.lit(None).cast("string"))
-        .when(is_page & rooted, clean_url(ref, frag))
-        .when(is_page, clean_url(resolve_ref(page_path, ref), frag))
-        .when(~rooted, F.concat(resolve_ref(page_path, ref), frag))
-    )
-    return F.when(target.isNull(), match).otherwise(F.concat(attr, F.lit('="'), target, F.lit('"')))
+    def rewritten(link: Column) -> Column:
+        ref, frag = link["ref"], link["frag"]
+        is_page = F.endswith(ref, F.lit(".html")) & ~F.contains(ref, F.lit(":"))
+        rooted = F.startswith(ref, F.lit("/"))
+        special = F.contains(ref, F.lit(":")) & F.rlike(ref, F.lit(r"^(https?:|mailto:|tel:|data:|javascript:)"))
+        target = (
+            F.when(F.startswith(ref, F.lit("//")) | special, F.lit(None).cast("string"))
+            .when(is_page & rooted, clean_url(ref, frag))
+            .when(is_page, bind(resolve_ref(page_path, ref), lambda path: clean_url(path, frag)))
+            .when(~rooted, F.concat(resolve_ref(page_path, ref), frag))
+        )
+        return F.coalesce(F.concat(link["attr"], F.lit('="'), target, F.lit('"')), match)
+
+    return bind(_parts(match, RELATIVE_LINK), rewritten)
+
+
+def _parts(match: Column, pattern: str) -> Column:
+    """``struct<attr, ref, frag>`` of one link."""
+    attr, ref, frag = (F.regexp_extract(match, pattern, i) for i in (1, 2, 3))
+    return F.struct(attr.alias("attr"), ref.alias("ref"), frag.alias("frag"))
 
 
 def clean_own_urls(text: Column, site_origin: str, stop: str = r"\s\"'<>?#", with_suffix: bool = True) -> Column:
@@ -87,16 +96,20 @@ def clean_own_urls(text: Column, site_origin: str, stop: str = r"\s\"'<>?#", wit
 
     def edit(match: Column) -> Column:
         origin, path, tail = (F.regexp_extract(match, pattern, i) for i in (1, 2, 3))
-        return F.concat(origin, clean_url(path, tail))
+        return F.concat(origin, bind(path, lambda p: clean_url(p, tail)))
 
-    return replace_segments(text, pattern, edit)
+    return replace_segments(text, pattern, edit, hint=site_origin)
 
 
 def rewrite_links(html: Column, page_path: Column, site_origin: str) -> Column:
     """All links of a page root-anchored and in clean form. Row-local: the page text is not shuffled."""
     html = replace_segments(html, RELATIVE_LINK, lambda m: _rewrite_link(m, page_path))
-    html = clean_own_urls(html, site_origin)
-    return F.regexp_replace(html, r"(\.\./)+assets/", "/assets/")
+    return bind(
+        clean_own_urls(html, site_origin),
+        lambda h: F.when(
+            F.contains(h, F.lit("../assets/")), F.regexp_replace(h, r"(\.\./)+assets/", "/assets/")
+        ).otherwise(h),
+    )
 
 
 def rewrite_text_urls(text: Column, site_origin: str) -> Column:

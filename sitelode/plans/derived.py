@@ -173,12 +173,16 @@ gated AS (
 """
 
 
+# Line starts that become list and heading marks.
+MARKS = (("A", "-"), ("E", "-"), ("I", "-"), ("O", "-"), ("T", "1."), ("L", "##"), ("R", "###"), ("S", "###"))
+
+
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as Markdown: some line starts become list and heading marks, and each gets front matter."""
     body = F.col("text")
-    for letters, mark in (("AEIO", "- "), ("T", "1. "), ("L", "## "), ("RS", "### ")):
-        body = F.regexp_replace(body, f"(?md)^([{letters}])", f"{mark}$1")
-    body = F.regexp_replace(body, r"([A-Za-z]+)!!", "**$1**")
+    for letter, mark in MARKS:
+        body = F.replace(body, F.lit("\n" + letter), F.lit(f"\n{mark} {letter}"))
+    body = F.when(F.contains("text", F.lit("!!")), F.regexp_replace(body, r"([A-Za-z]+)!!", "**$1**")).otherwise(body)
     head = F.concat(
         F.lit('---\ntitle: "Doc: '),
         F.col("doc_id"),
@@ -198,17 +202,21 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-MARKDOWN_SQL = r"""
+def _marked_sql() -> str:
+    out = "text"
+    for letter, mark in MARKS:
+        out = f"replace({out}, chr(10) || '{letter}', chr(10) || '{mark} {letter}')"
+    return out
+
+
+MARKDOWN_SQL = rf"""
 md AS (
-  SELECT doc_id, lang, source,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-      '(?m)^([AEIO])', '- \1', 'g'), '(?m)^([T])', '1. \1', 'g'), '(?m)^([L])', '## \1', 'g'),
-      '(?m)^([RS])', '### \1', 'g'), '([A-Za-z]+)!!', '**\1**', 'g') AS marked
+  SELECT doc_id, lang, source, regexp_replace({_marked_sql()}, '([A-Za-z]+)!!', '**\1**', 'g') AS marked
   FROM documents),
 docs AS (
   SELECT doc_id, lang, source,
     CASE WHEN lang = 'de' THEN marked
-      ELSE regexp_replace(marked, '^[\t\n\v\f\r\x{20}\x{A0}]+|[\t\n\v\f\r\x{20}\x{A0}]+\z', '', 'g') END AS body,
+      ELSE regexp_replace(marked, '^[\t\n\v\f\r\x{{20}}\x{{A0}}]+|[\t\n\v\f\r\x{{20}}\x{{A0}}]+\z', '', 'g') END AS body,
     CASE WHEN lang <> 'de' THEN 'Document & "' || doc_id || '"' END AS title
   FROM md)
 """
