@@ -101,20 +101,27 @@ def count_literal(haystack: Column, needle: str) -> Column:
     return ((F.length(haystack) - F.length(removed)) / F.lit(len(needle))).cast("int")
 
 
-def around_first(text: Column, anchor: str) -> tuple[Column, Column]:
-    """The text before and after the first ``anchor``; only meaningful where it occurs."""
-    before = F.substring_index(text, anchor, 1)
-    return before, F.substring(text, F.length(before) + len(anchor) + 1, F.length(text))
+def at_first(text: Column, anchor: str, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(before, after)`` with the text around the first ``anchor``; only meaningful where it occurs."""
+    return bind(
+        F.substring_index(text, anchor, 1),
+        lambda before: use(before, F.substring(text, F.length(before) + len(anchor) + 1, F.length(text))),
+    )
 
 
-def around_last(text: Column, anchor: str) -> tuple[Column, Column]:
-    after = F.substring_index(text, anchor, -1)
-    return F.left(text, F.length(text) - F.length(after) - len(anchor)), after
+def at_last(text: Column, anchor: str, use: Callable[[Column, Column], Column]) -> Column:
+    return bind(
+        F.substring_index(text, anchor, -1),
+        lambda after: use(F.left(text, F.length(text) - F.length(after) - len(anchor)), after),
+    )
 
 
 def replace_first(text: Column, old: str, new: Column | str) -> Column:
-    before, after = around_first(text, old)
-    return F.when(F.contains(text, F.lit(old)), F.concat(before, as_col(new), after)).otherwise(text)
+    def replaced(t: Column) -> Column:
+        put = at_first(t, old, lambda before, after: F.concat(before, as_col(new), after))
+        return F.when(F.contains(t, F.lit(old)), put).otherwise(t)
+
+    return bind(text, replaced)
 
 
 def replace_segments(

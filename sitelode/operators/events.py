@@ -36,18 +36,6 @@ def normalise_consent(consents: DataFrame) -> DataFrame:
     )
 
 
-def _event(name: Column | str, link_url: Column, text: Column, location: Column | None = None) -> Column:
-    none = F.lit(None).cast("string")
-    return F.struct(
-        (F.lit(name) if isinstance(name, str) else name).alias("name"),
-        link_url.alias("link_url"),
-        text.alias("link_text"),
-        url_path(F.col("page_url")).alias("page_path"),
-        F.col("page_title").alias("page_title"),
-        (location if location is not None else none).alias("cta_location"),
-    )
-
-
 def link_kind(href: Column, page_url: Column) -> Column:
     """``email_click``, ``outbound_link_click`` or null."""
     return F.when(F.startswith(href, F.lit("mailto:")), "email_click").when(
@@ -62,15 +50,19 @@ def classify_clicks(clicks: DataFrame) -> DataFrame:
     """
     is_link = F.coalesce(F.col("is_link"), F.lit(False))
     href = F.coalesce(F.col("href"), F.lit(""))
-    text = link_text(F.col("link_text"))
-    kind = link_kind(href, F.col("page_url"))
-    url = F.when(is_link, href)
-    found = F.array(
-        F.when(is_link & kind.isNotNull(), _event(kind, href, text)),
-        F.when(F.col("is_primary"), _event("cta_click", url, text, cta_location(F.col("section_id")))),
+    names = F.array(
+        F.when(is_link, link_kind(href, F.col("page_url"))),
+        F.when(F.col("is_primary"), "cta_click"),
     )
-    return clicks.select("visitor_id", "ts", F.explode(F.array_compact(found)).alias("_e")).select(
-        "visitor_id", "ts", "_e.*"
+    return clicks.select("*", F.explode(F.array_compact(names)).alias("name")).select(
+        "visitor_id",
+        "ts",
+        "name",
+        F.when(is_link, href).alias("link_url"),
+        link_text(F.col("link_text")).alias("link_text"),
+        url_path(F.col("page_url")).alias("page_path"),
+        "page_title",
+        F.when(F.col("name") == "cta_click", cta_location(F.col("section_id"))).alias("cta_location"),
     )
 
 
@@ -78,8 +70,15 @@ def classify_submits(submits: DataFrame) -> DataFrame:
     """``subscribe_submit`` for forms marked as subscribe forms."""
     none = F.lit(None).cast("string")
     return submits.where(F.coalesce(F.col("is_subscribe_form"), F.lit(False))).select(
-        "visitor_id", "ts", _event("subscribe_submit", none, none).alias("_e")
-    ).select("visitor_id", "ts", "_e.*")
+        "visitor_id",
+        "ts",
+        F.lit("subscribe_submit").alias("name"),
+        none.alias("link_url"),
+        none.alias("link_text"),
+        url_path(F.col("page_url")).alias("page_path"),
+        "page_title",
+        none.alias("cta_location"),
+    )
 
 
 def subscription_requests(submits: DataFrame) -> DataFrame:

@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelode.functions.text import (
-    around_first,
-    around_last,
     as_col,
+    at_first,
+    at_last,
     bind,
     count_literal,
     quote_pattern,
@@ -147,11 +147,13 @@ class Insert(Rule):
     def edit(self, html: Column) -> Edit:
         text, new, found = as_col(self.text), None, F.lit(False)
         for anchor in self.anchors:
-            head, tail = (around_last if anchor in self.last else around_first)(html, anchor)
-            pieces = (head, F.lit(anchor), text, tail) if self.after else (head, text, F.lit(anchor), tail)
+            middle = (F.lit(anchor), text) if self.after else (text, F.lit(anchor))
+            put = (at_last if anchor in self.last else at_first)(
+                html, anchor, lambda before, after, middle=middle: F.concat(before, *middle, after)
+            )
             here = F.contains(html, F.lit(anchor))
             found = found | here
-            new = F.when(here, F.concat(*pieces)) if new is None else new.when(here, F.concat(*pieces))
+            new = F.when(here, put) if new is None else new.when(here, put)
         return Edit(new.otherwise(html), found, F.lit(1))
 
 
@@ -231,9 +233,14 @@ class MoveLine(Rule):
     def edit(self, html: Column) -> Edit:
         line = F.regexp_extract(html, self.line_pattern, 0)
         without = F.regexp_replace(html, *_first_match(self.line_pattern, ""))
-        head, tail = around_first(without, self.above)
+        moved = bind(
+            without,
+            lambda rest: at_first(
+                rest, self.above, lambda before, after: F.concat(before, line, F.lit(self.above), after)
+            ),
+        )
         found = (F.instr(html, self.marker) > 0) & (F.instr(html, self.above) > 0) & (line != "")
-        return Edit(F.concat(head, line, F.lit(self.above), tail), found, F.lit(1))
+        return Edit(moved, found, F.lit(1))
 
     def step(self, html: Column) -> Column:
         placed = (F.instr(html, self.marker) > 0) & (F.instr(html, self.marker) < F.instr(html, self.above))

@@ -17,4 +17,14 @@ class Plan:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table in fewer partitions than there are cores, dealt out to all of them.
+
+    Row-local work on page text would otherwise run in as many tasks as a small file has row
+    groups. A table of many files has partitions enough and is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
