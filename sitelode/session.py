@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -38,16 +39,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="sitelode-")
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder below the shared folder the session names, for written tables and checkpoints.
 
     Only a local master may fall back to a temporary folder: on a cluster the executors would not
     see it.
     """
-    base = spark.conf.get(CHECKPOINT_KEY, None)
+    base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="sitelode-")
-        spark.conf.set(CHECKPOINT_KEY, base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -9,9 +9,17 @@ from sitelode.functions.text import browser_trim
 from sitelode.operators.scoring import submission_payload
 
 
-def deduplicate(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """One record per idempotency key; a key is forgotten once the watermark has passed it."""
-    return submissions.withWatermark("submitted_at", delay).dropDuplicatesWithinWatermark(["idempotency_id"])
+def deduplicate(submissions: DataFrame, delay: str = "1 hour", salts: int = 16) -> DataFrame:
+    """One record per idempotency key; a key is forgotten once the watermark has passed it.
+
+    A first pass keeps one record per key and salt, so a key posted over and over is thinned out in
+    ``salts`` tasks and at most that many of its records reach the second pass, which decides. The
+    salt need not be the same when a task is repeated: whatever the first pass lets through, the
+    second keeps one.
+    """
+    marked = submissions.withWatermark("submitted_at", delay).withColumn("_salt", F.spark_partition_id() % salts)
+    thinned = marked.dropDuplicatesWithinWatermark(["idempotency_id", "_salt"])
+    return thinned.drop("_salt").dropDuplicatesWithinWatermark(["idempotency_id"])
 
 
 def score_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
