@@ -111,6 +111,14 @@ def gate_by_consent(events: DataFrame, consents: DataFrame, bucket_seconds: int
         ),
         allowMissingColumns=True,
     )
-    bucket = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / bucket_seconds)
-    known = last_known(timeline, ["visitor_id"], bucket, ["ts", "_kind"], "_analytics", "_allowed")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    bucket = F.floor(micros / F.lit(bucket_seconds * 1_000_000))
+    order = micros * 4 + F.col("_kind")
+    known = last_known(timeline, ["visitor_id"], bucket, order, "_analytics", "_allowed")
     return known.where((F.col("_kind") == 2) & F.col("_allowed")).select("visitor_id", "ts", "_event.*")
+
+
+def event_job(clicks: DataFrame, submits: DataFrame, consents: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """All events of clicks and submits that consent allows."""
+    found = classify_clicks(clicks).unionByName(classify_submits(submits))
+    return gate_by_consent(found, consents, bucket_seconds)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from json import dumps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelode.functions.text import FAQ_ENTITIES, as_col, decode_entities, first_filled, replace_first
+from sitelode.functions.text import FAQ_ENTITIES, as_col, decode_entities, first_filled, quote_pattern, replace_first
 from sitelode.operators.content import quoted_replacement
 from sitelode.operators.ordered import ordered_blocks
 
@@ -42,6 +43,10 @@ def _root(type_: str, **fields: Column | str | None) -> Column:
     return F.to_json(F.struct(*parts, *[as_col(v).alias(k) for k, v in fields.items() if v is not None]))
 
 
+def json_text(text: str) -> str:
+    return dumps(text, ensure_ascii=False)
+
+
 # ---- Extraction ---------------------------------------------------------------------------------
 
 
@@ -207,6 +212,13 @@ def insert_block(html: Column, json: Column) -> Column:
     return replace_first(html, "</head>", F.concat(block_tag(json), F.lit("\n</head>")))
 
 
+def insert_block_after(html: Column, type_: str, name: str, json: Column) -> Column:
+    """Put a block on the line after the one of this type and name; the page is unchanged without it."""
+    start = f'{{"@context":"{SCHEMA_ORG}","@type":"{type_}","name":{json_text(name)}'
+    pattern = rf"\A((?s:.*?){quote_pattern(OPEN_TAG + start)}[\s\S]*?</script>)"
+    return F.regexp_replace(html, F.lit(pattern), F.concat(F.lit("$1\n"), quoted_replacement(block_tag(json))))
+
+
 def upsert_block(html: Column, type_: str, json: Column) -> Column:
     """Replace the page's first block of this root type, or insert one."""
     old = rf'\A((?s:.*?))<script type="application/ld\+json">\{{"@context":"{SCHEMA_ORG}","@type":"{type_}"[\s\S]*?</script>'

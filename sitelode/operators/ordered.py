@@ -17,21 +17,21 @@ from pyspark.sql import functions as F
 Names = Sequence[str]
 
 
-def last_known(rows: DataFrame, keys: Names, chunk: Column, order: Names, value: str, out: str) -> DataFrame:
+def last_known(rows: DataFrame, keys: Names, chunk: Column, order: Column, value: str, out: str) -> DataFrame:
     """The last non-null ``value`` at or before each row, in ``order``, within ``keys``.
 
-    ``chunk`` must not decrease along ``order``.
+    ``chunk`` must not decrease along ``order``. A numeric order keeps the summary a hash aggregate.
     """
-    cut = rows.withColumn("_chunk", chunk)
-    when_known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    cut = rows.withColumns({"_chunk": chunk, "_order": order})
+    when_known = F.when(F.col(value).isNotNull(), F.col("_order"))
     closing = cut.groupBy(*keys, "_chunk").agg(F.max_by(value, when_known).alias("_closing"))
     before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = closing.select(*keys, "_chunk", F.last("_closing", ignorenulls=True).over(before).alias("_carried"))
-    inside = W.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(*keys, "_chunk").orderBy("_order").rowsBetween(W.unboundedPreceding, W.currentRow)
     return (
         cut.join(carried, [*keys, "_chunk"], "left")
         .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
-        .drop("_chunk", "_carried")
+        .drop("_chunk", "_order", "_carried")
     )
 
 

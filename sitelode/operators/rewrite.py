@@ -206,14 +206,25 @@ class ReplaceByKey(Rule):
 
 @dataclass(frozen=True, kw_only=True)
 class EditMatches(Rule):
-    """Replace each match by an expression of it; only matches that change are counted."""
+    """Replace each match, or only the first, by an expression of it and of the page's other columns.
+
+    Only matches that change are counted.
+    """
 
     pattern: str
     change: Callable[[Column], Column]
     hint: str | None = None
+    first: bool = False
 
     def edit(self, html: Column) -> Edit:
         hinted = F.contains(html, F.lit(self.hint)) if self.hint else F.lit(True)
+        if self.first:
+            match = F.nullif(F.regexp_extract(html, self.pattern, 0), F.lit(""))
+            new = bind(
+                F.split(html, self.pattern, 2),
+                lambda parts: F.concat(F.get(parts, F.lit(0)), self.change(match), F.get(parts, F.lit(1))),
+            )
+            return Edit(new, hinted & match.isNotNull(), F.lit(1))
         changed = F.size(
             F.filter(
                 F.regexp_extract_all(html, F.lit(self.pattern), F.lit(0)), lambda m: ~self.change(m).eqNullSafe(m)

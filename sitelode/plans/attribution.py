@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.text import fold_title
 from sitelode.operators import attribution
+from sitelode.operators.rewrite import rewrite_pages
 from sitelode.plans.registry import Plan, table
 
 AUTHORS = {"Field src3's \"notes\"": "Ann Author", "Field src7's \"notes\"": "Ann Author", "Field src9's \"notes\"": "Bo Writer"}
@@ -57,6 +58,21 @@ def bylines(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("page_id", "status", "author", "html_new")
 
 
+CARD_HEAD = '<h3 style="font-size: 19px; font-weight: 600; line-height: 1.3;">'
+
+
+def carded(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose navigation entries are cards; every fourth page has its author lines already."""
+    done = F.when(F.col("page_id") % 4 == 0, '<p class="insight-card-author">By X</p>').otherwise("")
+    card = F.concat(F.lit(f"<li>{CARD_HEAD}$1</h3>"), done, F.lit('  <p style="color: var(--gray-600);"><a href="/$1">'))
+    html = F.regexp_replace("html", F.lit(r'<li><a href="/([^"]*)">'), card)
+    pages = table(spark, folder, "pages").select("page_id", html.alias("html"))
+    rule = attribution.card_bylines({"the": "Ann Author", "und": "Bo Writer"}, DEFAULT_AUTHOR)
+    out = rewrite_pages(pages, [rule])
+    entry = F.get("ledger", 0)
+    return out.select("page_id", "html_new", entry["status"].alias("status"), entry["n_repl"].alias("n_repl"))
+
+
 def undated_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Article pages with a byline; some dated already, one in ten of a legacy path."""
     n = F.col("page_id")
@@ -131,6 +147,16 @@ PLANS = {
             || chr(10) || '  <article class="insight-detail-body" data-x>') AS html_new
         FROM q""",
     ),
+    "card_bylines": Plan(
+        carded,
+        f"""
+        WITH c AS (SELECT page_id, page_id % 4 = 0 AS done, html, CAST(len(regexp_extract_all(html, '<li><a href="/[^"]+">')) AS INTEGER) AS n FROM pages),
+        k AS (SELECT *, regexp_replace(html, '<li><a href="/([^"]*)">', '<li>{CARD_HEAD}\\1</h3>' || CASE WHEN done THEN '<p class="insight-card-author">By X</p>  '
+            ELSE chr(10) || '          <p class="insight-card-author">By <' || '\\1>' || '</p>' || chr(10) || '          ' END
+            || '<p style="color: var(--gray-600);"><a href="/\\1">', 'g') AS h FROM c)
+        SELECT page_id, regexp_replace(replace(replace(h, 'By <the>', 'By Ann Author'), 'By <und>', 'By Bo Writer'), 'By <[^>]*>', 'By Cy Default', 'g') AS html_new,
+          CASE WHEN done OR n = 0 THEN 'no_match' ELSE 'updated' END AS status, CASE WHEN done THEN 0 ELSE n END AS n_repl FROM k""",
+    ),
     "backfilled_dates": Plan(
         backfilled,
         f"""

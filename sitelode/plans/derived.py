@@ -169,6 +169,14 @@ click_events AS (
   FROM clicks WHERE is_primary),
 gated AS (
   SELECT e.* FROM click_events e ASOF JOIN consents c ON e.visitor_id = c.visitor_id AND e.ts >= c.ts
+  WHERE c.analytics),
+all_events AS (
+  SELECT * FROM click_events
+  UNION ALL
+  SELECT visitor_id, ts, 'subscribe_submit', NULL, NULL, '/p/' || (k % 10), 'P' || (k % 10), NULL
+  FROM ev WHERE event_type = 'purchase' AND k % 2 = 0),
+gated_all AS (
+  SELECT e.* FROM all_events e ASOF JOIN consents c ON e.visitor_id = c.visitor_id AND e.ts >= c.ts
   WHERE c.analytics)
 """
 

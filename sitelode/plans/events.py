@@ -49,7 +49,7 @@ def gated_events(spark: SparkSession, folder: str) -> DataFrame:
 
 def event_totals(spark: SparkSession, folder: str) -> DataFrame:
     allowed = events.normalise_consent(consents(spark, folder))
-    gated = events.gate_by_consent(events.classify_clicks(clicks(spark, folder)), allowed)
+    gated = events.event_job(clicks(spark, folder), submits(spark, folder), allowed)
     return gated.groupBy("name", "page_path").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("visitor_id").alias("visitors")
     )
@@ -92,7 +92,7 @@ PLANS = {
         event_totals,
         with_sql(
             EVENTS_SQL,
-            select="SELECT name, page_path, count(*) AS n, count(DISTINCT visitor_id) AS visitors FROM gated GROUP BY 1, 2",
+            select="SELECT name, page_path, count(*) AS n, count(DISTINCT visitor_id) AS visitors FROM gated_all GROUP BY 1, 2",
         ),
     ),
     "subscribe_submits": Plan(

@@ -13,6 +13,7 @@ from sitelode.plans.derived import (
     consent_columns,
     event_columns,
     submission_columns,
+    submit_columns,
     with_sql,
 )
 from sitelode.plans.events import stamped
@@ -35,7 +36,7 @@ def gated(spark: SparkSession, folder: str) -> DataFrame:
     """The event job; what the watermark has not reached at the end stays waiting."""
     source = event_columns(stream_of(spark, folder, "events"))
     allowed = normalise_consent(consent_columns(source)).select("visitor_id", "ts", "analytics")
-    stream = events.event_stream(click_columns(source), allowed, delay="0 seconds", shards=4)
+    stream = events.event_stream(click_columns(source), submit_columns(source), allowed, delay="0 seconds", shards=4)
     return stamped(finished(spark, stream, "gated"))
 
 
@@ -74,7 +75,8 @@ PLANS = {
         with_sql(
             EVENTS_SQL,
             select="""SELECT visitor_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, name, link_url, link_text, page_path, page_title, cta_location
-              FROM gated WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM ev WHERE event_type IN ('signup', 'click', 'error'))""",
+              FROM gated_all WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM
+                (SELECT ts FROM consents UNION ALL SELECT ts FROM all_events))""",
         ),
     ),
     "stream_first_posts": Plan(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sitelode.operators.events import EVENT_FIELDS, classify_clicks
+from sitelode.operators.events import EVENT_FIELDS, classify_clicks, classify_submits
 
 GATED = "visitor_id string, ts timestamp, " + ", ".join(f"{name} string" for name in EVENT_FIELDS)
 
@@ -119,9 +119,12 @@ def gate_stream(
     )
 
 
-def event_stream(clicks: DataFrame, consents: DataFrame, delay: str = "10 minutes", shards: int = 8) -> DataFrame:
+def event_stream(
+    clicks: DataFrame, submits: DataFrame, consents: DataFrame, delay: str = "10 minutes", shards: int = 8
+) -> DataFrame:
     """The whole event job on streams: classify without state, then gate."""
-    return gate_stream(classify_clicks(clicks), consents, delay, shards)
+    found = classify_clicks(clicks).unionByName(classify_submits(submits))
+    return gate_stream(found, consents, delay, shards)
 
 
 def run_once(stream: DataFrame, folder: str, **options: Any) -> str:

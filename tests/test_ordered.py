@@ -29,7 +29,7 @@ def as_set(df):
 def test_last_known_equals_the_plain_window(rows, size, parts):
     w = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     want = rows.withColumn("known", F.last("value", ignorenulls=True).over(w)).select("row", "known")
-    got = last_known(rows.repartition(parts), ["key"], F.floor(F.col("at") / size), ["at"], "value", "known")
+    got = last_known(rows.repartition(parts), ["key"], F.floor(F.col("at") / size), F.col("at"), "value", "known")
     assert as_set(got.select("row", "known")) == as_set(want)
 
 

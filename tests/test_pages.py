@@ -333,3 +333,36 @@ def test_unknown_related_key_fails(spark):
         attribution.related_items(pages, catalog, "id").collect()
     items = attribution.related_items(pages, catalog, "id", strict=False).first()["items"]
     assert [i.title for i in items] == ["A", None]
+
+
+def test_block_after_a_named_one(spark):
+    def person(name):
+        return jsonld.person(ORG, F.lit(name), F.lit("P"), F.lit("d"), F.lit("i"), F.lit("u"), F.array(F.lit("t")))
+
+    html = jsonld.insert_block(jsonld.insert_block(F.lit("<head></head>"), person('A "x"')), person("B"))
+    pages = spark.range(1).select("id", html.alias("html"))
+    new = pages.select("id", jsonld.insert_block_after(F.col("html"), "Person", 'A "x"', person("C $1")).alias("html"))
+    assert [json.loads(b.json)["name"] for b in jsonld.json_blocks(new, ["id"]).orderBy("pos").collect()] == ['A "x"', "C $1", "B"]
+    same = pages.select(jsonld.insert_block_after(F.col("html"), "Person", "Z", person("C")).alias("html"))
+    assert same.first().html == pages.first().html
+
+
+def test_edit_of_the_first_match_with_a_page_value(spark):
+    rule = rw.EditMatches(
+        name="r",
+        pattern=r'<button( aria-current="page")?>',
+        first=True,
+        change=lambda m: F.concat(F.lit("<a"), F.when(F.col("id") == 1, F.lit(" here")).otherwise(F.regexp_extract(m, r"<button([^>]*)>", 1)), F.lit(">")),
+    )
+    pages = corpus(spark, '<button aria-current="page"><button>', "<button><button>", "none")
+    out = rw.rewrite_pages(pages, [rule]).orderBy("id").collect()
+    assert [r.html_new for r in out] == ['<a aria-current="page"><button>', "<a here><button>", "none"]
+    assert [r.ledger[0].status for r in out] == ["updated", "updated", "no_match"]
+
+
+def test_prioritised_class(spark):
+    html = '<img src="a" class="hero" alt="b"><img class="other"><img class="hero" fetchpriority="low">'
+    assert result(spark, html, rw.prioritise_class("hero")) == (
+        '<img src="a" class="hero" alt="b" fetchpriority="high" loading="eager"><img class="other"><img class="hero" fetchpriority="low">',
+        [("updated", 1)],
+    )
