@@ -20,7 +20,7 @@ from sitelode.functions.text import (
     inline_bold,
     quote_pattern,
 )
-from sitelode.operators.ordered import with_neighbours
+from sitelode.operators.ordered import GROUP_LIMIT, with_neighbours
 from sitelode.operators.stages import computed_once
 
 LINE_TEXT = r"[^\n\r\x{2028}\x{2029}]"
@@ -157,7 +157,9 @@ def _line_kinds(body: Column) -> Column:
             .otherwise(is_a("p", line))
         )
 
-    return F.transform(F.split(body, r"\r?\n", -1), parse)
+    # A plain line feed is split on without the pattern engine.
+    lines = F.when(F.contains(body, F.lit("\r\n")), F.split(body, r"\r?\n", -1)).otherwise(F.split(body, "\n", -1))
+    return F.transform(lines, parse)
 
 
 def _edges(lines: Column) -> Column:
@@ -326,12 +328,13 @@ def series_navigation(
     hub_href: str,
     all_title: str,
     chunk: int = 4096,
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Previous and next title and link of every part; both ends lead to the hub.
 
     Needs columns ``title`` and ``href``. Also adds ``position`` and the series length.
     """
-    out = with_neighbours(parts, keys, F.floor(F.col(part) / chunk), [part], ["title", "href"])
+    out = with_neighbours(parts, keys, F.floor(F.col(part) / chunk), [part], ["title", "href"], limit)
     return out.withColumns(
         {
             "prev_label": F.when(F.col("previous").isNull(), "Back to Series").otherwise("Previous Brief"),

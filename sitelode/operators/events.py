@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.text import browser_trim
 from sitelode.functions.urls import is_external, url_path
-from sitelode.operators.ordered import last_known
+from sitelode.operators.ordered import GROUP_LIMIT, last_known
 from sitelode.operators.scoring import email_valid
 from sitelode.schemas import CONSENT_BODY
 
@@ -88,37 +88,46 @@ def subscription_requests(submits: DataFrame) -> DataFrame:
     )
 
 
-def gate_by_consent(events: DataFrame, consents: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def gate_by_consent(
+    events: DataFrame,
+    consents: DataFrame,
+    visits: DataFrame | None = None,
+    bucket_seconds: int = 60,
+    limit: int = GROUP_LIMIT,
+) -> DataFrame:
     """Events whose visitor's latest consent at that time allows analytics.
 
     A consent counts from its own instant on; of two given at one instant the refusal counts. The
-    as-of search is cut into time buckets, so a visitor with a large share of all events is not
-    handled by a single task.
+    history of a visitor with more than ``limit`` rows is cut into time buckets, so no visitor is
+    too much for one task.
+
+    ``visits`` (visitor_id, ts): the raw rows the events came from. Visitors are then counted, and
+    buckets summarised, from those, and the events are not worked out twice.
     """
     payload = [c for c in events.columns if c not in ("visitor_id", "ts")]
-    timeline = events.where(F.col("visitor_id").isNotNull()).select(
+    given = consents.where(F.col("visitor_id").isNotNull()).select(
         "visitor_id",
         "ts",
-        F.lit(2).alias("_kind"),
-        F.lit(None).cast("boolean").alias("_analytics"),
-        F.struct(*payload).alias("_event"),
-    ).unionByName(
-        consents.where(F.col("visitor_id").isNotNull()).select(
-            "visitor_id",
-            "ts",
-            F.when(F.col("analytics"), 0).otherwise(1).alias("_kind"),
-            F.col("analytics").alias("_analytics"),
-        ),
-        allowMissingColumns=True,
+        F.when(F.col("analytics"), 0).otherwise(1).alias("_kind"),
+        F.col("analytics").alias("_analytics"),
     )
+
+    def happened(rows: DataFrame, *more: Column) -> DataFrame:
+        return rows.where(F.col("visitor_id").isNotNull()).select(
+            "visitor_id", "ts", F.lit(2).alias("_kind"), F.lit(None).cast("boolean").alias("_analytics"), *more
+        )
+
+    timeline = happened(events, F.struct(*payload).alias("_event")).unionByName(given, allowMissingColumns=True)
+    brief = None if visits is None else happened(visits).unionByName(given)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     bucket = F.floor(micros / F.lit(bucket_seconds * 1_000_000))
     order = micros * 4 + F.col("_kind")
-    known = last_known(timeline, ["visitor_id"], bucket, order, "_analytics", "_allowed")
+    known = last_known(timeline, ["visitor_id"], bucket, order, "_analytics", "_allowed", brief, limit)
     return known.where((F.col("_kind") == 2) & F.col("_allowed")).select("visitor_id", "ts", "_event.*")
 
 
-def event_job(clicks: DataFrame, submits: DataFrame, consents: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+def event_job(clicks: DataFrame, submits: DataFrame, consents: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """All events of clicks and submits that consent allows."""
     found = classify_clicks(clicks).unionByName(classify_submits(submits))
-    return gate_by_consent(found, consents, bucket_seconds)
+    visits = clicks.select("visitor_id", "ts").unionByName(submits.select("visitor_id", "ts"))
+    return gate_by_consent(found, consents, visits, limit=limit)

@@ -79,8 +79,8 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
         F.substring("text", 1, 30).alias("title"),
         F.concat_ws("-", F.lit("part"), "conv_id", F.concat("turn", F.lit(".html"))).alias("href"),
     )
-    # A short chunk, so that the small tables have neighbours across chunks too.
-    return content.series_navigation(parts, ["conv_id"], "turn", chunk=3, **HUB)
+    # Short chunks of all but the shortest series, so that small tables have neighbours across chunks.
+    return content.series_navigation(parts, ["conv_id"], "turn", chunk=3, limit=4, **HUB)
 
 
 def navigation(spark: SparkSession, folder: str) -> DataFrame:

@@ -182,7 +182,7 @@ gated_all AS (
 
 
 # Line starts that become list and heading marks.
-MARKS = (("A", "-"), ("E", "-"), ("I", "-"), ("O", "-"), ("T", "1."), ("L", "##"), ("R", "###"), ("S", "###"))
+MARKS = (("A", "-"), ("T", "1."), ("L", "##"), ("S", "###"))
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:

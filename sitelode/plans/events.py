@@ -44,12 +44,14 @@ def page_link_clicks(spark: SparkSession, folder: str) -> DataFrame:
 
 def gated_events(spark: SparkSession, folder: str) -> DataFrame:
     allowed = events.normalise_consent(consents(spark, folder))
-    return stamped(events.gate_by_consent(events.classify_clicks(clicks(spark, folder)), allowed))
+    shown = clicks(spark, folder)
+    return stamped(events.gate_by_consent(events.classify_clicks(shown), allowed, visits=shown))
 
 
 def event_totals(spark: SparkSession, folder: str) -> DataFrame:
     allowed = events.normalise_consent(consents(spark, folder))
-    gated = events.event_job(clicks(spark, folder), submits(spark, folder), allowed)
+    # A low limit, so that the busier visitors of small tables are cut into buckets.
+    gated = events.event_job(clicks(spark, folder), submits(spark, folder), allowed, limit=40)
     return gated.groupBy("name", "page_path").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("visitor_id").alias("visitors")
     )

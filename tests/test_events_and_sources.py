@@ -67,8 +67,8 @@ def test_consent_records(spark):
     assert got == [True, False, False, False, False]
 
 
-@pytest.mark.parametrize("bucket", [60, 3600, 10**9])
-def test_gate_is_as_of(spark, bucket):
+@pytest.mark.parametrize("limit,bucket", [(0, 60), (0, 3600), (5, 10**9), (10**6, 60)])
+def test_gate_is_as_of(spark, limit, bucket):
     allowed = consents(spark, ("v", 10, True), ("v", 200, False), ("v", 400, True), ("w", 0, False), ("t", 5, True), ("t", 5, False))
     shown = clicks(
         spark,
@@ -78,8 +78,9 @@ def test_gate_is_as_of(spark, bucket):
         click(None, 5, "mailto:x@y.zz"),
         click("t", 6, "mailto:x@y.zz"),
     )
-    got = events.gate_by_consent(events.classify_clicks(shown), allowed, bucket)
-    assert sorted(int(r.link_text) for r in got.collect()) == [10, 11, 199, 400, 900]
+    for visits in (None, shown):
+        got = events.gate_by_consent(events.classify_clicks(shown), allowed, visits, bucket, limit)
+        assert sorted(int(r.link_text) for r in got.collect()) == [10, 11, 199, 400, 900]
 
 
 def test_submits(spark):

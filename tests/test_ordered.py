@@ -25,16 +25,18 @@ def as_set(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+@pytest.mark.parametrize("limit", [0, 100, 10**6])
 @pytest.mark.parametrize("size,parts", [(1, 1), (50, 16), (100000, 3)])
-def test_last_known_equals_the_plain_window(rows, size, parts):
+def test_last_known_equals_the_plain_window(rows, size, parts, limit):
     w = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     want = rows.withColumn("known", F.last("value", ignorenulls=True).over(w)).select("row", "known")
-    got = last_known(rows.repartition(parts), ["key"], F.floor(F.col("at") / size), F.col("at"), "value", "known")
+    got = last_known(rows.repartition(parts), ["key"], F.floor(F.col("at") / size), F.col("at"), "value", "known", limit=limit)
     assert as_set(got.select("row", "known")) == as_set(want)
 
 
+@pytest.mark.parametrize("limit", [0, 100, 10**6])
 @pytest.mark.parametrize("size", [1, 64, 100000])
-def test_neighbours_equal_the_plain_window(rows, size):
+def test_neighbours_equal_the_plain_window(rows, size, limit):
     w = W.partitionBy("key").orderBy("at")
     want = rows.select(
         "row",
@@ -43,7 +45,7 @@ def test_neighbours_equal_the_plain_window(rows, size):
         F.lag("row").over(w).alias("p"),
         F.lead("row").over(w).alias("n"),
     )
-    got = with_neighbours(rows, ["key"], F.floor(F.col("at") / size), ["at"], ["row"]).select(
+    got = with_neighbours(rows, ["key"], F.floor(F.col("at") / size), ["at"], ["row"], limit).select(
         "row", "position", "group_size", F.col("previous.row").alias("p"), F.col("next.row").alias("n")
     )
     assert as_set(got) == as_set(want)
@@ -69,6 +71,18 @@ def test_hot_key_is_spread_over_tasks(spark, rows):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_a_crowded_group_is_windowed_in_many_tasks(spark, rows):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = last_known(rows, ["key"], F.floor(F.col("at") / 50), F.col("at"), "value", "known", limit=100)
+        tasks = {}
+        for r in out.select("key", "known", F.spark_partition_id().alias("task")).collect():
+            tasks.setdefault(r.key, set()).add(r.task)
+        assert len(tasks["hot"]) > 1 and len(tasks["k1"]) == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_blocks_hold_every_item_in_order(rows):
     numbered = rows.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("at")) - 1)
     blocks = ordered_blocks(numbered, ["key"], F.col("pos"), F.col("at"), size=100).collect()
