@@ -33,7 +33,10 @@ UPDATED, ALREADY, NO_MATCH, UNCHANGED, OUT_OF_SCOPE = "updated", "already", "no_
 
 @dataclass(frozen=True)
 class Edit:
-    """What a rule does to a page: the new text, whether its anchor was there, how many replacements."""
+    """What a rule does to a page: the new text and how many replacements make it.
+
+    ``found`` is a cheap test made first. A page passes unmatched if it fails, or if the count is 0.
+    """
 
     html: Column
     found: Column
@@ -59,13 +62,18 @@ class Rule:
             return F.struct(text.alias("html"), as_col(status).alias("status"), count.cast("int").alias("n_repl"))
 
         none = F.lit(0)
-        applied = bind(
-            edit.html,
-            lambda new: F.when(new.eqNullSafe(html), result(html, UNCHANGED, none)).otherwise(
-                result(new, UPDATED, edit.count)
-            ),
-        )
-        out = F.when(~F.coalesce(edit.found, F.lit(False)), result(html, NO_MATCH, none)).otherwise(applied)
+        unmatched = result(html, NO_MATCH, none)
+
+        def applied(n: Column) -> Column:
+            changed = bind(
+                edit.html,
+                lambda new: F.when(new.eqNullSafe(html), result(html, UNCHANGED, none)).otherwise(
+                    result(new, UPDATED, n)
+                ),
+            )
+            return F.when(n == 0, unmatched).otherwise(changed)
+
+        out = F.when(~F.coalesce(edit.found, F.lit(False)), unmatched).otherwise(bind(edit.count, applied))
         if self.guard is not None:
             out = F.when(F.contains(html, F.lit(self.guard)), result(html, ALREADY, none)).otherwise(out)
         if self.scope is not None:
@@ -116,22 +124,21 @@ class ReplacePattern(Rule):
 
     def edit(self, html: Column) -> Edit:
         hinted = F.contains(html, F.lit(self.hint)) if self.hint else F.lit(True)
+        if self.first:
+            new = F.regexp_replace(html, *_first_match(self.pattern, self.replacement))
+            return Edit(new, hinted & F.rlike(html, F.lit(self.pattern)), F.lit(1))
         if self.outside:
             new = replace_outside(html, self.outside, lambda part: F.regexp_replace(part, self.pattern, self.replacement))
-            # Split once more to count: the replacement may itself match the pattern.
+            # Counted before the replacement is made: that may itself match the pattern.
             count = F.aggregate(
                 F.split(html, self.outside, -1),
                 F.lit(0),
                 lambda n, part: n + F.regexp_count(part, F.lit(self.pattern)),
             )
-        elif self.first:
-            new = F.regexp_replace(html, *_first_match(self.pattern, self.replacement))
-            count = F.lit(1)
         else:
             new = F.regexp_replace(html, self.pattern, self.replacement)
             count = F.regexp_count(html, F.lit(self.pattern))
-        found = hinted & (F.rlike(html, F.lit(self.pattern)) if not self.outside else count > 0)
-        return Edit(new, found, count)
+        return Edit(new, hinted, count)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -170,7 +177,8 @@ class AllOf(Rule):
         def then(part: Rule) -> Callable[[Column], Column]:
             def use(so_far: Column) -> Column:
                 step = part.edit(so_far["html"])
-                return pack(step.html, so_far["found"] & step.found, so_far["count"] + step.count)
+                found = so_far["found"] & step.found & (step.count > 0)
+                return pack(step.html, found, so_far["count"] + step.count)
 
             return use
 
@@ -201,7 +209,7 @@ class ReplaceByKey(Rule):
         known = F.size(
             F.filter(F.regexp_extract_all(html, F.lit(self.pattern), F.lit(0)), lambda m: value(m).isNotNull())
         )
-        return Edit(new, known > 0, known)
+        return Edit(new, F.lit(True), known)
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -230,7 +238,7 @@ class EditMatches(Rule):
                 F.regexp_extract_all(html, F.lit(self.pattern), F.lit(0)), lambda m: ~self.change(m).eqNullSafe(m)
             )
         )
-        return Edit(replace_segments(html, self.pattern, self.change), hinted & (changed > 0), changed)
+        return Edit(replace_segments(html, self.pattern, self.change), hinted, changed)
 
 
 @dataclass(frozen=True, kw_only=True)
