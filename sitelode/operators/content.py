@@ -68,7 +68,9 @@ def front_matter(docs: DataFrame, text: str = "text", dialect: str = "tolerant")
     """Adds ``meta`` and ``body``. Without front matter: an empty map and the whole text."""
     pattern, c = FRONT_MATTER[dialect], F.col(text)
     # Only the head of the document is matched; the body is what follows it.
-    head = F.when(F.startswith(c, F.lit("---")), F.nullif(F.regexp_extract(c, pattern, 0), F.lit("")))
+    head = F.when(
+        F.startswith(c, F.lit("---")), bind(F.regexp_extract(c, pattern, 0), lambda h: F.when(h != "", h))
+    )
     empty = F.create_map().cast("map<string,string>")
 
     def parse(head: Column) -> Column:
@@ -135,7 +137,7 @@ ORDERED_ITEM = rf"^[0-9]+\.{SPACE}+({LINE_TEXT}+)\z"
 
 
 def _line_kinds(body: Column) -> Column:
-    """Array of ``(kind, item)``, one per line."""
+    """Array of ``(kind, item)``, one per line. ``body`` is referred to several times: bind it, or store it."""
 
     def parse(line: Column) -> Column:
         def is_a(kind: str, item: Column) -> Column:
@@ -236,7 +238,10 @@ def render_body(body: Column) -> Column:
         block = F.concat(F.lit("<"), kind, F.lit(">"), text, F.lit("</"), kind, F.lit(">\n"))
         return F.when(kind == "blank", "").when(kind.isin(*LISTS), item).otherwise(block)
 
-    html = bind(_line_kinds(inline_bold(body)), lambda lines: F.array_join(F.transform(_edges(lines), piece), ""))
+    def joined(lines: Column) -> Column:
+        return F.array_join(F.transform(_edges(lines), piece), "")
+
+    html = bind(inline_bold(body), lambda text: bind(_line_kinds(text), joined))
     return F.rtrim(html, F.lit("\n"))
 
 

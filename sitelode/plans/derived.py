@@ -6,7 +6,7 @@ do hold. The SQL twins are common table expressions for the oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.plans.registry import table
@@ -15,6 +15,13 @@ SITE = "site.example"
 SITE_URL = "https://site.example"
 
 
+def minutes_after(day: str, minutes: Column) -> Column:
+    """A local time of day, whatever the session's zone."""
+    zero = F.lit(0)
+    start = F.expr(f"timestamp_ntz'{day} 00:00:00'")
+    return (start + F.make_dt_interval(zero, zero, minutes.cast("int"), zero)).cast("timestamp")
+
+
 def submission_columns(customers: DataFrame) -> DataFrame:
     """One submission per customer; every seventeenth key has a wrong set of answers."""
     answers = F.expr(
@@ -34,7 +41,7 @@ def submission_columns(customers: DataFrame) -> DataFrame:
             "when c_custkey % 11 = 0 then ' u@x.y ' "
             "else concat(' u', c_custkey, '@', lower(c_mktsegment), '.example\\n') end"
         ).alias("email"),
-        F.timestamp_seconds(F.lit(1767225600) + c * 60).alias("submitted_at"),
+        minutes_after("2026-01-01", c).alias("submitted_at"),
         spoiled.alias("answers"),
         F.expr("if(c_custkey % 19 = 0, '', element_at(array('A','B','C','D','E'), cast(c_custkey % 5 + 1 as int)))").alias(
             "q12_governance"

@@ -12,6 +12,7 @@ from sitelode.plans.derived import (
     click_columns,
     consent_columns,
     event_columns,
+    minutes_after,
     submission_columns,
     submit_columns,
     with_sql,
@@ -56,7 +57,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 def updated(spark: SparkSession, folder: str) -> DataFrame:
     """Submissions joined with the updates that came within an hour of them."""
     posts = submission_columns(stream_of(spark, folder, "customer")).select(
-        "idempotency_id", F.timestamp_seconds(F.lit(1704067200) + F.col("idempotency_id").cast("bigint") * 60).alias("submitted_at")
+        "idempotency_id", minutes_after("2024-01-01", F.col("idempotency_id").cast("bigint")).alias("submitted_at")
     )
     updates = stream_of(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("idempotency_id"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -26,34 +26,34 @@ _STATE = T.StructType(
 )
 
 
-def _micros(ts: pd.Series) -> pd.Series:
-    return ts.astype("datetime64[us]").astype("int64")
-
-
-def _release(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Hold each event until the watermark reaches it, then let it through if consent allowed it."""
-    consents: list[tuple[int, bool]] = []
-    waiting: list[tuple[int, str]] = []
-    if state.exists:
-        consent_us, consent_ok, waiting_us, payload = state.get
-        consents = list(zip(consent_us, consent_ok))
-        waiting = list(zip(waiting_us, payload))
-    for pdf in batches:
-        us = _micros(pdf["ts"])
-        is_consent = pdf["payload"].isna()
-        consents += [(int(t), bool(a)) for t, a in zip(us[is_consent], pdf.loc[is_consent, "analytics"])]
-        waiting += [(int(t), p) for t, p in zip(us[~is_consent], pdf.loc[~is_consent, "payload"])]
-
-    line = state.getCurrentWatermarkMs() * 1000
-    due = sorted(w for w in waiting if w[0] <= line)
-    later = [w for w in waiting if w[0] > line]
-    consents.sort(key=lambda c: (c[0], not c[1]))
-    if due:
-        rows = pd.DataFrame(due, columns=["us", "payload"])
-        known = pd.DataFrame(consents, columns=["us", "ok"])
-        if len(known):
+def _releaser() -> Callable:
+    """The state processor, as a closure: it is shipped whole, so executors need not have the package."""
+
+    def micros(ts: pd.Series) -> pd.Series:
+        return ts.astype("datetime64[us]").astype("int64")
+
+    def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Hold each event until the watermark reaches it, then let it through if consent allowed it."""
+        consents: list[tuple[int, bool]] = []
+        waiting: list[tuple[int, str]] = []
+        if state.exists:
+            consent_us, consent_ok, waiting_us, payload = state.get
+            consents = list(zip(consent_us, consent_ok))
+            waiting = list(zip(waiting_us, payload))
+        for pdf in batches:
+            us = micros(pdf["ts"])
+            is_consent = pdf["payload"].isna()
+            consents += [(int(t), bool(a)) for t, a in zip(us[is_consent], pdf.loc[is_consent, "analytics"])]
+            waiting += [(int(t), p) for t, p in zip(us[~is_consent], pdf.loc[~is_consent, "payload"])]
+
+        line = state.getCurrentWatermarkMs() * 1000
+        due = sorted(w for w in waiting if w[0] <= line)
+        later = [w for w in waiting if w[0] > line]
+        # Of two consents at one instant the refusal comes last and counts.
+        consents.sort(key=lambda c: (c[0], not c[1]))
+        if due and consents:
+            rows = pd.DataFrame(due, columns=["us", "payload"])
+            known = pd.DataFrame(consents, columns=["us", "ok"])
             asof = pd.merge_asof(rows, known, on="us", direction="backward").dropna(subset=["ok"])
             passed = asof[asof["ok"].astype(bool)]
             if len(passed):
@@ -64,19 +64,21 @@ def _release(
                         "payload": passed["payload"],
                     }
                 )
-    # Only the last consent at or before the watermark can still matter among the old ones.
-    settled = [c for c in consents if c[0] <= line]
-    consents = settled[-1:] + [c for c in consents if c[0] > line]
-    state.update(
-        (
-            [c[0] for c in consents],
-            [c[1] for c in consents],
-            [w[0] for w in later],
-            [w[1] for w in later],
+        # Only the last consent at or before the watermark can still matter among the old ones.
+        settled = [c for c in consents if c[0] <= line]
+        consents = settled[-1:] + [c for c in consents if c[0] > line]
+        state.update(
+            (
+                [c[0] for c in consents],
+                [c[1] for c in consents],
+                [w[0] for w in later],
+                [w[1] for w in later],
+            )
         )
-    )
-    if later:
-        state.setTimeoutTimestamp(max(min(w[0] for w in later) // 1000, line // 1000) + 1)
+        if later:
+            state.setTimeoutTimestamp(max(min(w[0] for w in later) // 1000, line // 1000) + 1)
+
+    return release
 
 
 def gate_stream(
@@ -106,7 +108,7 @@ def gate_stream(
         timeline.withWatermark("ts", delay)
         .groupBy("visitor_id", "shard")
         .applyInPandasWithState(
-            _release,
+            _releaser(),
             "visitor_id string, ts timestamp, payload string",
             _STATE,
             "append",
