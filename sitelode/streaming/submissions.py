@@ -9,17 +9,22 @@ from sitelode.functions.text import browser_trim
 from sitelode.operators.scoring import submission_payload
 
 
-def deduplicate(submissions: DataFrame, delay: str = "1 hour", salts: int = 16) -> DataFrame:
-    """One record per idempotency key; a key is forgotten once the watermark has passed it.
+def _first_of(rows: DataFrame, keys: list[str], salts: int) -> DataFrame:
+    """One row per key within the watermark.
 
-    A first pass keeps one record per key and salt, so a key posted over and over is thinned out in
-    ``salts`` tasks and at most that many of its records reach the second pass, which decides. The
-    salt need not be the same when a task is repeated: whatever the first pass lets through, the
-    second keeps one.
+    A first pass keeps one row per key and salt, so a key sent over and over is thinned out in
+    ``salts`` tasks and at most that many of its rows reach the second pass, which decides. The salt
+    need not be the same when a task is repeated: whatever the first pass lets through, the second
+    keeps one.
     """
-    marked = submissions.withWatermark("submitted_at", delay).withColumn("_salt", F.spark_partition_id() % salts)
-    thinned = marked.dropDuplicatesWithinWatermark(["idempotency_id", "_salt"])
-    return thinned.drop("_salt").dropDuplicatesWithinWatermark(["idempotency_id"])
+    marked = rows.withColumn("_salt", F.spark_partition_id() % salts)
+    thinned = marked.dropDuplicatesWithinWatermark([*keys, "_salt"])
+    return thinned.drop("_salt").dropDuplicatesWithinWatermark(keys)
+
+
+def deduplicate(submissions: DataFrame, delay: str = "1 hour", salts: int = 16) -> DataFrame:
+    """One record per idempotency key; a key is forgotten once the watermark has passed it."""
+    return _first_of(submissions.withWatermark("submitted_at", delay), ["idempotency_id"], salts)
 
 
 def score_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
@@ -27,19 +32,28 @@ def score_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
     return submission_payload(deduplicate(submissions, delay))
 
 
-def attach_updates(submissions: DataFrame, updates: DataFrame, delay: str = "1 hour", window: str = "1 day") -> DataFrame:
+def attach_updates(
+    submissions: DataFrame,
+    updates: DataFrame,
+    delay: str = "1 hour",
+    window: str = "1 day",
+    drop_repeats: bool = False,
+    salts: int = 16,
+) -> DataFrame:
     """Left outer join of each submission with the updates that arrive up to ``window`` around it.
 
     A submission without one is emitted with a null text when the watermark has passed its window.
+    ``drop_repeats``: an update sent again unchanged counts once, so a key whose update is retried
+    without end does not fill one task of the join.
     """
     text = browser_trim(F.col("pain_point_text"))
     left = submissions.withWatermark("submitted_at", delay).alias("s")
-    right = (
+    filled = (
         updates.where((F.col("update") == "pain_point") & (text != ""))
         .select(F.col("idempotency_id").alias("update_id"), text.alias("pain_point_text"), "received_at")
         .withWatermark("received_at", delay)
-        .alias("u")
     )
+    right = (_first_of(filled, ["update_id", "pain_point_text"], salts) if drop_repeats else filled).alias("u")
     span = F.expr(f"interval {window}")
     matched = (
         (F.col("s.idempotency_id") == F.col("u.update_id"))

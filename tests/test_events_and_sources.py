@@ -127,6 +127,19 @@ def test_streamed_deduplication(spark, tmp_path):
     assert sorted(r.idempotency_id for r in out.collect()) == sorted({r.idempotency_id for r in rows.collect()})
 
 
+def test_streamed_updates_without_repeats(spark, tmp_path):
+    posts = spark.createDataFrame([("a", at(0)), ("b", at(1)), ("c", at(600))], "idempotency_id string, submitted_at timestamp")
+    sent = [("a", " t ", "pain_point", at(2)), ("a", "t", "pain_point", at(3)), ("a", "u", "pain_point", at(4)), ("b", " ", "pain_point", at(5)), ("z", "x", "pain_point", at(601))]
+    updates = spark.createDataFrame(sent, "idempotency_id string, pain_point_text string, update string, received_at timestamp")
+    (tmp_path / "p").mkdir()
+    (tmp_path / "u").mkdir()
+    stream = stream_submissions.attach_updates(
+        feed(spark, tmp_path / "p", [posts]), feed(spark, tmp_path / "u", [updates]), "1 minute", "2 hours", drop_repeats=True
+    )
+    out = spark.read.schema(stream.schema).parquet(stream_events.run_once(stream, work_dir(spark, "updates")))
+    assert sorted(((r.idempotency_id, r.pain_point_text) for r in out.where("idempotency_id <> 'c'").collect()), key=str) == [("a", "t"), ("a", "u"), ("b", None)]
+
+
 @pytest.fixture()
 def site(tmp_path):
     files = {
