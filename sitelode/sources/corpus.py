@@ -48,6 +48,16 @@ def scan_text(
     return files.select(_relative(root).alias("path"), column).where(_outside(F.col("path"), skip))
 
 
+def scan_public_pages(spark: SparkSession, root: str) -> DataFrame:
+    """The pages a visitor can reach."""
+    return scan_text(spark, root, ("html",), PRIVATE_FOLDERS)
+
+
+def scan_referring_text(spark: SparkSession, root: str, column: str = "html") -> DataFrame:
+    """Every text file that may name an asset, scripts included: the wider set used to count references."""
+    return scan_text(spark, root, TEXT_EXTENSIONS, ("node_modules", "assets", "_originals"), column)
+
+
 def scan_inventory(spark: SparkSession, root: str, pattern: str = "*", prefix: str = "/") -> DataFrame:
     """``(path, length)`` of every file. The contents are pruned: only the listing is read."""
     files = (

@@ -162,6 +162,9 @@ def site(tmp_path):
 def test_corpus_scan(spark, site):
     pages = {r.path: r.html for r in corpus.scan_text(spark, site).collect()}
     assert pages == {"index.html": "<p>é</p>", "sub dir/a+b.html": "x\ny"}
+    assert {r.path for r in corpus.scan_public_pages(spark, site).collect()} == {"index.html", "sub dir/a+b.html"}
+    texts = {r.path for r in corpus.scan_referring_text(spark, site).collect()}
+    assert texts == {"index.html", "sub dir/a+b.html", "scripts/no.html", "content/one.md", "notes.txt"}
     docs = corpus.scan_markdown(spark, site).collect()
     assert [(d.slug, d.meta, d.body) for d in docs] == [("one", {"title": "One"}, "Text")]
     urls = corpus.own_page_urls(corpus.scan_text(spark, site, ("txt",), column="text"), ["path"], "own.ex")
