@@ -18,13 +18,25 @@ from sitelode.plans.derived import (
     with_sql,
 )
 from sitelode.plans.events import stamped
-from sitelode.plans.registry import Plan, table
+from sitelode.plans.registry import Plan
 from sitelode.session import work_dir
 from sitelode.streaming import events, submissions
 
 
+def stream_session(spark: SparkSession) -> SparkSession:
+    """A session whose streams keep their state in one partition per core.
+
+    The number is fixed for the life of a checkpoint, and adaptive execution does not change it.
+    """
+    session = spark.newSession()
+    for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
+        session.conf.set(key, spark.conf.get(key))
+    session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    return session
+
+
 def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = table(spark, folder, name).schema
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     # As a pattern the path may be one file as well as a folder of files.
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
@@ -35,14 +47,14 @@ def finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
     """The event job; what the watermark has not reached at the end stays waiting."""
-    source = event_columns(stream_of(spark, folder, "events"))
+    source = event_columns(stream_of(stream_session(spark), folder, "events"))
     allowed = normalise_consent(consent_columns(source)).select("visitor_id", "ts", "analytics")
     stream = events.event_stream(click_columns(source), submit_columns(source), allowed, delay="0 seconds", shards=4)
     return stamped(finished(spark, stream, "gated"))
 
 
 def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    posts = stream_of(spark, folder, "events").select(
+    posts = stream_of(stream_session(spark), folder, "events").select(
         F.concat_ws("-", "user_id", "event_type").alias("idempotency_id"), F.col("ts").cast("timestamp").alias("submitted_at")
     )
     stream = submissions.deduplicate(posts, delay="400 days")
@@ -50,16 +62,17 @@ def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    stream = submissions.score_stream(submission_columns(stream_of(spark, folder, "customer")))
+    stream = submissions.score_stream(submission_columns(stream_of(stream_session(spark), folder, "customer")))
     return finished(spark, stream, "scored").select("idempotency_id", "total_score", "tier_public", "source")
 
 
 def updated(spark: SparkSession, folder: str) -> DataFrame:
     """Submissions joined with the updates that came within an hour of them."""
-    posts = submission_columns(stream_of(spark, folder, "customer")).select(
+    session = stream_session(spark)
+    posts = submission_columns(stream_of(session, folder, "customer")).select(
         "idempotency_id", minutes_after("2024-01-01", F.col("idempotency_id").cast("bigint")).alias("submitted_at")
     )
-    updates = stream_of(spark, folder, "events").select(
+    updates = stream_of(session, folder, "events").select(
         F.col("user_id").cast("string").alias("idempotency_id"),
         F.concat(F.lit(" "), "props").alias("pain_point_text"),
         F.when(F.col("event_type") == "view", "other").otherwise("pain_point").alias("update"),
