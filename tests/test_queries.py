@@ -32,4 +32,4 @@ def test_entry_point():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(entry.queries()) == len(PLANS)
+    assert set(PLANS) <= set(entry.queries())
