@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import packing, simhash
+from sitelode.llm import decontamination, packing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (packing, simhash):
+for _module in (packing, decontamination, simhash):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
