@@ -26,21 +26,59 @@ GROUP_PIECES = 2048
 # Token ids of short words are kept in a task, up to this many words.
 KEPT_WORDS = 400_000
 KEPT_BYTES = 48
+# Neither letters, digits nor white space, and not the apostrophe, which the vocabulary's pattern treats apart.
+MARKS = r""".,;:!?%&$#*|()[]{}-_=+/\"<>@^~`"""
 
 
 class WordTokens:
-    """Token ids of texts, word by word: no token of this vocabulary spans white space, so a word's ids are fixed."""
+    """Token ids of texts, word by word: no token of this vocabulary spans white space, so a word's ids are fixed.
+
+    A word of letters and then marks is encoded as the letters and the marks: the pattern parts them anyway. Many words
+    of letters are encoded as one text; the last token of each carries the vocabulary's end of word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn_plain(self, fresh: list[str]) -> None:
+        """Words of letters only."""
+        for k in range(0, len(fresh), 200):
+            some = fresh[k : k + 200]
+            (raw,) = self.encoded([" ".join(some)])
+            ends = 4 * (np.flatnonzero(self.last[np.frombuffer(raw, "<u4")]) + 1)
+            if len(ends) == len(some):
+                self.plain.update((w, raw[a:b]) for w, a, b in zip(some, [0, *ends.tolist()], ends.tolist(), strict=False))
+            else:
+                self.plain.update(zip(some, self.encoded(some), strict=True))
 
     def learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in fresh], add_special_tokens=False)
-        return {w: np.asarray(x.ids, "<u4").tobytes() for w, x in zip(fresh, found, strict=True)}
+        whole, parted = [], []
+        for raw in fresh:
+            word = raw.decode("utf-8", "replace")
+            letters = word.rstrip(MARKS)
+            if letters.isalpha():
+                parted.append((raw, letters.lower() if letters.isascii() else letters, word[len(letters) :]))
+            else:
+                whole.append((raw, word))
+        out = dict(zip((raw for raw, _ in whole), self.encoded([word for _, word in whole]), strict=True))
+        tails = list({tail for _, _, tail in parted})
+        of_tail = dict(zip(tails, self.encoded(tails), strict=True))
+        if len(self.plain) > KEPT_WORDS:
+            self.plain.clear()
+        self.learn_plain(list({letters for _, letters, _ in parted}.difference(self.plain)))
+        out.update((raw, self.plain[letters] + of_tail[tail]) for raw, letters, tail in parted)
+        return out
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""
