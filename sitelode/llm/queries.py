@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import decontamination, packing, simhash, substrings
+from sitelode.llm import decontamination, langid, packing, simhash, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (packing, substrings, decontamination, simhash):
+for _module in (packing, substrings, decontamination, simhash, langid):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
