@@ -25,8 +25,11 @@ from sitelode.llm.common import blocks, checkpointed, sampled, table
 SHINGLE = 4
 SEED = 42
 RADIUS = 4
-# Fingerprints of a shard, and of the sample that places the boundaries between them.
+# A shard doubles when the fingerprints quadruple: more shards would mean more visits, which grow faster than the input.
+# Distinct fingerprints of a shard where there are as many; of a block of a crowded shard; of the sample that places the
+# boundaries.
 SHARD = 8192
+BLOCK = 65_536
 SAMPLE = 20_000
 MAX_DEPTH = 14
 # Pairs compared at once.
@@ -163,10 +166,10 @@ def components(points: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
     return parent
 
 
-def stars(prints: DataFrame, radius: int, shard: int) -> DataFrame:
+def stars(prints: DataFrame, radius: int, shard: int, block: int) -> DataFrame:
     """``fp, shard, block, root``: the members of every shard's components of two or more; ``prints`` has distinct ``fp``."""
     n = prints.count()
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
+    depth = 0 if n <= shard else min(MAX_DEPTH, 1 + round(np.log2(n / shard) / 2))
     sample = np.array([r[0] for r in sampled(prints.select("fp"), F.xxhash64("fp"), SAMPLE).collect()], np.int64).view(np.uint64)
     tree = Tree(sample, depth, radius)  # at most 2^MAX_DEPTH nodes of 16 bytes
 
@@ -177,7 +180,7 @@ def stars(prints: DataFrame, radius: int, shard: int) -> DataFrame:
 
     # At most 2^depth counts come to the driver. A crowded shard is cut into blocks that are compared with each other.
     sizes = {r["shard"]: r["count"] for r in prints.select("fp").mapInArrow(homes, "shard int").groupBy("shard").count().collect()}
-    parts = np.array([max(1, round(sizes.get(i, 0) / shard)) for i in range(1 << depth)])
+    parts = np.array([max(1, round(sizes.get(i, 0) / block)) for i in range(1 << depth)])
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,19 +231,19 @@ def hashed_prints(documents: DataFrame, id_column: str, text_column: str) -> Dat
     return checkpointed(documents.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("hash"), fingerprint(text).alias("fp")))
 
 
-def component_labels(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def component_labels(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """``fp, label, component_id`` of every distinct fingerprint; ``label`` is one fingerprint of the component."""
     nodes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = smallest_labels(stars(nodes, radius, shard))
+    labels = smallest_labels(stars(nodes, radius, shard, block))
     labelled = nodes.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     named = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     return labelled.select("fp", "label").join(named, "label")
 
 
-def groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+def groups(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     prints = hashed_prints(documents, id_column, text_column)
-    return prints.join(component_labels(prints, radius, shard), "fp").select("doc_id", "fp", "component_id")
+    return prints.join(component_labels(prints, radius, shard, block), "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
