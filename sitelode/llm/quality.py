@@ -221,9 +221,13 @@ def quality(text: Column, model: Additive) -> Column:
     return F.arrow_udf(run, "double")(text.cast("string"))
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, text, label`` of at most ``most`` documents that have a label and aren't held out."""
+def labelled(
+    documents: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int, only: int | None = None, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``doc_id, text, label`` of at most ``most`` ids that have a label (``only`` this one) and aren't held out."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    if only is not None:
+        marks = marks.where(F.col("label") == only)
     ids = documents.where(~held_out).select(F.col(id_column).alias("doc_id")).distinct().join(marks, "doc_id")
     chosen = sampled(ids.withColumn("order", F.xxhash64("doc_id")), F.col("order"), most).select("doc_id", "label")
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
