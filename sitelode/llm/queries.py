@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitelode.llm import decontamination, langid, packing, quality, secrets, simhash, substrings, topk, toxicity
+from sitelode.llm import decontamination, langid, packing, quality, secrets, simhash, substrings, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-for _module in (packing, topk, substrings, secrets, decontamination, toxicity, simhash, quality, langid):
+for _module in (warc, packing, topk, substrings, secrets, decontamination, toxicity, simhash, quality, langid):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)
