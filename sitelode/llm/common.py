@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the shared checkpoint folder of the session, and read from there from now on."""
-    context = rows.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of the session; a local one of our own only where a local session names none."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="sitelode-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder below the shared one."""
+    return f"{checkpoint_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the shared checkpoint folder of the session, and read from there from now on."""
+    checkpoint_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

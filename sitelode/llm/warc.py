@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import checkpointed, table
+from sitelode.llm.common import checkpointed, shared_folder, table
 
 # Payloads of fewer bytes are never revisits.
 LEAST = 1000
@@ -41,12 +41,6 @@ ARC_END, WARC_END = b"\n", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def folder_of(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared one."""
-    checkpointed(spark.range(0))  # names the shared folder if nothing else has
-    return f"{spark.sparkContext.getCheckpointDir()}/{label}-{uuid.uuid4().hex}"
-
-
 def written(records: DataFrame, folder: str, end: bytes) -> str:
     """Binary ``record``s, each followed by ``end``, as gzip files; Spark's text writer leaves bytes as they are."""
     records.select(F.col("record").cast("string")).write.option("lineSep", end.decode()).option("compression", "gzip").text(folder)
@@ -299,8 +293,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
-    arcs = arc_archives(table(spark, folder, "pages"), folder_of(spark, "arc"))
-    return read_warc(spark, converted(spark, arcs, folder_of(spark, "warc")))
+    arcs = arc_archives(table(spark, folder, "pages"), shared_folder(spark, "arc"))
+    return read_warc(spark, converted(spark, arcs, shared_folder(spark, "warc")))
 
 
 QUERIES = {"op1_warc": op1_warc}
