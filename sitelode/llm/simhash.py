@@ -258,7 +258,8 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     counted = checkpointed(rows.alias("a").join(kept.alias("b"), same, "left_semi").select(F.struct("doc_id", "hash").alias("key"), "count"))
 
     def among(keys: DataFrame) -> DataFrame:
-        matches = F.col("key.doc_id").eqNullSafe(documents[id_column]) & (F.col("key.hash") == F.xxhash64(documents[text_column]))
+        key = keys["key"]
+        matches = key["doc_id"].eqNullSafe(documents[id_column]) & (key["hash"] == F.xxhash64(documents[text_column]))
         return documents.join(keys, matches, "left_semi")
 
     repeated = among(counted.where("count > 1"))

@@ -189,7 +189,7 @@ class Network:
         for k, d in enumerate("fb"):
             on, into = w[f"on_{d}"], w[f"in_{d}"]
             d_on, d_entered = np.zeros_like(on), np.zeros((len(inputs), 3 * HIDDEN), np.float32)
-            d_h = np.zeros((at.shape[1], HIDDEN), np.float32)
+            d_h, d_bias = np.zeros((at.shape[1], HIDDEN), np.float32), np.zeros(3 * HIDDEN, np.float32)
             for t, before, z, r, new, g in reversed(keep[d]):
                 d_h = d_h + d_both[t, :, k * HIDDEN : (k + 1) * HIDDEN]
                 d_new = d_h * (1 - z) * (1 - new * new)
@@ -197,11 +197,12 @@ class Network:
                 d_r = d_new * g * r * (1 - r)
                 d_x = np.concatenate([d_z, d_r, d_new], axis=1)
                 d_g = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                d_entered[at[t]] = d_x  # a word is in one window of a batch, and padding is left out below
+                d_entered[at[t]] = d_x  # a word is in one window of a batch, and padding enters as zeros
+                d_bias += d_x.sum(axis=0)
                 d_on += before.T @ d_g
                 d_h = d_h * z + d_g @ on.T
             d_entered[-1] = 0
-            out[f"on_{d}"], out[f"in_{d}"], out[f"bias_{d}"] = d_on, inputs.T @ d_entered, d_entered.sum(axis=0)
+            out[f"on_{d}"], out[f"in_{d}"], out[f"bias_{d}"] = d_on, inputs.T @ d_entered, d_bias
             d_inputs += d_entered @ into.T
         for name in ("words", "stems", "chars"):
             out[name] = np.zeros_like(w[name])
