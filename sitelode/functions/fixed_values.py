@@ -160,3 +160,10 @@ GOALS = (
     ("D", "redesigning how a team or business operates"),
     ("E", None),
 )
+
+# The sentence around tier and goal.
+GOAL_SENTENCE = (
+    "You’re currently an <b>",
+    "</b>, and your next goal is <b>",
+    "</b>. That’s exactly the right kind of gap to work on.",
+)

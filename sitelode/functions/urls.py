@@ -10,7 +10,8 @@ from sitelode.functions.text import bind, browser_trim
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 
 # References that are never resolved against the page.
-SPECIAL_REF = r"^(https?:|mailto:|tel:|#|/)"
+FOREIGN = r"https?:|mailto:|tel:|data:|javascript:"
+SPECIAL_REF = rf"^({FOREIGN}|#|/)"
 
 
 def url_scheme(url: Column) -> Column:

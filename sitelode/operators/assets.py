@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +27,6 @@ TARGET_RULES = (
 )
 TARGET_DEFAULT = (250, 1920, "general")
 
-# A file name has at most this many bytes on any common file system.
-MAX_NAME = 255
-
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -82,35 +81,37 @@ def audit_summary(references: DataFrame, inventory: DataFrame, folder: str = "/a
     )
 
 
-def name_counts(pages: DataFrame, extension: str = ".png", html: str = "html") -> DataFrame:
-    """How often each possible file name ending in ``extension`` occurs in the corpus.
+def name_counts(pages: DataFrame, lengths: Sequence[int], extension: str = ".png", html: str = "html") -> DataFrame:
+    """How often each possible file name of one of these lengths ending in ``extension`` occurs in the corpus.
 
-    A name counts wherever it occurs, also as the end of a longer name. The text before every
-    extension is cut at the last slash (a name holds none) and at the longest name possible, and
-    equal pieces are counted before their endings are listed, so the corpus is read once and each
-    distinct piece is expanded once.
+    A name counts wherever it occurs, also as the end of a longer name. The text before every extension is cut at the
+    last slash (a name holds none) and at the longest length, and equal pieces are counted before their endings are
+    listed, so the corpus is read once and each distinct piece is expanded once.
     """
     ending = "(?i)" + quote_pattern(extension)
     parts = F.split(F.col(html), ending, -1)
     found = F.regexp_extract_all(F.col(html), F.lit(ending), F.lit(0))
+    longest = max([0, *lengths])
     piece = F.zip_with(
         F.slice(parts, F.lit(1), F.size(parts) - 1),
         found,
-        lambda before, ext: F.concat(F.substring_index(F.right(before, F.lit(MAX_NAME)), "/", -1), ext),
+        lambda before, ext: F.concat(F.substring_index(F.right(before, F.lit(longest)), "/", -1), ext),
     )
     counted = pages.select(F.explode(piece).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    shortest = len(extension) + 1
-    endings = F.transform(
-        F.sequence(F.lit(shortest), F.length("piece")), lambda length: F.right(F.col("piece"), length)
-    )
-    named = counted.where(F.length("piece") >= shortest).select(F.explode(endings).alias("basename"), "n")
+    possible = F.filter(F.array(*map(F.lit, sorted(lengths))).cast("array<int>"), lambda n: n <= F.length("piece"))
+    named = counted.select(F.explode(F.transform(possible, lambda n: F.right(F.col("piece"), n))).alias("basename"), "n")
     return named.groupBy("basename").agg(F.sum("n").alias("refs"))
 
 
 def reference_counts(inventory: DataFrame, pages: DataFrame, extension: str = ".png", html: str = "html") -> DataFrame:
-    """Every file of the inventory with its number of occurrences; 0 marks an orphan."""
+    """Every file of the inventory with its number of occurrences; 0 marks an orphan.
+
+    Only names as long as one in the inventory are looked for. The lengths that occur come to the driver: no more of
+    them than the longest name has characters.
+    """
     files = inventory.where(F.endswith(F.lower("path"), F.lit(extension))).withColumn("basename", basename(F.col("path")))
-    counts = name_counts(pages, extension, html)
+    lengths = [r[0] for r in files.select(F.length("basename")).distinct().collect()]
+    counts = name_counts(pages, lengths, extension, html)
     return files.join(counts, "basename", "left").withColumn("refs", F.coalesce("refs", F.lit(0).cast("bigint")))
 
 

@@ -20,7 +20,7 @@ from sitelode.functions.text import (
     inline_bold,
     quote_pattern,
 )
-from sitelode.operators.ordered import GROUP_LIMIT, with_neighbours
+from sitelode.operators.ordered import with_neighbours
 from sitelode.operators.stages import computed_once
 
 LINE_TEXT = r"[^\n\r\x{2028}\x{2029}]"
@@ -332,20 +332,21 @@ def series_navigation(
     hub_title: str,
     hub_href: str,
     all_title: str,
+    labels: tuple[str, str, str],
     chunk: int = 4096,
-    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Previous and next title and link of every part; both ends lead to the hub.
 
-    Needs columns ``title`` and ``href``. Also adds ``position`` and the series length.
+    ``labels``: of the link to the hub, the previous and the next part. Needs columns ``title`` and ``href``. Also adds ``position`` and the series length.
     """
-    out = with_neighbours(parts, keys, F.floor(F.col(part) / chunk), [part], ["title", "href"], limit)
+    hub, before, after = labels
+    out = with_neighbours(parts, keys, F.floor(F.col(part) / chunk), [part], ["title", "href"])
     return out.withColumns(
         {
-            "prev_label": F.when(F.col("previous").isNull(), "Back to Series").otherwise("Previous Brief"),
+            "prev_label": F.when(F.col("previous").isNull(), hub).otherwise(before),
             "prev_title": F.coalesce(F.col("previous.title"), F.lit(hub_title)),
             "prev_href": F.coalesce(F.col("previous.href"), F.lit(hub_href)),
-            "next_label": F.when(F.col("next").isNull(), "Back to Series").otherwise("Next Brief"),
+            "next_label": F.when(F.col("next").isNull(), hub).otherwise(after),
             "next_title": F.coalesce(F.col("next.title"), F.lit(all_title)),
             "next_href": F.coalesce(F.col("next.href"), F.lit(hub_href)),
         }

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.text import browser_trim
 from sitelode.functions.urls import is_external, url_path
-from sitelode.operators.ordered import GROUP_LIMIT, last_known
 from sitelode.operators.scoring import email_valid
+from sitelode.operators.stages import checkpointed
 from sitelode.schemas import CONSENT_BODY
 
 MAX_LINK_TEXT = 100
@@ -25,13 +25,18 @@ def cta_location(section_id: Column) -> Column:
 
 
 def normalise_consent(consents: DataFrame) -> DataFrame:
-    """``necessary`` is always true, ``analytics`` only when the record says so; unreadable JSON is no consent."""
-    body = F.from_json("raw", CONSENT_BODY)
+    """``necessary`` is always true, ``analytics`` where the record holds a value that counts as true.
+
+    As in a browser that is any value but false, zero, an empty text and null; a text that says false or zero counts as
+    false, too. Unreadable JSON is no consent.
+    """
+    said = F.from_json("raw", CONSENT_BODY)["analytics"]
+    given = ~F.rlike(said, F.lit(r"^(false|-?0+(\.0*)?([eE].*)?|)\z"))
     return consents.select(
         "visitor_id",
         "ts",
         F.lit(True).alias("necessary"),
-        F.coalesce(body["analytics"], F.lit(False)).alias("analytics"),
+        F.coalesce(given, F.lit(False)).alias("analytics"),
         F.col("ts").alias("updated_at"),
     )
 
@@ -88,46 +93,64 @@ def subscription_requests(submits: DataFrame) -> DataFrame:
     )
 
 
-def gate_by_consent(
-    events: DataFrame,
-    consents: DataFrame,
-    visits: DataFrame | None = None,
-    bucket_seconds: int = 60,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Events whose visitor's latest consent at that time allows analytics.
+DAY_MICROS = 86_400_000_000
+
+
+def consent_days(consents: DataFrame) -> DataFrame:
+    """``visitor_id, day, changes, closing``: a visitor's consents of a day in order of time, and the last of them.
 
-    A consent counts from its own instant on; of two given at one instant the refusal counts. The
-    history of a visitor with more than ``limit`` rows is cut into time buckets, so no visitor is
-    too much for one task.
+    Of two consents at one instant the refusal counts. Equal instants are merged before the shuffle.
+    """
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    given = consents.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id", at.alias("at")).agg(F.min("analytics").alias("ok"))
+    day = F.floor(F.col("at") / DAY_MICROS).alias("day")
+    changes = F.sort_array(F.collect_list(F.struct("at", "ok")))
+    return given.groupBy("visitor_id", day).agg(changes.alias("changes"), F.max_by("ok", "at").alias("closing"))
+
+
+def gate_by_consent(events: DataFrame, consents: DataFrame) -> DataFrame:
+    """Events whose visitor's latest consent at that time allows analytics.
 
-    ``visits`` (visitor_id, ts): the raw rows the events came from. Visitors are then counted, and
-    buckets summarised, from those, and the events are not worked out twice.
+    A consent counts from its own instant on. Consents are few beside events, so they are gathered: the changes of a
+    visitor's day, and the state at the end of each day that has any. An event looks for the last change before it in
+    its own day, else for the last day before. The events are read once and meet the consents in joins by visitor,
+    which adaptive execution splits where one visitor holds much, even if all within a minute. Nothing is windowed.
     """
-    payload = [c for c in events.columns if c not in ("visitor_id", "ts")]
-    given = consents.where(F.col("visitor_id").isNotNull()).select(
+    # Written once, as both lookups come from it.
+    days = checkpointed(consent_days(consents))
+    ended = F.sort_array(F.collect_list(F.struct("day", "closing")))
+    history = days.groupBy("visitor_id").agg(ended.alias("_ended"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    placed = events.withColumns({"_at": at, "_day": F.floor(at / DAY_MICROS)})
+    own = days.select("visitor_id", F.col("day").alias("_day"), F.col("changes").alias("_changes"))
+    met = placed.join(history, "visitor_id").join(own, ["visitor_id", "_day"], "left")
+    today = F.try_element_at(F.filter("_changes", lambda c: c["at"] <= F.col("_at")), F.lit(-1))["ok"]
+    before = F.try_element_at(F.filter("_ended", lambda d: d["day"] < F.col("_day")), F.lit(-1))["closing"]
+    return met.where(F.coalesce(today, before, F.lit(False))).select(*events.columns)
+
+
+def classify(interactions: DataFrame) -> DataFrame:
+    """Events of clicks and submits in one table, as ``classify_clicks`` and ``classify_submits`` find them in two.
+
+    A submit has a value in ``is_subscribe_form``, a click has none.
+    """
+    submit = F.col("is_subscribe_form").isNotNull()
+    is_link = F.coalesce(F.col("is_link"), F.lit(False))
+    href = F.coalesce(F.col("href"), F.lit(""))
+    clicked = F.array(F.when(is_link, link_kind(href, F.col("page_url"))), F.when(F.col("is_primary"), "cta_click"))
+    names = F.when(submit, F.array(F.when(F.col("is_subscribe_form"), F.lit("subscribe_submit")))).otherwise(clicked)
+    return interactions.select("*", F.explode(F.array_compact(names)).alias("name")).select(
         "visitor_id",
         "ts",
-        F.when(F.col("analytics"), 0).otherwise(1).alias("_kind"),
-        F.col("analytics").alias("_analytics"),
+        "name",
+        F.when(~submit & is_link, href).alias("link_url"),
+        F.when(~submit, link_text(F.col("link_text"))).alias("link_text"),
+        url_path(F.col("page_url")).alias("page_path"),
+        "page_title",
+        F.when(F.col("name") == "cta_click", cta_location(F.col("section_id"))).alias("cta_location"),
     )
 
-    def happened(rows: DataFrame, *more: Column) -> DataFrame:
-        return rows.where(F.col("visitor_id").isNotNull()).select(
-            "visitor_id", "ts", F.lit(2).alias("_kind"), F.lit(None).cast("boolean").alias("_analytics"), *more
-        )
-
-    timeline = happened(events, F.struct(*payload).alias("_event")).unionByName(given, allowMissingColumns=True)
-    brief = None if visits is None else happened(visits).unionByName(given)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    bucket = F.floor(micros / F.lit(bucket_seconds * 1_000_000))
-    order = micros * 4 + F.col("_kind")
-    known = last_known(timeline, ["visitor_id"], bucket, order, "_analytics", "_allowed", brief, limit)
-    return known.where((F.col("_kind") == 2) & F.col("_allowed")).select("visitor_id", "ts", "_event.*")
-
 
-def event_job(clicks: DataFrame, submits: DataFrame, consents: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def event_job(interactions: DataFrame, consents: DataFrame) -> DataFrame:
     """All events of clicks and submits that consent allows."""
-    found = classify_clicks(clicks).unionByName(classify_submits(submits))
-    visits = clicks.select("visitor_id", "ts").unionByName(submits.select("visitor_id", "ts"))
-    return gate_by_consent(found, consents, visits, limit=limit)
+    return gate_by_consent(classify(interactions), consents)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.text import FAQ_ENTITIES, as_col, decode_entities, first_filled, quote_pattern, replace_first
 from sitelode.operators.content import quoted_replacement
-from sitelode.operators.ordered import ordered_blocks
+from sitelode.operators.ordered import ordered_items
 
 SCHEMA_ORG = "https://schema.org"
 OPEN_TAG = '<script type="application/ld+json">'
@@ -116,25 +116,31 @@ def faq_page(questions: Column, entities: tuple[tuple[str, str], ...] = FAQ_ENTI
     return _root("FAQPage", mainEntity=F.transform(questions, entry))
 
 
-def faq_blocks(rows: DataFrame, keys: Sequence[str], position: Column, size: int = 1000) -> DataFrame:
-    """FAQ blocks from a long table with columns ``q`` and ``a``: ``keys, block, json``.
-
-    A page of normal length gets one block. One with more than ``size`` questions gets several, so
-    no group is gathered whole.
-    """
-    grouped = ordered_blocks(rows, keys, position, F.struct("q", "a"), size)
-    return grouped.select(*keys, "block", faq_page(F.col("items")).alias("json"))
+def faq_blocks(rows: DataFrame, keys: Sequence[str], position: Column) -> DataFrame:
+    """One FAQ block per page from a long table with columns ``q`` and ``a``: ``keys, json``."""
+    grouped = ordered_items(rows, keys, position, F.struct("q", "a"))
+    return grouped.select(*keys, faq_page(F.col("items")).alias("json"))
 
 
-def service(organization: Organization, service_type: str, name: Column, audience: Column, description: Column, output: Column, url: Column) -> Column:
+def service(
+    organization: Organization,
+    service_type: str,
+    name: Column,
+    audience: Column,
+    audience_type: Column,
+    description: Column,
+    output: Column,
+    url: Column,
+    area: str,
+) -> Column:
     return _root(
         "Service",
         serviceType=service_type,
         name=F.concat(F.lit(organization.name + " for "), name),
         provider=organization.full(),
-        areaServed="United States",
+        areaServed=area,
         audience=_node(
-            "BusinessAudience", name=audience, audienceType=F.concat(F.lit("Mid-Market Operators in "), name)
+            "BusinessAudience", name=audience, audienceType=audience_type
         ),
         description=description,
         serviceOutput=output,

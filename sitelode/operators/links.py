@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitelode.functions.text import bind, js_json, quote_pattern, replace_segments
-from sitelode.functions.urls import clean_url, resolve_ref
+from sitelode.functions.urls import FOREIGN, clean_url, resolve_ref
 
 LINK = r'(href|src)="([^"#?]*)([#?][^"]*)?"'
 RELATIVE_LINK = r'(href|src)="([^"#?:][^"#?]*)([#?][^"]*)?"'
@@ -71,7 +71,7 @@ def _rewrite_link(match: Column, page_path: Column) -> Column:
         ref, frag = link["ref"], link["frag"]
         is_page = F.endswith(ref, F.lit(".html")) & ~F.contains(ref, F.lit(":"))
         rooted = F.startswith(ref, F.lit("/"))
-        special = F.contains(ref, F.lit(":")) & F.rlike(ref, F.lit(r"^(https?:|mailto:|tel:|data:|javascript:)"))
+        special = F.contains(ref, F.lit(":")) & F.rlike(ref, F.lit(rf"^({FOREIGN})"))
         target = (
             F.when(F.startswith(ref, F.lit("//")) | special, F.lit(None).cast("string"))
             .when(is_page & rooted, clean_url(ref, frag))

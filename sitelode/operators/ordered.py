@@ -1,10 +1,8 @@
 """Ordered work inside groups of any size.
 
-A plain window puts a whole group into one task. Groups of up to ``limit`` rows are windowed that
-way here too, with a single shuffle. A larger group is cut into chunks along its order (a time
-bucket, a block of positions): the chunks are windowed on their own, and only one summary row per
-chunk is windowed across the group. A group holding a third of all rows is so spread over as many
-tasks as it has chunks, and the result equals the plain window's.
+A plain window puts a whole group into one task. Here a group is cut into chunks along its order: the rows of a chunk
+are windowed on their own, and only one summary row per chunk is windowed across the group. A group holding a third of
+all rows is so spread over as many tasks as it has chunks, and the result equals the plain window's.
 """
 
 from __future__ import annotations
@@ -17,138 +15,52 @@ from pyspark.sql import functions as F
 
 Names = Sequence[str]
 
-# Rows one task windows without trouble.
-GROUP_LIMIT = 2_000_000
 
-
-def crowded_groups(rows: DataFrame, keys: Names, limit: int) -> DataFrame:
-    """Keys of the groups with more than ``limit`` rows, to be broadcast.
-
-    There are at most ``row count / limit`` of them, so a table of 10^12 rows has at most half a
-    million, some megabytes. Counts are merged before the shuffle.
-    """
-    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return F.broadcast(counted.where(F.col("_rows") > limit).select(*keys, F.lit(True).alias("_crowded")))
-
-
-def _cut(rows: DataFrame, crowded: DataFrame, keys: Names, chunk: Column) -> DataFrame:
-    """Adds ``_chunk``: the chunk in a crowded group, null in any other."""
-    marked = rows.join(crowded, list(keys), "left")
-    return marked.withColumn("_chunk", F.when(F.col("_crowded"), chunk)).drop("_crowded")
-
-
-def _join_chunks(rows: DataFrame, frame: DataFrame, keys: Names) -> DataFrame:
-    """Left join on keys and chunk. Rows of groups that are whole have a null chunk and find nothing.
-
-    Hashing the short summaries, one per chunk of a crowded group, spares the rows a sort: the
-    window that follows sorts them once, on the same partitioning.
-    """
-    return rows.join(frame.hint("shuffle_hash"), [*keys, "_chunk"], "left")
-
-
-def last_known(
-    rows: DataFrame,
-    keys: Names,
-    chunk: Column,
-    order: Column,
-    value: str,
-    out: str,
-    summarised: DataFrame | None = None,
-    limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """The last non-null ``value`` at or before each row, in ``order``, within ``keys``.
-
-    ``chunk`` must not decrease along ``order``. A numeric order keeps the summary a hash aggregate.
-    ``summarised``: rows to count and summarise where that is cheaper than ``rows``; it must hold
-    all rows with a value, and at least one row of every chunk.
-    """
-    brief = rows if summarised is None else summarised
-    crowded = crowded_groups(brief, keys, limit)
-    when_known = F.when(F.col(value).isNotNull(), order)
-    closing = (
-        brief.join(crowded, list(keys))
-        .withColumn("_chunk", chunk)
-        .groupBy(*keys, "_chunk")
-        .agg(F.max_by(value, when_known).alias("_closing"))
-    )
-    before = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    carried = closing.select(*keys, "_chunk", F.last("_closing", ignorenulls=True).over(before).alias("_carried"))
-    inside = W.partitionBy(*keys, "_chunk").orderBy("_order").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return (
-        _join_chunks(_cut(rows.withColumn("_order", order), crowded, keys, chunk), carried, keys)
-        .withColumn(out, F.coalesce(F.last(value, ignorenulls=True).over(inside), F.col("_carried")))
-        .drop("_chunk", "_order", "_carried")
-    )
-
-
-def with_neighbours(
-    rows: DataFrame, keys: Names, chunk: Column, order: Names, carry: Names, limit: int = GROUP_LIMIT
-) -> DataFrame:
+def with_neighbours(rows: DataFrame, keys: Names, chunk: Column, order: Names, carry: Names) -> DataFrame:
     """Adds position (1..n), group size, and the previous and next row's ``carry`` columns as structs.
 
-    ``order`` must tell the rows of a group apart.
+    ``order`` must tell the rows of a group apart, and ``chunk`` must not decrease along it. Rows of a null key are a
+    group too.
     """
-    crowded = crowded_groups(rows, keys, limit)
-    carried = F.struct(*carry)
-    summary = (
-        rows.join(crowded, list(keys))
-        .withColumn("_chunk", chunk)
-        .groupBy(*keys, "_chunk")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.min_by(carried, F.struct(*order)).alias("_first"),
-            F.max_by(carried, F.struct(*order)).alias("_last"),
-        )
+    cut = rows.withColumns({"_chunk": chunk, "_carry": F.struct(*carry)})
+    summary = cut.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.min_by("_carry", F.struct(*order)).alias("_first"),
+        F.max_by("_carry", F.struct(*order)).alias("_last"),
     )
     along = W.partitionBy(*keys).orderBy("_chunk")
     frame = summary.select(
-        *keys,
-        "_chunk",
+        *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+        F.col("_chunk").alias("_of"),
         F.sum("_rows").over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_offset"),
         F.sum("_rows").over(W.partitionBy(*keys)).alias("_size"),
         F.lag("_last").over(along).alias("_prev"),
         F.lead("_first").over(along).alias("_next"),
     )
-    whole = W.partitionBy(*keys, "_chunk")
-    inside = whole.orderBy(*order)
+    same = F.col("_chunk").eqNullSafe(F.col("_of"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    inside = W.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        _join_chunks(_cut(rows.withColumn("_carry", carried), crowded, keys, chunk), frame, keys)
+        cut.join(frame, same)
         .withColumns(
             {
                 "position": F.coalesce("_offset", F.lit(0)) + F.row_number().over(inside),
-                "group_size": F.coalesce("_size", F.count(F.lit(1)).over(whole)),
+                "group_size": F.col("_size"),
                 "previous": F.coalesce(F.lag("_carry").over(inside), F.col("_prev")),
                 "next": F.coalesce(F.lead("_carry").over(inside), F.col("_next")),
             }
         )
-        .drop("_chunk", "_carry", "_offset", "_size", "_prev", "_next")
+        .select(*rows.columns, "position", "group_size", "previous", "next")
     )
 
 
-def spread_lookup(
-    rows: DataFrame, table: DataFrame, key: str, spread_by: Names, how: str = "left", salts: int = 16
-) -> DataFrame:
-    """Join rows to a table with one row per key, safe when one key holds a large share of the rows.
-
-    The rows get a salt from ``spread_by`` and the table is repeated once per salt, so a hot key is
-    split over ``salts`` tasks. The salt is a hash, not a random number: a recomputed task makes the
-    same one. Catalyst still broadcasts the table where its measured size allows.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
-
-
-def ordered_blocks(rows: DataFrame, keys: Names, position: Column, item: Column, size: int = 1000) -> DataFrame:
-    """Ordered items per group, in blocks of at most ``size`` positions: ``keys, block, items``.
-
-    A group of normal length gives one block. A longer one gives several rather than one unbounded
-    row; together the blocks hold every item. ``position`` counts from 0.
-    """
-    block = F.floor(position / F.lit(size)).cast("int")
+def ordered_items(rows: DataFrame, keys: Names, position: Column, item: Column) -> DataFrame:
+    """One row per group with its items in order: ``keys, items``. A group is what one page or record holds."""
+    placed = F.struct(position.alias("pos"), item.alias("item"))
     return (
-        rows.select(*keys, block.alias("block"), F.struct(position.alias("pos"), item.alias("item")).alias("_it"))
-        .groupBy(*keys, "block")
+        rows.select(*keys, placed.alias("_it"))
+        .groupBy(*keys)
         .agg(F.sort_array(F.collect_list("_it")).alias("_items"))
-        .select(*keys, "block", F.transform("_items", lambda x: x["item"]).alias("items"))
+        .select(*keys, F.transform("_items", lambda x: x["item"]).alias("items"))
     )

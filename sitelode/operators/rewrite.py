@@ -25,7 +25,6 @@ from sitelode.functions.text import (
     replace_outside,
     replace_segments,
 )
-from sitelode.operators.ordered import spread_lookup
 from sitelode.operators.stages import computed_once
 
 UPDATED, ALREADY, NO_MATCH, UNCHANGED, OUT_OF_SCOPE = "updated", "already", "no_match", "unchanged", "out_of_scope"
@@ -455,7 +454,7 @@ def enrich_images(
         F.col(key), F.explode(F.array_distinct(F.transform(tags, source))).alias("_src")
     )
     known = (
-        spread_lookup(pairs, sizes.select(F.col("path").alias("_src"), "width", "height"), "_src", [key], how="inner")
+        pairs.join(sizes.select(F.col("path").alias("_src"), "width", "height"), "_src")
         .groupBy(key)
         .agg(
             F.map_from_entries(

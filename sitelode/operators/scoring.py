@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitelode.functions.fixed_values import MAX_ANSWER, N_QUESTIONS, QUESTIONS, QUIZ_VERSION, TIERS
+from sitelode.functions.fixed_values import GOAL_SENTENCE, MAX_ANSWER, N_QUESTIONS, QUESTIONS, QUIZ_VERSION, TIERS
 from sitelode.functions.text import BROWSER_SPACE, browser_trim
 from sitelode.functions.urls import acquisition_source
 from sitelode.sources import dimensions
@@ -126,10 +126,14 @@ def submission_payload(submissions: DataFrame) -> DataFrame:
 
 
 def completeness(submissions: DataFrame) -> DataFrame:
-    """Answered count, open question indexes and the first open one, over all fourteen questions."""
-    a = F.col("answers")
+    """Answered count, open question indexes and the first open one, over all fourteen questions.
+
+    Each answer has its place, so a short or null array leaves the places behind it open.
+    """
+    places = F.sequence(F.lit(0), F.lit(N_QUESTIONS - 1))
+    answers = F.transform(places, lambda i: F.get("answers", i).cast("string"))
     letters = F.array(*[F.nullif(F.col(c), F.lit("")) for c in ("q12_governance", "personal_use", "next_goal")])
-    slots = F.concat(F.transform(a, lambda x: x.cast("string")), letters)
+    slots = F.concat(answers, letters)
     open_idx = F.filter(
         F.transform(slots, lambda x, i: F.when(x.isNull(), i)), lambda i: i.isNotNull()
     )
@@ -169,11 +173,11 @@ def goal_reflection(scored: DataFrame) -> DataFrame:
     """Sentence naming tier and next goal; null where the goal has no phrase."""
     phrases = dimensions.goals(scored.sparkSession).withColumnRenamed("letter", "next_goal")
     sentence = F.concat(
-        F.lit("You’re currently an <b>"),
+        F.lit(GOAL_SENTENCE[0]),
         F.col("tier_public"),
-        F.lit("</b>, and your next goal is <b>"),
+        F.lit(GOAL_SENTENCE[1]),
         F.col("phrase"),
-        F.lit("</b>. That’s exactly the right kind of gap to work on."),
+        F.lit(GOAL_SENTENCE[2]),
     )
     return scored.join(F.broadcast(phrases), "next_goal", "left").withColumn("reflection", sentence)
 

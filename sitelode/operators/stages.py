@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """``rows`` written to the session's shared checkpoint folder, and read from there by all that follows.
+
+    Without ``spark.checkpoint.dir`` (or a folder set on the context) Spark refuses.
+    """
+    return rows.checkpoint()
+
+
 def computed_once(rows: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     """Adds (or replaces) dear columns so that they are computed once per row.
 

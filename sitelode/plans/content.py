@@ -76,11 +76,11 @@ def series(spark: SparkSession, folder: str) -> DataFrame:
     parts = table(spark, folder, "conversations").select(
         "conv_id",
         "turn",
-        F.substring("text", 1, 30).alias("title"),
+        F.col("text").alias("title"),
         F.concat_ws("-", F.lit("part"), "conv_id", F.concat("turn", F.lit(".html"))).alias("href"),
     )
-    # Short chunks of all but the shortest series, so that small tables have neighbours across chunks.
-    return content.series_navigation(parts, ["conv_id"], "turn", chunk=3, limit=4, **HUB)
+    # Short chunks, so that small tables have neighbours across chunks.
+    return content.series_navigation(parts, ["conv_id"], "turn", labels=("Series", "Before", "After"), chunk=3, **HUB)
 
 
 def navigation(spark: SparkSession, folder: str) -> DataFrame:
@@ -104,8 +104,9 @@ def prerendered(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with the rendered document of the same number as their article; some were done before."""
     marked = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<article>"), F.lit("<article><!--PRERENDERED-->")))
     pages = table(spark, folder, "pages").select("page_id", F.coalesce(marked, "html").alias("html"))
-    bodies = parsed(spark, folder).where(F.col("lang") != "es").select(
-        F.col("doc_id").alias("page_id"), content.render_body(F.col("body")).alias("rendered")
+    # Every other page has no document.
+    bodies = parsed(spark, folder).select(
+        (F.col("doc_id") * 2).alias("page_id"), content.render_body(F.col("body")).alias("rendered")
     )
     return content.prerender(pages, bodies, "page_id", tag="article").select("page_id", "status", "html_new")
 
@@ -151,7 +152,7 @@ html AS (
 ESCAPE = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"
 
 _SERIES = """
-w AS (SELECT conv_id, turn, substr(text, 1, 30) AS title, 'part-' || conv_id || '-' || turn || '.html' AS href FROM conversations),
+w AS (SELECT conv_id, turn, text AS title, 'part-' || conv_id || '-' || turn || '.html' AS href FROM conversations),
 nav AS (SELECT conv_id, turn, title,
   lag(title) OVER o AS pt, lag(href) OVER o AS ph, lead(title) OVER o AS nt, lead(href) OVER o AS nh,
   row_number() OVER o AS pos, count(*) OVER (PARTITION BY conv_id) AS n
@@ -215,10 +216,10 @@ PLANS = {
         with_sql(
             _SERIES,
             select="""SELECT conv_id, turn,
-              CASE WHEN pos = 1 THEN 'Back to Series' ELSE 'Previous Brief' END AS prev_label,
+              CASE WHEN pos = 1 THEN 'Series' ELSE 'Before' END AS prev_label,
               CASE WHEN pos = 1 THEN 'All conversations' ELSE pt END AS prev_title,
               CASE WHEN pos = 1 THEN 'series.html' ELSE ph END AS prev_href,
-              CASE WHEN pos = n THEN 'Back to Series' ELSE 'Next Brief' END AS next_label,
+              CASE WHEN pos = n THEN 'Series' ELSE 'After' END AS next_label,
               CASE WHEN pos = n THEN 'Explore the Full Series' ELSE nt END AS next_title,
               CASE WHEN pos = n THEN 'series.html' ELSE nh END AS next_href FROM nav""",
         ),
@@ -240,13 +241,13 @@ PLANS = {
             MARKDOWN_SQL,
             LINES_SQL,
             """pg AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(html, '<article>', '<article><!--PRERENDERED-->') ELSE html END AS html FROM pages),
-            ren AS (SELECT doc_id, coalesce(html, '') AS body FROM docs LEFT JOIN html USING (doc_id) WHERE lang <> 'es')""",
+            ren AS (SELECT doc_id, coalesce(html, '') AS body FROM docs LEFT JOIN html USING (doc_id))""",
             select="""SELECT page_id,
               CASE WHEN page_id % 5 = 0 THEN 'already' WHEN body IS NULL THEN 'no_body' ELSE 'updated' END AS status,
               CASE WHEN page_id % 5 = 0 OR body IS NULL THEN pg.html
                 ELSE substr(pg.html, 1, strpos(pg.html, '<article>') + 8) || chr(10) || '<!--PRERENDERED-->' || chr(10) || body || chr(10)
                   || substr(pg.html, strpos(pg.html, '</article>')) END AS html_new
-              FROM pg LEFT JOIN ren ON doc_id = page_id""",
+              FROM pg LEFT JOIN ren ON doc_id * 2 = page_id""",
         ),
     ),
     "facet_counts": Plan(

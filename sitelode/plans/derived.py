@@ -98,21 +98,24 @@ def event_columns(events: DataFrame) -> DataFrame:
     )
 
 
+# What a click holds, from its kind and number.
+CLICK_TEXTS = {
+    "href": "case k % 6 when 0 then 'mailto:team@site.example' when 1 then concat('https://partner.example/p', k) "
+    "when 2 then concat('/local/', k) when 3 then 'https://SITE.example/x' when 4 then '//cdn.example:8080/y' else '' end",
+    "link_text": "concat('  \\nRead  more ', k, repeat('xy', k), '\\t ')",
+    "is_link": "event_type = 'click'",
+    "is_primary": "value > 10",
+    "section_id": "case k % 3 when 0 then 'hero' when 1 then '' end",
+}
+
+
 def click_columns(events: DataFrame) -> DataFrame:
     """Clicks of every kind: mail, foreign host, own host, no link at all."""
     k = F.col("k")
     return events.where(F.col("event_type").isin("click", "error")).select(
         "visitor_id",
         "ts",
-        F.expr(
-            "case k % 6 when 0 then 'mailto:team@site.example' when 1 then concat('https://partner.example/p', k) "
-            "when 2 then concat('/local/', k) when 3 then 'https://SITE.example/x' "
-            "when 4 then '//cdn.example:8080/y' else '' end"
-        ).alias("href"),
-        F.concat(F.lit("  \nRead  more "), k, F.repeat(F.lit("xy"), k), F.lit("\t ")).alias("link_text"),
-        (F.col("event_type") == "click").alias("is_link"),
-        (F.col("value") > 10).alias("is_primary"),
-        F.expr("case k % 3 when 0 then 'hero' when 1 then '' end").alias("section_id"),
+        *[F.expr(text).alias(name) for name, text in CLICK_TEXTS.items()],
         F.concat(F.lit(SITE_URL + "/p/"), k % 10, F.lit("?a=1")).alias("page_url"),
         F.concat(F.lit("P"), k % 10).alias("page_title"),
     )
@@ -143,6 +146,21 @@ def submit_columns(events: DataFrame) -> DataFrame:
     )
 
 
+def interaction_columns(events: DataFrame) -> DataFrame:
+    """Clicks and submits in one table, from one pass over the events."""
+    k, submit = F.col("k"), F.col("event_type") == "purchase"
+    shown = events.where(F.col("event_type").isin("click", "error", "purchase"))
+    page = F.concat(F.lit(SITE_URL + "/p/"), k % 10)
+    return shown.select(
+        "visitor_id",
+        "ts",
+        *[F.when(~submit, F.expr(text)).alias(name) for name, text in CLICK_TEXTS.items()],
+        F.when(submit, k % 2 == 0).alias("is_subscribe_form"),
+        F.when(submit, page).otherwise(F.concat(page, F.lit("?a=1"))).alias("page_url"),
+        F.concat(F.lit("P"), k % 10).alias("page_title"),
+    )
+
+
 def clicks(spark: SparkSession, folder: str) -> DataFrame:
     return click_columns(event_columns(table(spark, folder, "events")))
 
@@ -155,6 +173,10 @@ def submits(spark: SparkSession, folder: str) -> DataFrame:
     return submit_columns(event_columns(table(spark, folder, "events")))
 
 
+def interactions(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction_columns(event_columns(table(spark, folder, "events")))
+
+
 EVENTS_SQL = r"""
 ev AS (SELECT event_id, CAST(user_id AS VARCHAR) AS visitor_id, ts, event_type, value,
          CAST(regexp_extract(props, '(\d+)', 1) AS INTEGER) AS k FROM events),
@@ -282,12 +304,12 @@ image_pages AS (
 
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Assets on disk: one per second navigation link in use, and one no page refers to per host."""
+    """Assets on disk: most of the names that links use, by a hash of the name, and one no page refers to per host."""
     pages = table(spark, folder, "pages")
     linked = pages.select(
-        F.concat(F.lit("/assets/"), F.get(F.regexp_extract_all("html", F.lit('href="/([^"]*)"')), 1), F.lit(".png")).alias("path"),
+        F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'))).alias("name"),
         F.length("html").cast("bigint").alias("size"),
-    )
+    ).where(F.left(F.md5("name"), F.lit(1)) < "b").select(F.concat(F.lit("/assets/"), "name", F.lit(".png")).alias("path"), "size")
     spare = pages.select(
         F.concat(F.lit("/assets/insights/"), F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit("-card.png")).alias("path"),
         F.length("html").cast("bigint").alias("size"),
@@ -307,7 +329,8 @@ inventory AS (
   SELECT path, max(size) * 170 AS length, CAST(max(size) * 170 % 1900 + 1 AS INTEGER) AS width,
     CAST(max(size) * 170 % 1000 + 1 AS INTEGER) AS height
   FROM (
-    SELECT '/assets/' || regexp_extract_all(html, 'href="/([^"]*)"', 1)[2] || '.png' AS path, length(html) AS size FROM pages
+    SELECT '/assets/' || name || '.png' AS path, size
+      FROM (SELECT unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS name, length(html) AS size FROM pages) WHERE left(md5(name), 1) < 'b'
     UNION ALL
     SELECT '/assets/insights/' || regexp_extract(url, '^https?://([^/?#]+)', 1) || '-card.png', length(html) FROM pages)
   WHERE path IS NOT NULL GROUP BY path)

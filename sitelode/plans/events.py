@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.operators import events
-from sitelode.plans.derived import EVENTS_SQL, clicks, consents, submits, with_sql
+from sitelode.plans.derived import EVENTS_SQL, clicks, consents, interactions, submits, with_sql
 from sitelode.plans.registry import Plan, table
 
 MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -44,14 +44,12 @@ def page_link_clicks(spark: SparkSession, folder: str) -> DataFrame:
 
 def gated_events(spark: SparkSession, folder: str) -> DataFrame:
     allowed = events.normalise_consent(consents(spark, folder))
-    shown = clicks(spark, folder)
-    return stamped(events.gate_by_consent(events.classify_clicks(shown), allowed, visits=shown))
+    return stamped(events.gate_by_consent(events.classify_clicks(clicks(spark, folder)), allowed))
 
 
 def event_totals(spark: SparkSession, folder: str) -> DataFrame:
     allowed = events.normalise_consent(consents(spark, folder))
-    # A low limit, so that the busier visitors of small tables are cut into buckets.
-    gated = events.event_job(clicks(spark, folder), submits(spark, folder), allowed, limit=40)
+    gated = events.event_job(interactions(spark, folder), allowed)
     return gated.groupBy("name", "page_path").agg(
         F.count(F.lit(1)).alias("n"), F.countDistinct("visitor_id").alias("visitors")
     )

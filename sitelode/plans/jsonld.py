@@ -84,18 +84,12 @@ def articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def faq(spark: SparkSession, folder: str) -> DataFrame:
-    """Questions and answers of each conversation, in blocks of two to exercise the split."""
-    turns = table(spark, folder, "conversations")
-    text = F.concat("text", F.lit(" &mdash; &amp;rsquo; &rsquo;s"))
-    pairs = (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / 2).alias("pair"))
-        .agg(
-            F.max(F.when(F.col("role") == "user", text)).alias("q"),
-            F.max(F.when(F.col("role") == "assistant", text)).alias("a"),
-        )
-        .where(F.col("q").isNotNull() & F.col("a").isNotNull())
-    )
-    return jsonld.faq_blocks(pairs, ["conv_id"], F.col("pair"), size=2)
+    """What a user says is a question, the next turn its answer, if there is one."""
+    turns = table(spark, folder, "conversations").withColumn("said", F.concat("text", F.lit(" &mdash; &amp;rsquo; &rsquo;s")))
+    answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("said").alias("a"))
+    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("said").alias("q"))
+    pairs = asked.join(answers, ["conv_id", "turn"], "left").withColumn("a", F.coalesce("a", F.lit("")))
+    return jsonld.faq_blocks(pairs, ["conv_id"], F.col("turn"))
 
 
 def faq_upserts(spark: SparkSession, folder: str) -> DataFrame:
@@ -115,9 +109,11 @@ def services(spark: SparkSession, folder: str) -> DataFrame:
             "Advisory",
             name,
             F.col("c_name"),
+            F.concat(F.lit("Teams in "), name),
             F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("For "), name)),
             F.lit("Plan"),
             F.concat(F.lit(SITE_URL + "/"), F.lower(name)),
+            area="Everywhere",
         ).alias("json"),
     )
 
@@ -216,14 +212,12 @@ PLANS = {
     "faq_blocks": Plan(
         faq,
         r"""
-        WITH p AS (SELECT conv_id, turn // 2 AS pair, max(text) FILTER (role = 'user') AS q, max(text) FILTER (role = 'assistant') AS a
-          FROM conversations GROUP BY 1, 2),
-        j AS (SELECT conv_id, pair, '{"@type":"Question","name":' || CAST(to_json(q || ' — &rsquo; ’s') AS VARCHAR)
-          || ',"acceptedAnswer":{"@type":"Answer","text":' || CAST(to_json(a || ' — &rsquo; ’s') AS VARCHAR) || '}}' AS e
-          FROM p WHERE q IS NOT NULL AND a IS NOT NULL)
-        SELECT conv_id, CAST(pair // 2 AS INTEGER) AS block,
-          '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg(e, ',' ORDER BY pair) || ']}' AS json
-        FROM j GROUP BY conv_id, pair // 2""",
+        WITH t AS (SELECT conv_id, turn, role, text || ' — &rsquo; ’s' AS said FROM conversations),
+        j AS (SELECT q.conv_id, q.turn, '{"@type":"Question","name":' || CAST(to_json(q.said) AS VARCHAR)
+          || ',"acceptedAnswer":{"@type":"Answer","text":' || CAST(to_json(coalesce(a.said, '')) AS VARCHAR) || '}}' AS e
+          FROM t q LEFT JOIN t a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user')
+        SELECT conv_id, '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg(e, ',' ORDER BY turn) || ']}' AS json
+        FROM j GROUP BY conv_id""",
     ),
     "faq_upserts": Plan(
         faq_upserts,
@@ -240,8 +234,8 @@ PLANS = {
     "service_blocks": Plan(
         services,
         f"""SELECT c_custkey, '{{"@context":"https://schema.org","@type":"Service","serviceType":"Advisory","name":"Example Co for ' || c_mktsegment
-          || '","provider":{_ORG},"areaServed":"United States","audience":{{"@type":"BusinessAudience","name":"' || c_name
-          || '","audienceType":"Mid-Market Operators in ' || c_mktsegment || '"}},' || CASE WHEN c_custkey % 2 = 0 THEN '"description":"For ' || c_mktsegment || '",' ELSE '' END
+          || '","provider":{_ORG},"areaServed":"Everywhere","audience":{{"@type":"BusinessAudience","name":"' || c_name
+          || '","audienceType":"Teams in ' || c_mktsegment || '"}},' || CASE WHEN c_custkey % 2 = 0 THEN '"description":"For ' || c_mktsegment || '",' ELSE '' END
           || '"serviceOutput":"Plan","url":"https://site.example/' || lower(c_mktsegment) || '"}}' AS json FROM customer""",
     ),
     "person_blocks": Plan(

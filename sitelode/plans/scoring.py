@@ -52,7 +52,7 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def completeness(spark: SparkSession, folder: str) -> DataFrame:
     out = scoring.completeness(submissions(spark, folder))
-    return out.where(F.size("answers") == 11).select(
+    return out.select(
         "idempotency_id",
         F.col("answered"),
         F.array_join(F.transform("unanswered", lambda i: i.cast("string")), ",").alias("unanswered"),
@@ -157,9 +157,9 @@ PLANS = {
             select="""
             SELECT idempotency_id,
               CAST(14 - (c % 17 = 0)::INT - (c % 19 = 0)::INT AS INTEGER) AS answered,
-              concat_ws(',', CASE WHEN c % 17 = 0 THEN '5' END, CASE WHEN c % 19 = 0 THEN '11' END) AS unanswered,
-              CASE WHEN c % 17 = 0 THEN 5 WHEN c % 19 = 0 THEN 11 END AS first_missing
-            FROM submissions_all WHERE c % 34 <> 0""",
+              concat_ws(',', CASE WHEN c % 34 = 0 THEN '10' WHEN c % 17 = 0 THEN '5' END, CASE WHEN c % 19 = 0 THEN '11' END) AS unanswered,
+              CASE WHEN c % 34 = 0 THEN 10 WHEN c % 17 = 0 THEN 5 WHEN c % 19 = 0 THEN 11 END AS first_missing
+            FROM submissions_all""",
         ),
     ),
     "submissions_payload": Plan(

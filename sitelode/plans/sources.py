@@ -52,11 +52,6 @@ def url_log(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """The files of the data folder itself."""
-    return corpus.scan_inventory(spark, folder, "*.parquet")
-
-
 PLANS = {
     "sitemap_entries": Plan(
         sitemap,
@@ -78,5 +73,4 @@ PLANS = {
     "url_log": Plan(
         url_log, with_sql(SITE_PAGES_SQL, select="SELECT path || ' -> ' || replace(path, '.html', '/') AS value FROM site")
     ),
-    "file_inventory": Plan(file_inventory),
 }

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +11,8 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 # AQE coalesces small shuffle partitions and splits skewed join partitions; the session zone is
 # pinned because event times are stored without one.
 RECOMMENDED_CONF = {
+    # State beyond an executor's heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -26,6 +26,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     settings = {
         **RECOMMENDED_CONF,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        # Small files are still read by all cores.
+        "spark.sql.files.maxPartitionBytes": "4m",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "8g",
         "spark.driver.bindAddress": "127.0.0.1",
@@ -39,20 +41,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
     return spark
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="sitelode-")
-
-
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the shared folder the session names, for written tables and checkpoints.
-
-    Only a local master may fall back to a temporary folder: on a cluster the executors would not
-    see it.
-    """
+    """A new folder below the shared folder the session names, for written tables and stream checkpoints."""
     base = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
-        base = _local_folder()
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -122,7 +122,7 @@ def test_prerender_keeps_the_tag_and_runs_once(spark):
 
 def test_series(spark):
     parts = spark.createDataFrame([("s", i, f"T{i}", f"{i}.html") for i in (1, 2, 5)], "key string, part int, title string, href string")
-    out = content.series_cards(content.series_navigation(parts, ["key"], "part", "Hub", "hub.html", "All", chunk=2, limit=0))
+    out = content.series_cards(content.series_navigation(parts, ["key"], "part", "Hub", "hub.html", "All", labels=("Back to Series", "Previous Brief", "Next Brief"), chunk=2))
     got = [tuple(r) for r in out.orderBy("part").select("prev_label", "prev_title", "next_title", "next_href", "card").collect()]
     assert got == [
         ("Back to Series", "Hub", "T2", "2.html", "Part 1 of 3"),

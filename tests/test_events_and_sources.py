@@ -67,8 +67,7 @@ def test_consent_records(spark):
     assert got == [True, False, False, False, False]
 
 
-@pytest.mark.parametrize("limit,bucket", [(0, 60), (0, 3600), (5, 10**9), (10**6, 60)])
-def test_gate_is_as_of(spark, limit, bucket):
+def test_gate_is_as_of(spark):
     allowed = consents(spark, ("v", 10, True), ("v", 200, False), ("v", 400, True), ("w", 0, False), ("t", 5, True), ("t", 5, False))
     shown = clicks(
         spark,
@@ -78,9 +77,17 @@ def test_gate_is_as_of(spark, limit, bucket):
         click(None, 5, "mailto:x@y.zz"),
         click("t", 6, "mailto:x@y.zz"),
     )
-    for visits in (None, shown):
-        got = events.gate_by_consent(events.classify_clicks(shown), allowed, visits, bucket, limit)
-        assert sorted(int(r.link_text) for r in got.collect()) == [10, 11, 199, 400, 900]
+    got = events.gate_by_consent(events.classify_clicks(shown), allowed)
+    assert sorted(int(r.link_text) for r in got.collect()) == [10, 11, 199, 400, 900]
+
+
+def test_gate_over_days_and_a_busy_visitor(spark):
+    day = 24 * 60
+    allowed = consents(spark, ("v", 5, True), ("v", 3 * day, False), ("v", 3 * day + 2, True), ("v", 9 * day, False))
+    shown = clicks(spark, *[click("v", m, "mailto:x@y.zz", text=str(m)) for m in (4, 6, day, 3 * day - 1, 3 * day + 1, 3 * day + 3, 8 * day, 10 * day)])
+    got = events.gate_by_consent(events.classify_clicks(shown), allowed)
+    assert sorted(int(r.link_text) for r in got.collect()) == sorted([6, day, 3 * day - 1, 3 * day + 3, 8 * day])
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_submits(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sitelode.operators.ordered import last_known, ordered_blocks, spread_lookup, with_neighbours
+from sitelode.operators.ordered import ordered_items, with_neighbours
 from sitelode.operators.stages import computed_once
 
 
@@ -25,18 +25,8 @@ def as_set(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("limit", [0, 100, 10**6])
-@pytest.mark.parametrize("size,parts", [(1, 1), (50, 16), (100000, 3)])
-def test_last_known_equals_the_plain_window(rows, size, parts, limit):
-    w = W.partitionBy("key").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
-    want = rows.withColumn("known", F.last("value", ignorenulls=True).over(w)).select("row", "known")
-    got = last_known(rows.repartition(parts), ["key"], F.floor(F.col("at") / size), F.col("at"), "value", "known", limit=limit)
-    assert as_set(got.select("row", "known")) == as_set(want)
-
-
-@pytest.mark.parametrize("limit", [0, 100, 10**6])
 @pytest.mark.parametrize("size", [1, 64, 100000])
-def test_neighbours_equal_the_plain_window(rows, size, limit):
+def test_neighbours_equal_the_plain_window(rows, size):
     w = W.partitionBy("key").orderBy("at")
     want = rows.select(
         "row",
@@ -45,50 +35,26 @@ def test_neighbours_equal_the_plain_window(rows, size, limit):
         F.lag("row").over(w).alias("p"),
         F.lead("row").over(w).alias("n"),
     )
-    got = with_neighbours(rows, ["key"], F.floor(F.col("at") / size), ["at"], ["row"], limit).select(
+    got = with_neighbours(rows, ["key"], F.floor(F.col("at") / size), ["at"], ["row"]).select(
         "row", "position", "group_size", F.col("previous.row").alias("p"), F.col("next.row").alias("n")
     )
     assert as_set(got) == as_set(want)
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_spread_lookup_equals_the_plain_join(spark, rows, how):
-    table = rows.select("key").distinct().where("key <> 'k1'").withColumn("name", F.upper("key"))
-    want = rows.join(table, "key", how).select("row", "name")
-    got = spread_lookup(rows, table, "key", ["row"], how, salts=5).select("row", "name")
-    assert as_set(got) == as_set(want)
-
-
-def test_hot_key_is_spread_over_tasks(spark, rows):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        table = rows.select("key").distinct().withColumn("name", F.upper("key"))
-        joined = spread_lookup(rows, table, "key", ["row"], salts=16).where("key = 'hot'")
-        assert joined.select(F.spark_partition_id()).distinct().count() > 1
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_a_crowded_group_is_windowed_in_many_tasks(spark, rows):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = last_known(rows, ["key"], F.floor(F.col("at") / 50), F.col("at"), "value", "known", limit=100)
-        tasks = {}
-        for r in out.select("key", "known", F.spark_partition_id().alias("task")).collect():
-            tasks.setdefault(r.key, set()).add(r.task)
-        assert len(tasks["hot"]) > 1 and len(tasks["k1"]) == 1
+        out = with_neighbours(rows, ["key"], F.floor(F.col("at") / 50), ["at"], ["row"])
+        tasks = {r[0] for r in out.where("key = 'hot'").select(F.spark_partition_id()).collect()}
+        assert len(tasks) > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
-def test_blocks_hold_every_item_in_order(rows):
+def test_items_are_whole_and_in_order(rows):
     numbered = rows.withColumn("pos", F.row_number().over(W.partitionBy("key").orderBy("at")) - 1)
-    blocks = ordered_blocks(numbered, ["key"], F.col("pos"), F.col("at"), size=100).collect()
-    assert max(len(b["items"]) for b in blocks) == 100
-    hot = [x for b in sorted((b for b in blocks if b.key == "hot"), key=lambda b: b.block) for x in b["items"]]
-    assert len(hot) == 1000 and hot == sorted(hot)
+    held = {r.key: r["items"] for r in ordered_items(numbered, ["key"], F.col("pos"), F.col("at")).collect()}
+    assert len(held["hot"]) == 1000 and held["hot"] == sorted(held["hot"])
 
 
 def test_a_later_filter_does_not_repeat_the_computation(spark):

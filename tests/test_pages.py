@@ -318,12 +318,14 @@ def test_path_date_is_the_first_hash_byte(spark):
 
 
 def test_byline_markup(spark):
+    from sitelode.plans.attribution import MARKUP
+
     row = spark.createDataFrame([("A",)], "a string").select(
-        attribution.byline(F.col("a"), F.make_date(F.lit(2026), F.lit(5), F.lit(9))).alias("dated"),
-        attribution.byline(F.col("a"), F.lit(None).cast("date")).alias("plain"),
+        attribution.byline(F.col("a"), F.make_date(F.lit(2026), F.lit(5), F.lit(9)), MARKUP).alias("dated"),
+        attribution.byline(F.col("a"), F.lit(None).cast("date"), MARKUP).alias("plain"),
     ).first()
-    assert row.plain == '<p class="insight-article-byline">By A</p>'
-    assert row.dated.endswith('<span class="insight-article-byline__date">May 9, 2026</span></p>')
+    assert row.plain == '<p class="by-line">By A</p>'
+    assert row.dated.endswith('<span class="by-line-date">May 9, 2026</span></p>')
 
 
 def test_unknown_related_key_fails(spark):
@@ -366,3 +368,21 @@ def test_prioritised_class(spark):
         '<img src="a" class="hero" alt="b" fetchpriority="high" loading="eager"><img class="other"><img class="hero" fetchpriority="low">',
         [("updated", 1)],
     )
+
+
+def test_a_long_name_is_counted(spark):
+    name = "n" * 300 + ".png"
+    files = spark.createDataFrame([(f"/assets/{name}", 1)], "path string, length bigint")
+    assert assets.reference_counts(files, corpus(spark, f"'/assets/{name}'")).first().refs == 1
+
+
+def test_one_faq_block_however_many_questions(spark):
+    rows = spark.range(1001).select(F.lit("p").alias("path"), F.col("id").alias("pos"), F.lit("q").alias("q"), F.col("id").cast("string").alias("a"))
+    (block,) = jsonld.faq_blocks(rows, ["path"], F.col("pos")).collect()
+    assert block.json.count('"Question"') == 1001
+
+
+def test_scripts_and_data_are_not_resolved(spark):
+    pages = corpus(spark, '<a href="javascript:void(0)"><img src="data:image/png;base64,AA=="><a href="x.html">')
+    found = links.link_table(pages, [], F.lit("/a/b.html"))
+    assert [r.resolved for r in found.orderBy("pos").collect()] == [None, None, "/a/x.html"]
