@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import LOWER, blocks, byte_table, fold, mixed, runs, table, word_hashes, words
+from sitelode.llm.common import LOWER, blocks, byte_table, fold, runs, table, word_hashes, words
 from sitelode.llm.quality import labelled
 
 # Labelled texts learned from, at most, toxic ones and others, and the windows of all of them that are looked at in
@@ -222,6 +222,14 @@ class Network:
             out[k : k + BATCH] = self.run(entered, *places(some, first[k : k + BATCH], text[k : k + BATCH]))
         return out
 
+    def logits_apart(self, some: Read, first: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """The same for windows far apart; only their own words are put in, some windows at a time."""
+        out = np.empty(len(first), np.float32)
+        for k in range(0, len(first), BATCH):
+            piece = narrowed(some, first[k : k + BATCH], text[k : k + BATCH])
+            out[k : k + BATCH] = self.logits(piece, piece.firsts[:-1], np.arange(len(piece.firsts) - 1))
+        return out
+
 
 def places(some: Read, first: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of each window, step by window, and which are no padding."""
@@ -234,12 +242,17 @@ def greatest(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.maximum.reduceat(values, np.searchsorted(text, np.arange(n))) if n else values
 
 
-def choose(hashes: np.ndarray, text: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that stand out in toxic texts or in others, and how much likelier each is in a toxic one (log odds)."""
-    hashes = hashes.astype(np.uint64)
-    once = np.unique(mixed(hashes ^ mixed(text.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-    found, number, count = np.unique(hashes[once], return_inverse=True, return_counts=True)
-    bad = np.bincount(number, label[text[once]], len(found))
+def once_a_text(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's different values, and the text of each; a text at a time, as that takes little memory."""
+    found = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return np.concatenate(found).astype(np.uint64), np.repeat(np.arange(len(found)), [len(f) for f in found])
+
+
+def choose(values: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values that stand out in toxic texts or in others, and how much likelier each is in a toxic one (log odds)."""
+    hashes, text = once_a_text(values, bounds)
+    found, number, count = np.unique(hashes, return_inverse=True, return_counts=True)
+    bad = np.bincount(number, label[text], len(found))
     total, share = label.sum(), label.mean()
     odds = np.log((bad + 0.5) / (total + 1)) - np.log((count - bad + 0.5) / (len(label) - total + 1))
     off = np.abs(bad - count * share) / np.sqrt(count * share * (1 - share))
@@ -256,13 +269,13 @@ def train(texts: list[str], label: np.ndarray, seed: int = 11) -> Network | floa
         return float(label.mean()) if len(label) else 0.0
     rng = np.random.default_rng(seed)
     raw = [t.encode() for t in texts]
-    some = read(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-    text_of = np.repeat(np.arange(len(label)), np.diff(some.firsts))
-    lengths = some.ends - some.starts
-    letters = np.repeat(some.starts, lengths) + runs(lengths)
-    known, word_odds = choose(some.hashes, text_of, label)
-    stems, stem_odds = choose(some.stems, text_of, label)
-    chars, _ = choose(some.groups[letters], np.repeat(text_of, lengths), label)
+    bounds = np.cumsum([0, *map(len, raw)])
+    some = read(np.frombuffer(b"".join(raw), np.uint8), bounds)
+    del raw
+    known, word_odds = choose(some.hashes, some.firsts, label)
+    stems, stem_odds = choose(some.stems, some.firsts, label)
+    # The groups of a text's bytes; those between words are no word's.
+    chars, _ = choose(some.groups, bounds, label)
     net = Network.fresh(known, stems, rng)
     # Rows of other character groups stay zero.
     held = np.zeros((1 << CHAR_BITS, 1), np.float32)
@@ -302,7 +315,7 @@ def train(texts: list[str], label: np.ndarray, seed: int = 11) -> Network | floa
                 square += 0.001 * (slope * slope - square)
                 rate = RATE * (1 - 0.9 * turn / ROUNDS)
                 net.w[name] -= rate * (mean / (1 - 0.9**beat)) / (np.sqrt(square / (1 - 0.999**beat)) + 1e-7)
-        score = net.logits(some, first, text)
+        score = net.logits_apart(some, first, text)
     return net
 
 
