@@ -197,12 +197,19 @@ def first_submissions(submissions: DataFrame, order: tuple[str, ...] = ("submitt
     )
 
 
+def latest_updates(updates: DataFrame) -> DataFrame:
+    """``idempotency_id, pain_point_text, received_at``: the latest non-blank partial update of each key."""
+    text = browser_trim(F.col("pain_point_text"))
+    filled = updates.where((F.col("update") == "pain_point") & (text != ""))
+    latest = filled.groupBy("idempotency_id").agg(F.max(F.struct("received_at", text.alias("text"))).alias("u"))
+    return latest.select("idempotency_id", F.col("u.text").alias("pain_point_text"), "u.received_at")
+
+
 def attach_pain_points(submissions: DataFrame, updates: DataFrame) -> DataFrame:
     """Left join of the latest non-blank partial update to its submission."""
-    text = browser_trim(F.col("pain_point_text"))
-    latest = (
-        updates.where((F.col("update") == "pain_point") & (text != ""))
-        .groupBy("idempotency_id")
-        .agg(F.max_by(text, F.struct("received_at", text)).alias("pain_point_text"))
-    )
-    return submissions.join(latest, "idempotency_id", "left")
+    return submissions.join(latest_updates(updates).drop("received_at"), "idempotency_id", "left")
+
+
+def unmatched_updates(submissions: DataFrame, updates: DataFrame) -> DataFrame:
+    """The latest update of each key that no submission has."""
+    return latest_updates(updates).join(submissions.select("idempotency_id"), "idempotency_id", "left_anti")

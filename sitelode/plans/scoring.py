@@ -61,7 +61,10 @@ def completeness(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def payload(spark: SparkSession, folder: str) -> DataFrame:
-    out = scoring.submission_payload(submissions(spark, folder))
+    return payload_columns(scoring.submission_payload(submissions(spark, folder)))
+
+
+def payload_columns(out: DataFrame) -> DataFrame:
     return out.select(
         "idempotency_id",
         "email",
@@ -106,35 +109,59 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", acquisition_source(F.col("url")).alias("source"))
 
 
-def retried(spark: SparkSession, folder: str) -> DataFrame:
+def post_columns(events: DataFrame) -> DataFrame:
     """Every event is a post; user and type make the key, so most posts are repeats."""
-    return table(spark, folder, "events").select(
+    return events.select(
         F.concat_ws("-", "user_id", "event_type").alias("idempotency_id"),
-        F.col("ts").alias("submitted_at"),
+        F.col("ts").cast("timestamp").alias("submitted_at"),
         "event_id",
         "value",
     )
 
 
 def first_posts(spark: SparkSession, folder: str) -> DataFrame:
-    return scoring.first_submissions(retried(spark, folder)).select("idempotency_id", "event_id", "value")
+    return scoring.first_submissions(post_columns(table(spark, folder, "events"))).select("idempotency_id", "event_id", "value")
 
 
-def pain_points(spark: SparkSession, folder: str) -> DataFrame:
-    updates = table(spark, folder, "events").select(
-        F.col("user_id").cast("string").alias("idempotency_id"),
-        F.when(F.col("event_type") == "error", "  \n ").otherwise(F.concat(F.lit(" "), "event_type", F.lit(" "), "props", F.lit("\n"))).alias(
-            "pain_point_text"
-        ),
+def quarantine_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("idempotency_id", F.array_join(F.transform("answers", lambda x: x.cast("string")), ",", "-").alias("answers"))
+
+
+def quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    return quarantine_columns(scoring.split_valid(submissions(spark, folder))[1])
+
+
+def update_columns(events: DataFrame) -> DataFrame:
+    """Every event is an update of the submission of its user's number; there are blank ones and ones of another kind."""
+    text = F.concat(F.lit(" "), "event_type", F.lit(" "), "props", F.lit("\n"))
+    return events.select(
+        F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("x"), "user_id")).otherwise(F.col("user_id").cast("string")).alias("idempotency_id"),
+        F.when(F.col("event_type") == "error", "  \n ").otherwise(text).alias("pain_point_text"),
         F.when(F.col("event_type") == "view", "other").otherwise("pain_point").alias("update"),
-        F.col("ts").alias("received_at"),
+        F.col("ts").cast("timestamp").alias("received_at"),
     )
+
+
+def pain_points(spark: SparkSession, folder: str) -> DataFrame:
+    updates = update_columns(table(spark, folder, "events"))
     return scoring.attach_pain_points(submissions(spark, folder), updates).select("idempotency_id", "pain_point_text")
 
 
+def unmatched_columns(rows: DataFrame) -> DataFrame:
+    return rows.select("idempotency_id", "pain_point_text", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"))
+
+
+def unmatched_updates(spark: SparkSession, folder: str) -> DataFrame:
+    updates = update_columns(table(spark, folder, "events"))
+    return unmatched_columns(scoring.unmatched_updates(submissions(spark, folder), updates))
+
+
 _OPTION = "CASE a[q_idx + 1] WHEN 0 THEN o0 WHEN 1 THEN o1 WHEN 2 THEN o2 ELSE o3 END"
 _FLAG_LIST = ", ".join(FLAGS)
 
+_LATEST = """latest AS (SELECT CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '' END || user_id AS id,
+    arg_max(event_type || ' ' || props, ts) AS txt, max(ts) AS seen FROM events WHERE event_type NOT IN ('error', 'view') GROUP BY 1)"""
+
 PLANS = {
     "answers_validated": Plan(
         validated,
@@ -225,13 +252,28 @@ PLANS = {
              SELECT user_id || '-' || event_type AS idempotency_id, event_id, value,
                row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS rn FROM events) WHERE rn = 1""",
     ),
+    "quarantined_submissions": Plan(
+        quarantined,
+        with_sql(
+            SUBMISSIONS_SQL,
+            select="SELECT idempotency_id, array_to_string([coalesce(CAST(x AS VARCHAR), '-') FOR x IN a], ',') AS answers FROM submissions_all WHERE c % 17 = 0",
+        ),
+    ),
     "pain_points": Plan(
         pain_points,
         with_sql(
             SUBMISSIONS_SQL,
-            """latest AS (SELECT CAST(user_id AS VARCHAR) AS id, arg_max(event_type || ' ' || props, ts) AS txt FROM events
-               WHERE event_type NOT IN ('error', 'view') GROUP BY 1)""",
+            _LATEST,
             select="SELECT idempotency_id, txt AS pain_point_text FROM submissions_all LEFT JOIN latest ON id = idempotency_id",
         ),
     ),
+    "unmatched_updates": Plan(
+        unmatched_updates,
+        with_sql(
+            SUBMISSIONS_SQL,
+            _LATEST,
+            select="""SELECT id AS idempotency_id, txt AS pain_point_text, strftime(seen, '%Y-%m-%d %H:%M:%S.%f') AS received_at
+              FROM latest WHERE id NOT IN (SELECT idempotency_id FROM submissions_all)""",
+        ),
+    ),
 }

@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from sitelode.operators.events import normalise_consent
 from sitelode.plans.derived import (
     EVENTS_SQL,
-    SUBMISSIONS_SQL,
-    click_columns,
     consent_columns,
     event_columns,
-    minutes_after,
+    interaction_columns,
     submission_columns,
-    submit_columns,
     with_sql,
 )
 from sitelode.plans.events import stamped
-from sitelode.plans.registry import Plan
-from sitelode.session import work_dir
+from sitelode.plans.registry import Plan, table
+from sitelode.plans.scoring import PLANS as SCORING
+from sitelode.plans.scoring import payload_columns, post_columns, quarantine_columns, unmatched_columns, update_columns
+from sitelode.session import RECOMMENDED_CONF, work_dir
 from sitelode.streaming import events, submissions
+from sitelode.streaming.closing import end_marks, run_once, run_to_end
+
+
+# The tables' files are dealt out regardless of time, so the delay has to cover all of it.
+DELAY = "4000 days"
+FILES = 3
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
-    """A session whose streams keep their state in one partition per core.
+    """A session whose streams keep their state in one partition per core, and beyond the heap.
 
     The number is fixed for the life of a checkpoint, and adaptive execution does not change it.
     """
@@ -32,55 +37,64 @@ def stream_session(spark: SparkSession) -> SparkSession:
     for key in ("spark.sql.session.timeZone", "spark.sql.ansi.enabled"):
         session.conf.set(key, spark.conf.get(key))
     session.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", RECOMMENDED_CONF["spark.sql.streaming.stateStore.providerClass"])
     return session
 
 
-def stream_of(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    # As a pattern the path may be one file as well as a folder of files.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
+def stream_of(spark: SparkSession, folder: str, name: str, work: str) -> DataFrame:
+    """A whole table as a stream of several files, one to a trigger; rows are dealt to them by hash, out of all order."""
+    rows = table(spark, folder, name)
+    path = f"{work}/{name}"
+    rows.repartition(FILES, F.xxhash64(*rows.columns)).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def finished(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
-    return spark.read.schema(stream.schema).parquet(events.run_once(stream, work_dir(spark, label)))
+def finished(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
+    return spark.read.schema(stream.schema).parquet(run_to_end(stream, work))
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
-    """The event job; what the watermark has not reached at the end stays waiting."""
-    source = event_columns(stream_of(stream_session(spark), folder, "events"))
+    session, work = stream_session(spark), work_dir(spark, "gated")
+    source = event_columns(stream_of(session, folder, "events", work))
     allowed = normalise_consent(consent_columns(source)).select("visitor_id", "ts", "analytics")
-    stream = events.event_stream(click_columns(source), submit_columns(source), allowed, delay="0 seconds", shards=4)
-    return stamped(finished(spark, stream, "gated"))
+    stream = events.event_stream(interaction_columns(source), allowed, DELAY, end_marks(session, work))
+    return stamped(finished(spark, stream, work))
 
 
 def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
-    posts = stream_of(stream_session(spark), folder, "events").select(
-        F.concat_ws("-", "user_id", "event_type").alias("idempotency_id"), F.col("ts").cast("timestamp").alias("submitted_at")
-    )
-    stream = submissions.deduplicate(posts, delay="400 days")
-    return finished(spark, stream, "deduplicated").select("idempotency_id")
+    session, work = stream_session(spark), work_dir(spark, "deduplicated")
+    posts = post_columns(stream_of(session, folder, "events", work))
+    stream = submissions.deduplicate(posts, DELAY, end_marks(session, work))
+    return finished(spark, stream, work).select("idempotency_id", "event_id", "value")
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
-    stream = submissions.score_stream(submission_columns(stream_of(stream_session(spark), folder, "customer")))
-    return finished(spark, stream, "scored").select("idempotency_id", "total_score", "tier_public", "source")
+    session, work = stream_session(spark), work_dir(spark, "scored")
+    posts = submission_columns(stream_of(session, folder, "customer", work))
+    return payload_columns(finished(spark, submissions.score_stream(posts, DELAY, end_marks(session, work)), work))
+
+
+def quarantined(spark: SparkSession, folder: str) -> DataFrame:
+    session, work = stream_session(spark), work_dir(spark, "quarantined")
+    stream = submissions.quarantine_stream(submission_columns(stream_of(session, folder, "customer", work)))
+    return quarantine_columns(spark.read.schema(stream.schema).parquet(run_once(stream, work)))
 
 
 def updated(spark: SparkSession, folder: str) -> DataFrame:
-    """Submissions joined with the updates that came within an hour of them."""
-    session = stream_session(spark)
-    posts = submission_columns(stream_of(session, folder, "customer")).select(
-        "idempotency_id", minutes_after("2024-01-01", F.col("idempotency_id").cast("bigint")).alias("submitted_at")
-    )
-    updates = stream_of(session, folder, "events").select(
-        F.col("user_id").cast("string").alias("idempotency_id"),
-        F.concat(F.lit(" "), "props").alias("pain_point_text"),
-        F.when(F.col("event_type") == "view", "other").otherwise("pain_point").alias("update"),
-        F.col("ts").cast("timestamp").alias("received_at"),
-    )
-    stream = submissions.attach_updates(posts, updates, delay="1 minute", window="3 hours")
-    out = finished(spark, stream, "updated").where(F.col("pain_point_text").isNotNull())
-    return out.select("idempotency_id", "pain_point_text", F.date_format("received_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("received_at"))
+    """Submissions with their latest update, and updates that match none."""
+    session, work = stream_session(spark), work_dir(spark, "updated")
+    posts = submission_columns(stream_of(session, folder, "customer", work))
+    late = update_columns(stream_of(session, folder, "events", work))
+    stream = submissions.attach_updates(posts, late, DELAY, window_seconds=400 * 86_400, marks=end_marks(session, work))
+    return finished(spark, stream, work)
+
+
+def pain_points(spark: SparkSession, folder: str) -> DataFrame:
+    return updated(spark, folder).where("matched").select("idempotency_id", "pain_point_text")
+
+
+def unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    return unmatched_columns(updated(spark, folder).where("NOT matched").select(F.col("update_id").alias("idempotency_id"), "pain_point_text", "received_at"))
 
 
 PLANS = {
@@ -89,21 +103,12 @@ PLANS = {
         with_sql(
             EVENTS_SQL,
             select="""SELECT visitor_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, name, link_url, link_text, page_path, page_title, cta_location
-              FROM gated_all WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) FROM
-                (SELECT ts FROM consents UNION ALL SELECT ts FROM all_events))""",
+              FROM gated_all""",
         ),
     ),
-    "stream_first_posts": Plan(
-        deduplicated, "SELECT DISTINCT user_id || '-' || event_type AS idempotency_id FROM events"
-    ),
-    "stream_scored_submissions": Plan(
-        scored, with_sql(SUBMISSIONS_SQL, select="SELECT idempotency_id, total_score, tier_public, source FROM scored")
-    ),
-    "stream_pain_points": Plan(
-        updated,
-        """SELECT CAST(c_custkey AS VARCHAR) AS idempotency_id, props AS pain_point_text, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS received_at
-           FROM customer JOIN events ON user_id = c_custkey
-           WHERE event_type <> 'view' AND ts BETWEEN TIMESTAMP '2024-01-01' + to_minutes(c_custkey) - INTERVAL 3 HOURS
-             AND TIMESTAMP '2024-01-01' + to_minutes(c_custkey) + INTERVAL 3 HOURS""",
-    ),
+    "stream_first_posts": Plan(deduplicated, SCORING["first_posts"].sql),
+    "stream_scored_submissions": Plan(scored, SCORING["submissions_payload"].sql),
+    "stream_quarantine": Plan(quarantined, SCORING["quarantined_submissions"].sql),
+    "stream_pain_points": Plan(pain_points, SCORING["pain_points"].sql),
+    "stream_unmatched_updates": Plan(unmatched, SCORING["unmatched_updates"].sql),
 }

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sitelode.operators.events import EVENT_FIELDS, classify_clicks, classify_submits
+from sitelode.operators.events import EVENT_FIELDS, classify
+from sitelode.streaming.closing import marked
 
 GATED = "visitor_id string, ts timestamp, " + ", ".join(f"{name} string" for name in EVENT_FIELDS)
 
@@ -67,6 +67,12 @@ def _releaser() -> Callable:
         # Only the last consent at or before the watermark can still matter among the old ones.
         settled = [c for c in consents if c[0] <= line]
         consents = settled[-1:] + [c for c in consents if c[0] > line]
+        # A refusal at the front is the same as no consent yet, and a visitor with nothing at all needs no state.
+        while consents and not consents[0][1] and consents[0][0] <= line:
+            consents.pop(0)
+        if not consents and not later:
+            state.remove()
+            return
         state.update(
             (
                 [c[0] for c in consents],
@@ -82,14 +88,16 @@ def _releaser() -> Callable:
 
 
 def gate_stream(
-    events: DataFrame, consents: DataFrame, delay: str = "10 minutes", shards: int = 8
+    events: DataFrame, consents: DataFrame, delay: str = "10 minutes", marks: DataFrame | None = None, shards: int | None = None
 ) -> DataFrame:
     """Streaming form of ``gate_by_consent``: an event is emitted once the watermark has reached it.
 
-    State is kept per visitor and shard. A visitor's events are dealt over the shards by hash and
-    the far fewer consent records go to all of them, so one very busy visitor is spread over
-    ``shards`` tasks and the result stays exact.
+    State is kept per visitor and shard. A visitor's events are dealt over the shards by hash and the far fewer consent
+    records go to all of them, so one very busy visitor is spread over as many tasks as there are state partitions
+    (``shards``, if not given) and the result stays exact. ``delay`` has to cover the disorder of the input; with
+    ``marks`` (see ``end_marks``) the end of the input lets out what waits.
     """
+    shards = shards or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     payload = F.to_json(F.struct(*EVENT_FIELDS), {"ignoreNullFields": "false"})
     dealt = F.pmod(F.xxhash64("ts", *EVENT_FIELDS), F.lit(shards)).cast("int")
     none = F.lit(None)
@@ -105,7 +113,7 @@ def gate_stream(
         )
     )
     released = (
-        timeline.withWatermark("ts", delay)
+        marked(timeline.where(F.col("visitor_id").isNotNull()), marks, delay)
         .groupBy("visitor_id", "shard")
         .applyInPandasWithState(
             _releaser(),
@@ -122,24 +130,7 @@ def gate_stream(
 
 
 def event_stream(
-    clicks: DataFrame, submits: DataFrame, consents: DataFrame, delay: str = "10 minutes", shards: int = 8
+    interactions: DataFrame, consents: DataFrame, delay: str = "10 minutes", marks: DataFrame | None = None, shards: int | None = None
 ) -> DataFrame:
     """The whole event job on streams: classify without state, then gate."""
-    found = classify_clicks(clicks).unionByName(classify_submits(submits))
-    return gate_stream(found, consents, delay, shards)
-
-
-def run_once(stream: DataFrame, folder: str, **options: Any) -> str:
-    """Run a stream over all data there is into Parquet below ``folder``; returns the output path."""
-    output = f"{folder}/output"
-    query = (
-        stream.writeStream.format("parquet")
-        .options(**options)
-        .option("path", output)
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return output
+    return gate_stream(classify(interactions), consents, delay, marks, shards)

@@ -1,4 +1,4 @@
-"""Submission streams: retry-safe deduplication and late partial updates."""
+"""Submission streams: the earliest record per key, quarantine, and late partial updates."""
 
 from __future__ import annotations
 
@@ -6,58 +6,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelode.functions.text import browser_trim
-from sitelode.operators.scoring import submission_payload
+from sitelode.operators.scoring import split_valid, submission_payload
+from sitelode.streaming.closing import closed, records, texts
 
 
-def _first_of(rows: DataFrame, keys: list[str], salts: int) -> DataFrame:
-    """One row per key within the watermark.
+def deduplicate(submissions: DataFrame, delay: str = "1 hour", marks: DataFrame | None = None, remember_seconds: int = 86_400) -> DataFrame:
+    """The earliest record per idempotency key, as ``first_submissions`` finds it.
 
-    A first pass keeps one row per key and salt, so a key sent over and over is thinned out in
-    ``salts`` tasks and at most that many of its rows reach the second pass, which decides. The salt
-    need not be the same when a task is repeated: whatever the first pass lets through, the second
-    keeps one.
+    It is given once the watermark has reached it, as only then no earlier one can come. Retries are known for
+    ``remember_seconds`` more; then the key's state is removed.
     """
-    marked = rows.withColumn("_salt", F.spark_partition_id() % salts)
-    thinned = marked.dropDuplicatesWithinWatermark([*keys, "_salt"])
-    return thinned.drop("_salt").dropDuplicatesWithinWatermark(keys)
+    found = closed(records(submissions, "idempotency_id", "submitted_at"), submissions.schema, delay, marks, 0, remember_seconds)
+    return found.select("record.*")
 
 
-def deduplicate(submissions: DataFrame, delay: str = "1 hour", salts: int = 16) -> DataFrame:
-    """One record per idempotency key; a key is forgotten once the watermark has passed it."""
-    return _first_of(submissions.withWatermark("submitted_at", delay), ["idempotency_id"], salts)
+def score_stream(submissions: DataFrame, delay: str = "1 hour", marks: DataFrame | None = None) -> DataFrame:
+    """Valid records scored, the earliest of each key. Invalid ones are left to ``quarantine_stream``.
+
+    They go first, so that an invalid post doesn't take the place of its valid retry.
+    """
+    valid, _ = split_valid(submissions)
+    return submission_payload(deduplicate(valid, delay, marks))
 
 
-def score_stream(submissions: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Invalid records are dropped and the rest scored before the state is touched."""
-    return submission_payload(deduplicate(submissions, delay))
+def quarantine_stream(submissions: DataFrame) -> DataFrame:
+    """The invalid records; without state."""
+    return split_valid(submissions)[1]
 
 
 def attach_updates(
-    submissions: DataFrame,
-    updates: DataFrame,
-    delay: str = "1 hour",
-    window: str = "1 day",
-    drop_repeats: bool = False,
-    salts: int = 16,
+    submissions: DataFrame, updates: DataFrame, delay: str = "1 hour", window_seconds: int = 86_400, marks: DataFrame | None = None
 ) -> DataFrame:
-    """Left outer join of each submission with the updates that arrive up to ``window`` around it.
+    """Each submission with its latest non-blank update, and the updates that match none, told apart by ``matched``.
 
-    A submission without one is emitted with a null text when the watermark has passed its window.
-    ``drop_repeats``: an update sent again unchanged counts once, so a key whose update is retried
-    without end does not fill one task of the join.
+    A submission is given ``window_seconds`` after it was sent. An update without one, or one that comes after that, is a
+    row of its own with null submission columns, its key and time in ``update_id`` and ``received_at``.
     """
     text = browser_trim(F.col("pain_point_text"))
-    left = submissions.withWatermark("submitted_at", delay).alias("s")
-    filled = (
-        updates.where((F.col("update") == "pain_point") & (text != ""))
-        .select(F.col("idempotency_id").alias("update_id"), text.alias("pain_point_text"), "received_at")
-        .withWatermark("received_at", delay)
-    )
-    right = (_first_of(filled, ["update_id", "pain_point_text"], salts) if drop_repeats else filled).alias("u")
-    span = F.expr(f"interval {window}")
-    matched = (
-        (F.col("s.idempotency_id") == F.col("u.update_id"))
-        & (F.col("u.received_at") >= F.col("s.submitted_at") - span)
-        & (F.col("u.received_at") <= F.col("s.submitted_at") + span)
+    filled = updates.where((F.col("update") == "pain_point") & (text != ""))
+    rows = records(submissions, "idempotency_id", "submitted_at").unionByName(texts(filled, "idempotency_id", "received_at", text))
+    found = closed(rows, submissions.schema, delay, marks, window_seconds, window_seconds)
+    return found.select(
+        "record.*",
+        F.col("text").alias("pain_point_text"),
+        F.timestamp_micros("text_us").alias("received_at"),
+        F.col("key").alias("update_id"),
+        F.col("record").isNotNull().alias("matched"),
     )
-    return left.join(right, matched, "leftOuter").drop("update_id")

@@ -8,10 +8,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sitelode.operators import events
-from sitelode.schemas import CLICK, SITEMAP_URL
+from sitelode.operators import events, scoring
+from sitelode.schemas import CLICK, CONSENT, SITEMAP_URL, SUBMISSION, SUBMISSION_UPDATE
 from sitelode.session import work_dir
 from sitelode.sources import corpus, records
+from sitelode.streaming import closing
 from sitelode.streaming import events as stream_events
 from sitelode.streaming import submissions as stream_submissions
 
@@ -97,54 +98,83 @@ def test_submits(spark):
     assert [r.email for r in events.subscription_requests(df).collect()] == ["a@b.cd"]
 
 
-def feed(spark, folder, batches):
-    """One file per batch, read one at a time and in order."""
-    import os
+def feed(spark, folder, df, parts=3):
+    """A table as a stream of several files, dealt out regardless of time, one file to a trigger."""
+    df.repartition(parts, F.xxhash64(*df.columns)).write.parquet(str(folder))
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
-    for i, df in enumerate(batches):
-        name = f"{folder}/{i}.json"
-        df.toPandas().to_json(name, orient="records", lines=True, date_format="iso", date_unit="us")
-        os.utime(name, (1_700_000_000 + i, 1_700_000_000 + i))
-    schema = batches[0].schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+
+def streamed(spark, tmp_path, build):
+    """All rows of the stream that ``build`` makes from end marks, run to the end of its input."""
+    work = str(tmp_path / "work")
+    stream = build(closing.end_marks(spark, work))
+    return spark.read.schema(stream.schema).parquet(closing.run_to_end(stream, work)).collect()
 
 
 def test_streamed_gate_equals_the_batch_gate(spark, tmp_path):
     shown = events.classify_clicks(clicks(spark, *[click(v, m, "mailto:x@y.zz", text=f"{v}{m}") for v in "ab" for m in range(0, 300, 7)]))
     allowed = consents(spark, *[(v, m, (m // 20 + ord(v)) % 2 == 0) for v in "ab" for m in range(3, 300, 20)]).select("visitor_id", "ts", "analytics")
-    want = {r.link_text for r in events.gate_by_consent(shown, allowed).where(F.col("ts") <= F.lit(at(294 - 30))).collect()}
-    (tmp_path / "e").mkdir()
-    (tmp_path / "c").mkdir()
-    cut = [at(0), at(100), at(200), at(400)]
-    parts = lambda df: [df.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))) for a, b in zip(cut, cut[1:])]
-    stream = stream_events.gate_stream(feed(spark, tmp_path / "e", parts(shown)), feed(spark, tmp_path / "c", parts(allowed)), "30 minutes", shards=3)
-    out = spark.read.schema(stream.schema).parquet(stream_events.run_once(stream, work_dir(spark, "gate")))
-    got = [r.link_text for r in out.where(F.col("ts") <= F.lit(at(294 - 30))).collect()]
+    want = {r.link_text for r in events.gate_by_consent(shown, allowed).collect()}
+    sources = feed(spark, tmp_path / "e", shown), feed(spark, tmp_path / "c", allowed, 2)
+    got = [r.link_text for r in streamed(spark, tmp_path, lambda marks: stream_events.gate_stream(*sources, "10 days", marks, shards=3))]
     assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_streamed_deduplication(spark, tmp_path):
+def test_streamed_deduplication_keeps_the_earliest(spark, tmp_path):
     rows = spark.range(400).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 30)).alias("idempotency_id"),
-        F.timestamp_seconds(F.lit(1_767_225_600) + F.col("id")).alias("submitted_at"),
-    )
-    (tmp_path / "s").mkdir()
-    stream = stream_submissions.deduplicate(feed(spark, tmp_path / "s", [rows.where("submitted_at < timestamp '2026-01-01 00:03:00'"), rows.where("submitted_at >= timestamp '2026-01-01 00:03:00'")]))
-    out = spark.read.parquet(stream_events.run_once(stream, work_dir(spark, "dedup")))
-    assert sorted(r.idempotency_id for r in out.collect()) == sorted({r.idempotency_id for r in rows.collect()})
-
-
-def test_streamed_updates_without_repeats(spark, tmp_path):
-    posts = spark.createDataFrame([("a", at(0)), ("b", at(1)), ("c", at(600))], "idempotency_id string, submitted_at timestamp")
-    sent = [("a", " t ", "pain_point", at(2)), ("a", "t", "pain_point", at(3)), ("a", "u", "pain_point", at(4)), ("b", " ", "pain_point", at(5)), ("z", "x", "pain_point", at(601))]
-    updates = spark.createDataFrame(sent, "idempotency_id string, pain_point_text string, update string, received_at timestamp")
-    (tmp_path / "p").mkdir()
-    (tmp_path / "u").mkdir()
-    stream = stream_submissions.attach_updates(
-        feed(spark, tmp_path / "p", [posts]), feed(spark, tmp_path / "u", [updates]), "1 minute", "2 hours", drop_repeats=True
+        F.timestamp_micros(F.lit(1_767_225_600_000_000) + (F.col("id") * 7919) % 401 * 1001).alias("submitted_at"),
+        F.array(F.col("id"), F.lit(None).cast("long")).alias("more"),
+        F.concat(F.lit('"\n'), "id").alias("text"),
     )
-    out = spark.read.schema(stream.schema).parquet(stream_events.run_once(stream, work_dir(spark, "updates")))
-    assert sorted(((r.idempotency_id, r.pain_point_text) for r in out.where("idempotency_id <> 'c'").collect()), key=str) == [("a", "t"), ("a", "u"), ("b", None)]
+    source = feed(spark, tmp_path / "s", rows)
+    got = streamed(spark, tmp_path, lambda marks: stream_submissions.deduplicate(source, "10 days", marks))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, scoring.first_submissions(rows).collect()))
+
+
+def posts_of(spark, *rows):
+    """(id, minute, answers)"""
+    data = [(i, "a@b.cd", at(m), a, "A", "A", "A", "https://x.y/") for i, m, a in rows]
+    return spark.createDataFrame(data, SUBMISSION)
+
+
+def test_an_invalid_post_does_not_hide_its_retry(spark, tmp_path):
+    posts = posts_of(spark, ("k", 0, [1] * 10), ("k", 5, [1] * 11), ("k", 9, [2] * 11), ("z", 1, [4] * 11))
+    source = feed(spark, tmp_path / "p", posts)
+    got = streamed(spark, tmp_path, lambda marks: stream_submissions.score_stream(source, "10 days", marks))
+    assert [(r.idempotency_id, r.total_score) for r in got] == [("k", 11)]
+    bad = stream_submissions.quarantine_stream(feed(spark, tmp_path / "q", posts))
+    kept = spark.read.schema(bad.schema).parquet(closing.run_once(bad, work_dir(spark, "bad"))).collect()
+    assert sorted((r.idempotency_id, len(r.answers)) for r in kept) == [("k", 10), ("z", 11)]
+
+
+def test_streamed_updates(spark, tmp_path):
+    posts = posts_of(spark, ("a", 0, [1] * 11), ("a", 3, [2] * 11), ("b", 1, [1] * 11), ("c", 600, [1] * 11))
+    sent = [("a", " t ", "pain_point", at(2)), ("a", "u", "pain_point", at(4)), ("a", "t", "pain_point", at(3)), ("b", " ", "pain_point", at(5)), ("b", "no", "other", at(6)), ("z", "x", "pain_point", at(601)), ("z", "y", "pain_point", at(600))]
+    updates = spark.createDataFrame(sent, SUBMISSION_UPDATE)
+    sources = feed(spark, tmp_path / "p", posts), feed(spark, tmp_path / "u", updates, 2)
+    got = streamed(spark, tmp_path, lambda marks: stream_submissions.attach_updates(*sources, "10 days", 86_400, marks))
+    assert sorted(((r.update_id, r.pain_point_text, r.matched) for r in got), key=str) == [("a", "u", True), ("b", None, True), ("c", None, True), ("z", "x", False)]
+    assert [r.answers[0] for r in got if r.update_id == "a"] == [1]
+
+
+def test_an_update_after_the_window_is_a_row_of_its_own(spark, tmp_path):
+    """In order, with a short delay: the key closes between the triggers."""
+    folder = tmp_path / "u"
+    rows = posts_of(spark, ("a", 0, [1] * 11))
+    late = spark.createDataFrame([("a", "in time", "pain_point", at(1)), ("z", "moves the time", "pain_point", at(500)), ("a", "late", "pain_point", at(501))], SUBMISSION_UPDATE)
+    for part in (late.where("pain_point_text = 'in time'"), late.where("pain_point_text = 'moves the time'"), late.where("pain_point_text = 'late'")):
+        part.coalesce(1).write.mode("append").parquet(str(folder))
+    updates = spark.readStream.schema(SUBMISSION_UPDATE).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    source = feed(spark, tmp_path / "p", rows, 1)
+    got = streamed(spark, tmp_path, lambda marks: stream_submissions.attach_updates(source, updates, "1 minute", 3600, marks))
+    assert sorted((r.update_id, r.pain_point_text, r.matched) for r in got) == [("a", "in time", True), ("a", "late", False), ("z", "moves the time", False)]
+
+
+def test_consent_is_what_a_browser_takes_for_true(spark):
+    said = {"1": True, "0": False, "true": True, "false": False, '"yes"': True, '""': False, "null": False, "-0.0": False, "0.5": True, "{}": True}
+    df = spark.createDataFrame([(k, at(0), '{"analytics":%s}' % k) for k in said] + [("none", at(0), "{}"), ("bad", at(0), "no json")], CONSENT)
+    assert {r.visitor_id: r.analytics for r in events.normalise_consent(df).collect()} == said | {"none": False, "bad": False}
 
 
 @pytest.fixture()

@@ -8,10 +8,14 @@ from oracle import differences
 
 from sitelode.plans import PLANS
 
+# What the smallest tables have none of.
+MAY_BE_EMPTY: set[str] = set()
+
 
 @pytest.mark.parametrize("name", [n for n, p in PLANS.items() if p.sql])
 def test_agrees_with_sql(spark, oracle, name):
-    assert differences(PLANS[name].run(spark, DATA), oracle, PLANS[name].sql) in ([], ["no rows"])
+    found = differences(PLANS[name].run(spark, DATA), oracle, PLANS[name].sql)
+    assert found == (["no rows"] if name in MAY_BE_EMPTY else [])
 
 
 @pytest.mark.parametrize("name", [n for n, p in PLANS.items() if not p.sql])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitelode.operators import scoring
-from sitelode.schemas import SUBMISSION, SUBMISSION_UPDATE
+from sitelode.schemas import SUBMISSION
 
 
 def rows(spark, *answers, q12="B"):
@@ -91,10 +91,14 @@ def test_first_submission_of_a_hot_key(spark):
 
 def test_pain_point_takes_the_latest_filled_update(spark):
     subs = rows(spark, [1] * 11, [2] * 11)
-    updates = spark.createDataFrame(
-        [("0", " one ", "pain_point"), ("0", "two", "pain_point"), ("0", "  ", "pain_point"), ("0", "x", "other")],
-        "idempotency_id string, pain_point_text string, update string",
-    ).withColumn("received_at", F.timestamp_seconds(F.monotonically_increasing_id()))
-    assert set(updates.columns) == {f.split()[0] for f in SUBMISSION_UPDATE.split(", ")}
+    sent = [("0", " one ", "pain_point", 3), ("0", "two", "pain_point", 2), ("0", "  ", "pain_point", 4), ("0", "x", "other", 5), ("9", "late", "pain_point", 1)]
+    updates = spark.createDataFrame(sent, "idempotency_id string, pain_point_text string, update string, s long").select("idempotency_id", "pain_point_text", "update", F.timestamp_seconds("s").alias("received_at"))
     got = {r.idempotency_id: r.pain_point_text for r in scoring.attach_pain_points(subs, updates).collect()}
-    assert got["1"] is None and got["0"] in ("one", "two")
+    assert got == {"0": "one", "1": None}
+    assert [(r.idempotency_id, r.pain_point_text) for r in scoring.unmatched_updates(subs, updates).collect()] == [("9", "late")]
+
+
+def test_completeness_of_short_and_null_answers(spark):
+    df = rows(spark, [1] * 10, [1] * 11, None).withColumns({"q12_governance": F.lit(""), "personal_use": F.lit("A"), "next_goal": F.lit("A")})
+    got = {r.idempotency_id: (r.answered, r.unanswered) for r in scoring.completeness(df).collect()}
+    assert got == {"0": (12, [10, 11]), "1": (13, [11]), "2": (2, list(range(12)))}
