@@ -7,6 +7,7 @@ single document needs a shuffle.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +58,14 @@ def _meta_map(header: Column, dialect: str) -> Column:
 
     lines = F.filter(F.split(header, "\n"), lambda line: F.rlike(line, F.lit(pattern)))
     # A later key wins; map_from_entries would fail on the repeat.
-    return F.aggregate(
-        F.transform(lines, entry),
-        F.create_map().cast("map<string,string>"),
-        lambda seen, e: F.map_concat(F.map_filter(seen, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])),
-    )
+    def last_of_each(found: Column) -> Column:
+        names = F.transform(found, lambda e: e["key"])
+        return F.map_from_entries(
+            F.transform(F.array_distinct(names), lambda k: F.struct(k, F.get(found, F.array_position(names, k).cast("int") - 1)["value"]))
+        )
+
+    # Backwards, the first entry of a key is the one that counts.
+    return bind(F.reverse(F.transform(lines, entry)), last_of_each)
 
 
 def front_matter(docs: DataFrame, text: str = "text", dialect: str = "tolerant") -> DataFrame:
@@ -106,6 +110,12 @@ def article_metadata(docs: DataFrame, alt: Column | None = None) -> DataFrame:
     )
 
 
+def with_image_alt(docs: DataFrame, alts: DataFrame, title: str = "title") -> DataFrame:
+    """Adds ``image_alt``: the text that a lookup table (``slug, alt``) has for the document, or else its title."""
+    known = alts.select("slug", F.col("alt").alias("_alt"))
+    return docs.join(known, "slug", "left").withColumn("image_alt", first_filled(F.col("_alt"), F.col(title))).drop("_alt")
+
+
 def allowed_documents(docs: DataFrame, slugs: DataFrame) -> DataFrame:
     return docs.join(slugs.select("slug"), "slug", "left_semi")
 
@@ -268,14 +278,14 @@ def prerender(pages: DataFrame, rendered: DataFrame, key: str, tag: str = "main"
     if drop_script:
         pattern = rf'\s*<script\s+src="[^"]*{quote_pattern(drop_script)}"[^>]*>\s*</script>'
         new = F.regexp_replace(new, pattern, "")
-    status = (
-        F.when(F.contains(html, F.lit(PRERENDERED)), "already")
-        .when(F.col("rendered").isNull(), "no_body")
-        .otherwise("updated")
-    )
-    met = pages.join(rendered.select(key, "rendered"), key, "left").withColumn("status", status)
+    status = F.when(F.col("rendered").isNull(), "no_body").otherwise("updated")
+    # Pages done before need no body, and their text isn't shuffled to find one.
+    before = F.coalesce(F.contains(html, F.lit(PRERENDERED)), F.lit(False))
+    met = pages.where(~before).join(rendered.select(key, "rendered"), key, "left").withColumn("status", status)
     text = F.when(F.col("status") == "updated", new).otherwise(html)
-    return computed_once(met, {"html_new": text}).drop("rendered")
+    done = computed_once(met, {"html_new": text}).drop("rendered")
+    kept = pages.where(before).withColumns({"status": F.lit("already"), "html_new": html})
+    return done.unionByName(kept)
 
 
 def render_article(docs: DataFrame, default_cta: str, asset_prefix: str = "../") -> DataFrame:
@@ -364,6 +374,28 @@ def split_series_body(body: Column, lead: int = 5) -> tuple[Column, Column]:
     return F.slice(body, 1, lead), F.slice(body, F.lit(lead + 1), F.size(body))
 
 
+@dataclass(frozen=True)
+class Aside:
+    """A box beside the text: its opening tag and heading."""
+
+    open_tag: str
+    heading: str
+
+    def around(self, inner: Column) -> Column:
+        return F.concat(F.lit(f"{self.open_tag}<h2>{self.heading}</h2>"), inner, F.lit("</aside>"))
+
+
+def render_series_part(body: Column, pull: Column, operator: Column, diagnostic: Column, boxes: tuple[Aside, Aside], lead: int = 5) -> Column:
+    """A part's body, then a box with its advice and one with the list of what goes wrong."""
+    advice, faults = boxes
+    listed = F.array_join(F.transform(diagnostic, lambda d: F.concat(F.lit("<li>"), escape_html(d), F.lit("</li>"))), "")
+    return F.concat(
+        render_series_body(body, pull, lead),
+        advice.around(F.concat(F.lit("<p>"), escape_html(operator), F.lit("</p>"))),
+        faults.around(F.concat(F.lit("<ul>"), listed, F.lit("</ul>"))),
+    )
+
+
 def render_series_body(body: Column, pull: Column, lead: int = 5) -> Column:
     def paragraphs(items: Column) -> Column:
         return F.array_join(F.transform(items, lambda p: F.concat(F.lit("<p>"), escape_html(p), F.lit("</p>"))), "")

@@ -129,10 +129,10 @@ def movable_pages(pages: DataFrame, page_path: Column, keep: Sequence[str] = ROO
     return pages.where(~F.regexp_replace(page_path, r"^/+", "").isin(*keep))
 
 
-def redirects(pages: DataFrame, page_path: Column, site_url: str) -> DataFrame:
+def redirects(pages: DataFrame, page_path: Column, site_url: str, keep: Sequence[str] = ROOT_PAGES) -> DataFrame:
     """Old path, clean URL, canonical URL and the stub document for each page that moves."""
     old = F.regexp_replace(page_path, r"^/+", "")
-    moved = movable_pages(pages, page_path).where(F.endswith(page_path, F.lit(".html")))
+    moved = movable_pages(pages, page_path, keep).where(F.endswith(page_path, F.lit(".html")))
     table = moved.select(
         F.concat(F.lit("/"), old).alias("old_path"),
         F.concat(F.lit("/"), F.regexp_replace(old, r"\.html\z", ""), F.lit("/")).alias("new_url"),

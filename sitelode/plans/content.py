@@ -28,8 +28,8 @@ def front_matter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
-    alt = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Picture "), "doc_id"))
-    out = content.article_metadata(parsed(spark, folder), alt)
+    alts = table(spark, folder, "labels").select(F.concat(F.lit("doc-"), "doc_id").alias("slug"), F.concat(F.lit("Picture "), "doc_id").alias("alt"))
+    out = content.with_image_alt(content.article_metadata(parsed(spark, folder)), alts)
     return out.select("doc_id", "title", "eyebrow", "format", "deck", "description", "image_alt")
 
 
@@ -100,6 +100,15 @@ def series_bodies(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def series_parts(spark: SparkSession, folder: str) -> DataFrame:
+    body = F.split("text", "\n", -1)
+    boxes = content.Aside('<aside class="advice">', "What to do"), content.Aside('<aside class="faults">', "What goes wrong")
+    diagnostic = F.array("lang", F.concat(F.lit("<"), "source"))
+    return table(spark, folder, "documents").select(
+        "doc_id", content.render_series_part(body, F.col("source"), F.concat("lang", F.lit(" & more")), diagnostic, boxes).alias("html")
+    )
+
+
 def prerendered(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with the rendered document of the same number as their article; some were done before."""
     marked = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<article>"), F.lit("<article><!--PRERENDERED-->")))
@@ -175,7 +184,8 @@ PLANS = {
             select="""SELECT doc_id, coalesce(title, '') AS title, CASE WHEN lang = 'de' THEN '' ELSE source END AS eyebrow, '' AS format,
               CASE WHEN lang IN ('de', 'en') THEN '' ELSE 'Short' END AS deck,
               CASE WHEN lang IN ('de', 'en') THEN '' ELSE 'Short' END AS description,
-              CASE WHEN doc_id % 3 = 0 THEN 'Picture ' || doc_id ELSE coalesce(title, '') END AS image_alt FROM docs""",
+              CASE WHEN l.doc_id IS NOT NULL THEN 'Picture ' || l.doc_id ELSE coalesce(title, '') END AS image_alt
+              FROM docs LEFT JOIN labels l USING (doc_id)""",
         ),
     ),
     "document_status": Plan(
@@ -235,6 +245,16 @@ PLANS = {
           list_transform(p, lambda x: '<p>' || {ESCAPE.format('x')} || '</p>') AS p FROM l)
         SELECT doc_id, array_to_string(p[1:5], '') || q || array_to_string(p[6:], '') AS html FROM e""",
     ),
+    "series_parts": Plan(
+        series_parts,
+        f"""
+        WITH l AS (SELECT doc_id, source, lang, string_split(text, chr(10)) AS p FROM documents),
+        e AS (SELECT doc_id, '<blockquote>' || source || '</blockquote>' AS q, lang, source,
+          list_transform(p, lambda x: '<p>' || {ESCAPE.format('x')} || '</p>') AS p FROM l)
+        SELECT doc_id, array_to_string(p[1:5], '') || q || array_to_string(p[6:], '')
+          || '<aside class="advice"><h2>What to do</h2><p>' || lang || ' &amp; more</p></aside>'
+          || '<aside class="faults"><h2>What goes wrong</h2><ul><li>' || lang || '</li><li>&lt;' || source || '</li></ul></aside>' AS html FROM e""",
+    ),
     "prerendered_pages": Plan(
         prerendered,
         with_sql(

@@ -305,18 +305,12 @@ image_pages AS (
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """Assets on disk: most of the names that links use, by a hash of the name, and one no page refers to per host."""
-    pages = table(spark, folder, "pages")
-    linked = pages.select(
-        F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'))).alias("name"),
-        F.length("html").cast("bigint").alias("size"),
-    ).where(F.left(F.md5("name"), F.lit(1)) < "b").select(F.concat(F.lit("/assets/"), "name", F.lit(".png")).alias("path"), "size")
-    spare = pages.select(
-        F.concat(F.lit("/assets/insights/"), F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit("-card.png")).alias("path"),
-        F.length("html").cast("bigint").alias("size"),
-    )
+    names = F.filter(F.regexp_extract_all("html", F.lit('href="/([^"]*)"')), lambda n: F.left(F.md5(n), F.lit(1)) < "b")
+    linked = F.transform(names, lambda n: F.concat(F.lit("/assets/"), n, F.lit(".png")))
+    spare = F.concat(F.lit("/assets/insights/"), F.regexp_extract("url", "^https?://([^/?#]+)", 1), F.lit("-card.png"))
+    found = table(spark, folder, "pages").select(F.explode(F.concat(linked, F.array(spare))).alias("path"), F.length("html").cast("bigint").alias("size"))
     return (
-        linked.unionAll(spare)
-        .where(F.col("path").isNotNull())
+        found.where(F.col("path").isNotNull())
         .groupBy("path")
         .agg((F.max("size") * 170).alias("length"))
         .withColumn("width", (F.col("length") % 1900 + 1).cast("int"))

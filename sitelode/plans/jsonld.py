@@ -92,6 +92,16 @@ def faq(spark: SparkSession, folder: str) -> DataFrame:
     return jsonld.faq_blocks(pairs, ["conv_id"], F.col("turn"))
 
 
+NAMED = '<script type="application/ld+json">{"@context":"https://schema.org","@type":"Person","name":"Ann"}</script>'
+
+
+def inserted_after(spark: SparkSession, folder: str) -> DataFrame:
+    """A person's block after the one of another person, which half of the pages have."""
+    had = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<title>"), F.lit(NAMED + "<title>"))).otherwise(F.col("html"))
+    json = F.concat(F.lit('{"@context":"https://schema.org","@type":"Person","name":"$1 '), "page_id", F.lit('"}'))
+    return table(spark, folder, "pages").select("page_id", jsonld.insert_block_after(had, "Person", "Ann", json).alias("html"))
+
+
 def faq_upserts(spark: SparkSession, folder: str) -> DataFrame:
     """Half of the pages have a FAQ block to replace."""
     had = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<title>"), F.lit(OLD_FAQ + "<title>"))).otherwise(F.col("html"))
@@ -219,6 +229,11 @@ PLANS = {
         SELECT conv_id, '{"@context":"https://schema.org","@type":"FAQPage","mainEntity":[' || string_agg(e, ',' ORDER BY turn) || ']}' AS json
         FROM j GROUP BY conv_id""",
     ),
+    "inserted_after": Plan(
+        inserted_after,
+        f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '<title>', '{NAMED}' || chr(10)
+          || '<script type="application/ld+json">{{"@context":"https://schema.org","@type":"Person","name":"$1 ' || page_id || '"}}</script><title>') ELSE html END AS html FROM pages""",
+    ),
     "faq_upserts": Plan(
         faq_upserts,
         with_sql(

@@ -33,6 +33,13 @@ def redirects(spark: SparkSession, folder: str) -> DataFrame:
     return links.redirects(site_pages(spark, folder), F.col("path"), SITE_URL)
 
 
+def kept_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages that move, where every third is one of a list of pages that stay."""
+    kept = F.concat(F.lit("/kept-"), F.col("page_id") % 4, F.lit(".html"))
+    pages = site_pages(spark, folder).select("page_id", F.when(F.col("page_id") % 3 == 0, kept).otherwise(F.col("path")).alias("path"))
+    return links.movable_pages(pages, F.col("path"), ["kept-0.html", "kept-1.html", "kept-2.html"])
+
+
 def sitemap_locs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", links.rewrite_sitemap_loc(F.col("url")).alias("loc"))
 
@@ -123,6 +130,14 @@ PLANS = {
                 '</body>', '</html>', '') AS stub_html FROM r""",
         ),
     ),
+    "movable_pages": Plan(
+        kept_pages,
+        with_sql(
+            SITE_PAGES_SQL,
+            select="""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '/kept-' || (page_id % 4) || '.html' ELSE path END AS path
+              FROM site WHERE NOT (page_id % 3 = 0 AND page_id % 4 < 3)""",
+        ),
+    ),
     "sitemap_locs": Plan(
         sitemap_locs, r"SELECT page_id, regexp_replace(url, '\.html$', '/') AS loc FROM pages"
     ),
