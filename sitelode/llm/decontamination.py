@@ -281,5 +281,22 @@ def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL_DECONTAMINATION = f"""
+WITH b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS size,
+  unnest([array_to_string(w[i:i + {WINDOW - 1}], ' ') FOR i IN range(1, greatest(2, len(w) - {WINDOW - 2}))]) AS text FROM b WHERE len(w) > 0),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+windows AS (SELECT r, size, [array_to_string(w[i:i + size - 1], ' ') FOR i IN range(1, len(w) - size + 2)] AS ts
+  FROM d, (SELECT DISTINCT size FROM items)),
+found AS (SELECT r, i, size, item_id FROM (SELECT r, size, unnest(ts) AS text, unnest(range(1, len(ts) + 1)) AS i FROM windows) JOIN items USING (size, text)),
+hit AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS j FROM found) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
 QUERIES = {"op6_decontamination": op6_decontamination}
-SQL: dict[str, str] = {}
+SQL = {"op6_decontamination": SQL_DECONTAMINATION}

@@ -356,5 +356,17 @@ def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return cut_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+SQL_SUBSTRINGS = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT r, [md5(array_to_string(w[i:i + {WINDOW - 1}], ' ')) FOR i IN range(1, len(w) - {WINDOW - 2})] AS hs FROM d WHERE len(w) >= {WINDOW}),
+u AS (SELECT r, unnest(hs) AS h, unnest(range(1, len(hs) + 1)) AS i FROM h),
+twice AS (SELECT h FROM u GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, i + k AS j FROM (SELECT r, i FROM u SEMI JOIN twice USING (h)), (SELECT unnest(range(0, {WINDOW})) AS k)),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS kept, count(*) AS n
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
 QUERIES = {"op4_substrings": op4_substrings}
-SQL: dict[str, str] = {}
+SQL = {"op4_substrings": SQL_SUBSTRINGS}

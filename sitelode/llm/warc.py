@@ -294,8 +294,17 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     arcs = arc_archives(table(spark, folder, "pages"), shared_folder(spark, "arc"))
-    return read_warc(spark, converted(spark, arcs, shared_folder(spark, "warc")))
+    found = read_warc(spark, converted(spark, arcs, shared_folder(spark, "warc")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+SQL_WARC = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, row_number() OVER o AS n, first_value(page_id) OVER o AS top FROM p
+  WINDOW o AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= {LEAST} AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= {LEAST} AND n > 1 THEN top END AS refers_to FROM r
+"""
+
 QUERIES = {"op1_warc": op1_warc}
-SQL: dict[str, str] = {}
+SQL = {"op1_warc": SQL_WARC}
