@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import tempfile
 import time
 
 from sitelode.plans import PLANS
@@ -40,10 +41,14 @@ HEADLINE = (
     "link_targets",
     "migrated_pages",
     "missing_assets",
-    "audit_summary",
-    "reference_counts",
     "page_bylines",
     "related_items",
+    "reference_counts",
+    "audit_summary",
+    "stream_gated_events",
+    "stream_first_posts",
+    "stream_scored_submissions",
+    "stream_pain_points",
 )
 
 
@@ -51,13 +56,18 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES", "").split(",") if os.environ.get("BENCH_QUERIES") else HEADLINE
-    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
+    shared = tempfile.mkdtemp(prefix="sitelode-bench-")
+    spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, **{"spark.checkpoint.dir": shared})
     PLANS["submissions_scored"].run(spark, folder).write.format("noop").mode("overwrite").save()
-    seconds = {}
+    seconds, again = {}, {}
     for name in names:
-        started = time.perf_counter()
-        PLANS[name].run(spark, folder).write.format("noop").mode("overwrite").save()
-        seconds[name] = round(time.perf_counter() - started, 3)
+        for took in (seconds, again):
+            # The second run tells work from compilation; streams are run once.
+            if took is again and name.startswith("stream_"):
+                continue
+            started = time.perf_counter()
+            PLANS[name].run(spark, folder).write.format("noop").mode("overwrite").save()
+            took[name] = round(time.perf_counter() - started, 3)
     scale = re.search(r"sf([0-9.]+)", folder)
     print(
         json.dumps(
@@ -66,6 +76,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "again": again,
                 "sf": float(scale[1]) if scale else None,
             }
         )

@@ -37,3 +37,13 @@ def test_entry_point():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(PLANS) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    ("name", "scans"),
+    [("gated_events", 1), ("event_totals", 1), ("series_navigation", 2), ("series_cards", 2), ("reference_counts", 2), ("related_items", 2), ("image_dimensions", 4)],
+)
+def test_a_plan_reads_its_table_no_more_often(spark, name, scans):
+    plan = PLANS[name].run(spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("FileScan parquet") <= scans
+    assert "ResolvedHint" not in plan and "Window" not in plan or name.startswith("series")
