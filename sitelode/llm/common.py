@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -50,9 +52,22 @@ def fold(doc_id: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def sampled(rows: DataFrame, order: Column, most: int) -> DataFrame:
-    """At most ``most`` rows, those of the smallest hash: a fixed choice that doesn't depend on partitions."""
-    return rows.orderBy(order, *[F.col(c) for c in rows.columns]).limit(most)
+def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
+    """At most ``most`` rows of different hashes in the column ``order``, the smallest ones.
+
+    A fixed choice that doesn't depend on partitions. Of many rows only those below a bound on the hash are sorted, so
+    tasks send little more than what is kept, however many there are.
+    """
+    n = rows.select(order).count()
+    if n > 2 * most:
+        rows = rows.where(F.col(order) < int((1.25 * most / n - 0.5) * 2**64))
+    return rows.dropDuplicates([order]).orderBy(order).limit(most)
+
+
+def kept_in_worker(name: str) -> dict:
+    """A dictionary that outlives the task: a Python worker runs one task after another, and each brings its own code."""
+    module = sys.modules.setdefault("sitelode_worker", types.ModuleType("sitelode_worker"))
+    return module.__dict__.setdefault(name, {})
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

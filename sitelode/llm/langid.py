@@ -188,7 +188,8 @@ def learned(documents: DataFrame, held_out: Column, id_column: str = "doc_id", t
     """A model trained on at most ``most`` documents that have a language and are not held out."""
     text = F.col(text_column).cast("string")
     rows = documents.where(~held_out & F.col(lang_column).isNotNull() & text.isNotNull())
-    found = sampled(rows.select(text.alias("text"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), text).alias("order")), F.col("order"), most).collect()
+    kept = rows.select(text.alias("text"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), text).alias("order"))
+    found = sampled(kept, "order", most).collect()
     return train([r["text"] for r in found], [r["lang"] for r in found])
 
 

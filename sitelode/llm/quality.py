@@ -229,7 +229,7 @@ def labelled(
     if only is not None:
         marks = marks.where(F.col("label") == only)
     ids = documents.where(~held_out).select(F.col(id_column).alias("doc_id")).distinct().join(marks, "doc_id")
-    chosen = sampled(ids.withColumn("order", F.xxhash64("doc_id")), F.col("order"), most).select("doc_id", "label")
+    chosen = sampled(ids.withColumn("order", F.xxhash64("doc_id")), "order", most).select("doc_id", "label")
     rows = documents.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     # At most ``most`` ids and labels are broadcast.
     return rows.join(F.broadcast(chosen), "doc_id")
