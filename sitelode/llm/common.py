@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Texts are worked on in blocks of about this many bytes, whatever an Arrow batch holds; one longer text is one block.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
