@@ -145,6 +145,23 @@ def replace_segments(
     return F.array_join(joined, "")
 
 
+def counted_segments(text: Column, pattern: str, edit: Callable[[Column], Column]) -> Column:
+    """``struct<html, count>``: matches replaced by ``edit(match)``, where that isn't null, and how many were.
+
+    The pattern is looked for once, and each match is edited once.
+    """
+
+    def put(found: Column) -> Column:
+        def joined(new: Column) -> Column:
+            kept = F.zip_with(found, new, lambda m, e: F.coalesce(e, m))
+            whole = F.zip_with(F.split(text, pattern, -1), kept, lambda rest, m: F.concat(rest, F.coalesce(m, F.lit(""))))
+            return F.struct(F.array_join(whole, "").alias("html"), F.size(F.array_compact(new)).alias("count"))
+
+        return bind(F.transform(found, edit), joined)
+
+    return bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), put)
+
+
 def replace_outside(text: Column, protected: str, edit: Callable[[Column], Column]) -> Column:
     """Apply ``edit`` everywhere except inside matches of ``protected``."""
     rest = F.split(text, protected, -1)

@@ -19,6 +19,7 @@ from sitelode.functions.text import (
     at_last,
     bind,
     count_literal,
+    counted_segments,
     quote_pattern,
     quote_replacement,
     replace_first,
@@ -53,9 +54,14 @@ class Rule:
     def edit(self, html: Column) -> Edit:
         raise NotImplementedError
 
+    def both(self, html: Column) -> Column | None:
+        """``struct<html, count>`` from one pass, where a rule has such a form."""
+        return None
+
     def step(self, html: Column) -> Column:
         """``struct<html, status, n_repl>``; the tests run cheap to dear, and stop at the first hit."""
         edit = self.edit(html)
+        both = self.both(html)
 
         def result(text: Column, status: Column | str, count: Column) -> Column:
             return F.struct(text.alias("html"), as_col(status).alias("status"), count.cast("int").alias("n_repl"))
@@ -63,16 +69,17 @@ class Rule:
         none = F.lit(0)
         unmatched = result(html, NO_MATCH, none)
 
-        def applied(n: Column) -> Column:
+        def applied(n: Column, html_new: Column) -> Column:
             changed = bind(
-                edit.html,
+                html_new,
                 lambda new: F.when(new.eqNullSafe(html), result(html, UNCHANGED, none)).otherwise(
                     result(new, UPDATED, n)
                 ),
             )
             return F.when(n == 0, unmatched).otherwise(changed)
 
-        out = F.when(~F.coalesce(edit.found, F.lit(False)), unmatched).otherwise(bind(edit.count, applied))
+        worked = bind(edit.count, lambda n: applied(n, edit.html)) if both is None else bind(both, lambda b: applied(b["count"], b["html"]))
+        out = F.when(~F.coalesce(edit.found, F.lit(False)), unmatched).otherwise(worked)
         if self.guard is not None:
             out = F.when(F.contains(html, F.lit(self.guard)), result(html, ALREADY, none)).otherwise(out)
         if self.scope is not None:
@@ -196,19 +203,17 @@ class ReplaceByKey(Rule):
     values: Mapping[str, str]
     build: Callable[[Column, Column], Column]
 
-    def edit(self, html: Column) -> Edit:
+    def both(self, html: Column) -> Column:
         table = F.create_map(*[F.lit(x) for pair in self.values.items() for x in pair])
 
         def value(match: Column) -> Column:
             return F.try_element_at(table, F.regexp_extract(match, self.pattern, self.key_group))
 
-        new = replace_segments(
-            html, self.pattern, lambda m: F.when(value(m).isNull(), m).otherwise(self.build(m, value(m)))
-        )
-        known = F.size(
-            F.filter(F.regexp_extract_all(html, F.lit(self.pattern), F.lit(0)), lambda m: value(m).isNotNull())
-        )
-        return Edit(new, F.lit(True), known)
+        return counted_segments(html, self.pattern, lambda m: bind(value(m), lambda v: F.when(v.isNotNull(), self.build(m, v))))
+
+    def edit(self, html: Column) -> Edit:
+        both = self.both(html)
+        return Edit(both["html"], F.lit(True), both["count"])
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -232,12 +237,13 @@ class EditMatches(Rule):
                 lambda parts: F.concat(F.get(parts, F.lit(0)), self.change(match), F.get(parts, F.lit(1))),
             )
             return Edit(new, hinted & match.isNotNull(), F.lit(1))
-        changed = F.size(
-            F.filter(
-                F.regexp_extract_all(html, F.lit(self.pattern), F.lit(0)), lambda m: ~self.change(m).eqNullSafe(m)
-            )
-        )
-        return Edit(replace_segments(html, self.pattern, self.change), hinted, changed)
+        both = self.both(html)
+        return Edit(both["html"], hinted, both["count"])
+
+    def both(self, html: Column) -> Column | None:
+        if self.first:
+            return None
+        return counted_segments(html, self.pattern, lambda m: bind(self.change(m), lambda c: F.when(~c.eqNullSafe(m), c)))
 
 
 @dataclass(frozen=True, kw_only=True)
