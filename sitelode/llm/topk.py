@@ -28,6 +28,8 @@ K = 5
 QUERIES_PER_BLOCK = 4096
 LONGEST = 2048
 STEP = 512
+# Pairs whose vectors are gathered together.
+PIECE = 1 << 14
 # Rotated components that are summed first.
 PARTS = (8, 24)
 # Bounds are raised by this share of the lengths for what floating point may lose.
@@ -96,6 +98,14 @@ def lengths(rotated: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.linalg.norm(rotated, axis=1), [np.linalg.norm(rotated[:, p:], axis=1) for p in PARTS]
 
 
+def products(queries: np.ndarray, some: np.ndarray, candidates: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of the pairs i, j; whole numbers stay exact. Many pairs are taken from all, few are done in pieces."""
+    if 8 * len(i) > len(some) * len(candidates):
+        return (queries[some] @ candidates.T)[i, j]
+    parts = [np.einsum("ij,ij->i", queries[some[i[k : k + PIECE]]], candidates[j[k : k + PIECE]]) for k in range(0, len(i), PIECE)]
+    return np.concatenate(parts)
+
+
 def scan(block: Block, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and score of what may be among a query's k best; ``block.best`` rises.
 
@@ -122,7 +132,7 @@ def scan(block: Block, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -
         i, j = np.nonzero(alive & (block.ids[some][:, None] != ids[here][None, :]))
         if not len(i):
             continue
-        exact = np.einsum("ij,ij->i", block.vectors[some[i]], vectors[here][j])
+        exact = products(block.vectors, some, vectors[here], i, j)
         query, place, score = np.concatenate([query, some[i]]), np.concatenate([place, low + j]), np.concatenate([score, exact])
         kept = block.top(ids[place], score, query)
         query, place, score = query[kept], place[kept], score[kept]
