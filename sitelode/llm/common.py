@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
-import types
 import uuid
 from collections.abc import Iterator
 
@@ -64,12 +62,6 @@ def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
     return rows.dropDuplicates([order]).orderBy(order).limit(most)
 
 
-def kept_in_worker(name: str) -> dict:
-    """A dictionary that outlives the task: a Python worker runs one task after another, and each brings its own code."""
-    module = sys.modules.setdefault("sitelode_worker", types.ModuleType("sitelode_worker"))
-    return module.__dict__.setdefault(name, {})
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array, and where each text begins (one more than there are texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):

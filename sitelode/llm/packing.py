@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelode.llm.common import blocks, checkpointed, kept_in_worker, mixed, table
+from sitelode.llm.common import blocks, checkpointed, mixed, table
 
 SIZE = 4096
 END = 2
 GROUP_PIECES = 2048
-# Token ids of short words are kept in a worker, up to this many words (some 200 bytes each).
-KEPT_WORDS = 800_000
+# Token ids of short words are kept in a task, up to this many words (some 200 bytes each).
+KEPT_WORDS = 700_000
 KEPT_BYTES = 48
 # Neither letters, digits nor white space, and not the apostrophe, which the vocabulary's pattern treats apart.
 MARKS = r""".,;:!?%&$#*|()[]{}-_=+/\"<>@^~`"""
@@ -45,8 +45,8 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[bytes, bytes] = kept_in_worker(f"words of {path}")
-        self.plain: dict[str, bytes] = kept_in_worker(f"letters of {path}")
+        self.known: dict[bytes, bytes] = {}
+        self.plain: dict[str, bytes] = {}
 
     def encoded(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
