@@ -22,10 +22,8 @@ from pyspark.sql import functions as F
 from sitelode.llm.common import LOWER, blocks, byte_table, fold, runs, table, word_hashes, words
 from sitelode.llm.quality import labelled
 
-# Labelled texts learned from, at most, toxic ones and others, and the windows of all of them that are looked at in
-# training, at most (a random choice where there are more); scoring has no such bounds.
+# Labelled texts learned from, at most, toxic ones and others, each with all its windows; scoring has no such bound.
 SAMPLE = 1200
-TRAINING_WINDOWS = 30_000
 # Words of a window; the next one starts half a window later.
 LENGTH = 24
 STEP = 12
@@ -282,13 +280,12 @@ def train(texts: list[str], label: np.ndarray, seed: int = 11) -> Network | floa
     held[chars.astype(np.int64)] = 1
     net.w["chars"] *= held
     first, text = windows(some.firsts)
-    if len(first) > TRAINING_WINDOWS:
-        spread = np.unique(np.concatenate([np.searchsorted(text, np.arange(len(label))), rng.permutation(len(first))[:TRAINING_WINDOWS]]))
-        first, text = first[spread], text[spread]
     # The first choice of windows is by the likeliest word or stem in them.
     odds = np.maximum(np.append(0.0, word_odds)[looked_up(known, some.hashes)], np.append(0.0, stem_odds)[looked_up(stems, some.stems)])
-    at, real = places(some, first, text)
-    score = np.where(real, np.append(odds, -9.0)[at], -9.0).max(axis=0)
+    odds, score = np.append(odds, -9.0), np.empty(len(first))
+    for k in range(0, len(first), BATCH):
+        at, _ = places(some, first[k : k + BATCH], text[k : k + BATCH])
+        score[k : k + BATCH] = odds[at].max(axis=0)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
     beat = 0
     for turn in range(ROUNDS):

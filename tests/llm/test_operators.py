@@ -204,6 +204,29 @@ def test_network_slopes():
         assert abs((high - low) / 2e-2 - slope[place]) < 0.05 * abs(slope[place]) + 1e-4, name
 
 
+def test_training_sees_every_window(monkeypatch):
+    from sitelode.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    plainly = np.array([a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "nrst"])
+    clean = [" ".join(rng.choice(plainly, n)) for n in [450_000] + [60] * 40]
+    # The passage lies far behind the first window of its text.
+    toxic = [" ".join([*rng.choice(plainly, 300), "vile", "scum", *rng.choice(plainly, 200)]) for _ in range(40)]
+    bad = toxicity.read(np.frombuffer(b"vile", np.uint8), np.array([0, 4])).hashes[0]
+    slopes, apart, learned, seen = toxicity.Network.slopes, toxicity.Network.logits_apart, [], []
+
+    def watched(net, some, inputs, at, real, label):
+        learned.extend(bad in some.hashes[a:b] for a, b, y in zip(some.firsts[:-1], some.firsts[1:], label, strict=True) if y)
+        return slopes(net, some, inputs, at, real, label)
+
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    monkeypatch.setattr(toxicity.Network, "slopes", watched)
+    monkeypatch.setattr(toxicity.Network, "logits_apart", lambda net, some, first, text: (seen.append(len(first)), apart(net, some, first, text))[1])
+    toxicity.train(toxic + clean, np.repeat([1, 0], [len(toxic), len(clean)]))
+    assert learned and all(learned)
+    assert seen == [sum(max(1, -(-(len(t.split()) - toxicity.LENGTH) // toxicity.STEP) + 1) for t in toxic + clean)]
+
+
 def test_automaton_counts():
     from sitelode.llm.substrings import Automaton
 
