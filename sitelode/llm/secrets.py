@@ -2,7 +2,8 @@
 
 A value's guess cost is the least, over all ways to cut it into known words, dates, repeats, sequences, keyboard walks
 and brute force, of the product of the parts' guesses: dynamic programming over cut points. Values that cost at least
-``BITS`` are secrets, besides what the patterns find.
+``BITS`` are secrets, besides what the patterns find. That holds for values of letters only, too: common words cost
+little, while a rare or foreign word of eight letters or more, or a passage without blanks, counts as a secret there.
 
 Cases: a null text counts as empty and has no span; a value longer than ``WHOLE`` characters is cut into pieces of
 that length and costs the sum of theirs, so a long one takes linear time; repeated rows get equal rows, an empty table
@@ -27,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Credential words beyond those of the assign pattern, and how a value may follow one.
 CONTEXT = re.compile(
     r"""(?i:(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|pass|secret|token|credentials?|auth|bearer|private_?key|access_?key|client_?secret|api_?key|pin))"""
-    r"""(?:["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|\x20+(?i:is)\x20+)["']?([^\s"'<>,;|]{6,})""",
+    r"""(?:["']?[\x20\t]*(?:[:=]|=>|->)[\x20\t]*|\x20+(?i:is)\x20+|(?i:(?<=bearer))[\x20\t]+)["']?([^\s"'<>,;|]{6,})""",
     re.ASCII,
 )
 # What it takes, in bits, for a value to be a secret.
@@ -37,7 +38,45 @@ WHOLE = 64
 WORDS = (
     "password admin login welcome user test guest root master secret token example dragon monkey letmein shadow sunshine princess football baseball "
     "hello love summer winter spring autumn january february march april june july august september october november december monday tuesday friday "
-    "your here none null true false default change changeme placeholder sample value string text key name company server home"
+    "your here none null true false default change changeme placeholder sample value string text key name company server home "
+    # Words of common prose, which may follow a credential word, too.
+    "required optional invalid incorrect correct wrong missing empty expired valid unknown unset undefined hidden visible stored saved encrypted "
+    "decrypted hashed salted protected disabled enabled generated provided supplied needed accepted rejected denied allowed forbidden public "
+    "private secure insecure strong weak short long random unique temporary temporarily permanent permanently personal shared sensitive confidential known forgotten "
+    "changed updated reset revoked rotated removed deleted created issued used unused reused exposed leaked stolen compromised validated verified "
+    "checked tested authentication authenticated authenticate authorization authorized authorize unauthorized credential credentials certificate "
+    "certificates account accounts administrator username identity session sessions service services servers client clients application "
+    "applications browser device devices computer network website domain email address addresses number numbers letter letters character "
+    "characters digit digits symbol symbols phrase sentence paragraph section chapter document documents documentation information content "
+    "message messages database table tables record records field fields column columns header headers footer request requests response responses "
+    "parameter parameters argument arguments variable variables function functions method methods object objects class classes module modules "
+    "package packages library libraries program programs system systems software hardware machine environment production development staging "
+    "testing configuration configure configured setting settings option options property properties attribute attributes element elements format "
+    "length size type types input output result results error errors warning warnings failure success successful successfully status state active "
+    "inactive available unavailable supported unsupported implemented deprecated obsolete current previous following different another other "
+    "others something anything everything nothing someone anyone everyone nobody always never sometimes usually often already still again before "
+    "after during between against without within through because therefore however although whether either neither several many more most less "
+    "least some every each these those that this there where which while what when whose they their them then than have having been being would "
+    "could should might must shall will also only even just very much such same both into onto from with about above below under over upon until "
+    "since though please remember enter choose select typed click press submit confirm continue cancel return follow include includes included "
+    "contain contains contained exclude excluded replace replaced remove changes update create delete insert store save load read write send "
+    "receive received sent show shown display displayed hide print copy paste open close closed start started stop stopped begin finish finished "
+    "complete completed incomplete pending waiting ready possible impossible necessary unnecessary important recommended suggested preferred "
+    "expected unexpected specified unspecified defined described mentioned explained discussed considered assumed called named given taken made "
+    "done found lost kept left held told said asked answered written spoken heard seen looked watched thought believed understood learned taught "
+    "tried failed passed broken fixed solved simple simply easy easily difficult hard complex complicated general generally special specific "
+    "specifically particular particularly certain certainly probably perhaps maybe actually really exactly nearly almost enough entirely "
+    "completely totally partially automatically manually regularly frequently immediately eventually finally originally previously currently "
+    "recently typically normally commonly good better best great small large larger largest little high higher highest lower lowest first second "
+    "third last next early late later latest today tomorrow yesterday week weeks month months year years hour hours minute minutes seconds time "
+    "times date dates moment morning evening night person people member members owner owners manager employee employees customer customers "
+    "companies organization department government country countries city cities world school university student students teacher teachers family "
+    "friend friends father mother brother sister child children water fire earth light dark black white green blue yellow orange purple brown "
+    "house garden street window door kitchen chair music book books story stories history science language languages english spanish french "
+    "german article articles page pages paper papers picture pictures plain plaintext base encoded decoded encoding strings integer boolean float "
+    "array list dictionary tuple literal constant pointer examples samples dummy redacted masked omitted everywhere anywhere nowhere somewhere "
+    "horse battery staple cookie cookies cloud access control security policy policies permission permissions privilege privileges role roles "
+    "group groups"
 ).split()
 RANK = {word: i + 1 for i, word in enumerate(WORDS)}
 LONGEST = max(map(len, WORDS))
@@ -132,11 +171,14 @@ def spans(text: str) -> list[tuple[int, str, int]]:
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    for m in CONTEXT.finditer(text):
+    m = CONTEXT.search(text)
+    while m:
         value = m[1].rstrip(".)]}:!?")
-        # Prose after a credential word has letters only.
-        if len(value) >= 6 and not value.isalpha() and guess_bits(value) >= BITS:
+        secret = len(value) >= 6 and guess_bits(value) >= BITS
+        if secret:
             found.append((m.start(1), 3, m.start(1) + len(value)))
+        # A value that is none may be a credential word itself ("auth: Bearer ..."); only short ones cost so little.
+        m = CONTEXT.search(text, m.end() if secret else m.start(1))
     return [(start, KINDS[kind], end) for start, kind, end in sorted(found)]
 
 

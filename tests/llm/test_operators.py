@@ -92,6 +92,23 @@ def test_guesses():
     assert [(k, text[a:b]) for a, k, b in spans(text)] == [("guess", "xK9mQ2vL5pR8")]
 
 
+@pytest.mark.parametrize("before", ["pwd=", "passphrase: ", "private_key=", "access_key => ", "auth: ", "The passcode is ", "Authorization: Bearer ", "auth: Bearer ", "bearer token: ", "pass: token="])
+@pytest.mark.parametrize("value", ["XkqZvBnmRtLpWqHd", "qzjvkxwbfhgtmrnplcsdqzjxvkwbhfgtmrnplcsd", "xK9mQ2vL5pR8"])
+def test_letters_and_bearers_are_scored(before, value):
+    from sitelode.llm.secrets import spans
+
+    text = f"é {before}{value}, and more"
+    # A value may have the credential word before it in it ("pass: token=...").
+    assert any(k == "guess" and text[a:b].endswith(value) for a, k, b in spans(text))
+
+
+def test_prose_is_no_secret():
+    from sitelode.llm.secrets import spans
+
+    for word in "required incorrect authentication everything certificates temporarily unauthorized credentials dragonmonkey".split():
+        assert not spans(f"The passphrase is {word}. auth: {word}, bearer {word}")
+
+
 def test_secrets_are_masked(spark):
     from pyspark.sql import functions as F
 
