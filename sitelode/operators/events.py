@@ -93,40 +93,55 @@ def subscription_requests(submits: DataFrame) -> DataFrame:
     )
 
 
-DAY_MICROS = 86_400_000_000
+# A consent is found through nested spans of time, each of up to 2 ** STEP_BITS spans of the next finer level; the finest
+# are single microseconds. Levels are in bits of microseconds, and the coarsest spans (13 days) are listed per visitor.
+STEP_BITS = 10
+LEVELS = (0, 10, 20, 30, 40)
 
 
-def consent_days(consents: DataFrame) -> DataFrame:
-    """``visitor_id, day, changes, closing``: a visitor's consents of a day in order of time, and the last of them.
+def consent_nodes(consents: DataFrame) -> DataFrame:
+    """``visitor_id, level, bucket, parts``: for each span of time with consents, its parts that have any, in order.
 
-    Of two consents at one instant the refusal counts. Equal instants are merged before the shuffle.
+    A part is its number and the last state in it. Of two consents at one instant the refusal counts. No list grows with
+    a visitor's consents: a span has 1,024 parts at most, and a visitor one coarsest span for 13 days.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     given = consents.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id", at.alias("at")).agg(F.min("analytics").alias("ok"))
-    day = F.floor(F.col("at") / DAY_MICROS).alias("day")
-    changes = F.sort_array(F.collect_list(F.struct("at", "ok")))
-    return given.groupBy("visitor_id", day).agg(changes.alias("changes"), F.max_by("ok", "at").alias("closing"))
+    spans = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright("at", level).alias("part")) for level in LEVELS])
+    closing = (
+        given.select("visitor_id", "at", "ok", F.inline(spans)).groupBy("visitor_id", "level", "part").agg(F.max_by("ok", "at").alias("closing"))
+    )
+    bucket = F.when(F.col("level") < LEVELS[-1], F.shiftright("part", STEP_BITS)).otherwise(F.lit(0).cast("long"))
+    parts = F.sort_array(F.collect_list(F.struct("part", "closing")))
+    return closing.groupBy("visitor_id", "level", bucket.alias("bucket")).agg(parts.alias("parts"))
+
+
+def last_state(parts: str, end: Column) -> Column:
+    """The state in the last of the parts before ``end``, or null."""
+    return F.try_element_at(F.filter(parts, lambda p: p["part"] < end), F.lit(-1))["closing"]
 
 
 def gate_by_consent(events: DataFrame, consents: DataFrame) -> DataFrame:
     """Events whose visitor's latest consent at that time allows analytics.
 
-    A consent counts from its own instant on. Consents are few beside events, so they are gathered: the changes of a
-    visitor's day, and the state at the end of each day that has any. An event looks for the last change before it in
-    its own day, else for the last day before. The events are read once and meet the consents in joins by visitor,
-    which adaptive execution splits where one visitor holds much, even if all within a minute. Nothing is windowed.
+    A consent counts from its own instant on. An event meets at each level the span it lies in, and looks there for the
+    last part before its own (at the finest, up to its own); the finest level that has one decides. The events are read
+    once and joined by visitor and span, which adaptive execution splits where one visitor holds much, even if all
+    within a minute; each join adds one truth value to an event. Nothing is windowed.
     """
-    # Written once, as both lookups come from it.
-    days = checkpointed(consent_days(consents))
-    ended = F.sort_array(F.collect_list(F.struct("day", "closing")))
-    history = days.groupBy("visitor_id").agg(ended.alias("_ended"))
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    placed = events.withColumns({"_at": at, "_day": F.floor(at / DAY_MICROS)})
-    own = days.select("visitor_id", F.col("day").alias("_day"), F.col("changes").alias("_changes"))
-    met = placed.join(history, "visitor_id").join(own, ["visitor_id", "_day"], "left")
-    today = F.try_element_at(F.filter("_changes", lambda c: c["at"] <= F.col("_at")), F.lit(-1))["ok"]
-    before = F.try_element_at(F.filter("_ended", lambda d: d["day"] < F.col("_day")), F.lit(-1))["closing"]
-    return met.where(F.coalesce(today, before, F.lit(False))).select(*events.columns)
+    # Written once, as all levels come from it.
+    nodes = checkpointed(consent_nodes(consents))
+    met = events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
+    states = []
+    for level in reversed(LEVELS):
+        top = level == LEVELS[-1]
+        own = nodes.where(F.col("level") == level).select("visitor_id", *([] if top else [F.col("bucket").alias("_bucket")]), F.col("parts").alias("_parts"))
+        if not top:
+            met = met.withColumn("_bucket", F.shiftright("_at", level + STEP_BITS))
+        met = met.join(own, ["visitor_id"] if top else ["visitor_id", "_bucket"], "inner" if top else "left")
+        states.insert(0, f"_state{level}")
+        met = met.withColumn(states[0], last_state("_parts", F.shiftright("_at", level) + (0 if level else 1))).drop("_parts", "_bucket")
+    return met.where(F.coalesce(*states, F.lit(False))).select(*events.columns)
 
 
 def classify(interactions: DataFrame) -> DataFrame:

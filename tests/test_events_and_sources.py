@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import datetime as dt
 import json
 
@@ -91,6 +92,20 @@ def test_gate_over_days_and_a_busy_visitor(spark):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_gate_lists_no_more_for_a_busy_visitor(spark):
+    # One visitor's consents: 6,000 within a minute, some in steps of a microsecond, and others around 1970 and later.
+    micros = sorted({i * 10_007 for i in range(5000)} | set(range(30_000_000, 30_001_500)) | {-(10**15), -(10**13), 10**12, 4 * 10**13})
+    start = 1_767_225_600_000_000
+    allowed = spark.createDataFrame([("v", start + m, (m // 7) % 3 == 0) for m in micros], "visitor_id string, at long, analytics boolean")
+    allowed = allowed.select("visitor_id", F.timestamp_micros("at").alias("ts"), "analytics")
+    assert events.consent_nodes(allowed).agg(F.max(F.size("parts"))).head()[0] <= 1024
+    shown = [-(10**16), -(10**15), -(10**14), 0, 10**11, 10**13, 10**14, *range(-3, 60_000_000, 29_989), *range(29_999_990, 30_001_600, 7)]
+    clicked = spark.createDataFrame([("v", start + m, m) for m in shown], "visitor_id string, at long, m long")
+    got = events.gate_by_consent(clicked.select("visitor_id", F.timestamp_micros("at").alias("ts"), "m"), allowed)
+    want = [m for m in shown if (k := bisect.bisect_right(micros, m)) and (micros[k - 1] // 7) % 3 == 0]
+    assert sorted(r.m for r in got.collect()) == sorted(want)
+
+
 def test_submits(spark):
     data = [("v", at(0), True, " a@b.cd ", "https://own.ex/p", "T"), ("v", at(1), False, "a@b.cd", "https://own.ex/p", "T"), ("v", at(2), True, "bad", "https://own.ex/p", "T")]
     df = spark.createDataFrame(data, "visitor_id string, ts timestamp, is_subscribe_form boolean, email string, page_url string, page_title string")
