@@ -124,6 +124,42 @@ def archived(pages):
     return out
 
 
+def turn_hash(role, text):
+    return hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()[:32]
+
+
+def rebuilt(conversations, every=20, parts=4):
+    """The turns (role, text) of each conversation after the first ones are its donor's."""
+    own = {}
+    for r in conversations:
+        if r["conv_id"] is not None:
+            role, text = r["role"] or "", r["text"] or ""
+            own.setdefault(r["conv_id"], []).append(((r["turn"] is not None, r["turn"] or 0), turn_hash(role, text), role, text))
+    own = {c: [t[2:] for t in sorted(turns)] for c, turns in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % parts
+        out[c] = own.get(c - int(math.fmod(c, every)), [])[:h] + turns[h:]
+    return out
+
+
+def trie(sequences):
+    members = {}
+    for c, turns in sequences.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    own = {key: (len(m) - 1) * len(re.findall(BLANK, key[-1][1])) if key else 0 for key, m in members.items()}
+    children, leaves, saved = Counter(key[:-1] for key in members if key), Counter(), Counter()
+    for key in members:
+        for d in range(len(key) + 1):
+            leaves[key[:d]] += not children[key]
+            saved[key[:d]] += own[key]
+    return [
+        (min(m), len(key), min(members[key[:-1]]) if key else None, len(m), children[key], leaves[key], saved[key], sha256(",".join(str(c) for c in sorted(m) if len(sequences[c]) == len(key))))
+        for key, m in members.items()
+    ]
+
+
 def write(folder, name, columns, kinds):
     table = pa.table({c: pa.array(v, kinds[c]) for c, v in columns.items()})
     pq.write_table(table, f"{folder}/{name}.parquet", row_group_size=max(1, min(40, len(table))))
@@ -169,4 +205,9 @@ def odd_tables(folder, empty=False):
     pages = [(1, "http://a/b c", body), (2, None, body), (7, "", body), (7, "x", body), (None, "y", body), (3, "z", None), (4, "z", ""), (5, "u", "short"), (6, "v", "short"), (8, "w", "y" * 5_000_000), (9, "q", "z" * 999), (10, "q", "z" * 999), (11, "q", "z" * 1000), (12, "q", "z" * 1000)]
     pages = [] if empty else pages
     write(folder, "pages", {"page_id": [p[0] for p in pages], "url": [p[1] for p in pages], "html": [p[2] for p in pages], "name": ["clash"] * len(pages), "size": [1] * len(pages)}, {"page_id": pa.int64(), "url": pa.string(), "html": pa.string(), "name": pa.string(), "size": pa.int32()})
+    # A conversation without a donor, one that loses all its turns, equal turn numbers, long equal ones, ids below zero.
+    turns = [(c, t, role, text) for c in (0, 1, 2, 3, 7, 20, 21, 22, -5, -21) for t, role, text in [(None, None, "a b"), (1, "user", "x"), (1, "user", "y z"), (2, "bot", None)][: 1 + c % 4]]
+    turns += [(c, t, "user", f"turn {t} of many") for c in (40, 41, 42, 47) for t in range(37 - c % 20)] + [(41, 60, "user", "")] * 2 + [(None, 1, "user", "lost"), (65, 0, "", "\x1c\x85 é"), (66, -1, "", "")]
+    turns = [] if empty else turns
+    write(folder, "conversations", {**{c: [t[i] for t in turns] for i, c in enumerate(("conv_id", "turn", "role", "text"))}, "conv": ["clash"] * len(turns), "place": [1] * len(turns)}, {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string(), "conv": pa.string(), "place": pa.int32()})
     return str(folder)

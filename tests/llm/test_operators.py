@@ -193,6 +193,40 @@ def test_langid(spark, folder):
         assert np.mean([g[2] == true[g[0]] for g in got if g[1]]) > 0.95
 
 
+def test_trie(spark, folder):
+    assert result(spark, folder, "op13") == Counter(plain.trie(plain.rebuilt(plain.rows(folder, "conversations"))))
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 8])
+def test_trie_of_small_blocks(spark, tmp_path, monkeypatch, chunk):
+    """Conversations of many blocks, every level of the recursion above them, and names that count as crowded."""
+    from pyspark.sql import functions as F
+
+    from sitelode.llm import trie
+
+    monkeypatch.setattr(trie, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(trie, "PIECE_IDS", 2)
+    sequences = plain.rebuilt(plain.rows(plain.odd_tables(tmp_path), "conversations"))
+    turns = spark.createDataFrame([(c, i, *t) for c, turns in sequences.items() for i, t in enumerate(turns)], "c long, i long, role string, text string")
+    numbered = trie.numbered(trie.symbols(turns, "c", "i", "role", "text"))
+    nodes = trie.prefix_trie(numbered, spark.createDataFrame([(c,) for c in sequences], "conv long"), chunk)
+    columns = ["conv", "depth", "parent_conv", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    assert Counter(tuple(r) for r in nodes.select(columns).collect()) == Counter(plain.trie(sequences))
+    shifted = numbered.withColumn("conv", F.lit(7).cast("long")).where("place < 0")
+    assert trie.prefix_trie(shifted, shifted.select("conv"), chunk).count() == 0
+
+
+def test_turns_are_numbered_across_partitions(spark):
+    from sitelode.llm import trie
+
+    rows = spark.range(5000).selectExpr("CASE WHEN id < 4000 THEN 1L ELSE id % 7 END AS conv", "id AS turn", "cast('s' AS binary) AS symbol", "id AS words")
+    found = trie.numbered(rows.repartition(6)).collect()
+    by_conv = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r["conv"], r["words"])):
+        by_conv[r["conv"]].append(r["place"])
+    assert len(found) == 5000 and all(places == list(range(len(places))) for places in by_conv.values())
+
+
 def test_network_slopes():
     """Gradients against differences."""
     from sitelode.llm import toxicity
