@@ -227,6 +227,43 @@ def test_turns_are_numbered_across_partitions(spark):
     assert len(found) == 5000 and all(places == list(range(len(places))) for places in by_conv.values())
 
 
+def test_periodic(spark, folder):
+    assert result(spark, folder, "op12", "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256") == Counter(plain.periodic(plain.rows(folder, "documents")))
+
+
+def test_runs_of_odd_sequences():
+    """Small alphabets, nested periods, powers of powers, the sequence without cubes that defeats hashes modulo 2^64."""
+    from sitelode.llm.periodic import found_runs
+
+    rng = np.random.default_rng(6)
+    block = "abcabcabcabcd" * 5 + "aaaa" + "ab" * 9 + "a" * 50
+    texts = [list(rng.integers(0, k, n)) for k in (1, 2, 3) for n in (0, 1, 5, 6, 7, 40, 300)]
+    texts += [[ord(c) for c in block * k] for k in (1, 4)] + [[bin(i).count("1") % 2 for i in range(4096)]]
+    texts += [list(np.tile(rng.integers(0, 3, p), k)) + list(rng.integers(0, 3, 9)) for p in (1, 2, 5, 17, 60) for k in (3, 4, 7)]
+    for some in [*([t] for t in texts), texts]:
+        symbols = np.array([x for t in some for x in t], np.int64)
+        text = np.repeat(np.arange(len(some)), [len(t) for t in some])
+        firsts = np.cumsum([0, *map(len, some)])
+        start, end, period = found_runs(symbols, text)
+        got = [(int(a - firsts[text[a]]), int(b - a), int(q), int(text[a])) for a, b, q in zip(start, end, period, strict=True)]
+        assert got == [(*r, i) for i, t in enumerate(some) for r in plain.runs_of([int(x) for x in t])]
+
+
+def test_rules_derive_the_words():
+    """Each place of a rule holds the same words, and pairs of one rule stand twice until the balanced rest."""
+    from sitelode.llm.periodic import re_pair
+
+    rng = np.random.default_rng(7)
+    symbols, part = rng.integers(0, 4, 500), np.repeat([0, 1, 2], [200, 1, 299])
+    rules = re_pair(symbols, part)
+    for number, at in zip(rules.used, rules.at, strict=True):
+        length, place = rules.length[number], rules.place[number]
+        assert (symbols[at : at + length] == symbols[place : place + length]).all() and 0 < rules.left[number] < length
+        assert part[at] == part[at + length - 1]
+    # One symbol is left of each stretch.
+    assert len(rules.used) == len(symbols) - 3
+
+
 def test_network_slopes():
     """Gradients against differences."""
     from sitelode.llm import toxicity
