@@ -51,15 +51,18 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
-    """At most ``most`` rows of different hashes in the column ``order``, the smallest ones.
+    """At most ``most`` rows of different values in ``order``, a column of 64-bit hashes: those of the smallest hashes.
 
-    A fixed choice that doesn't depend on partitions. Of many rows only those below a bound on the hash are sorted, so
-    tasks send little more than what is kept, however many there are.
+    A fixed choice: it depends neither on partitions nor on how often a value is repeated. Of many rows only those below
+    a bound on the hash are told apart and sorted. The bound is a guess from the estimated number of different hashes,
+    and rises until enough lie below it.
     """
-    n = rows.select(order).count()
-    if n > 2 * most:
-        rows = rows.where(F.col(order) < int((1.25 * most / n - 0.5) * 2**64))
-    return rows.dropDuplicates([order]).orderBy(order).limit(most)
+    column, low, high = F.col(order), -(2**63), 2**63 - 1
+    different = rows.agg(F.approx_count_distinct(order)).first()[0]
+    bound = min(high, low + int(1.25 * most / max(1, different) * 2**64))
+    while bound < high and rows.where(column <= bound).select(order).distinct().count() < most:
+        bound = min(high, low + 4 * (bound - low))
+    return rows.where(column <= bound).dropDuplicates([order]).orderBy(order).limit(most)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

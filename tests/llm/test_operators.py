@@ -264,6 +264,116 @@ def test_rules_derive_the_words():
     assert len(rules.used) == len(symbols) - 3
 
 
+def test_personal(spark, folder):
+    got = list(result(spark, folder, "op11", "doc_id n_email n_ip n_card n_phone base_sha256 spans n_added").elements())
+    documents = plain.rows(folder, "documents")
+    assert Counter(g[:6] for g in got) == Counter(plain.personal(documents))
+    # What is added stands between base spans, which all stay.
+    want = Counter()
+    for d in documents:
+        want.update((d["doc_id"], f"{('email', 'ip', 'card', 'phone')[k]}:{a}:{b}") for a, k, b in plain.personal_spans(d["text"] or ""))
+    listed = Counter((g[0], s) for g in got for s in g[6].split(",") if s)
+    assert not want - listed and sum((listed - want).values()) == sum(g[7] for g in got)
+
+
+def test_base_patterns_on_odd_texts():
+    from sitelode.llm.personal import base_spans
+
+    rng = np.random.default_rng(8)
+    signs = list("aB0123456789..@@++--  ()%_é\n")
+    for _ in range(4000):
+        text = "".join(rng.choice(signs, rng.integers(0, 60)))
+        assert base_spans(text) == plain.personal_spans(text), text
+    for text in ["a@b.c@d.e@f.g", "1.2.3.4.5.6.7.8.9", "0000000001.2.3.4", "+1 2345678901234567", "4111-1111 1111-1111 1", "1" * 4000 + ".1.1.1"]:
+        assert base_spans(text) == plain.personal_spans(text), text
+
+
+def test_tags_are_the_best_sequence():
+    """Decoding against all sequences, likelihoods against their sum, gradients against differences."""
+    from itertools import product
+
+    from sitelode.llm import personal
+
+    rng = np.random.default_rng(9)
+    net = personal.Tagger.fresh(rng)
+    net.w = {k: rng.standard_normal(v.shape) * 0.5 for k, v in net.w.items()}
+    chars = rng.integers(1, 99, (4, 3))
+    scores, (move, first) = net.emissions(chars), net.transitions()
+    tags, gain = net.decoded(chars)
+    for w in range(3):
+        ways = {way: first[way[0]] + sum(scores[t, w, x] for t, x in enumerate(way)) + sum(move[a, b] for a, b in zip(way, way[1:], strict=False)) for way in product(range(personal.TAGS), repeat=4)}
+        best = max(ways, key=ways.get)
+        assert tuple(tags[:, w]) == best
+        assert abs(gain[:, w].sum() + first[best[0]] - first[0] - (ways[best] - ways[0, 0, 0, 0])) < 1e-3 + abs(first[best[0]] - first[0])
+        total = np.logaddexp.reduce(list(ways.values()))
+        loss, _ = net.slopes(chars[:, w : w + 1], tags[:, w : w + 1])
+        assert abs(loss - (total - ways[best])) < 1e-3
+    gold = np.array([[0, 1, 5], [0, 2, 0], [3, 2, 7], [4, 0, 8]])
+    _, slopes = net.slopes(chars, gold)
+    for name, slope in slopes.items():
+        place = np.unravel_index(int(np.argmax(np.abs(slope))), slope.shape)
+        kept = net.w[name][place]
+        net.w[name][place] = kept + 1e-3
+        high, _ = net.slopes(chars, gold)
+        net.w[name][place] = kept - 1e-3
+        low, _ = net.slopes(chars, gold)
+        net.w[name][place] = kept
+        assert abs((high - low) / 2e-3 - slope[place]) < 0.02 * abs(slope[place]) + 1e-3, name
+
+
+def test_spans_apart_are_the_best_choice():
+    from itertools import combinations
+
+    from sitelode.llm.personal import best_apart
+
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        spans = [(int(a), int(k), int(a + n), float(s)) for a, k, n, s in zip(rng.integers(0, 20, 7), rng.integers(0, 4, 7), rng.integers(1, 8, 7), rng.integers(-3, 9, 7), strict=True)]
+        score = {}
+        for s in spans:
+            score[s[:3]] = max(s[3], score.get(s[:3], s[3]))
+        got = best_apart(spans)
+        assert all(a[2] <= b[0] for a, b in zip(got, got[1:], strict=False))
+        apart = (c for n in range(8) for c in combinations(sorted(score), n) if all(a[2] <= b[0] for a, b in zip(c, c[1:], strict=False)))
+        assert sum(score[g] for g in got) == max(sum(score[s] for s in c) for c in apart)
+
+
+def test_respelled_spans_are_found():
+    """Held-out texts: what is spelled to escape the patterns is found whole, wherever it stands; clean texts have none."""
+    from sitelode.llm import personal
+
+    rng = np.random.default_rng(11)
+    letters, filler = list("abcdefghijklmnopqrstuvwxyz"), [x for d in plain.rows(DATA, "documents")[:100] for x in (d["text"] or "").split() if x.isalpha()]
+
+    def word(low=3, high=9):
+        return "".join(rng.choice(letters, rng.integers(low, high)))
+
+    def card():
+        digits = "".join(map(str, rng.integers(0, 10, 15)))
+        return next(digits + str(k) for k in range(10) if plain.luhn(digits + str(k)))
+
+    def value(kind):
+        a, b, c = (int(x) for x in rng.integers((200, 200, 1000), (999, 999, 9999)))
+        return [f"{word()}.{word()}@{word()}.{word(2, 4)}", ".".join(map(str, rng.integers(0, 256, 4))), card(), f"+1 ({a}) {b}-{c}"][kind]
+
+    def texts(n, respell):
+        for i in range(n):
+            kind = i % 4
+            span = personal.respelled(value(kind), kind, rng) if respell else value(kind)
+            before = " ".join(rng.choice(filler, rng.integers(0, 40)))
+            yield f"{before} {span} " + " ".join(rng.choice(filler, 20)), (len(before) + 1, kind, len(before) + 1 + len(span))
+
+    learnt = [personal.window_of(t[max(0, s[0] - 40) :], [(min(40, s[0]), s[1], s[2] - s[0] + min(40, s[0]))], respell, rng) for t, s in texts(800, False) for respell in (False, True)]
+    learnt += [personal.window_of(" ".join([*rng.choice(filler, 12), str(rng.integers(0, 10 ** int(rng.integers(1, 9))))]), [], False, rng) for _ in range(400)]
+    net = personal.train(np.array([c for c, _ in learnt]), np.array([t for _, t in learnt]))
+    held = list(texts(200, True))
+    found = personal.all_spans([t for t, _ in held], net)
+    # A respelled address may hold a shorter base span, which stays instead.
+    assert np.mean([s in f for (_, s), f in zip(held, found, strict=True)]) > 0.85
+    clean = [" ".join(rng.choice(filler, 60)) + f" {n} {n / 100} 2024-05-{n % 28 + 1:02d} 12:{n % 60:02d} v1.{n}.3 " for n in range(100)]
+    assert personal.all_spans(clean, net) == [plain.personal_spans(t) for t in clean]
+
+
 def test_network_slopes():
     """Gradients against differences."""
     from sitelode.llm import toxicity
