@@ -27,14 +27,17 @@ GROUP_PIECES = 2048
 KEPT_WORDS = 700_000
 KEPT_BYTES = 48
 # Neither letters, digits nor white space, and not the apostrophe, which the vocabulary's pattern treats apart.
+# Letters below this are lower-cased to letters and change with no mark behind them, but for one.
+LATIN_END, DOTTED = "\u0250", "\u0130"
 MARKS = r""".,;:!?%&$#*|()[]{}-_=+/\"<>@^~`"""
 
 
 class WordTokens:
     """Token ids of texts, word by word: no token of this vocabulary spans white space, so a word's ids are fixed.
 
-    A word of letters and then marks is encoded as the letters and the marks: the pattern parts them anyway. Many words
-    of letters are encoded as one text; the last token of each carries the vocabulary's end of word.
+    A word of Latin letters and then marks is encoded as the letters and the marks: the pattern parts them anyway. Many
+    words of letters are encoded as one text; the last token of each carries the vocabulary's end of word. Other scripts
+    and the dotted capital I, which lower-cases to a letter and a mark, are left to the tokenizer with what follows them.
     """
 
     def __init__(self, path: str):
@@ -67,7 +70,7 @@ class WordTokens:
         for raw in fresh:
             word = raw.decode("utf-8", "replace")
             letters = word.rstrip(MARKS)
-            if letters.isalpha():
+            if letters.isalpha() and max(letters) < LATIN_END and DOTTED not in letters:
                 parted.append((raw, letters.lower() if letters.isascii() else letters, word[len(letters) :]))
             else:
                 whole.append((raw, word))

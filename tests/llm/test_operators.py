@@ -59,6 +59,25 @@ def test_packing(spark, folder):
     assert waste <= 4096 + 0.1 * sum(p[2] for p in pieces)
 
 
+def token_texts(n, seed):
+    """Words of letters that change with case, marks, digits, scripts and spellings of special tokens, in odd order."""
+    rng = np.random.default_rng(seed)
+    parts = ["TATİLİ", "İ", "i̇", "ſ", "ß", "ẞ", "ǅ", "ŉ", "É", "e\u0301", "ñ", "Σ", "क़", "가", "각", "日本", "ｶﾞ", "ﬁ", "Å", "don't", "we'LL", "'S", "x1y2", "١٢", "½", "<|endoftext|>", "<|", "|>", "\u00a0", "\u2028", "\x1c", "\ufffd", "🙂"]
+    parts += list(".,;:!?%&$#*|()[]{}-_=+/<>@^~`\"'") + ["abc", "Word", "THE", "zzz"] + [" ", "\n", "\t"] * 4
+    return ["".join(rng.choice(parts, rng.integers(1, 14))) for _ in range(n)]
+
+
+def test_word_tokens_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from sitelode.llm.packing import WordTokens, tokenizer_path
+
+    tokenizer, coder = Tokenizer.from_file(tokenizer_path()), WordTokens(tokenizer_path())
+    texts = ["TATİLİ.", "İ,", "İstanbul'da", *token_texts(10_000, 12)]
+    for text, ids in zip(texts, coder.ids([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_topk(spark, folder):
     assert result(spark, folder, "op3") == Counter(plain.top(plain.rows(folder, "embeddings")))
 
