@@ -6,9 +6,10 @@ bound is below its k-th best. Queries come in blocks of fixed size, each block o
 longest candidates give every query a first k-th best. What is left is scored in whole numbers.
 
 Cases: a vector that is null, or holds null or a number that isn't finite, takes no part; nor does a row without an id;
-vectors of fewer components count as if zeros followed; rows equal in id and vector count once, and rows of one id with different vectors are candidates each
-and one query together; ties go to the smaller
-id; a query with fewer candidates than k gets them all, and an empty table gives no row.
+vectors of fewer components count as if zeros followed; a row is a query and a candidate of its own, also where it
+repeats another or shares its id, and only the row itself is no candidate of its query; ties go to the smaller id; a
+score beyond 64 bits counts as the greatest or least number of them; a query with fewer candidates than k gets them
+all, and an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ STEP = 512
 PIECE = 1 << 14
 # Rotated components that are summed first.
 PARTS = (8, 24)
+# Whole numbers and sums below these are exact in doubles, and in 64-bit integers.
+EXACT = float(1 << 53)
+LONG = float(1 << 62)
+GREATEST = (1 << 63) - 1
 # Bounds are raised by this share of the lengths for what floating point may lose.
 SLACK = 1e-9
 
@@ -42,10 +47,14 @@ def usable(vector: Column) -> Column:
 
 
 def integer_vectors(rows: DataFrame, id_column: str, vector_column: str, scale: int) -> DataFrame:
-    """``vec_id, vector`` of the rows that take part, each once."""
-    vector = F.transform(F.col(vector_column), lambda x: F.floor(F.lit(scale) * x.cast("double")))
+    """``vec_id, vector`` of the rows that take part: whole numbers as doubles, which beyond 2^53 all doubles are."""
+
+    def whole(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        return F.when(F.abs(scaled) < EXACT, F.floor(scaled).cast("double")).otherwise(scaled)
+
     taken = rows.where(F.col(id_column).isNotNull() & usable(F.col(vector_column)))
-    return taken.select(F.col(id_column).alias("vec_id"), vector.alias("vector")).distinct()
+    return taken.select(F.col(id_column).alias("vec_id"), F.transform(F.col(vector_column), whole).alias("vector"))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -80,8 +89,8 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
 class Block:
     """Queries of a block: rotated vectors, lengths of what follows each part, and each one's k-th best so far."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int):
-        self.ids, self.vectors, self.k = ids, vectors, k
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int):
+        self.rows, self.ids, self.vectors, self.k = rows, ids, vectors, k
         self.rotated = vectors @ turn
         self.lengths, self.rests = lengths(self.rotated)
         self.best = np.full(len(ids), -np.inf)
@@ -98,22 +107,37 @@ def lengths(rotated: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.linalg.norm(rotated, axis=1), [np.linalg.norm(rotated[:, p:], axis=1) for p in PARTS]
 
 
-def products(queries: np.ndarray, some: np.ndarray, candidates: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Products of the pairs i, j; whole numbers stay exact. Many pairs are taken from all, few are done in pieces."""
-    if 8 * len(i) > len(some) * len(candidates):
-        return (queries[some] @ candidates.T)[i, j]
-    parts = [np.einsum("ij,ij->i", queries[some[i[k : k + PIECE]]], candidates[j[k : k + PIECE]]) for k in range(0, len(i), PIECE)]
-    return np.concatenate(parts)
+def products(queries: np.ndarray, some: np.ndarray, candidates: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Products of the pairs i, j, exactly; ``most`` bounds each one's size.
+
+    Many pairs are taken from all, few are done in pieces. Doubles, 64-bit integers and Python's are used as the bounds
+    ask for; beyond 64 bits the result is at their end.
+    """
+    out = np.empty(len(i), np.int64)
+    plain = most < EXACT
+    if plain.all() and 8 * len(i) > len(some) * len(candidates):
+        return (queries[some] @ candidates.T)[i, j].astype(np.int64)
+    for kind, chosen in ((np.float64, plain), (np.int64, ~plain & (most < LONG)), (object, most >= LONG)):
+        at = np.flatnonzero(chosen)
+        for k in range(0, len(at), PIECE):
+            piece = at[k : k + PIECE]
+            left, right = queries[some[i[piece]]], candidates[j[piece]]
+            if kind is object:
+                sums = (sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(left.tolist(), right.tolist(), strict=True))
+                out[piece] = [max(-GREATEST, min(GREATEST, x)) for x in sums]
+            else:
+                out[piece] = np.einsum("ij,ij->i", left.astype(kind), right.astype(kind))
+    return out
 
 
-def scan(block: Block, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan(block: Block, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Query, candidate and score of what may be among a query's k best; ``block.best`` rises.
 
     The candidates are of falling length.
     """
     rotated = vectors @ turn
     length, rest = lengths(rotated)
-    query, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    query, place, score = (np.zeros(0, np.int64) for _ in range(3))
     for low in range(0, len(ids), STEP):
         here = slice(low, low + STEP)
         slack = SLACK * (block.lengths * length[low] + 1)
@@ -129,73 +153,74 @@ def scan(block: Block, ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray) -
             alive = partial + np.outer(rest_q[some], rest_c[here]) + slack[some, None] >= block.best[some, None]
             keep = alive.any(axis=1)
             some, partial, alive = some[keep], partial[keep], alive[keep]
-        i, j = np.nonzero(alive & (block.ids[some][:, None] != ids[here][None, :]))
+        i, j = np.nonzero(alive & (block.rows[some][:, None] != rows[here][None, :]))
         if not len(i):
             continue
-        exact = products(block.vectors, some, vectors[here], i, j)
+        exact = products(block.vectors, some, vectors[here], i, j, 1.001 * block.lengths[some[i]] * length[here][j])
         query, place, score = np.concatenate([query, some[i]]), np.concatenate([place, low + j]), np.concatenate([score, exact])
         kept = block.top(ids[place], score, query)
         query, place, score = query[kept], place[kept], score[kept]
         full = np.bincount(query, minlength=len(block.ids)) >= block.k
         least = np.full(len(block.ids), np.inf)
-        np.minimum.at(least, query, score)
+        np.minimum.at(least, query, score.astype(np.float64))
         block.best = np.where(full, np.maximum(block.best, least), block.best)
     return query, ids[place], score
 
 
 def searched(candidates: DataFrame, block: Block, turn: np.ndarray, width: int) -> DataFrame:
-    """``query_id, vec_id, score``: at most k rows for each query and task."""
+    """``query, query_id, vec_id, score``: at most k rows for each query and task."""
     context = candidates.sparkSession.sparkContext
-    sent = context.broadcast((block.ids, block.vectors, block.best, turn))
+    sent = context.broadcast((block.rows, block.ids, block.vectors, block.best, turn))
     k = block.k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, best, turn = sent.value
-        own = Block(ids, vectors, turn, k)
+        rows, ids, vectors, best, turn = sent.value
+        own = Block(rows, ids, vectors, turn, k)
         own.best = best.copy()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
-            held.append(scan(own, batch.column("vec_id").to_numpy(), matrix(batch.column("vector"), width), turn))
+            held.append(scan(own, batch.column("row").to_numpy(), batch.column("vec_id").to_numpy(), matrix(batch.column("vector"), width), turn))
         if held:
             query, vec, score = (np.concatenate(c) for c in zip(*held, strict=True))
             kept = own.top(vec, score, query)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[query[kept]]), pa.array(vec[kept]), pa.array(score[kept].astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_pydict({"query": rows[query[kept]], "query_id": ids[query[kept]], "vec_id": vec[kept], "score": score[kept]})
 
-    return candidates.select("vec_id", "vector").mapInArrow(run, "query_id long, vec_id long, score long")
+    return candidates.select("row", "vec_id", "vector").mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
 def top_products(rows: DataFrame, every: int, k: int = K, scale: int = 256, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k greatest products of each row whose id is divisible by ``every``."""
     spark = rows.sparkSession
     vectors = integer_vectors(rows, id_column, vector_column, scale)
-    length = F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    length = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     # By range of length, so that each task has candidates of falling length.
     ordered = vectors.withColumn("square", length).repartitionByRange(F.desc("square"), "vec_id").sortWithinPartitions(F.desc("square"), "vec_id")
-    candidates = checkpointed(ordered)
+    # Written with the number, so that a row keeps it.
+    candidates = checkpointed(ordered.withColumn("row", F.monotonically_increasing_id()))
     width = candidates.agg(F.max(F.size("vector"))).first()[0] or 0
     schema = "query_id long, rank int, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], schema)
     turn = rotation(candidates, width)
-    longest = candidates.orderBy(F.desc("square"), "vec_id").limit(LONGEST).select("vec_id", "vector").toArrow()
-    longest_ids, longest_vectors = longest.column("vec_id").to_numpy(), matrix(longest.column("vector"), width)
+    longest = candidates.orderBy(F.desc("square"), "vec_id").limit(LONGEST).select("row", "vec_id", "vector").toArrow()
+    longest_rows, longest_ids, longest_vectors = longest.column("row").to_numpy(), longest.column("vec_id").to_numpy(), matrix(longest.column("vector"), width)
     asked = F.col("vec_id") % every == 0
     n = candidates.where(asked).count()
     blocks = -(-n // QUERIES_PER_BLOCK)
     found = []
     for b in range(blocks):
         # Blocks are of bounded size on the driver, one at a time.
-        some = candidates.where(asked & (F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)).select("vec_id", "vector").orderBy("vec_id", "vector").toArrow()
+        some = candidates.where(asked & (F.pmod(F.xxhash64("row"), F.lit(blocks)) == b)).select("row", "vec_id", "vector").orderBy("row").toArrow()
         if not len(some):
             continue
-        block = Block(some.column("vec_id").to_numpy(), matrix(some.column("vector"), width), turn, k)
-        scan(block, longest_ids, longest_vectors, turn)
+        block = Block(some.column("row").to_numpy(), some.column("vec_id").to_numpy(), matrix(some.column("vector"), width), turn, k)
+        scan(block, longest_rows, longest_ids, longest_vectors, turn)
         found.append(searched(candidates, block, turn, width))
     if not found:
         return spark.createDataFrame([], schema)
     # Tasks have at most k rows of a query; the best k of these are the best.
     best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k)
-    ranked = reduce(DataFrame.unionByName, found).groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "one"))
+    ranked = reduce(DataFrame.unionByName, found).groupBy("query", "query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("place", "one"))
     return ranked.select("query_id", (F.col("place") + 1).alias("rank"), "one.vec_id", (-F.col("one.less")).alias("score"))
 
 
@@ -205,12 +230,12 @@ def op3_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL_TOPK = """
 WITH v AS (
-  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS vector FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS vector FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.vector, c.vector) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
-), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+  SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(coalesce(list_inner_product(list_resize(q.vector, greatest(len(q.vector), len(c.vector)), 0), list_resize(c.vector, greatest(len(q.vector), len(c.vector)), 0)), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 

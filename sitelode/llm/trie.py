@@ -298,11 +298,12 @@ def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL_TRIE = r"""
-WITH t AS (
-  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i,
-    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
+WITH a AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
   FROM conversations WHERE conv_id IS NOT NULL
+), t AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, s) - 1 AS i, s, words FROM a
 ), u AS (
   SELECT c, [ord(x) FOR x IN string_split(CAST(c AS VARCHAR), '')] AS codes FROM (SELECT DISTINCT c FROM t)
 ), v AS (

@@ -96,15 +96,15 @@ def fixed_secrets(documents):
 
 
 def top(embeddings, every=50, k=5):
-    vectors = {}
+    rows = []
     for e in embeddings:
         v = e["embedding"]
         if e["vec_id"] is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
-            vectors[e["vec_id"]] = [math.floor(256 * x) for x in v]
-    out = []
-    for q, v in vectors.items():
+            rows.append((e["vec_id"], [math.floor(256 * x) for x in v]))
+    out, most = [], 2**63 - 1
+    for n, (q, v) in enumerate(rows):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, c, strict=False)), i) for i, c in vectors.items() if i != q)[:k]
+            scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(v, c, strict=False)))), i) for m, (i, c) in enumerate(rows) if m != n)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return out
 
@@ -260,7 +260,7 @@ def odd_tables(folder, empty=False):
     write(folder, "labels", {"doc_id": [x[0] for x in labels], "quality": [x[1] for x in labels], "toxic": [x[2] for x in labels], "text": ["clash"] * len(labels)}, {"doc_id": pa.int64(), "quality": pa.int32(), "toxic": pa.int32(), "text": pa.string()})
     items = [] if empty else [(1, "Item words of a benchmark text, that are to be found in documents here"), (2, "short item"), (None, "one two three"), (3, None), (4, "..."), (2, "short item"), (5, PASSAGE), (10, PASSAGE)]
     write(folder, "benchmark", {"item_id": [x[0] for x in items], "text": [x[1] for x in items], "id": ["clash"] * len(items)}, {"item_id": pa.int64(), "text": pa.string(), "id": pa.string()})
-    vectors = [(50, [1.0, 0.5]), (0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [None, 1.0]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (None, [9.0, 9.0]), (7, [0.25]), (8, []), (9, [-0.001, 2.0]), (1, [0.5, 0.5]), (100, [0.0, 0.0])]
+    vectors = [(50, [1.0, 0.5]), (0, [0.5, 0.5]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, None), (4, [None, 1.0]), (5, [math.nan, 1.0]), (6, [math.inf, 1.0]), (None, [9.0, 9.0]), (7, [0.25]), (8, []), (9, [-0.001, 2.0]), (1, [0.5, 0.5]), (100, [0.0, 0.0]), (50, [1.0, 0.5]), (50, [-1.0, 0.25])]
     vectors = [] if empty else vectors
     write(folder, "embeddings", {"vec_id": [v[0] for v in vectors], "embedding": [v[1] for v in vectors], "score": [1] * len(vectors), "vector": ["clash"] * len(vectors)}, {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "score": pa.int32(), "vector": pa.string()})
     body = "<p>ñ WARC/1.1\r\n\r\nContent-Length: 5\r\n\r\n</p>" * 50

@@ -82,6 +82,17 @@ def test_topk(spark, folder):
     assert result(spark, folder, "op3") == Counter(plain.top(plain.rows(folder, "embeddings")))
 
 
+@pytest.mark.parametrize("size", [2e7, 3e9, 1e15, 3.4e38])
+def test_topk_of_large_components(spark, size):
+    from sitelode.llm.topk import top_products
+
+    rng = np.random.default_rng(13)
+    rows = [(i, [float(np.float32(x)) for x in rng.choice([-1, 1, 0.5, 1e-7, 1 / 3], 6) * rng.choice([size, 1.0, size / 7])]) for i in range(120)]
+    found = top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 10, 7)
+    want = plain.top([{"vec_id": i, "embedding": v} for i, v in rows], 10, 7)
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want)
+
+
 def test_substrings(spark, folder):
     assert result(spark, folder, "op4") == Counter(plain.repeats(plain.rows(folder, "documents")))
 
@@ -462,6 +473,14 @@ def test_automaton_counts():
             assert [mask >> i & 1 for i in range(len(text) - 3)] == [int(seen[text[i : i + 4]] > 1) for i in range(len(text) - 3)]
 
 
+@pytest.mark.parametrize("name", ["op3_topk", "op13_prefix_trie"])
+def test_sql_on_odd_tables(spark, tmp_path, name):
+    from oracle import connect, differences
+
+    odd = plain.odd_tables(tmp_path)
+    assert differences(QUERIES[name](spark, odd), connect(odd), SQL[name]) == []
+
+
 def test_sql(spark, oracle):
     from oracle import differences
 
