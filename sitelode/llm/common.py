@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Texts are worked on in blocks of about this many bytes, whatever an Arrow batch holds; one longer text is one block.
@@ -65,6 +65,28 @@ def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
     return rows.where(column <= bound).dropDuplicates([order]).orderBy(order).limit(most)
 
 
+def sampled_each(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:
+    """The same for each value of the column ``group``: at most ``most`` rows of different hashes, the smallest ones.
+
+    Bounds are a small table with a row per value, which rise until enough hashes lie below them in every group.
+    """
+    spread = 2.0**64
+    bounds = rows.groupBy(group).agg((F.least(F.lit(1.0), 1.25 * most / F.approx_count_distinct(order)) * spread - spread / 2).alias("bound"))
+    # Doubles that stand for the greatest hashes reach beyond them.
+    below = F.col(order).cast("double") <= F.col("bound")
+    while True:
+        bounds = rows.sparkSession.createDataFrame(bounds.toArrow()) if bounds.limit(1).count() else bounds
+        near = rows.join(bounds, group).where(below)
+        few = near.groupBy(group).agg(F.countDistinct(order).alias("n"), F.max("bound").alias("bound")).where((F.col("n") < most) & (F.col("bound") < spread / 2))
+        if not few.limit(1).count():
+            break
+        risen = F.least(F.lit(spread / 2), 4 * F.col("bound") + 1.5 * spread)
+        bounds = bounds.join(few.select(group, F.lit(True).alias("few")), group, "left").select(group, F.when(F.col("few"), risen).otherwise(F.col("bound")).alias("bound"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
+    # Groups are of little more than ``most`` rows by now.
+    return near.drop("bound").dropDuplicates([group, order]).withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string array, and where each text begins (one more than there are texts); null is empty."""
     if isinstance(column, pa.ChunkedArray):

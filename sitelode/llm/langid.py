@@ -1,15 +1,17 @@
 """Language of texts: averaged hashed subword embeddings under a linear softmax, with calibrated rejection.
 
-The model is trained on the driver by stochastic gradient descent on a bounded sample; scoring is local to a row and
-reads whole texts. Averaging and the last layer commute, so a subword is one row of a table.
+The model is trained on the driver by stochastic gradient descent on a bounded sample, drawn for each language from its
+different texts; the driver gets their counts of subwords, which have a bound however long a text is. Scoring is local
+to a row and reads whole texts. Averaging and the last layer commute, so a subword is one row of a table.
 
-Cases: a null text or one without a letter is ``und`` with score 0; so is every text if there was nothing to learn from;
+Cases: of languages of equal score the first by name is given; rows repeated any number of times are learned from once; a null text or one without a letter is ``und`` with score 0; so is every text if there was nothing to learn from;
 repeated rows get equal rows; a null doc_id is learned from and predicted like others; an empty table gives no row;
 columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import LOWER, blocks, fold, sampled, table
+from sitelode.llm.common import LOWER, blocks, fold, sampled_each, table
 
-# Documents learned from, at most; the size of an embedding; buckets of each subword length.
-SAMPLE = 3000
+# Documents of each language learned from, at most; the size of an embedding; buckets of each subword length.
+SAMPLE = 750
 WIDTH = 16
 LENGTHS = (2, 3, 4)
 BUCKET_BITS = 15
@@ -80,32 +82,25 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def examples(texts: list[str], rng: np.random.Generator) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Subwords and their shares of each text, whole and as two short pieces; the text each belongs to."""
-    out, of = [], []
-    for i, text in enumerate(texts):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        pieces = [raw]
-        for _ in range(2):
-            start = int(rng.integers(0, max(1, len(raw) - 20)))
-            pieces.append(raw[start : start + int(rng.integers(10, 120))])
-        for piece in pieces:
-            if len(piece):
-                rows, count = np.unique(subwords(piece), return_counts=True)
-                out.append((rows, (count / count.sum()).astype(np.float32)))
-                of.append(i)
-    return out, np.array(of, np.int64)
-
-
-def train(texts: list[str], langs: list[str], seed: int = 7) -> Model | None:
-    """A model of the languages in ``langs``; None if there are none."""
+def examples(text: str, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Subwords and their shares of a text as a whole and of two short pieces of it."""
+    rng = np.random.default_rng(seed)
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    pieces = [raw]
+    for _ in range(2):
+        start = int(rng.integers(0, max(1, len(raw) - 20)))
+        pieces.append(raw[start : start + int(rng.integers(10, 120))])
+    found = [np.unique(subwords(piece), return_counts=True) for piece in pieces if len(piece)]
+    return [(rows, (count / count.sum()).astype(np.float32)) for rows, count in found]
+
+
+def train(found: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, langs: list[str], seed: int = 7) -> Model | None:
+    """A model of the languages in ``langs``, the languages of some texts; ``found`` are their examples, ``of`` the text of each."""
     names = sorted(set(langs))
     if not names:
         return None
     rng = np.random.default_rng(seed)
-    target = np.searchsorted(names, langs)
-    found, of = examples(texts, rng)
-    label = target[of]
+    label = np.searchsorted(names, langs)[of]
     table = (rng.standard_normal((len(LENGTHS) << BUCKET_BITS, WIDTH)) * 0.1).astype(np.float32)
     last, bias = (rng.standard_normal((WIDTH, len(names))) * 0.3).astype(np.float32), np.zeros(len(names), np.float32)
     # Every tenth text is kept back, to calibrate on.
@@ -185,12 +180,24 @@ def identify(text: Column, model: Model | None) -> Column:
 
 
 def learned(documents: DataFrame, held_out: Column, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", most: int = SAMPLE) -> Model | None:
-    """A model trained on at most ``most`` documents that have a language and are not held out."""
+    """A model trained on at most ``most`` different documents of each language that are not held out."""
     text = F.col(text_column).cast("string")
-    rows = documents.where(~held_out & F.col(lang_column).isNotNull() & text.isNotNull())
+    rows = documents.where(~held_out & F.col(lang_column).isNotNull() & (F.length(text) > 0))
     kept = rows.select(text.alias("text"), F.col(lang_column).cast("string").alias("lang"), F.xxhash64(F.col(id_column), text).alias("order"))
-    found = sampled(kept, "order", most).collect()
-    return train([r["text"] for r in found], [r["lang"] for r in found])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            orders, langs = batch.column("order").to_pylist(), batch.column("lang").to_pylist()
+            for value, order, lang in zip(batch.column("text").to_pylist(), orders, langs, strict=True):
+                some = examples(value, order % 2**64)
+                yield pa.RecordBatch.from_pydict({"order": [order] * len(some), "lang": [lang] * len(some), "rows": [r.astype(np.int32).tobytes() for r, _ in some], "shares": [s.tobytes() for _, s in some]})
+
+    drawn = sampled_each(kept, "lang", "order", most)
+    got = sorted(drawn.mapInArrow(count, "order long, lang string, rows binary, shares binary").toArrow().to_pylist(), key=lambda r: (r["order"], r["lang"], -len(r["rows"]), r["rows"]))
+    texts = list(dict.fromkeys((r["order"], r["lang"]) for r in got))
+    place = {text: i for i, text in enumerate(texts)}
+    found = [(np.frombuffer(r["rows"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in got]
+    return train(found, np.array([place[r["order"], r["lang"]] for r in got], np.int64), [lang for _, lang in texts])
 
 
 def op10_langid(spark: SparkSession, folder: str) -> DataFrame:

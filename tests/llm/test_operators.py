@@ -404,6 +404,39 @@ def test_respelled_spans_are_found():
     assert personal.all_spans(clean, net) == [plain.personal_spans(t) for t in clean]
 
 
+def test_samples_depend_on_no_repeats(spark):
+    """A row repeated very often changes nothing; each group gives as many as asked for, or all it has."""
+    from pyspark.sql import functions as F
+
+    from sitelode.llm.common import sampled, sampled_each
+
+    rows = spark.range(4000).selectExpr("id", "CASE WHEN id % 1000 = 0 THEN 'rare' ELSE concat('l', id % 3) END AS lang", "xxhash64(id) AS order")
+    often = rows.unionByName(rows.where("id = 7").withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(300_000)))).drop("copies"))
+    for some in (rows, often):
+        assert {r["id"] for r in sampled(some, "order", 500).collect()} == {r["id"] for r in rows.orderBy("order").limit(500).collect()}
+        found = defaultdict(set)
+        for r in sampled_each(some, "lang", "order", 200).collect():
+            found[r["lang"]].add(r["id"])
+        for lang in ("rare", "l0", "l1", "l2"):
+            assert found[lang] == {r["id"] for r in rows.where(F.col("lang") == lang).orderBy("order").limit(200).collect()}
+    assert sampled(rows.limit(0), "order", 5).count() == sampled_each(rows.limit(0), "lang", "order", 5).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """Also one of very few documents, beside a row repeated more often than all others together."""
+    from pyspark.sql import functions as F
+
+    from sitelode.llm.langid import identify, learned
+
+    documents = spark.read.parquet(f"{DATA}/documents.parquet").where("lang IS NOT NULL").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-i, f"здравствуй мир {i} это текст", "ru") for i in range(1, 9)], "doc_id long, text string, lang string")
+    one = documents.where("length(text) > 0").limit(1).withColumn("copies", F.explode(F.sequence(F.lit(1), F.lit(20_000)))).drop("copies")
+    model = learned(documents.unionByName(rare).unionByName(one), F.lit(False))
+    assert model.langs == sorted({r["lang"] for r in documents.select("lang").distinct().collect()} | {"ru"})
+    found = rare.select(identify(F.col("text"), model)["lang_pred"].alias("l")).collect()
+    assert [r["l"] for r in found] == ["ru"] * 8
+
+
 def test_network_slopes():
     """Gradients against differences."""
     from sitelode.llm import toxicity
