@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -115,27 +115,23 @@ def occurrences(documents: DataFrame, window: int) -> DataFrame:
     return documents.mapInArrow(cut, schema)
 
 
-def key_filter(keys: DataFrame) -> Column:
-    """Whether a row's ``who`` may be among those of ``keys``: a bitmap of fixed size, gathered as at most 2^20 words."""
-    bit = F.col("who.key").bitwiseAND((1 << FILTER_BITS) - 1)
-    words_of = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(who.key & 63 AS int))").alias("bit"))
-    found = words_of.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bitmap[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
-    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
+def split_by(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose ``who`` may be among those of ``keys``, and those whose isn't.
 
-    def run(column: pa.Array) -> pa.Array:
-        low = column.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
-        return pa.array((sent.value[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool))
-
-    return F.arrow_udf(run, "boolean")(F.col("who.key"))
+    A bitmap of fixed size tells, 64 bits a row: at most 2^20 rows of two numbers, which are broadcast.
+    """
+    low = F.col("who.key").bitwiseAND((1 << FILTER_BITS) - 1)
+    word, bit = F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(who.key & 63 AS int))").alias("bit")
+    bits = F.broadcast(keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    known = rows.select("*", word, bit).join(bits, "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)))
+    return known.where("maybe").select(rows.columns), known.where("NOT maybe").select(rows.columns)
 
 
 def contents(documents: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """``anchor, content, n, times, symbols`` of chosen stretches: the hashes of their words, from one document with them."""
     listed = chosen.groupBy("who").agg(F.collect_set(F.struct("anchor", "content", "start", "n", "times")).alias("found"))
     # Rows of one ``who`` hold one text.
-    texts = documents.where(key_filter(chosen.select("who"))).groupBy("who").agg(F.first("text").alias("text"))
+    texts = split_by(documents, chosen.select("who"))[0].groupBy("who").agg(F.first("text").alias("text"))
     rows = texts.join(listed, "who").select("text", "found")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,10 +311,10 @@ def cut_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: st
         raise ValueError("a window has at most 69 words")
     rows = keyed(documents, id_column, text_column)
     found = repeated_windows(rows, window, crowded)
-    maybe = key_filter(found.select("who"))
     # Only texts that may have repeats are shuffled to their spans.
-    with_found = rows.where(maybe).join(found, "who", "left").select("who.doc_id", "text", "found")
-    without = rows.where(~maybe).select("who.doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
+    maybe, others = split_by(rows, found.select("who"))
+    with_found = maybe.join(found, "who", "left").select("who.doc_id", "text", "found")
+    without = others.select("who.doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
     schema = T.StructType(
         [with_found.schema["doc_id"]]
         + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())]
