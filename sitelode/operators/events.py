@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelode.functions.text import browser_trim
 from sitelode.functions.urls import is_external, url_path
 from sitelode.operators.scoring import email_valid
-from sitelode.operators.stages import checkpointed
+from sitelode.operators.timeline import filled_forward
 from sitelode.schemas import CONSENT_BODY
 
 MAX_LINK_TEXT = 100
@@ -93,55 +93,26 @@ def subscription_requests(submits: DataFrame) -> DataFrame:
     )
 
 
-# A consent is found through nested spans of time, each of up to 2 ** STEP_BITS spans of the next finer level; the finest
-# are single microseconds. Levels are in bits of microseconds, and the coarsest spans (13 days) are listed per visitor.
-STEP_BITS = 10
-LEVELS = (0, 10, 20, 30, 40)
-
-
-def consent_nodes(consents: DataFrame) -> DataFrame:
-    """``visitor_id, level, bucket, parts``: for each span of time with consents, its parts that have any, in order.
-
-    A part is its number and the last state in it. Of two consents at one instant the refusal counts. No list grows with
-    a visitor's consents: a span has 1,024 parts at most, and a visitor one coarsest span for 13 days.
-    """
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    given = consents.where(F.col("visitor_id").isNotNull()).groupBy("visitor_id", at.alias("at")).agg(F.min("analytics").alias("ok"))
-    spans = F.array(*[F.struct(F.lit(level).alias("level"), F.shiftright("at", level).alias("part")) for level in LEVELS])
-    closing = (
-        given.select("visitor_id", "at", "ok", F.inline(spans)).groupBy("visitor_id", "level", "part").agg(F.max_by("ok", "at").alias("closing"))
-    )
-    bucket = F.when(F.col("level") < LEVELS[-1], F.shiftright("part", STEP_BITS)).otherwise(F.lit(0).cast("long"))
-    parts = F.sort_array(F.collect_list(F.struct("part", "closing")))
-    return closing.groupBy("visitor_id", "level", bucket.alias("bucket")).agg(parts.alias("parts"))
-
-
-def last_state(parts: str, end: Column) -> Column:
-    """The state in the last of the parts before ``end``, or null."""
-    return F.try_element_at(F.filter(parts, lambda p: p["part"] < end), F.lit(-1))["closing"]
-
-
 def gate_by_consent(events: DataFrame, consents: DataFrame) -> DataFrame:
     """Events whose visitor's latest consent at that time allows analytics.
 
-    A consent counts from its own instant on. An event meets at each level the span it lies in, and looks there for the
-    last part before its own (at the finest, up to its own); the finest level that has one decides. The events are read
-    once and joined by visitor and span, which adaptive execution splits where one visitor holds much, even if all
-    within a minute; each join adds one truth value to an event. Nothing is windowed.
+    A consent counts from its own instant on; of two at one instant the refusal counts. Consents and events are one
+    timeline, sorted by visitor and time over all partitions, and each partition takes over the last state of its first
+    visitor from those before it: one shuffle of the rows, whatever a visitor holds. Equal events are told apart by a hash, so
+    that even one instant may be cut. Rows without a visitor or a time are not let through.
     """
-    # Written once, as all levels come from it.
-    nodes = checkpointed(consent_nodes(consents))
-    met = events.withColumn("_at", F.unix_micros(F.col("ts").cast("timestamp")))
-    states = []
-    for level in reversed(LEVELS):
-        top = level == LEVELS[-1]
-        own = nodes.where(F.col("level") == level).select("visitor_id", *([] if top else [F.col("bucket").alias("_bucket")]), F.col("parts").alias("_parts"))
-        if not top:
-            met = met.withColumn("_bucket", F.shiftright("_at", level + STEP_BITS))
-        met = met.join(own, ["visitor_id"] if top else ["visitor_id", "_bucket"], "inner" if top else "left")
-        states.insert(0, f"_state{level}")
-        met = met.withColumn(states[0], last_state("_parts", F.shiftright("_at", level) + (0 if level else 1))).drop("_parts", "_bucket")
-    return met.where(F.coalesce(*states, F.lit(False))).select(*events.columns)
+    own = F.struct(*events.columns)
+    none = F.lit(None)
+    known = F.col("visitor_id").isNotNull() & F.col("ts").isNotNull()
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    # At one instant: allowed, refused, then the events.
+    rank = F.when(F.coalesce(F.col("analytics"), F.lit(False)), 0).otherwise(1)
+    given = consents.where(known).select(
+        "visitor_id", at, rank.alias("rank"), F.lit(0).cast("long").alias("tie"), F.coalesce("analytics", F.lit(False)).alias("allowed"), none.cast(events.select(own.alias("e")).schema["e"].dataType).alias("event")
+    )
+    shown = events.where(known).select("visitor_id", at, F.lit(2).alias("rank"), F.xxhash64(*events.columns).alias("tie"), none.cast("boolean").alias("allowed"), own.alias("event"))
+    timeline = filled_forward(shown.unionByName(given), "visitor_id", ["at", "rank", "tie"], "allowed")
+    return timeline.where("event IS NOT NULL AND allowed").select("event.*")
 
 
 def classify(interactions: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import json
+from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitelode.operators import events, scoring
+from sitelode.operators.timeline import filled_forward
 from sitelode.schemas import CLICK, CONSENT, SITEMAP_URL, SUBMISSION, SUBMISSION_UPDATE
 from sitelode.session import work_dir
 from sitelode.sources import corpus, records
@@ -92,20 +95,51 @@ def test_gate_over_days_and_a_busy_visitor(spark):
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_gate_lists_no_more_for_a_busy_visitor(spark):
-    # One visitor's consents: 6,000 within a minute, some in steps of a microsecond, and others around 1970 and later.
+def test_gate_of_a_busy_visitor(spark):
+    """Half of all rows are one visitor's, some in steps of a microsecond, and others around 1970 and later."""
     micros = sorted({i * 10_007 for i in range(5000)} | set(range(30_000_000, 30_001_500)) | {-(10**15), -(10**13), 10**12, 4 * 10**13})
     start = 1_767_225_600_000_000
     allowed = spark.createDataFrame([("v", start + m, (m // 7) % 3 == 0) for m in micros], "visitor_id string, at long, analytics boolean")
     allowed = allowed.select("visitor_id", F.timestamp_micros("at").alias("ts"), "analytics")
-    assert events.consent_nodes(allowed).agg(F.max(F.size("parts"))).head()[0] <= 1024
     shown = [-(10**16), -(10**15), -(10**14), 0, 10**11, 10**13, 10**14, *range(-3, 60_000_000, 29_989), *range(29_999_990, 30_001_600, 7)]
     clicked = spark.createDataFrame([("v", start + m, m) for m in shown], "visitor_id string, at long, m long")
-    got = events.gate_by_consent(clicked.select("visitor_id", F.timestamp_micros("at").alias("ts"), "m"), allowed)
+    clicked = clicked.select("visitor_id", F.timestamp_micros("at").alias("ts"), "m")
+    got = events.gate_by_consent(clicked, allowed)
     want = [m for m in shown if (k := bisect.bisect_right(micros, m)) and (micros[k - 1] // 7) % 3 == 0]
     assert sorted(r.m for r in got.collect()) == sorted(want)
 
 
+def test_gate_splits_a_visitor_and_an_instant(spark):
+    """The one shuffle deals a hot visitor's rows, also those of one instant, over all partitions."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    timeline = session.range(40_000).select(F.lit("v").alias("k"), F.lit(1).alias("at"), F.xxhash64("id").alias("tie"), F.when(F.col("id") == 5, "x").alias("value"))
+    filled = filled_forward(timeline.repartition(4), "k", ["at", "tie"], "value").cache()
+    sizes = [r["count"] for r in filled.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20_000
+    first = timeline.where("value = 'x'").first().tie
+    assert filled.where(F.col("value").isNotNull()).count() == timeline.where(F.col("tie") >= first).count()
+
+
+@pytest.mark.parametrize("parts", [1, 4, 7])
+def test_filled_forward_equals_a_window(spark, parts):
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 97 == 0, None).when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 11)).alias("k"),
+        ((F.col("id") * 7919) % 3001).alias("at"),
+        F.when(F.xxhash64("id") % 50 == 0, F.col("id")).alias("value"),
+    )
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", parts)
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    want = rows.select("k", "at", F.last("value", True).over(Window.partitionBy("k").orderBy("at")).alias("value")).where("k IS NOT NULL")
+    source = session.createDataFrame(rows.collect(), rows.schema)
+    got = filled_forward(source, "k", ["at"], "value")
+    assert Counter(map(tuple, got.where("k IS NOT NULL").collect())) == Counter(map(tuple, want.collect()))
+    assert got.where("k IS NULL").count() == rows.where("k IS NULL").count()
+    assert filled_forward(source.limit(0), "k", ["at"], "value").count() == 0
+
+
 def test_submits(spark):
     data = [("v", at(0), True, " a@b.cd ", "https://own.ex/p", "T"), ("v", at(1), False, "a@b.cd", "https://own.ex/p", "T"), ("v", at(2), True, "bad", "https://own.ex/p", "T")]
     df = spark.createDataFrame(data, "visitor_id string, ts timestamp, is_subscribe_form boolean, email string, page_url string, page_title string")
