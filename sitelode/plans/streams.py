@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.operators.events import normalise_consent
 from sitelode.plans.derived import (
     EVENTS_SQL,
+    SUBMISSIONS_SQL,
     consent_columns,
     event_columns,
     interaction_columns,
@@ -21,11 +22,13 @@ from sitelode.plans.scoring import payload_columns, post_columns, quarantine_col
 from sitelode.session import RECOMMENDED_CONF, work_dir
 from sitelode.streaming import events, submissions
 from sitelode.streaming.closing import end_marks, run_once, run_to_end
+from sitelode.streaming.upsert import run_batches
 
 
-# The tables' files are dealt out regardless of time, so the delay has to cover all of it.
-DELAY = "4000 days"
-FILES = 3
+# Rows come in the order of their time, but up to so much late; the delay covers just that.
+DISORDER_HOURS = 6
+DELAY = f"{DISORDER_HOURS} hours"
+FILES = 4
 
 
 def stream_session(spark: SparkSession) -> SparkSession:
@@ -41,12 +44,27 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def stream_of(spark: SparkSession, folder: str, name: str, work: str) -> DataFrame:
-    """A whole table as a stream of several files, one to a trigger; rows are dealt to them by hash, out of all order."""
-    rows = table(spark, folder, name)
-    path = f"{work}/{name}"
-    rows.repartition(FILES, F.xxhash64(*rows.columns)).write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+def arrivals(spark: SparkSession, work: str, **tables: tuple[DataFrame, Column]) -> dict[str, DataFrame]:
+    """Tables, each with its time, as streams that go on together: slices of time, one to a trigger.
+
+    A row arrives some hours after its time, by a hash, so that slices overlap by ``DISORDER_HOURS``. Each slice is
+    written as so many files, and a trigger reads as many.
+    """
+    parts = spark.sparkContext.defaultParallelism
+    placed = {}
+    for name, (rows, at) in tables.items():
+        late = F.pmod(F.xxhash64(*rows.columns), F.lit(DISORDER_HOURS * 3_600_000_000))
+        placed[name] = rows.withColumn("_arrived", F.coalesce(F.unix_micros(at.cast("timestamp")), F.lit(0)) + late)
+    bounds = [rows.agg(F.min("_arrived"), F.max("_arrived")).first() for rows in placed.values()]
+    low, high = (f((b[i] for b in bounds if b[i] is not None), default=0) for i, f in enumerate((min, max)))
+    span = (high - low) // FILES + 1
+    for name, rows in placed.items():
+        for i in range(FILES):
+            some = rows.where((F.col("_arrived") - low >= i * span) & (F.col("_arrived") - low < (i + 1) * span)).drop("_arrived")
+            some.repartition(parts).write.mode("append").parquet(f"{work}/{name}")
+    return {
+        name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{work}/{name}") for name, (rows, _) in tables.items()
+    }
 
 
 def finished(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
@@ -55,46 +73,66 @@ def finished(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
     session, work = stream_session(spark), work_dir(spark, "gated")
-    source = event_columns(stream_of(session, folder, "events", work))
+    source = event_columns(arrivals(session, work, events=(table(session, folder, "events"), F.col("ts")))["events"])
     allowed = normalise_consent(consent_columns(source)).select("visitor_id", "ts", "analytics")
-    stream = events.event_stream(interaction_columns(source), allowed, DELAY, end_marks(session, work))
+    stream = events.event_stream(interaction_columns(source), allowed, DELAY, end_marks(session, work), slot_seconds=DISORDER_HOURS * 3600)
     return stamped(finished(spark, stream, work))
 
 
 def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """Posts of a key that differ, in any order: a keyed table has the earliest after each batch."""
     session, work = stream_session(spark), work_dir(spark, "deduplicated")
-    posts = post_columns(stream_of(session, folder, "events", work))
-    stream = submissions.deduplicate(posts, DELAY, end_marks(session, work))
-    return finished(spark, stream, work).select("idempotency_id", "event_id", "value")
+    posts = post_columns(arrivals(session, work, events=(table(session, folder, "events"), F.col("ts")))["events"])
+    return kept(spark, submissions.submission_changes(posts, None), work).select("record.idempotency_id", "record.event_id", "record.value")
+
+
+def kept(spark: SparkSession, changes: DataFrame, work: str) -> DataFrame:
+    """The keyed table that a stream of changes leaves."""
+    held = submissions.submission_table(f"{work}/table", changes).create(spark)
+    run_batches(changes, work, held.upsert)
+    return held.read(spark)
+
+
+def retries(spark: SparkSession, folder: str) -> DataFrame:
+    """Every submission is sent once, twice or three times, some hours apart."""
+    session, work = stream_session(spark), work_dir(spark, "retries")
+    once = submission_columns(table(session, folder, "customer"))
+    tries = F.explode(F.sequence(F.lit(0), F.pmod(F.xxhash64("idempotency_id"), F.lit(3)).cast("int"))).alias("try")
+    sent = once.select("*", tries)
+    sent = arrivals(session, work, posts=(sent, F.col("submitted_at")))["posts"].drop("try")
+    stream = submissions.retries_dropped(sent, DELAY, end_marks(session, work))
+    return finished(spark, stream, work).select("idempotency_id", "email", F.size("answers").alias("n_answers"))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
     session, work = stream_session(spark), work_dir(spark, "scored")
-    posts = submission_columns(stream_of(session, folder, "customer", work))
+    source = submission_columns(table(session, folder, "customer"))
+    posts = arrivals(session, work, posts=(source, F.col("submitted_at")))["posts"]
     return payload_columns(finished(spark, submissions.score_stream(posts, DELAY, end_marks(session, work)), work))
 
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:
     session, work = stream_session(spark), work_dir(spark, "quarantined")
-    stream = submissions.quarantine_stream(submission_columns(stream_of(session, folder, "customer", work)))
+    source = submission_columns(table(session, folder, "customer"))
+    stream = submissions.quarantine_stream(arrivals(session, work, posts=(source, F.col("submitted_at")))["posts"])
     return quarantine_columns(spark.read.schema(stream.schema).parquet(run_once(stream, work)))
 
 
 def updated(spark: SparkSession, folder: str) -> DataFrame:
-    """Submissions with their latest update, and updates that match none."""
+    """Submissions with their latest update, and updates that match none; updates come long before their submissions."""
     session, work = stream_session(spark), work_dir(spark, "updated")
-    posts = submission_columns(stream_of(session, folder, "customer", work))
-    late = update_columns(stream_of(session, folder, "events", work))
-    stream = submissions.attach_updates(posts, late, DELAY, window_seconds=400 * 86_400, marks=end_marks(session, work))
-    return finished(spark, stream, work)
+    posts, late = submission_columns(table(session, folder, "customer")), update_columns(table(session, folder, "events"))
+    streams = arrivals(session, work, posts=(posts, F.col("submitted_at")), updates=(late, F.col("received_at")))
+    return kept(spark, submissions.submission_changes(streams["posts"], streams["updates"]), work)
 
 
 def pain_points(spark: SparkSession, folder: str) -> DataFrame:
-    return updated(spark, folder).where("matched").select("idempotency_id", "pain_point_text")
+    return updated(spark, folder).where("record IS NOT NULL").select("idempotency_id", F.col("text").alias("pain_point_text"))
 
 
 def unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    return unmatched_columns(updated(spark, folder).where("NOT matched").select(F.col("update_id").alias("idempotency_id"), "pain_point_text", "received_at"))
+    lone = updated(spark, folder).where("record IS NULL")
+    return unmatched_columns(lone.select("idempotency_id", F.col("text").alias("pain_point_text"), F.timestamp_micros("text_us").alias("received_at")))
 
 
 PLANS = {
@@ -107,6 +145,10 @@ PLANS = {
         ),
     ),
     "stream_first_posts": Plan(deduplicated, SCORING["first_posts"].sql),
+    "stream_retries": Plan(
+        retries,
+        with_sql(SUBMISSIONS_SQL, select="SELECT idempotency_id, email, CAST(len(a) AS INTEGER) AS n_answers FROM submissions_all"),
+    ),
     "stream_scored_submissions": Plan(scored, SCORING["submissions_payload"].sql),
     "stream_quarantine": Plan(quarantined, SCORING["quarantined_submissions"].sql),
     "stream_pain_points": Plan(pain_points, SCORING["pain_points"].sql),

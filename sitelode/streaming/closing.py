@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # Instants keep their microseconds in JSON.
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
 # Later than any event: once a stream has seen it, all keys close.
-END = "2200-01-01 00:00:00"
+END = "9999-12-31 00:00:00"
 
 _STATE = "first_us long, first_rank long, first string, last_us long, last string, emitted boolean"
 
@@ -24,16 +24,14 @@ def end_marks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("ts timestamp").parquet(f"{folder}/marks")
 
 
-def marked(rows: DataFrame, marks: DataFrame | None, delay: str) -> DataFrame:
-    """``rows`` with a watermark on ``ts`` that end marks move, too. A mark has no key; it is gone afterwards.
+def marked(rows: DataFrame, marks: DataFrame | None, delay: str, key: str) -> DataFrame:
+    """``rows`` that have a ``key``, with a watermark on ``ts`` that end marks move, too. Marks have no key.
 
     ``delay`` has to cover the disorder of the input: what comes later than that is dropped by Spark.
     """
-    if marks is None:
-        return rows.withWatermark("ts", delay)
-    # A condition on the time itself isn't moved below the watermark, which has to see the marks.
-    both = rows.unionByName(marks, allowMissingColumns=True)
-    return both.withWatermark("ts", delay).where(F.col("ts") < F.expr(f"timestamp'{END}'"))
+    both = rows if marks is None else rows.unionByName(marks, allowMissingColumns=True)
+    # A condition that names the time isn't moved below the watermark, which has to see the marks.
+    return both.withWatermark("ts", delay).where(F.when(F.col("ts").isNotNull(), F.col(key).isNotNull()))
 
 
 def _ran(stream: DataFrame, folder: str) -> str:
@@ -143,7 +141,7 @@ def closed(rows: DataFrame, schema: T.StructType, delay: str, marks: DataFrame |
     """
     thin = rows.mapInPandas(_thinned(), rows.schema)
     found = (
-        marked(thin.where(F.col("key").isNotNull()), marks, delay)
+        marked(thin, marks, delay, "key")
         .groupBy("key")
         .applyInPandasWithState(
             _closer(wait_seconds * 1_000_000, remember_seconds * 1_000_000),

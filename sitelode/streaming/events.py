@@ -1,136 +1,15 @@
-"""Event streams: classification and the consent gate with state."""
+"""Event streams: classification without state, then the consent gate."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from sitelode.operators.events import EVENT_FIELDS, classify
-from sitelode.streaming.closing import marked
+from sitelode.operators.events import classify
+from sitelode.streaming.gate import gate_stream
 
-GATED = "visitor_id string, ts timestamp, " + ", ".join(f"{name} string" for name in EVENT_FIELDS)
 
-_STATE = T.StructType(
-    [
-        # Consents not yet behind the watermark, and the last one before it; events waiting for it.
-        T.StructField("consent_us", T.ArrayType(T.LongType())),
-        T.StructField("consent_ok", T.ArrayType(T.BooleanType())),
-        T.StructField("waiting_us", T.ArrayType(T.LongType())),
-        T.StructField("waiting", T.ArrayType(T.StringType())),
-    ]
-)
-
-
-def _releaser() -> Callable:
-    """The state processor, as a closure: it is shipped whole, so executors need not have the package."""
-
-    def micros(ts: pd.Series) -> pd.Series:
-        return ts.astype("datetime64[us]").astype("int64")
-
-    def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Hold each event until the watermark reaches it, then let it through if consent allowed it."""
-        consents: list[tuple[int, bool]] = []
-        waiting: list[tuple[int, str]] = []
-        if state.exists:
-            consent_us, consent_ok, waiting_us, payload = state.get
-            consents = list(zip(consent_us, consent_ok))
-            waiting = list(zip(waiting_us, payload))
-        for pdf in batches:
-            us = micros(pdf["ts"])
-            is_consent = pdf["payload"].isna()
-            consents += [(int(t), bool(a)) for t, a in zip(us[is_consent], pdf.loc[is_consent, "analytics"])]
-            waiting += [(int(t), p) for t, p in zip(us[~is_consent], pdf.loc[~is_consent, "payload"])]
-
-        line = state.getCurrentWatermarkMs() * 1000
-        due = sorted(w for w in waiting if w[0] <= line)
-        later = [w for w in waiting if w[0] > line]
-        # Of two consents at one instant the refusal comes last and counts.
-        consents.sort(key=lambda c: (c[0], not c[1]))
-        if due and consents:
-            rows = pd.DataFrame(due, columns=["us", "payload"])
-            known = pd.DataFrame(consents, columns=["us", "ok"])
-            asof = pd.merge_asof(rows, known, on="us", direction="backward").dropna(subset=["ok"])
-            passed = asof[asof["ok"].astype(bool)]
-            if len(passed):
-                yield pd.DataFrame(
-                    {
-                        "visitor_id": key[0],
-                        "ts": pd.to_datetime(passed["us"], unit="us"),
-                        "payload": passed["payload"],
-                    }
-                )
-        # Only the last consent at or before the watermark can still matter among the old ones.
-        settled = [c for c in consents if c[0] <= line]
-        consents = settled[-1:] + [c for c in consents if c[0] > line]
-        # A refusal at the front is the same as no consent yet, and a visitor with nothing at all needs no state.
-        while consents and not consents[0][1] and consents[0][0] <= line:
-            consents.pop(0)
-        if not consents and not later:
-            state.remove()
-            return
-        state.update(
-            (
-                [c[0] for c in consents],
-                [c[1] for c in consents],
-                [w[0] for w in later],
-                [w[1] for w in later],
-            )
-        )
-        if later:
-            state.setTimeoutTimestamp(max(min(w[0] for w in later) // 1000, line // 1000) + 1)
-
-    return release
-
-
-def gate_stream(
-    events: DataFrame, consents: DataFrame, delay: str = "10 minutes", marks: DataFrame | None = None, shards: int | None = None
-) -> DataFrame:
-    """Streaming form of ``gate_by_consent``: an event is emitted once the watermark has reached it.
-
-    State is kept per visitor and shard. A visitor's events are dealt over the shards by hash and the far fewer consent
-    records go to all of them, so one very busy visitor is spread over as many tasks as there are state partitions
-    (``shards``, if not given) and the result stays exact. ``delay`` has to cover the disorder of the input; with
-    ``marks`` (see ``end_marks``) the end of the input lets out what waits.
-    """
-    shards = shards or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    payload = F.to_json(F.struct(*EVENT_FIELDS), {"ignoreNullFields": "false"})
-    dealt = F.pmod(F.xxhash64("ts", *EVENT_FIELDS), F.lit(shards)).cast("int")
-    none = F.lit(None)
-    timeline = events.select(
-        "visitor_id", "ts", none.cast("boolean").alias("analytics"), payload.alias("payload"), dealt.alias("shard")
-    ).unionByName(
-        consents.select(
-            "visitor_id",
-            "ts",
-            F.col("analytics"),
-            none.cast("string").alias("payload"),
-            F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-        )
-    )
-    released = (
-        marked(timeline.where(F.col("visitor_id").isNotNull()), marks, delay)
-        .groupBy("visitor_id", "shard")
-        .applyInPandasWithState(
-            _releaser(),
-            "visitor_id string, ts timestamp, payload string",
-            _STATE,
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
-    )
-    fields = ", ".join(f"{name} string" for name in EVENT_FIELDS)
-    return released.select("visitor_id", "ts", F.from_json("payload", fields).alias("e")).select(
-        "visitor_id", "ts", "e.*"
-    )
-
-
-def event_stream(
-    interactions: DataFrame, consents: DataFrame, delay: str = "10 minutes", marks: DataFrame | None = None, shards: int | None = None
-) -> DataFrame:
-    """The whole event job on streams: classify without state, then gate."""
-    return gate_stream(classify(interactions), consents, delay, marks, shards)
+def event_stream(interactions: DataFrame, consents: DataFrame, delay: str = "10 minutes", marks: DataFrame | None = None, **settings: Any) -> DataFrame:
+    """The whole event job on streams; ``settings`` are those of ``gate_stream``."""
+    return gate_stream(classify(interactions), consents, delay, marks, **settings)

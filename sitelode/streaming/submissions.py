@@ -1,13 +1,19 @@
-"""Submission streams: the earliest record per key, quarantine, and late partial updates."""
+"""Submission streams: the earliest record per key, quarantine, and late partial updates.
+
+Two forms: keys that close on the watermark and are given once (``deduplicate``, ``attach_updates``), and a keyed table
+that is right after every batch, however late a record is (``submission_table``).
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sitelode.functions.text import browser_trim
 from sitelode.operators.scoring import split_valid, submission_payload
-from sitelode.streaming.closing import closed, records, texts
+from sitelode.streaming.closing import closed, marked, records, texts
+from sitelode.streaming.upsert import KeyedTable
 
 
 def deduplicate(submissions: DataFrame, delay: str = "1 hour", marks: DataFrame | None = None, remember_seconds: int = 86_400) -> DataFrame:
@@ -53,3 +59,53 @@ def attach_updates(
         F.col("key").alias("update_id"),
         F.col("record").isNotNull().alias("matched"),
     )
+
+
+def retries_dropped(submissions: DataFrame, delay: str = "1 hour", marks: DataFrame | None = None, at: str = "submitted_at") -> DataFrame:
+    """Each post once, where the posts of a key are equal, as tries of one post are; given at once.
+
+    Tries of a key lie within ``delay`` of each other. For posts of one key that differ, see ``deduplicate``. Posts
+    without a key or a time are dropped.
+    """
+    timed = submissions.withColumn("ts", F.col(at).cast("timestamp"))
+    return marked(timed, marks, delay, "idempotency_id").dropDuplicatesWithinWatermark(["idempotency_id"]).drop("ts")
+
+
+def _latest_of_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    first = F.struct("first_us", "first_rank")
+    last = F.when(F.col("text").isNotNull(), F.struct("text_us", "text"))
+    merged = rows.groupBy(*keys).agg(
+        F.min(F.when(F.col("record").isNotNull(), first)).alias("first"),
+        F.min_by("record", F.when(F.col("record").isNotNull(), first)).alias("record"),
+        F.max(last).alias("last"),
+    )
+    return merged.select(*keys, "first.*", "record", "last.*")
+
+
+def submission_changes(submissions: DataFrame | None, updates: DataFrame | None, at: str = "submitted_at") -> DataFrame:
+    """Posts and non-blank partial updates, batch or stream, as rows of a ``submission_table``."""
+    none = F.lit(None)
+    parts = []
+    if submissions is not None:
+        posted = F.unix_micros(F.col(at).cast("timestamp"))
+        parts.append(
+            submissions.select(
+                "idempotency_id", posted.alias("first_us"), F.xxhash64(*submissions.columns).alias("first_rank"), F.struct(*submissions.columns).alias("record"), none.cast("long").alias("text_us"), none.cast("string").alias("text")
+            )
+        )
+    if updates is not None:
+        text = browser_trim(F.col("pain_point_text"))
+        filled = updates.where((F.col("update") == "pain_point") & (text != ""))
+        received = F.unix_micros(F.col("received_at").cast("timestamp"))
+        kind = parts[0].schema["record"].dataType if parts else T.StructType()
+        parts.append(filled.select("idempotency_id", none.cast("long").alias("first_us"), none.cast("long").alias("first_rank"), none.cast(kind).alias("record"), received.alias("text_us"), text.alias("text")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def submission_table(path: str, changes: DataFrame, buckets: int = 16) -> KeyedTable:
+    """The earliest record of each key and its latest update text, kept up to date by batches of ``changes``.
+
+    A key of which only an update has come has a null record. Records and updates count alike in any order: before,
+    with or after each other.
+    """
+    return KeyedTable(path, changes.schema, "idempotency_id", _latest_of_key, buckets)

@@ -17,7 +17,7 @@ from sitelode.schemas import CLICK, CONSENT, SITEMAP_URL, SUBMISSION, SUBMISSION
 from sitelode.session import work_dir
 from sitelode.sources import corpus, records
 from sitelode.streaming import closing
-from sitelode.streaming import events as stream_events
+from sitelode.streaming import gate as stream_events
 from sitelode.streaming import submissions as stream_submissions
 
 T0 = dt.datetime(2026, 1, 1)
@@ -169,6 +169,53 @@ def test_streamed_gate_equals_the_batch_gate(spark, tmp_path):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def in_order(spark, folder, *slices):
+    """Slices of rows as a stream, one to a trigger."""
+    for some in slices:
+        some.coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_streamed_gate_releases_between_triggers(spark, tmp_path, shards):
+    """With a delay of hours, over days: what is released early and late together equals the batch gate."""
+    hour = 60
+    shown = events.classify_clicks(clicks(spark, *[click(v, m, "mailto:x@y.zz", text=f"{v}{m}") for v in "ab" for m in range(0, 96 * hour, 41)]))
+    allowed = consents(spark, *[(v, m, (m // 500 + ord(v)) % 3 > 0) for v in "abc" for m in range(3, 96 * hour, 250)]).select("visitor_id", "ts", "analytics")
+
+    def slices(rows):
+        late = rows.withColumn("_at", F.col("ts") + F.make_dt_interval(mins=F.pmod(F.xxhash64(*rows.columns), F.lit(3 * hour)).cast("int")))
+        return [late.where((F.col("_at") >= F.lit(at(a))) & (F.col("_at") < F.lit(at(a + 20 * hour)))).drop("_at") for a in range(0, 100 * hour, 20 * hour)]
+
+    want = {r.link_text for r in events.gate_by_consent(shown, allowed).collect()}
+    sources = in_order(spark, tmp_path / "e", *slices(shown)), in_order(spark, tmp_path / "c", *slices(allowed))
+    work = str(tmp_path / "work")
+    stream = stream_events.gate_stream(*sources, "3 hours", closing.end_marks(spark, work), shards, slot_seconds=7200)
+    early = [r.link_text for r in spark.read.schema(stream.schema).parquet(closing.run_once(stream, work)).collect()]
+    got = [r.link_text for r in spark.read.schema(stream.schema).parquet(closing.run_to_end(stream, work)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and set(early) < want and len(early) > len(want) / 2
+
+
+def test_streamed_gate_drops_late_rows_and_forgets(spark, tmp_path):
+    day = 24 * 60
+
+    def shown(*rows):
+        return events.classify_clicks(clicks(spark, *[click(v, m, "mailto:x@y.zz", text=f"{v}{m}") for v, m in rows]))
+
+    sent = in_order(spark, tmp_path / "e", shown(("a", 60), ("b", 61)), shown(("z", 5 * day)), shown(("a", 90), ("a", 5 * day + 60), ("c", 5 * day + 60)), shown(("z", 9 * day)))
+    told = [("a", 5, True), ("b", 5, True), ("b", 100, False), ("c", 4 * day, True)]
+    allowed = consents(spark, *told).select("visitor_id", "ts", "analytics").coalesce(1)
+    work = str(tmp_path / "work")
+    stream = stream_events.gate_stream(sent, in_order(spark, tmp_path / "c", allowed), "1 hour", closing.end_marks(spark, work), 1, slot_seconds=1800, remember_seconds=2 * day * 60)
+    got = sorted(r.link_text for r in spark.read.schema(stream.schema).parquet(closing.run_to_end(stream, work)).collect())
+    # a90 comes five days late; a's consent has lapsed by day five, c's of day four has not.
+    assert got == ["a60", "b61", "c7260"]
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = spark.read.format("statestore").option("path", f"{work}/checkpoint").option("stateVarName", "allowed").load()
+    assert held.count() == 0
+
+
 def test_streamed_deduplication_keeps_the_earliest(spark, tmp_path):
     rows = spark.range(400).select(
         F.when(F.col("id") % 2 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 30)).alias("idempotency_id"),
@@ -226,6 +273,46 @@ def test_consent_is_what_a_browser_takes_for_true(spark):
     assert {r.visitor_id: r.analytics for r in events.normalise_consent(df).collect()} == said | {"none": False, "bad": False}
 
 
+def test_equal_retries_are_dropped_without_python(spark, tmp_path):
+    posts = posts_of(spark, *[(f"k{i}", i, [1] * 11) for i in range(30)])
+    source = in_order(spark, tmp_path / "p", posts, posts.where("idempotency_id < 'k2'"), posts_of(spark, ("k0", 0, [1] * 11), (None, 1, [1] * 11), ("new", 700, [1] * 11)), posts_of(spark, ("new", 700, [1] * 11)))
+    work = str(tmp_path / "work")
+    stream = stream_submissions.retries_dropped(source, "1 hour", closing.end_marks(spark, work))
+    got = [r.idempotency_id for r in spark.read.schema(stream.schema).parquet(closing.run_to_end(stream, work)).collect()]
+    assert sorted(got) == sorted([f"k{i}" for i in range(30)] + ["new"])
+    query = stream.writeStream.format("noop").option("checkpointLocation", f"{work}/other").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert "Python" not in query._jsq.explainInternal(True) and "Pandas" not in query._jsq.explainInternal(True)
+
+
+def change_rows(held, spark):
+    return sorted(((r.idempotency_id, r.record and r.record.answers[0], r.text) for r in held.read(spark).collect()), key=str)
+
+
+def test_upserts_in_any_order_and_twice(spark, tmp_path):
+    """Updates before, with and after their submission; a batch given twice, also as its first try broke off."""
+    posts = [posts_of(spark, ("a", 3, [2] * 11)), posts_of(spark, ("b", 1, [1] * 11)), posts_of(spark, ("a", 0, [1] * 11), ("d", 5, [3] * 11))]
+    sent = [[("c", "early", "pain_point", at(1)), ("b", " t ", "pain_point", at(2))], [("b", "u", "pain_point", at(9)), ("b", " ", "pain_point", at(10))], [("b", "old", "pain_point", at(1)), ("a", "x", "other", at(6)), (None, "n", "pain_point", at(1))]]
+    batches = [stream_submissions.submission_changes(p, spark.createDataFrame(u, SUBMISSION_UPDATE)) for p, u in zip(posts, sent, strict=True)]
+    held = stream_submissions.submission_table(str(tmp_path / "t"), batches[0], buckets=3).create(spark)
+    assert held.read(spark).count() == 0
+    held.upsert(batches[0], 0)
+    first = change_rows(held, spark)
+    assert first == [("a", 2, None), ("b", None, "t"), ("c", None, "early")]
+    held.upsert(batches[1], 0)
+    assert change_rows(held, spark) == first
+    # A try that wrote its rows, but no manifest.
+    batches[1].withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(str(tmp_path / "t" / "batches" / "1"))
+    assert change_rows(held, spark) == first
+    for i in (1, 1, 2, 1, 0, 2):
+        held.upsert(batches[i], i)
+    assert change_rows(held, spark) == sorted([("a", 1, None), ("b", 1, "u"), ("c", None, "early"), ("d", 3, None), (None, None, "n")], key=str)
+    again = stream_submissions.submission_table(str(tmp_path / "s"), batches[0]).create(spark)
+    for i in (2, 0, 1):
+        again.upsert(batches[i], [1, 2, 0][i])
+    assert change_rows(again, spark) == change_rows(held, spark)
+
+
 @pytest.fixture()
 def site(tmp_path):
     files = {
