@@ -43,6 +43,16 @@ def author_of(title: Column, authors: Mapping[str, str], default: str) -> Column
     return F.coalesce(F.try_element_at(table, fold_title(title)), F.lit(default))
 
 
+def with_authors(titled: DataFrame, authors: DataFrame, default: str, title: str = "title") -> DataFrame:
+    """``titled`` with ``author`` from a table (``title, author``) of any size, met by folded title; others are the default's.
+
+    Of several authors of one title the least by name counts; rows without a title are the default author's.
+    """
+    table = authors.where(F.col("author").isNotNull()).groupBy(fold_title(F.col("title")).alias("_folded")).agg(F.min("author").alias("_author"))
+    met = titled.withColumn("_folded", fold_title(F.col(title))).join(table.where("_folded IS NOT NULL"), "_folded", "left")
+    return met.withColumn("author", F.coalesce("_author", F.lit(default))).drop("_folded", "_author")
+
+
 def byline(author: Column, date: Column, markup: Markup) -> Column:
     """Byline markup, with the date where there is one."""
     dated = F.concat(F.lit(markup.date), F.date_format(date, "MMMM d, yyyy"), F.lit("</span>"))

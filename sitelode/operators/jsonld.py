@@ -58,6 +58,37 @@ def json_blocks(pages: DataFrame, keys: Sequence[str], html: str = "html") -> Da
     return blocks.select(*keys, "pos", F.get_json_object("json", "$['@type']").alias("type"), "json")
 
 
+def json_nodes(pages: DataFrame, keys: Sequence[str], html: str = "html") -> DataFrame:
+    """One row per block, node and type: ``keys, pos, node, type, json``; ``node`` counts a block's nodes from 0.
+
+    A block's nodes are the objects it holds: its root, the members of a top-level array, and those of ``@graph`` in any of
+    them; an object that is only a container of a graph is none. A node of several types has a row for each, one without
+    a type has a null. A block that is broken, or holds no object, stays as one row of null node and type.
+    """
+    blocks = pages.where(F.contains(html, F.lit(OPEN_TAG))).select(
+        *keys, F.posexplode(F.regexp_extract_all(F.col(html), F.lit(BLOCK), F.lit(1))).alias("pos", "block")
+    )
+    parsed = F.try_parse_json("block")
+
+    def members(node: Column, path: str) -> Column:
+        return F.try_variant_get(node, path, "array<variant>")
+
+    def is_object(node: Column) -> Column:
+        return F.startswith(F.schema_of_variant(node), F.lit("OBJECT"))
+
+    roots = F.filter(F.coalesce(members(parsed, "$"), F.array(parsed)), lambda n: n.isNotNull() & is_object(n))
+
+    def with_graph(root: Column) -> Column:
+        graph = members(root, "$['@graph']")
+        own = F.when(graph.isNotNull() & F.try_variant_get(root, "$['@type']", "variant").isNull(), F.array().cast("array<variant>")).otherwise(F.array(root))
+        return F.concat(own, F.filter(F.coalesce(graph, F.array().cast("array<variant>")), lambda n: n.isNotNull() & is_object(n)))
+
+    nodes = blocks.select(*keys, "pos", "block", F.posexplode_outer(F.flatten(F.transform(roots, with_graph))).alias("node", "value"))
+    type_of = F.col("value")
+    types = F.coalesce(F.try_variant_get(type_of, "$['@type']", "array<string>"), F.array(F.try_variant_get(type_of, "$['@type']", "string")))
+    return nodes.select(*keys, "pos", "node", F.explode_outer(types).alias("type"), F.coalesce(F.to_json("value"), F.col("block")).alias("json"))
+
+
 def has_type(html: Column, type_: str) -> Column:
     """Whether a block declares the type at its root."""
     return F.contains(html, F.lit(f'"@context":"{SCHEMA_ORG}","@type":"{type_}"'))

@@ -7,10 +7,10 @@ shuffle, however many rules. Each page carries a ledger with one status per rule
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sitelode.functions.text import (
@@ -196,15 +196,19 @@ class AllOf(Rule):
 
 @dataclass(frozen=True, kw_only=True)
 class ReplaceByKey(Rule):
-    """Replace each match by a value looked up under a captured key; unknown keys stay as they are."""
+    """Replace each match by a value looked up under a captured key; unknown keys stay as they are.
+
+    ``values``: a small mapping, or a map column of the page (see ``with_values``).
+    """
 
     pattern: str
     key_group: int
-    values: Mapping[str, str]
+    values: Mapping[str, str] | Column
     build: Callable[[Column, Column], Column]
 
     def both(self, html: Column) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in self.values.items() for x in pair])
+        given = self.values
+        table = given if isinstance(given, Column) else F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
 
         def value(match: Column) -> Column:
             return F.try_element_at(table, F.regexp_extract(match, self.pattern, self.key_group))
@@ -293,6 +297,31 @@ def rewrite_pages(pages: DataFrame, rules: Sequence[Rule], html: str = "html") -
     return done.drop(*entries)
 
 
+def with_values(pages: DataFrame, values: DataFrame, page_key: str, keys: Column, into: str = "values") -> DataFrame:
+    """``pages`` with a map column of those ``values`` (``key, value``; of several values the least) that each page asks for.
+
+    ``keys`` is an array of the keys on a page. Only pairs of page and key meet the table, in an equi join that adaptive
+    execution splits where a key is on very many pages; the text is shuffled once, to meet its few values, and that of
+    pages without keys not at all. ``page_key`` tells the pages apart.
+    """
+    table = values.where(F.col("key").isNotNull() & F.col("value").isNotNull()).groupBy("key").agg(F.min("value").alias("value"))
+    wanted = computed_once(pages, {"_keys": F.coalesce(F.array_distinct(keys), F.array().cast("array<string>"))})
+    pairs = pages.select(F.col(page_key), F.explode(F.array_distinct(keys)).alias("key"))
+    known = pairs.join(table, "key").groupBy(page_key).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias(into))
+    asking = wanted.where(F.size("_keys") > 0).drop("_keys").join(known, page_key, "left")
+    others = wanted.where(F.size("_keys") == 0).drop("_keys").withColumn(into, F.lit(None).cast("map<string,string>"))
+    return asking.select(*pages.columns, into).unionByName(others)
+
+
+def replace_by_table(
+    pages: DataFrame, values: DataFrame, page_key: str, pattern: str, key_group: int, build: Callable[[Column, Column], Column], name: str = "replace_by_table", html: str = "html"
+) -> DataFrame:
+    """``ReplaceByKey`` with the values of a table of any size: pages with ``html_new`` and ``ledger``."""
+    found = with_values(pages, values, page_key, F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(key_group)), "_values")
+    rule = ReplaceByKey(name=name, pattern=pattern, key_group=key_group, values=F.coalesce("_values", F.create_map().cast("map<string,string>")), build=build)
+    return rewrite_pages(found, [rule], html).drop("_values")
+
+
 def changed_only(rewritten: DataFrame, html: str = "html") -> DataFrame:
     return rewritten.where(~F.col("html_new").eqNullSafe(F.col(html)))
 
@@ -306,6 +335,32 @@ def ledger_totals(rewritten: DataFrame) -> DataFrame:
     )
 
 
+STATUSES = (UPDATED, ALREADY, NO_MATCH, UNCHANGED, OUT_OF_SCOPE)
+
+
+def observed_totals(rewritten: DataFrame, rules: Sequence[str]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``rewritten``, and what gives its ``ledger_totals`` once an action has run over it: metrics of that job, no second run.
+
+    The metrics are of all rows that pass here, whatever later filters drop. ``rules`` are the names in the ledger's order.
+    """
+    observation, spark = Observation(), rewritten.sparkSession
+    cells = [(i, rule, status) for i, rule in enumerate(rules) for status in STATUSES]
+
+    def metrics() -> Iterator[Column]:
+        for i, _, status in cells:
+            entry = F.get("ledger", i)
+            here = entry["status"] == status
+            yield F.count_if(here).alias(f"{i}_{status}_pages")
+            yield F.sum(F.when(here, entry["n_repl"]).otherwise(0)).cast("long").alias(f"{i}_{status}_n")
+
+    def totals() -> DataFrame:
+        got = observation.get
+        rows = [(rule, status, got[f"{i}_{status}_pages"], got[f"{i}_{status}_n"]) for i, rule, status in cells if got[f"{i}_{status}_pages"]]
+        return spark.createDataFrame(rows, "rule string, status string, pages long, n_repl long")
+
+    return rewritten.observe(observation, *metrics()), totals
+
+
 def residual_tokens(pages: DataFrame, tokens: Sequence[str], keys: Sequence[str], html: str = "html") -> DataFrame:
     """Which pages still hold which old tokens. The token list is a parameter, so it stays row-local."""
     held = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(F.col(html), t))

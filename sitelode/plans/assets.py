@@ -82,8 +82,8 @@ def reduction(spark: SparkSession, folder: str) -> DataFrame:
     return assets.reduction_report(matched(spark, folder))
 
 
-def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """Headers of the four known kinds, written from page numbers and text lengths, and read back."""
+def image_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers of the four known kinds and of another, from page numbers and text lengths: ``page_id, content``."""
     w = (F.length("html") % 16000 + 1).cast("bigint")
     h = (F.col("page_id") % 16000 + 1).cast("bigint")
 
@@ -104,7 +104,11 @@ def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("page_id") % 5 == 3, riff("VP8 ", F.concat(zeros(10), le(w, 2), le(h, 2))))
         .otherwise(F.lit("FFD8FFE0" + "00" * 40))
     )
-    files = table(spark, folder, "pages").select("page_id", F.unhex(header).alias("content"))
+    return table(spark, folder, "pages").select("page_id", F.unhex(header).alias("content"))
+
+
+def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    files = image_headers(spark, folder)
     return files.select("page_id", image_size(F.col("content")).alias("s")).select("page_id", "s.width", "s.height")
 
 

@@ -38,6 +38,14 @@ def authored(spark: SparkSession, folder: str) -> DataFrame:
     return titles(spark, folder).select("doc_id", author.alias("author"))
 
 
+def authored_by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Authors from a table of titles: every other customer wrote the notes of one source, some of them together."""
+    customers = table(spark, folder, "customer").where("c_custkey % 2 = 0")
+    title = F.concat(F.lit("Field src"), F.col("c_custkey") % 40, F.lit("&rsquo;s “notes” "))
+    authors = customers.select(title.alias("title"), F.when(F.col("c_custkey") % 6 > 0, F.concat("c_mktsegment", F.lit(" "), F.col("c_custkey") % 7)).alias("author"))
+    return attribution.with_authors(titles(spark, folder), authors, DEFAULT_AUTHOR).select("doc_id", "author")
+
+
 def author_counts(spark: SparkSession, folder: str) -> DataFrame:
     return attribution.author_counts(authored(spark, folder))
 
@@ -136,6 +144,12 @@ d AS (SELECT *, CASE WHEN status = 'updated' THEN {_DAY.format('path')} END AS d
 PLANS = {
     "folded_titles": Plan(folded, f"WITH {_TITLES} SELECT doc_id, title FROM t"),
     "document_authors": Plan(authored, f"WITH {_TITLES} SELECT doc_id, author FROM a"),
+    "authors_by_table": Plan(
+        authored_by_table,
+        f"""WITH {_TITLES}, b AS (SELECT 'Field src' || (c_custkey % 40) || chr(39) || 's "notes"' AS title, min(c_mktsegment || ' ' || (c_custkey % 7)) AS who
+             FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 6 > 0 GROUP BY 1)
+           SELECT doc_id, coalesce(who, 'Cy Default') AS author FROM t LEFT JOIN b USING (title)""",
+    ),
     "author_counts": Plan(author_counts, f"WITH {_TITLES} SELECT author, count(*) AS n FROM a GROUP BY 1"),
     "path_dates": Plan(
         path_dates, f"SELECT page_id, '2026-05-' || lpad(CAST({_DAY.format('url')} AS VARCHAR), 2, '0') AS date FROM pages"

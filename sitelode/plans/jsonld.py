@@ -63,6 +63,24 @@ def block_types(spark: SparkSession, folder: str) -> DataFrame:
     return blocks(spark, folder).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def graph_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose blocks hold one node, an array of nodes, a graph, and nodes of several types; some are broken."""
+    n, url = F.col("page_id"), F.to_json(F.struct(F.col("url").alias("url")))
+    single = F.concat(F.lit('{"@context":"https://schema.org","@type":"WebPage","of":'), url, F.lit("}"))
+    listed = F.concat(F.lit('[{"@type":["Article","NewsArticle"],"n":'), n, F.lit('}, {"name":"none"}, "text", {"@type":"Person"}]'))
+    graph = F.concat(F.lit('{"@context":"https://schema.org","@graph":[{"@type":"Organization","of":'), url, F.lit('},{"@type":["Person","Author"]}]}'))
+    typed = F.lit('{"@type":"Thing","@graph":[{"@type":"Place"}]}')
+    broken = F.lit('{"@type":"Article",')
+    some = F.array(single, F.when(n % 2 == 0, listed), F.when(n % 3 == 0, graph), F.when(n % 5 == 0, broken), F.when(n % 7 == 0, typed), F.when(n % 11 == 0, F.lit("[]")))
+    blocks = F.transform(F.array_compact(some), lambda b: F.concat(F.lit(jsonld.OPEN_TAG), b, F.lit(jsonld.CLOSE_TAG)))
+    html = F.concat(F.lit("<head>"), F.array_join(blocks, "\n"), F.lit("</head>"), "html")
+    return table(spark, folder, "pages").select("page_id", html.alias("html"))
+
+
+def nodes(spark: SparkSession, folder: str) -> DataFrame:
+    return jsonld.json_nodes(graph_pages(spark, folder), ["page_id"]).select("page_id", "pos", "node", "type")
+
+
 def lacking(spark: SparkSession, folder: str) -> DataFrame:
     return jsonld.pages_lacking(pages_with_blocks(spark, folder), "ItemList").select("page_id")
 
@@ -167,6 +185,15 @@ _ORG = '{"@type":"Organization","name":"Example Co","url":"https://site.example/
 _REF = '{"@type":"Organization","name":"Example Co","url":"https://site.example/"}'
 
 PLANS = {
+    "json_ld_nodes": Plan(
+        nodes,
+        """WITH b AS (SELECT page_id, unnest(k) AS k, unnest(range(len(k))) AS pos FROM (SELECT page_id, [x FOR x IN ['single',
+             CASE WHEN page_id % 2 = 0 THEN 'listed' END, CASE WHEN page_id % 3 = 0 THEN 'graph' END, CASE WHEN page_id % 5 = 0 THEN 'broken' END,
+             CASE WHEN page_id % 7 = 0 THEN 'typed' END, CASE WHEN page_id % 11 = 0 THEN 'empty' END] IF x IS NOT NULL] AS k FROM pages)),
+           n(k, node, type) AS (VALUES ('single', 0, 'WebPage'), ('listed', 0, 'Article'), ('listed', 0, 'NewsArticle'), ('listed', 1, NULL), ('listed', 2, 'Person'),
+             ('graph', 0, 'Organization'), ('graph', 1, 'Person'), ('graph', 1, 'Author'), ('broken', NULL, NULL), ('typed', 0, 'Thing'), ('typed', 1, 'Place'), ('empty', NULL, NULL))
+           SELECT page_id, CAST(pos AS INTEGER) AS pos, node, type FROM b JOIN n USING (k)""",
+    ),
     "breadcrumb_blocks": Plan(breadcrumbs, with_sql(TRAIL_SQL, select="SELECT page_id, crumb AS json FROM crumbs")),
     "item_list_blocks": Plan(
         item_lists,

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.operators import assets
 from sitelode.operators import rewrite as rw
+from sitelode.operators.tokens import held_tokens
 from sitelode.plans.derived import IMAGE_PAGES_SQL, INVENTORY_SQL, image_pages, inventory, with_sql
 from sitelode.plans.registry import Plan, table
 
@@ -84,6 +85,26 @@ def residual(spark: SparkSession, folder: str) -> DataFrame:
     return rw.residual_tokens(pages(spark, folder), TOKENS, ["page_id"])
 
 
+def by_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Buttons become links whose addresses are looked up in a table of the documents' words; other buttons stay."""
+    words = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("key"))
+    known = words.distinct().where(F.length("key") % 2 == 0)
+    values = known.select("key", F.concat(F.lit("/w$1/"), "key", F.lit("/")).alias("value"))
+
+    def build(match: Column, value: Column) -> Column:
+        return F.concat(F.lit('<a href="'), value, F.lit('">'), F.regexp_extract(match, r">([^<]*)<", 1), F.lit("</a>"))
+
+    out = rw.replace_by_table(menu_pages(spark, folder), values, "page_id", r'<button data-key="([^"]+)">([^<]*)</button>', 1, build)
+    entry = F.get("ledger", 0)
+    return out.select("page_id", "html_new", entry["status"].alias("status"), entry["n_repl"].alias("n_repl"))
+
+
+def held(spark: SparkSession, folder: str) -> DataFrame:
+    """Which pages hold which of the documents' longer words, also inside other words."""
+    words = table(spark, folder, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("token"))
+    return held_tokens(pages(spark, folder), words, ["page_id"])
+
+
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
     out = rw.token_coverage(pages(spark, folder), "<b>", "&copy; www.")
     return out.select("page_id", "status")
@@ -308,6 +329,24 @@ PLANS |= {
         residual,
         "SELECT page_id, token FROM pages, (VALUES " + ", ".join(f"('{t}')" for t in TOKENS) + ") AS t(token) WHERE contains(html, token)",
     ),
+    "replace_by_table": Plan(
+        by_table,
+        r"""WITH m AS (SELECT page_id, regexp_replace(html, '<li><a href="/([^"]*)">([^<]*)</a>', '<li><button data-key="\1">\2</button>', 'g') AS html FROM pages),
+           w AS (SELECT key, 1 AS known FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS key FROM documents) WHERE length(key) % 2 = 0),
+           parts AS (SELECT page_id, unnest(p) AS part, unnest(range(len(p))) AS i FROM (SELECT page_id, string_split(html, '<button data-key="') AS p FROM m)),
+           cut AS (SELECT page_id, i, part, CASE WHEN i > 0 THEN regexp_extract(part, '^([^"]+)">([^<]*)</button>', 1) END AS key,
+             regexp_extract(part, '^([^"]+)">([^<]*)</button>', 2) AS name, regexp_extract(part, '^([^"]+)">([^<]*)</button>', 0) AS whole FROM parts),
+           done AS (SELECT page_id, i, known IS NOT NULL AS hit, CASE WHEN i = 0 THEN part
+             WHEN known IS NULL THEN '<button data-key="' || part
+             ELSE '<a href="/w$1/' || key || '/">' || name || '</a>' || substr(part, length(whole) + 1) END AS part
+             FROM cut LEFT JOIN w USING (key))
+           SELECT page_id, string_agg(part, '' ORDER BY i) AS html_new, CASE WHEN bool_or(hit) THEN 'updated' ELSE 'no_match' END AS status,
+             CAST(sum(CAST(hit AS INTEGER)) AS INTEGER) AS n_repl FROM done GROUP BY 1""",
+    ),
+    "held_tokens": Plan(
+        held,
+        """SELECT page_id, token FROM pages, (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS token FROM documents) WHERE contains(html, token)""",
+    ),
     "token_coverage": Plan(
         coverage,
         """SELECT page_id, CASE WHEN NOT contains(html, '<b>') THEN 'no_hook' WHEN contains(html, '&copy; www.') THEN 'already' ELSE 'to_do' END AS status FROM pages""",

@@ -19,9 +19,12 @@ from sitelode.plans.events import stamped
 from sitelode.plans.registry import Plan, table
 from sitelode.plans.scoring import PLANS as SCORING
 from sitelode.plans.scoring import payload_columns, post_columns, quarantine_columns, unmatched_columns, update_columns
+from sitelode.plans.sources import PLANS as SOURCES
+from sitelode.schemas import SUBMISSION
 from sitelode.session import RECOMMENDED_CONF, work_dir
+from sitelode.sources import records
 from sitelode.streaming import events, submissions
-from sitelode.streaming.closing import end_marks, run_once, run_to_end
+from sitelode.streaming.closing import JSON, end_marks, run_once, run_to_end
 from sitelode.streaming.upsert import run_batches
 
 
@@ -44,11 +47,11 @@ def stream_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def arrivals(spark: SparkSession, work: str, **tables: tuple[DataFrame, Column]) -> dict[str, DataFrame]:
-    """Tables, each with its time, as streams that go on together: slices of time, one to a trigger.
+def written_slices(spark: SparkSession, work: str, lines: bool = False, **tables: tuple[DataFrame, Column]) -> int:
+    """Tables, each with its time, written by slices of time below ``work``, as Parquet or (their ``value``) as lines of text.
 
     A row arrives some hours after its time, by a hash, so that slices overlap by ``DISORDER_HOURS``. Each slice is
-    written as so many files, and a trigger reads as many.
+    so many files, which is returned.
     """
     parts = spark.sparkContext.defaultParallelism
     placed = {}
@@ -61,10 +64,15 @@ def arrivals(spark: SparkSession, work: str, **tables: tuple[DataFrame, Column])
     for name, rows in placed.items():
         for i in range(FILES):
             some = rows.where((F.col("_arrived") - low >= i * span) & (F.col("_arrived") - low < (i + 1) * span)).drop("_arrived")
-            some.repartition(parts).write.mode("append").parquet(f"{work}/{name}")
-    return {
-        name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(f"{work}/{name}") for name, (rows, _) in tables.items()
-    }
+            some = (some.select("value") if lines else some).repartition(parts).write.mode("append")
+            some.text(f"{work}/{name}") if lines else some.parquet(f"{work}/{name}")
+    return parts
+
+
+def arrivals(spark: SparkSession, work: str, **tables: tuple[DataFrame, Column]) -> dict[str, DataFrame]:
+    """The same as streams that go on together, a slice to a trigger."""
+    files = written_slices(spark, work, **tables)
+    return {name: spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{work}/{name}") for name, (rows, _) in tables.items()}
 
 
 def finished(spark: SparkSession, stream: DataFrame, work: str) -> DataFrame:
@@ -135,6 +143,36 @@ def unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return unmatched_columns(lone.select("idempotency_id", F.col("text").alias("pain_point_text"), F.timestamp_micros("text_us").alias("received_at")))
 
 
+def json_lines(rows: DataFrame, broken: Column) -> Column:
+    """Each row as a line of JSON; broken ones are cut off."""
+    line = F.to_json(F.struct(*rows.columns), JSON)
+    return F.when(broken, F.left(line, F.length(line) - 2)).otherwise(line).alias("value")
+
+
+def submission_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines, every thirteenth of them cut off, in files out of order; records and broken lines go to two outputs."""
+    session, work = stream_session(spark), work_dir(spark, "lines")
+    rows = submission_columns(table(session, folder, "customer"))
+    lines = rows.select(json_lines(rows, F.col("idempotency_id").cast("bigint") % 13 == 0), "submitted_at")
+    files = written_slices(session, work, lines=True, posts=(lines, F.col("submitted_at")))
+    run_batches(records.read_submissions(session, f"{work}/posts", stream=True, files=files), work, records.write_apart(work))
+    good, broken = records.read_apart(spark, work, SUBMISSION)
+    none = F.lit(None)
+    return good.select("idempotency_id", "email", F.size("answers").alias("n_answers"), F.lit(False).alias("is_broken")).unionByName(
+        broken.select(none.cast("string").alias("idempotency_id"), none.cast("string").alias("email"), none.cast("int").alias("n_answers"), F.lit(True).alias("is_broken"))
+    )
+
+
+def update_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON lines of updates, about every eleventh cut off; a table holds the latest of each key after each batch."""
+    session, work = stream_session(spark), work_dir(spark, "update-lines")
+    rows = update_columns(table(session, folder, "events"))
+    lines = rows.select(json_lines(rows, F.unix_micros("received_at") % 11 == 0), "received_at")
+    files = written_slices(session, work, lines=True, updates=(lines, F.col("received_at")))
+    sent = records.read_updates(session, f"{work}/updates", stream=True, files=files)
+    return kept(spark, submissions.submission_changes(None, sent), work).select("idempotency_id", F.col("text").alias("pain_point_text"))
+
+
 PLANS = {
     "stream_gated_events": Plan(
         gated,
@@ -150,6 +188,12 @@ PLANS = {
         with_sql(SUBMISSIONS_SQL, select="SELECT idempotency_id, email, CAST(len(a) AS INTEGER) AS n_answers FROM submissions_all"),
     ),
     "stream_scored_submissions": Plan(scored, SCORING["submissions_payload"].sql),
+    "stream_submission_lines": Plan(submission_lines, SOURCES["submission_lines"].sql),
+    "stream_update_lines": Plan(
+        update_lines,
+        """SELECT CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '' END || user_id AS idempotency_id, arg_max(event_type || ' ' || props, ts) AS pain_point_text
+           FROM events WHERE event_type NOT IN ('error', 'view') AND epoch_us(ts) % 11 <> 0 GROUP BY 1""",
+    ),
     "stream_quarantine": Plan(quarantined, SCORING["quarantined_submissions"].sql),
     "stream_pain_points": Plan(pain_points, SCORING["pain_points"].sql),
     "stream_unmatched_updates": Plan(unmatched, SCORING["unmatched_updates"].sql),

@@ -48,6 +48,29 @@ def scan_text(
     return files.select(_relative(root).alias("path"), column).where(_outside(F.col("path"), skip))
 
 
+def write_files(rows: DataFrame, root: str, name: Column, text: Column) -> None:
+    """One file per name below ``root``, each in a folder of its name; several rows of a name are its parts.
+
+    ``text`` may be bytes, which are written as they are. Each file ends with a line feed. Names may hold anything.
+    """
+    rows.select(name.cast("string").alias("name"), text.cast("string").alias("value")).write.partitionBy("name").text(root)
+
+
+def _written(path: Column) -> Column:
+    """``struct<folder, name>`` of a path that ``write_files`` made."""
+    name = F.regexp_extract(path, r"(?:^|/)name=([^/]*)/[^/]*\z", 1)
+    return F.struct(
+        F.regexp_extract(path, r"^(.*?)/?name=[^/]*/[^/]*\z", 1).alias("folder"),
+        F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"),
+    )
+
+
+def scan_files(spark: SparkSession, root: str, skip: Sequence[str] = SKIPPED_FOLDERS, column: str = "html") -> DataFrame:
+    """``folder, name`` and text of the files that ``write_files`` wrote in folders below ``root``, without their last line feed."""
+    files = scan_text(spark, root, ("txt",), skip, column).withColumn("_written", _written(F.col("path")))
+    return files.select("_written.*", F.regexp_replace(column, r"\n\z", "").alias(column))
+
+
 def scan_public_pages(spark: SparkSession, root: str) -> DataFrame:
     """The pages a visitor can reach."""
     return scan_text(spark, root, ("html",), PRIVATE_FOLDERS)
@@ -58,6 +81,11 @@ def scan_referring_text(spark: SparkSession, root: str, column: str = "html") ->
     return scan_text(spark, root, TEXT_EXTENSIONS, ("node_modules", "assets", "_originals"), column)
 
 
+def written_paths(files: DataFrame) -> DataFrame:
+    """An inventory of files that ``write_files`` wrote, by the ``name`` of each instead of its path."""
+    return files.withColumn("path", _written(F.col("path"))["name"]).withColumnRenamed("path", "name")
+
+
 def scan_inventory(spark: SparkSession, root: str, pattern: str = "*", prefix: str = "/") -> DataFrame:
     """``(path, length)`` of every file. The contents are pruned: only the listing is read."""
     files = (
@@ -65,21 +93,21 @@ def scan_inventory(spark: SparkSession, root: str, pattern: str = "*", prefix: s
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
         .load(root)
-        .select(F.col("path").alias("_file"), "length")
+        .select(F.col("_metadata.file_path").alias("_file"), "length")
     )
     return files.select(F.concat(F.lit(prefix), _relative(root)).alias("path"), "length").where(
         _outside(F.col("path"), SKIPPED_FOLDERS)
     )
 
 
-def scan_images(spark: SparkSession, root: str, prefix: str = "/") -> DataFrame:
+def scan_images(spark: SparkSession, root: str, prefix: str = "/", pattern: str = "*.{png,webp,jpg,jpeg}") -> DataFrame:
     """``(path, content)`` of the image files, for their dimensions."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{png,webp,jpg,jpeg}")
+        .option("pathGlobFilter", pattern)
         .load(root)
-        .select(F.col("path").alias("_file"), "content")
+        .select(F.col("_metadata.file_path").alias("_file"), "content")
     )
     return files.select(F.concat(F.lit(prefix), _relative(root)).alias("path"), "content")
 
@@ -88,8 +116,11 @@ def slug_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+)\.md\z", 1)
 
 
-def scan_markdown(spark: SparkSession, root: str, dialect: str = "tolerant") -> DataFrame:
-    """``(path, slug, text, meta, body)`` of every Markdown file."""
+def scan_markdown(spark: SparkSession, root: str, dialect: str = "tolerant", written: bool = False) -> DataFrame:
+    """``(path, slug, text, meta, body)`` of every Markdown file, or of those that ``write_files`` wrote by their slug."""
+    if written:
+        docs = scan_files(spark, root, ("node_modules",), "text")
+        return front_matter(docs.select(F.col("folder").alias("path"), F.col("name").alias("slug"), "text"), "text", dialect)
     docs = scan_text(spark, root, ("md",), skip=("node_modules",), column="text")
     return front_matter(docs.withColumn("slug", slug_of(F.col("path"))), "text", dialect)
 

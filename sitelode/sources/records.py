@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,16 +13,47 @@ from sitelode.schemas import SITEMAP_URL, SUBMISSION, SUBMISSION_UPDATE
 CORRUPT = "_corrupt_record"
 
 
-def read_submissions(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON lines of submissions. A line that is not one keeps its text in ``_corrupt_record``."""
-    reader = spark.readStream if stream else spark.read
-    schema = f"{SUBMISSION}, {CORRUPT} string"
-    return reader.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+def _json_lines(spark: SparkSession, path: str, schema: str, stream: bool, files: int | None) -> DataFrame:
+    reader = (spark.readStream if stream else spark.read).schema(f"{schema}, {CORRUPT} string")
+    if stream and files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+
+
+def read_submissions(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """JSON lines of submissions. A line that is not one keeps its text in ``_corrupt_record``.
+
+    ``files``: how many a trigger of a stream takes at most.
+    """
+    return _json_lines(spark, path, SUBMISSION, stream, files)
+
+
+def read_updates(spark: SparkSession, path: str, stream: bool = False, files: int | None = None) -> DataFrame:
+    """The same for partial updates."""
+    return _json_lines(spark, path, SUBMISSION_UPDATE, stream, files)
+
+
+def write_apart(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch``: records as Parquet in ``path/records``, broken lines as text in ``path/broken``.
+
+    Each batch has a folder of its own in both, and a batch that is tried again replaces what it left.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        # Lines are parsed once for both; Spark asks for that where only the broken text is used.
+        rows = batch.persist()
+        try:
+            rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT).write.mode("overwrite").parquet(f"{path}/records/batch={batch_id}")
+            rows.where(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value")).write.mode("overwrite").text(f"{path}/broken/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return write
 
 
-def read_updates(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    reader = spark.readStream if stream else spark.read
-    return reader.schema(SUBMISSION_UPDATE).json(path)
+def read_apart(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """The records and the broken lines (``value``) that ``write_apart`` left."""
+    return spark.read.schema(schema).parquet(f"{path}/records/*"), spark.read.text(f"{path}/broken/*")
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:

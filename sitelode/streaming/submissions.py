@@ -97,7 +97,7 @@ def submission_changes(submissions: DataFrame | None, updates: DataFrame | None,
         text = browser_trim(F.col("pain_point_text"))
         filled = updates.where((F.col("update") == "pain_point") & (text != ""))
         received = F.unix_micros(F.col("received_at").cast("timestamp"))
-        kind = parts[0].schema["record"].dataType if parts else T.StructType()
+        kind = parts[0].schema["record"].dataType if parts else T.StringType()
         parts.append(filled.select("idempotency_id", none.cast("long").alias("first_us"), none.cast("long").alias("first_rank"), none.cast(kind).alias("record"), received.alias("text_us"), text.alias("text")))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 

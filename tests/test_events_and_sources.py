@@ -16,7 +16,7 @@ from sitelode.operators.timeline import filled_forward
 from sitelode.schemas import CLICK, CONSENT, SITEMAP_URL, SUBMISSION, SUBMISSION_UPDATE
 from sitelode.session import work_dir
 from sitelode.sources import corpus, records
-from sitelode.streaming import closing
+from sitelode.streaming import closing, upsert
 from sitelode.streaming import gate as stream_events
 from sitelode.streaming import submissions as stream_submissions
 
@@ -285,6 +285,30 @@ def test_equal_retries_are_dropped_without_python(spark, tmp_path):
     assert "Python" not in query._jsq.explainInternal(True) and "Pandas" not in query._jsq.explainInternal(True)
 
 
+def test_json_streams_set_broken_lines_apart(spark, tmp_path):
+    """Several files out of order; a batch that is tried again replaces what it left."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    line = '{"idempotency_id":"k%d","pain_point_text":"t%d","update":"pain_point","received_at":"2026-01-01T00:00:%02d.000001Z"}'
+    for name, numbers in (("c", (5, 6)), ("a", (1, 2)), ("b", (3,))):
+        (folder / f"{name}.json").write_text("\n".join([line % (i % 2, i, i) for i in numbers] + ['{"idempotency_id": "cut', "", "no json"]))
+    stream = records.read_updates(spark, str(folder), stream=True, files=1)
+    sink = records.write_apart(str(tmp_path / "out"))
+    for _ in range(2):
+        upsert.run_batches(stream, str(tmp_path / "run"), sink)
+    kept, broken = records.read_apart(spark, str(tmp_path / "out"), SUBMISSION_UPDATE)
+    assert sorted(r.pain_point_text for r in kept.collect()) == ["t1", "t2", "t3", "t5", "t6"]
+    assert sorted(r.value for r in broken.collect()) == sorted(['{"idempotency_id": "cut', "no json"] * 3)
+    again = records.write_apart(str(tmp_path / "twice"))
+    for name in ("a.json", "c.json", "c.json"):
+        again(records.read_updates(spark, str(folder / name)), 0)
+    kept, broken = records.read_apart(spark, str(tmp_path / "twice"), SUBMISSION_UPDATE)
+    assert (sorted(r.pain_point_text for r in kept.collect()), broken.count()) == (["t5", "t6"], 2)
+    held = stream_submissions.submission_table(str(tmp_path / "t"), stream_submissions.submission_changes(None, stream)).create(spark)
+    upsert.run_batches(stream_submissions.submission_changes(None, stream), str(tmp_path / "again"), held.upsert)
+    assert sorted((r.idempotency_id, r.text) for r in held.read(spark).collect()) == [("k0", "t6"), ("k1", "t5")]
+
+
 def change_rows(held, spark):
     return sorted(((r.idempotency_id, r.record and r.record.answers[0], r.text) for r in held.read(spark).collect()), key=str)
 
@@ -352,6 +376,29 @@ def test_inventory_reads_no_contents(spark, site):
     assert [bytes(r.content) for r in corpus.scan_images(spark, site).collect()] == [b"12345"]
 
 
+ODD_NAMES = ["a b", "100%", "%25", "a+b", "a=b:c", "x/y", "ñ#?", "[z]{1}"]
+
+
+def test_written_files_come_back(spark, tmp_path):
+    rows = spark.createDataFrame([(n, f"<p>{i}\n</p>\n") for i, n in enumerate(ODD_NAMES)] + [("empty", ""), ("null", None)], "name string, html string")
+    for folder in ("in 50%/a+b", "scripts", "deep/node_modules/x"):
+        corpus.write_files(rows, f"{tmp_path}/{folder}", F.col("name"), F.col("html"))
+    back = [tuple(r) for r in corpus.scan_files(spark, str(tmp_path)).collect()]
+    assert sorted(back) == sorted([("in 50%/a+b", n, f"<p>{i}\n</p>\n") for i, n in enumerate(ODD_NAMES)] + [("in 50%/a+b", n, "") for n in ("empty", "null")])
+
+
+def test_written_bytes_come_back(spark, tmp_path):
+    contents = [bytes(range(256)), b"\xff\n\n", b""]
+    rows = spark.createDataFrame(list(zip(ODD_NAMES, map(bytearray, contents), strict=False)), "name string, content binary")
+    corpus.write_files(rows, f"{tmp_path}/b", F.col("name"), F.col("content"))
+    images = corpus.written_paths(corpus.scan_images(spark, str(tmp_path), pattern="*.txt"))
+    assert {r.name: bytes(r.content) for r in images.collect()} == {n: c + b"\n" for n, c in zip(ODD_NAMES, contents, strict=False)}
+    lengths = corpus.written_paths(corpus.scan_inventory(spark, str(tmp_path), "*.txt"))
+    assert {r.name: r.length for r in lengths.collect()} == {n: len(c) + 1 for n, c in zip(ODD_NAMES, contents, strict=False)}
+    plan = lengths._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan.split("ReadSchema:")[1].split(">")[0]
+
+
 def test_sitemap_round_trip(spark, tmp_path):
     rows = [("https://own.ex/?a=1&b=<2>", "2026-05-01", "weekly", 0.8)]
     records.write_sitemap(spark.createDataFrame(rows, SITEMAP_URL), str(tmp_path / "map"))
