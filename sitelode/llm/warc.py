@@ -2,10 +2,17 @@
 
 An ARC file begins with a version block that names its version and fields. A record is a header line with those fields,
 the last of which is the declared length of what follows. The converter reads files by these lengths alone, so payloads
-may hold anything, and gives each record a WARC identifier from its place, a timestamp, a type, and SHA-1 digests. Of
-records with equal long payloads one is a response and the others are revisits to it.
+may hold anything, and gives each record a WARC identifier from its place, a timestamp, a type, and SHA-1 digests. What
+begins as an HTTP message is a response; of responses with equal long payloads one stays and the others are revisits to
+it. Anything else (``dns:`` records, files, answers without a head) is a resource of the type that its header names.
 
-Archives are written and read by Spark alone, so they may lie in any store. A file is what one task writes.
+Archives are written and read by Spark alone, so they may lie in any store. A file is what one task writes, and is read as
+one value of at most 2 GB. Archives aren't shuffled: each file meets its list of revisits by broadcast, in groups of files
+with at most ``REVISITS`` of them.
+
+Damaged and odd archives: a length beyond the end of a file makes a record truncated (``WARC-Truncated``); a line that is
+no header is passed over until one is; a further version block sets the fields anew; heads may end lines with line feeds
+alone, lack Content-Length, blanks behind colons or colons; a short date is filled up, one that is none is the epoch.
 
 Cases: a null payload is empty; a null or blank url is given as ``urn:page``, blanks in one are escaped; a null page_id
 is smaller than any other; of equal payloads and ids the first place in the archives is the response; repeated rows are
@@ -15,10 +22,12 @@ records of their own; an empty table gives no record; columns other than those n
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -29,6 +38,9 @@ from sitelode.llm.common import checkpointed, shared_folder, table
 
 # Payloads of fewer bytes are never revisits.
 LEAST = 1000
+# Revisits that are broadcast together (some 100 bytes each), and groups of files that one job converts.
+REVISITS = 400_000
+WAVE = 16
 # Bytes of records handed to Spark at once.
 BATCH_BYTES = 4 << 20
 DATE = "20240101000000"
@@ -43,7 +55,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def written(records: DataFrame, folder: str, end: bytes) -> str:
     """Binary ``record``s, each followed by ``end``, as gzip files; Spark's text writer leaves bytes as they are."""
-    records.select(F.col("record").cast("string")).write.option("lineSep", end.decode()).option("compression", "gzip").text(folder)
+    records.select(F.col("record").cast("string")).write.mode("append").option("lineSep", end.decode()).option("compression", "gzip").text(folder)
     return folder
 
 
@@ -85,6 +97,7 @@ class Reader:
         return out.removesuffix(b"\r")
 
     def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, or what is left."""
         if len(self.held) - self.at < n:
             # A long record is gathered once, not a piece at a time.
             pieces = [self.held[self.at :]]
@@ -93,33 +106,40 @@ class Reader:
                 pieces.append(piece)
                 have += len(piece)
             self.held, self.at = b"".join(pieces), 0
-            if have < n:
-                raise ValueError(f"{n} bytes declared, {have} left")
         out = self.held[self.at : self.at + n]
-        self.at += n
-        self.place += n
+        self.at += len(out)
+        self.place += len(out)
         return out
 
 
+HEADER = re.compile(rb"[^ ].* [0-9]+")
+
+
 def arc_records(reader: Reader) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Place, header fields by name, and block of each record, after the version block."""
-    fields: list[str] = []
+    """Place, header fields by name, and block of each record, after the version block.
+
+    A block is shorter than its ``Archive-length`` only where the file ends in it.
+    """
+    fields = ARC_FIELDS[1].split(" ")
     while True:
         place = reader.place
         line = reader.line()
         if line is None:
             return
-        if not line:
+        if not HEADER.fullmatch(line):
             continue
-        if not fields:
+        if line.startswith(b"filedesc:"):
             # The version block: its own line has version 1's fields, its text the version and the fields of all others.
-            block = reader.take(int(line.rsplit(b" ", 1)[1])).decode().split("\n")
-            version, fields = int(block[0].split(" ")[0]), block[1].split(" ")
-            if fields != ARC_FIELDS.get(version, "").split(" "):
-                raise ValueError(f"fields of version {version}: {block[1]}")
+            block = reader.take(int(line.rsplit(b" ", 1)[1])).decode("latin-1").split("\n")
+            named = block[1].strip().split(" ") if len(block) > 1 else []
+            if named not in [known.split(" ") for known in ARC_FIELDS.values()]:
+                raise ValueError(f"unknown version of an archive: {block[:2]}")
+            fields = named
             continue
-        values = line.decode().rsplit(" ", len(fields) - 1)
-        yield place, (found := dict(zip(fields, values, strict=True))), reader.take(int(found["Archive-length"]))
+        values = line.decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
+        if len(values) == len(fields):
+            found = dict(zip(fields, values, strict=True))
+            yield place, found, reader.take(int(found["Archive-length"]))
 
 
 def arc_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html") -> str:
@@ -132,7 +152,7 @@ def arc_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_
         name = f"pages-{task:06d}.arc"
         about = f"{version} 0 sitelode\n{ARC_FIELDS[version]}\n".encode()
         out = [f"filedesc://{name} 0.0.0.0 {DATE} text/plain {len(about)}\n".encode() + about]
-        size = 0
+        size, offset = 0, len(out[0]) + len(ARC_END)
         for batch in batches:
             for page, url, payload in zip(*(batch.column(i) for i in range(3)), strict=True):
                 body = (payload.as_py() or "").encode()
@@ -140,9 +160,10 @@ def arc_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_
                 named = b"" if page is None else f"X-Page-Id: {page}\r\n".encode()
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + named + f"Content-Length: {len(body)}\r\n\r\n".encode() + body
                 where = "%20".join((url.as_py() or "").split()) or "urn:page"
-                middle = "" if version == 1 else f" 200 - - 0 {name}"
+                middle = "" if version == 1 else f" 200 - - {offset} {name}"
                 out.append(f"{where} 0.0.0.0 {DATE} text/html{middle} {len(block)}\n".encode() + block)
                 size += len(block)
+                offset += len(out[-1]) + len(ARC_END)
                 if size > BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
                     out, size = [], 0
@@ -152,26 +173,30 @@ def arc_archives(pages: DataFrame, folder: str, id_column: str = "page_id", url_
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    """``name, content`` of each archive file."""
+    """``name, content`` of each archive file. A condition on the name is one on the listing: other files aren't opened."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    return found.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "content")
 
 
 @dataclass
 class Message:
-    """An HTTP message: its head with the blank line, its payload, and the page it names."""
+    """An HTTP message, or any other block (``is_http`` is false, the head is empty): head with the blank line, payload, page named in it."""
 
+    is_http: bool
     head: bytes
     payload: bytes
     page: int | None
-    length: int
 
 
 def message(block: bytes) -> Message:
-    head, _, payload = block.partition(b"\r\n\r\n")
-    named = dict(line.lower().split(b": ", 1) for line in head.split(b"\r\n")[1:])
-    page = named.get(b"x-page-id")
-    return Message(head + b"\r\n\r\n", payload, None if page is None else int(page), int(named[b"content-length"]))
+    end = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+    if not end:
+        # A message without a blank line is all head.
+        http = block.startswith(b"HTTP/")
+        return Message(http, block if http else b"", b"" if http else block, None)
+    head = block[: end.end()]
+    page = re.search(rb"(?im)^x-page-id:[ \t]*(-?[0-9]+)[ \t]*\r?$", head)
+    return Message(True, head, block[end.end() :], None if page is None else int(page[1]))
 
 
 def warc_records(reader: Reader) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -193,6 +218,9 @@ def record_id(name: str, place: int) -> str:
 
 
 def stamp(date: str) -> str:
+    if not re.fullmatch("[0-9]{4,}", date):
+        date = "1970"
+    date = date[:14] + "00000101000000"[len(date) :] if len(date) < 8 else date.ljust(14, "0")
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
@@ -202,15 +230,16 @@ def warc_head(fields: dict[str, str | None], length: int) -> bytes:
 
 
 def arc_payloads(spark: SparkSession, arcs: str) -> DataFrame:
-    """``name, place, page_id, size, sha1`` of each record of the legacy archives."""
+    """``name, place, page_id, size, sha1`` of each whole HTTP message in the legacy archives."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 out = []
-                for place, _, block in arc_records(Reader(inflated(content.as_py()))):
+                for place, fields, block in arc_records(Reader(inflated(content.as_py()))):
                     m = message(block)
-                    out.append((name.as_py(), place, m.page, len(m.payload), hashlib.sha1(m.payload).digest()))
+                    if m.is_http and len(block) == int(fields["Archive-length"]):
+                        out.append((name.as_py(), place, m.page, len(m.payload), hashlib.sha1(m.payload).digest()))
                 columns = list(zip(*out, strict=True)) or [()] * 5
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["name", "place", "page_id", "size", "sha1"])
@@ -228,8 +257,10 @@ def converted(spark: SparkSession, arcs: str, folder: str, least: int = LEAST) -
     others = pairs.where((F.col("name") != F.col("first.name")) | (F.col("place") != F.col("first.place")))
     # One row for each file, with its revisits: where each is, and what it refers to.
     target = F.struct("place", F.col("first.name").alias("to_name"), F.col("first.place").alias("to_place"), (-F.col("first.less")).alias("to_page"))
-    revisits = others.groupBy("name").agg(F.collect_list(target).alias("revisits"))
-    rows = files(spark, arcs).join(revisits, "name", "left").select("name", "content", "revisits")
+    revisits = checkpointed(others.groupBy("name").agg(F.collect_list(target).alias("revisits")))
+    groups = max(1, -(-(revisits.agg(F.sum(F.size("revisits"))).first()[0] or 0) // REVISITS))
+    own = F.pmod(F.xxhash64("name"), F.lit(groups))
+    parts = [files(spark, arcs).where(own == g).join(F.broadcast(revisits.where(own == g)), "name", "left").select("name", "content", "revisits") for g in range(groups)]
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,9 +272,10 @@ def converted(spark: SparkSession, arcs: str, folder: str, least: int = LEAST) -
                 out, size = [warc_head(info, len(about)) + about], 0
                 for place, fields, block in arc_records(Reader(inflated(content.as_py()))):
                     m, target = message(block), to.get(place)
+                    whole = len(block) == int(fields["Archive-length"])
                     block = m.head if target else block
                     head = {
-                        "WARC-Type": "revisit" if target else "response",
+                        "WARC-Type": "revisit" if target else "response" if m.is_http else "resource",
                         "WARC-Record-ID": record_id(name, place),
                         "WARC-Date": stamp(fields["Archive-date"]),
                         "WARC-Target-URI": fields["URL"],
@@ -252,8 +284,10 @@ def converted(spark: SparkSession, arcs: str, folder: str, least: int = LEAST) -
                         "WARC-Block-Digest": f"sha1:{hashlib.sha1(block).hexdigest()}",
                         "WARC-Profile": PROFILE if target else None,
                         "WARC-Refers-To": record_id(target["to_name"], target["to_place"]) if target else None,
+                        "WARC-Truncated": None if whole else "unspecified",
                         "X-Refers-To-Page": target["to_page"] if target else None,
-                        "Content-Type": "application/http;msgtype=response",
+                        "X-Payload-Bytes": len(m.payload) if target else None,
+                        "Content-Type": "application/http;msgtype=response" if m.is_http else fields["Content-type"],
                     }
                     out.append(warc_head(head, len(block)) + block)
                     size += len(out[-1])
@@ -262,7 +296,9 @@ def converted(spark: SparkSession, arcs: str, folder: str, least: int = LEAST) -
                         out, size = [], 0
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
-    return written(rows.mapInArrow(convert, "record binary"), folder, WARC_END)
+    for at in range(0, groups, WAVE):
+        written(reduce(DataFrame.unionByName, parts[at : at + WAVE]).mapInArrow(convert, "record binary"), folder, WARC_END)
+    return folder
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,16 +309,18 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
             for content in batch.column(1):
                 out = []
                 for fields, block in warc_records(Reader(inflated(content.as_py()))):
-                    if fields["WARC-Type"] not in ("response", "revisit"):
+                    kind = fields["WARC-Type"]
+                    if kind not in ("response", "revisit", "resource"):
                         continue
                     if fields["WARC-Block-Digest"] != f"sha1:{hashlib.sha1(block).hexdigest()}":
                         raise ValueError(f"{fields['WARC-Record-ID']}: the block has another digest")
                     m = message(block)
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and (hashlib.sha1(m.payload).hexdigest() != digest or len(m.payload) != m.length):
+                    if kind != "revisit" and hashlib.sha1(m.payload).hexdigest() != digest:
                         raise ValueError(f"{fields['WARC-Record-ID']}: the payload has another digest")
                     to = fields.get("X-Refers-To-Page")
-                    out.append((m.page, m.length, digest, fields["WARC-Type"], None if to is None else int(to), fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Date"], fields["WARC-Target-URI"]))
+                    size = len(m.payload) if kind != "revisit" else int(fields["X-Payload-Bytes"])
+                    out.append((m.page, size, digest, kind, None if to is None else int(to), fields["WARC-Record-ID"], fields.get("WARC-Refers-To"), fields["WARC-Date"], fields["WARC-Target-URI"]))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4)
                 columns = list(zip(*out, strict=True)) or [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

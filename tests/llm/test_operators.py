@@ -30,6 +30,65 @@ def test_warc(spark, folder):
     assert got == Counter(plain.archived(plain.rows(folder, "pages")))
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Name servers' records, missing and odd headers, line feeds alone, damaged lines, two archives in one file, a record cut off."""
+    import gzip
+
+    from sitelode.llm.warc import converted, read_warc
+
+    long = b"<p>" + b"x" * 1200
+    blocks = [
+        ("dns:example.org", "text/dns", b"20240101000000\nexample.org. 300 IN A 10.0.0.1\n"),
+        ("http://a/ b", "text/html", b"HTTP/1.0 200 OK\r\nServer:nginx\r\nno colon\r\n\r\n" + long),
+        ("http://b/", "text/html", b"HTTP/1.1 200 OK\nContent-Length: 9\nX-Page-Id:7\n\n" + long),
+        ("http://c/", "text/html", long),
+        ("http://d/", "text/html", b"HTTP/1.1 204 No Content\r\n"),
+        ("ftp://e/f", "application/zip", b"PK\x03\x04\r\n\r\nHTTP/1.1\n"),
+        ("http://f/", "text/html", b""),
+    ]
+    one = b"filedesc://x.arc 0.0.0.0 19961104 text/plain 73\n1 0 Other\nURL IP-address Archive-date Content-type Archive-length\nmore"
+    one = one.replace(b" 73\n", b" %d\n" % len(one.split(b"\n", 1)[1])) + b"\n"
+    dates = ["20240102030405", "19961104", "0", "199611", "20240102030405", "20240102030405", "20240102030405"]
+    old = one + b"".join(f"{u} 0.0.0.0 {d} {k} {len(c)}\n".encode() + c + b"\n" for (u, k, c), d in zip(blocks, dates, strict=True))
+    two = b"1 0 Other\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    two = b"filedesc://y.arc 0.0.0.0 20240101000000 text/plain %d\n" % len(two) + two + b"\nthis is no header\n"
+    cut = two + f"http://g/ 0.0.0.0 20240101000000 text/html 200 - - 0 y.arc {len(long)}\n".encode() + long + b"\nhttp://h/ 0.0.0.0 20240101000000 text/html 200 - - 9 y.arc 5000\nHTTP/1.1 200 OK\r\n\r\n" + long
+    arcs = tmp_path / "arcs"
+    arcs.mkdir()
+    (arcs / "part-0.gz").write_bytes(gzip.compress(old) + gzip.compress(cut))
+    got = read_warc(spark, converted(spark, str(arcs), str(tmp_path / "warcs"))).collect()
+    by_uri = {r.target_uri: r for r in got}
+    assert len(got) == 9 and {u: r.record_type for u, r in by_uri.items()} == {
+        "dns:example.org": "resource", "http://a/ b": "revisit", "http://b/": "response", "http://c/": "resource", "http://d/": "response",
+        "ftp://e/f": "resource", "http://f/": "resource", "http://g/": "resource", "http://h/": "response",
+    }
+    assert by_uri["http://a/ b"].refers_to == 7 and by_uri["http://a/ b"].refers_to_id == by_uri["http://b/"].record_id
+    assert [by_uri[u].payload_bytes for u in ("dns:example.org", "http://a/ b", "http://b/", "http://d/", "ftp://e/f", "http://f/")] == [len(blocks[0][2]), 1203, 1203, 0, len(blocks[5][2]), 0]
+    assert [by_uri[u].warc_date for u in ("dns:example.org", "http://a/ b", "http://b/", "http://c/")] == ["2024-01-02T03:04:05Z", "1996-11-04T00:00:00Z", "1970-01-01T00:00:00Z", "1996-11-01T00:00:00Z"]
+    raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "warcs").glob("part-*"))
+    assert raw.count(b"WARC-Truncated: unspecified") == 1 and b"Content-Type: text/dns" in raw
+
+
+def test_archives_are_converted_in_groups_and_not_shuffled(spark, tmp_path, monkeypatch):
+    from sitelode.llm import warc
+
+    monkeypatch.setattr(warc, "REVISITS", 2)
+    monkeypatch.setattr(warc, "WAVE", 2)
+    pages = spark.range(60).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id % 5 AS string), 2000) AS html").repartition(12)
+    seen = []
+    monkeypatch.setattr(warc, "written", lambda records, folder, end, real=warc.written: (seen.append(records._jdf.queryExecution().optimizedPlan().toString()), real(records, folder, end))[1])
+    arcs = warc.arc_archives(pages, str(tmp_path / "a"))
+    found = warc.read_warc(spark, warc.converted(spark, arcs, str(tmp_path / "w"))).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found) == sorted((i, *(("response", None) if i >= 55 else ("revisit", 55 + i % 5))) for i in range(60))
+    assert len(seen) > 5 and all("strategy=broadcast" in plan for plan in seen[1:])
+    # Version 2 names the offset of each record.
+    content = [c for f in sorted((tmp_path / "a").glob("part-*")) if (c := __import__("gzip").decompress(f.read_bytes())).split(b"\n")[1].startswith(b"2 ")]
+    assert content
+    for raw in content:
+        for at in [i for i in range(len(raw)) if raw.startswith(b"\nu 0.0.0.0", i)]:
+            assert int(raw[at + 1 :].split(b"\n", 1)[0].split(b" ")[7]) == at + 1
+
+
 def test_packing(spark, folder):
     from tokenizers import Tokenizer
 
