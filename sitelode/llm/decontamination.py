@@ -1,8 +1,10 @@
 """Benchmark passages found in documents by an FM-index per shard of documents.
 
-A shard is an Arrow batch of documents. Its words become numbers of the benchmark's words; stretches that hold another
-word, or are shorter than the shortest window, can't hold a window and are left out of the index. All windows are searched
-backwards at once through a wavelet matrix of the transformed text, found by sampled suffix positions, and merged.
+A shard is some documents of a task. Their words become numbers of the benchmark's words; stretches that hold another
+word, or are shorter than the shortest window, can't hold a window and are left out of the index, which is built of
+``SHARD`` words at most: more words, also of one text, are cut into pieces that overlap by a window. All windows are
+searched backwards at once through a wavelet matrix of the transformed text, found by sampled suffix positions, and
+merged. The benchmark comes in parts of bounded size, one at a time on the driver and in a task.
 
 Cases: a null text has no words; an item without words has no window, a null item_id is searched for but not named;
 repeated items count once; an empty benchmark hits nothing; an empty table gives no row; columns other than those named
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +25,9 @@ from sitelode.llm.common import LOWER, blocks, byte_table, runs, table, word_has
 
 WINDOW = 10
 # Benchmark text that is searched for at once; a larger benchmark is dealt into parts of about this size by item.
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
+# Words that an index is built of, at most.
+SHARD = 1 << 18
 # Every so many-th suffix position is kept.
 STEP = 8
 # Word characters after A-Z were lower-cased: digits, letters, and all beyond ASCII.
@@ -148,46 +153,29 @@ class Index:
         return out
 
 
-def search_shard(column: pa.Array, parts: list[Phrases]) -> tuple[np.ndarray, list[np.ndarray], list[set[str]], list[list[tuple[int, int]]]]:
-    """Of each text: number of words, places of hit words, ids of items found, byte spans of hit words (merged)."""
-    n = len(column)
-    n_words = np.zeros(n, np.int64)
-    hit_words: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    items: list[set[str]] = [set() for _ in range(n)]
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    collected: list[list[np.ndarray]] = [[] for _ in parts]  # by part: symbol, row, word, start byte, end byte
-    for row, starts, ends, hashes, firsts in hashed_words(column):
-        per_text = np.diff(firsts)
-        n_words[row : row + len(per_text)] = per_text
-        text = np.repeat(np.arange(len(per_text)), per_text)
-        for found, phrases in zip(collected, parts, strict=True):
-            symbol = phrases.numbers(hashes)
-            known = np.flatnonzero(symbol)
-            if not len(known):
-                continue
-            begins = np.ones(len(known), bool)
-            begins[1:] = (np.diff(known) != 1) | (text[known[1:]] != text[known[:-1]])
-            edges = np.flatnonzero(begins)
-            lengths = np.diff(np.append(edges, len(known)))
-            long = lengths >= phrases.length.min()
-            known = known[np.repeat(long, lengths)]
-            if not len(known):
-                continue
-            lengths = lengths[long]
-            # A zero closes every stretch.
-            place = np.arange(len(known)) + np.repeat(np.arange(len(lengths)), lengths)
-            out = np.zeros((5, len(known) + len(lengths)), np.int64)
-            out[1] = -1
-            out[:, place] = symbol[known], row + text[known], known - firsts[text[known]], starts[known], ends[known]
-            found.append(out)
-    for found, phrases in zip(collected, parts, strict=True):
-        if not found:
-            continue
-        symbol, row, word, start, end = np.concatenate(found, axis=1)
+def loaded(part: Broadcast | Phrases) -> Phrases:
+    """A part of the benchmark, read from the executor's disk, and held by nothing else."""
+    if isinstance(part, Phrases):
+        return part
+    fresh = object.__new__(type(part))
+    fresh.__dict__.update(part.__dict__)
+    return fresh.value
+
+
+class Hits:
+    """What is found in some texts: by text the hit words and the items."""
+
+    def __init__(self, n: int):
+        self.words: list[list[np.ndarray]] = [[] for _ in range(n)]
+        self.items: list[set[str]] = [set() for _ in range(n)]
+
+    def add(self, some: np.ndarray, phrases: Phrases) -> None:
+        """Searches a piece: rows are symbols, texts, words, start and end bytes; a stretch ends at a zero."""
+        symbol, row, word, start, end = some
         index = Index(symbol, len(phrases.words))
         who, low, high = index.search(phrases.symbols, phrases.length)
         if not len(who):
-            continue
+            return
         times = high - low
         phrase = np.repeat(who, times)
         at = index.locate(np.repeat(low, times) + runs(times))
@@ -195,28 +183,74 @@ def search_shard(column: pa.Array, parts: list[Phrases]) -> tuple[np.ndarray, li
         np.add.at(cover, at, 1)
         np.add.at(cover, at + phrases.length[phrase], -1)
         hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        for i in np.unique(np.stack([row[at], phrase], axis=1), axis=0).tolist():
-            items[i[0]].update(str(phrases.ids[k]) for k in phrases.items[i[1]] if phrases.ids[k] is not None)
-        begins = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(row[hit], prepend=-2) != 0))
-        closes = np.append(begins[1:], len(hit)) - 1
-        for a, b in zip(hit[begins].tolist(), hit[closes].tolist(), strict=True):
-            spans[row[a]].append((int(start[a]), int(end[b])))
-            hit_words[row[a]] = np.union1d(hit_words[row[a]], word[a : b + 1])
-    return n_words, hit_words, items, [merged(s) for s in spans]
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
+        for text, number in np.unique(np.stack([row[at], phrase], axis=1), axis=0).tolist():
+            self.items[text].update(str(phrases.ids[k]) for k in phrases.items[number] if phrases.ids[k] is not None)
+        edges = np.flatnonzero(np.diff(row[hit], prepend=-2))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(hit)], strict=True):
+            here = hit[a:b]
+            self.words[row[here[0]]].append(np.stack([word[here], start[here], end[here]]))
+
+    def spans(self, text: int) -> tuple[int, list[tuple[int, int]]]:
+        """How many words of a text are hit, and the byte spans of hit words that follow on each other."""
+        if not self.words[text]:
+            return 0, []
+        word, first = np.unique(np.concatenate([w[0] for w in self.words[text]]), return_index=True)
+        start, end = (np.concatenate([w[k] for w in self.words[text]])[first] for k in (1, 2))
+        begins = np.flatnonzero(np.diff(word, prepend=-2) != 1)
+        closes = np.append(begins[1:], len(word)) - 1
+        return len(word), list(zip(start[begins].tolist(), end[closes].tolist(), strict=True))
+
+
+def known_stretches(phrases: Phrases, row: int, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Symbols, texts, words, start and end bytes of a block's stretches of known words; a zero closes each."""
+    text = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+    symbol = phrases.numbers(hashes)
+    known = np.flatnonzero(symbol)
+    begins = np.ones(len(known), bool)
+    begins[1:] = (np.diff(known) != 1) | (text[known[1:]] != text[known[:-1]])
+    edges = np.flatnonzero(begins)
+    lengths = np.diff(np.append(edges, len(known)))
+    long = lengths >= phrases.length.min()
+    known, lengths = known[np.repeat(long, lengths)], lengths[long]
+    place = np.arange(len(known)) + np.repeat(np.arange(len(lengths)), lengths)
+    out = np.zeros((5, len(known) + len(lengths)), np.int64)
+    out[1] = -1
+    out[:, place] = symbol[known], row + text[known], known - firsts[text[known]], starts[known], ends[known]
     return out
 
 
-def phrase_parts(benchmark: DataFrame, id_column: str, text_column: str, window: int) -> list[Phrases]:
+def search_shard(column: pa.Array, parts: list[Broadcast | Phrases], shard: int = 0) -> tuple[np.ndarray, list[int], list[set[str]], list[list[tuple[int, int]]]]:
+    """Of each text: number of words, of hit words, ids of items found, byte spans of hit words (merged)."""
+    shard = shard or SHARD
+    n_words, hits = np.zeros(len(column), np.int64), Hits(len(column))
+    for row, _, _, _, firsts in hashed_words(column) if not parts else ():
+        n_words[row : row + len(firsts) - 1] = np.diff(firsts)
+    for part in parts:
+        phrases, gathered, size = loaded(part), [], 0
+        overlap = phrases.symbols.shape[1] - 1
+
+        def search(pieces: list[np.ndarray], phrases: Phrases = phrases, overlap: int = overlap) -> None:
+            whole = np.concatenate(pieces, axis=1)
+            for low in range(0, whole.shape[1], shard):
+                # A window lies whole in one of two pieces that overlap; a zero ends the piece.
+                hits.add(np.concatenate([whole[:, low : low + shard + overlap], [[0], [-1], [0], [0], [0]]], axis=1), phrases)
+
+        for row, starts, ends, hashes, firsts in hashed_words(column):
+            n_words[row : row + len(firsts) - 1] = np.diff(firsts)
+            gathered.append(known_stretches(phrases, row, starts, ends, hashes, firsts))
+            size += gathered[-1].shape[1]
+            if size >= shard:
+                search(gathered)
+                gathered, size = [], 0
+        if size:
+            search(gathered)
+    found = [hits.spans(i) for i in range(len(column))]
+    return n_words, [n for n, _ in found], hits.items, [spans for _, spans in found]
+
+
+def phrase_parts(benchmark: DataFrame, id_column: str, text_column: str, window: int) -> list[Broadcast]:
     """The benchmark's windows, a part at a time on the driver; a part is about PART_BYTES of text or one item."""
+    context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(id_column).cast("string").alias("id"), F.col(text_column).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + size // PART_BYTES
@@ -225,11 +259,11 @@ def phrase_parts(benchmark: DataFrame, id_column: str, text_column: str, window:
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).distinct().orderBy("id", "text").collect()
         phrases = Phrases([r["id"] for r in rows], [r["text"] for r in rows], window)
         if len(phrases.length):
-            parts.append(phrases)
+            parts.append(context.broadcast(phrases))
     return parts
 
 
-def search(text: Column, parts: list[Phrases], cut: bool = False) -> Column:
+def search(text: Column, parts: list[Broadcast], cut: bool = False) -> Column:
     """``n_words, n_hit, items (sorted ids), spans (code points of the merged hits)`` of each text, or the text without them."""
 
     def run(column: pa.Array) -> pa.Array:
@@ -246,7 +280,7 @@ def search(text: Column, parts: list[Phrases], cut: bool = False) -> Column:
         return pa.StructArray.from_arrays(
             [
                 pa.array(n_words),
-                pa.array([len(h) for h in hits], pa.int64()),
+                pa.array(hits, pa.int64()),
                 pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                 pa.array(marked, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
             ],

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import plain
+import pyarrow as pa
 import pytest
 from conftest import DATA
 
@@ -220,6 +221,39 @@ def test_decontamination_in_parts(spark, tmp_path, monkeypatch):
     assert result(spark, folder, "op6") == Counter(plain.leaks(plain.rows(folder, "documents"), plain.rows(folder, "benchmark")))
 
 
+@pytest.mark.parametrize("shard", [1, 7, 50])
+def test_decontamination_of_small_shards(spark, tmp_path, monkeypatch, shard):
+    """Windows across the ends of pieces, and adjacent hits of two pieces, which are one span."""
+    from sitelode.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "SHARD", shard)
+    folder = plain.odd_tables(tmp_path)
+    assert result(spark, folder, "op6") == Counter(plain.leaks(plain.rows(folder, "documents"), plain.rows(folder, "benchmark")))
+    words = [f"b{i}" for i in range(40)]
+    phrases = decontamination.Phrases(["x", "y"], [" ".join(words[:25]), " ".join(words[25:])], 10)
+    texts = pa.array(["Zz " + "  ".join(words) + ". zz", None, "", " ".join(words[:9]), " ".join(words[20:30])])
+    n_words, hits, items, spans = decontamination.search_shard(texts, [phrases])
+    assert n_words.tolist() == [42, 0, 0, 9, 10] and hits == [40, 0, 0, 0, 0] and items[0] == {"x", "y"}
+    assert spans[0] == [(3, 3 + len("  ".join(words)))] and not any(spans[1:])
+
+
+def test_an_index_is_of_bounded_size():
+    """A text of benchmark words only, far longer than an index may be."""
+    import tracemalloc
+
+    from sitelode.llm import decontamination
+
+    rng = np.random.default_rng(14)
+    words = [f"w{i}" for i in range(300)]
+    phrases = decontamination.Phrases(["x"], [" ".join(rng.choice(words, 3000))], 10)
+    texts = pa.array([" ".join(rng.choice(words, 1_200_000))])
+    tracemalloc.start()
+    decontamination.search_shard(texts, [phrases])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+
+
 def test_passages_are_cut(spark, tmp_path):
     from sitelode.llm.decontamination import decontaminated
 
