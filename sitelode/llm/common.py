@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Texts are worked on in blocks of about this many bytes, whatever an Arrow batch holds; one longer text is one block.
 BLOCK_BYTES = 1 << 20
 
+# Bits of the filter on keys of rows.
+FILTER_BITS = 26
+
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -45,6 +48,29 @@ def checkpointed(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def split_by(rows: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose 64-bit ``key`` may be among the only column of ``keys``, and those whose isn't.
+
+    A bitmap of fixed size tells, 64 bits a row: at most 2^20 rows of two numbers, which are broadcast. A false positive
+    costs only a row that is shuffled later on.
+    """
+
+    def place(of: Column) -> tuple[Column, Column]:
+        low = of.bitwiseAND((1 << FILTER_BITS) - 1)
+        return F.shiftright(low, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), of.bitwiseAND(63).cast("int")).alias("_bit")
+
+    (own,) = keys.columns
+    bits = F.broadcast(keys.select(*place(F.col(quoted(own)))).groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    known = rows.select("*", *place(key)).join(bits, "_word", "left").withColumn("_maybe", F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False)))
+    names = [quoted(c) for c in rows.columns]
+    return known.where("_maybe").select(*names), known.where("NOT _maybe").select(*names)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelode.llm.common import blocks, checkpointed, sampled, table
+from sitelode.llm.common import blocks, checkpointed, quoted, sampled, split_by, table
 
 SHINGLE = 4
 SEED = 42
@@ -252,19 +252,23 @@ def one_of_each(documents: DataFrame, id_column: str = "doc_id", text_column: st
     labelled = prints.join(component_labels(prints).select("fp", "label"), "fp")
     # A null id comes last.
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash"))
-    kept = labelled.groupBy("label").agg(first.alias("first")).select("first.doc_id", "first.hash")
+    kept = labelled.groupBy("label").agg(first.alias("first")).select("first.doc_id", "first.hash", F.lit(True).alias("kept"))
     rows = prints.groupBy("doc_id", "hash").count()
     same = F.expr("a.doc_id <=> b.doc_id AND a.hash = b.hash")
-    counted = checkpointed(rows.alias("a").join(kept.alias("b"), same, "left_semi").select(F.struct("doc_id", "hash").alias("key"), "count"))
-
-    def among(keys: DataFrame) -> DataFrame:
-        key = keys["key"]
-        matches = key["doc_id"].eqNullSafe(documents[id_column]) & (key["hash"] == F.xxhash64(documents[text_column]))
-        return documents.join(keys, matches, "left_semi")
-
-    repeated = among(counted.where("count > 1"))
-    least = repeated.groupBy(id_column, text_column).agg(F.min(F.struct(*[F.col(c) for c in repeated.columns])).alias("row")).select("row.*")
-    return among(counted.where("count = 1")).unionByName(least)
+    # Ids and texts that go, and those that stay, but once; all others stay as they are, and aren't shuffled.
+    touched = rows.alias("a").join(kept.alias("b"), same, "left").select("a.doc_id", "a.hash", "kept", "count").where("kept IS NULL OR count > 1")
+    touched = checkpointed(touched)
+    text = F.xxhash64(documents[text_column])
+    maybe, others = split_by(documents.withColumn("_hash", text), F.col("_hash"), touched.select("hash"))
+
+    def among(keys: DataFrame, how: str) -> DataFrame:
+        return maybe.join(keys, keys["doc_id"].eqNullSafe(maybe[id_column]) & (keys["hash"] == maybe["_hash"]), how)
+
+    repeated = among(touched.where("kept"), "left_semi")
+    names = [F.col(quoted(c)) for c in documents.columns]
+    # Of repeated rows the first by the text of all values, as not every type has an order.
+    least = repeated.groupBy(repeated[id_column], "_hash").agg(F.min_by(F.struct(*names), F.to_json(F.struct(*names))).alias("row")).select("row.*")
+    return others.unionByName(among(touched, "left_anti")).drop("_hash").unionByName(least)
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

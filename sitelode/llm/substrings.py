@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sitelode.llm.common import NOT_BLANK, blocks, checkpointed, mixed, powers, runs, table, word_hashes, words
+from sitelode.llm.common import NOT_BLANK, blocks, checkpointed, mixed, powers, runs, split_by, table, word_hashes, words
 
 WINDOW = 35
 GRAM = 8
@@ -31,8 +31,6 @@ GRAM = 8
 CROWDED = 2000
 # Windows looked at together, which leaves this many bits of a hash for the choice of anchors.
 PLACES = 24
-# Bits of the filter on documents' keys; its size is fixed, and a false positive costs only a shuffled text.
-FILTER_BITS = 26
 
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -115,23 +113,11 @@ def occurrences(documents: DataFrame, window: int) -> DataFrame:
     return documents.mapInArrow(cut, schema)
 
 
-def split_by(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose ``who`` may be among those of ``keys``, and those whose isn't.
-
-    A bitmap of fixed size tells, 64 bits a row: at most 2^20 rows of two numbers, which are broadcast.
-    """
-    low = F.col("who.key").bitwiseAND((1 << FILTER_BITS) - 1)
-    word, bit = F.shiftright(low, 6).alias("word"), F.expr("shiftleft(1L, cast(who.key & 63 AS int))").alias("bit")
-    bits = F.broadcast(keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")))
-    known = rows.select("*", word, bit).join(bits, "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("bit")) != 0, F.lit(False)))
-    return known.where("maybe").select(rows.columns), known.where("NOT maybe").select(rows.columns)
-
-
 def contents(documents: DataFrame, chosen: DataFrame, window: int) -> DataFrame:
     """``anchor, content, n, times, symbols`` of chosen stretches: the hashes of their words, from one document with them."""
     listed = chosen.groupBy("who").agg(F.collect_set(F.struct("anchor", "content", "start", "n", "times")).alias("found"))
     # Rows of one ``who`` hold one text.
-    texts = split_by(documents, chosen.select("who"))[0].groupBy("who").agg(F.first("text").alias("text"))
+    texts = split_by(documents, F.col("who.key"), chosen.select("who.key"))[0].groupBy("who").agg(F.first("text").alias("text"))
     rows = texts.join(listed, "who").select("text", "found")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +298,7 @@ def cut_repeats(documents: DataFrame, id_column: str = "doc_id", text_column: st
     rows = keyed(documents, id_column, text_column)
     found = repeated_windows(rows, window, crowded)
     # Only texts that may have repeats are shuffled to their spans.
-    maybe, others = split_by(rows, found.select("who"))
+    maybe, others = split_by(rows, F.col("who.key"), found.select("who.key"))
     with_found = maybe.join(found, "who", "left").select("who.doc_id", "text", "found")
     without = others.select("who.doc_id", "text", F.lit(None).cast(found.schema["found"].dataType).alias("found"))
     schema = T.StructType(

@@ -289,6 +289,21 @@ def test_one_of_each(spark, folder):
     assert {p[2] for p in want} - {None} <= {r["doc_id"] for r in found}
 
 
+def test_one_of_each_of_odd_columns(spark):
+    """Maps, names with dots and blanks, names that the operator uses itself; repeated rows that differ elsewhere."""
+    from pyspark.sql import functions as F
+
+    from sitelode.llm.simhash import one_of_each
+
+    rows = [(1, "a b c d e", {"x": 1}), (1, "a b c d e", {"x": 1}), (1, "a b c d e", {"x": 0}), (2, "a b c d e", {}), (3, "other words stand here now", None), (None, "a b c d e", None)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").withColumns({"a.b": F.lit(1), "c d`e": F.lit(2), "hash": F.lit(3), "key": F.lit(4), "row": F.lit(5), "count": F.lit(6)})
+    kept = one_of_each(documents)
+    assert kept.columns == documents.columns
+    assert sorted((r["doc_id"], r["m"], r["a.b"]) for r in kept.collect()) == [(1, {"x": 0}, 1), (3, None, 1)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan
+
+
 @pytest.mark.parametrize(("name", "label", "cut", "parts", "held"), [("op7", "toxic", 0.7, 3, 1), ("op9", "quality", 0.5, 3, 1)])
 def test_scores(spark, folder, name, label, cut, parts, held):
     got = result(spark, folder, name, "doc_id held_out score predicted")
