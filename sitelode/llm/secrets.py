@@ -5,9 +5,9 @@ and brute force, of the product of the parts' guesses: dynamic programming over
 ``BITS`` are secrets, besides what the patterns find. That holds for values of letters only, too: common words cost
 little, while a rare or foreign word of eight letters or more, or a passage without blanks, counts as a secret there.
 
-Cases: a null text counts as empty and has no span; a value longer than ``WHOLE`` characters is cut into pieces of
-that length and costs the sum of theirs, so a long one takes linear time; repeated rows get equal rows, an empty table
-gives no row; columns other than the one named are not read.
+Cases: a null text counts as empty and has no span; a value of any length is priced whole, in linear time, as blocks
+that are repeated have at most ``BLOCK`` characters; repeated rows get equal rows, an empty table gives no row; columns
+other than the one named are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ CONTEXT = re.compile(
 )
 # What it takes, in bits, for a value to be a secret.
 BITS = 34.0
-WHOLE = 64
+# A repeated block has so many characters at most.
+BLOCK = 32
 # Words that people build passwords of, commonest first; a guesser tries them in this order.
 WORDS = (
     "password admin login welcome user test guest root master secret token example dragon monkey letmein shadow sunshine princess football baseball "
@@ -139,16 +140,18 @@ def patterned(value: str) -> dict[int, list[tuple[int, float]]]:
                     # A walk turns anywhere: each further key is one of about four neighbours at every other step.
                     add(start, end, guesses * (end - start) if guesses else 47.0 * 2.0 ** (end - start - 1))
                 start = i
-    # A block said again: "abcabc".
-    for size in range(2, n // 2 + 1):
-        for start in range(n - 2 * size + 1):
-            if value[start : start + size] == value[start + size : start + 2 * size]:
-                add(start + size, start + 2 * size, 4.0)
+    # A block said again, any number of times: "abcabcabc".
+    for size in range(2, min(BLOCK, n // 2) + 1):
+        same = 0
+        for i in range(size, n):
+            same = same + 1 if value[i] == value[i - size] else 0
+            if times := same // size:
+                add(i + 1 - times * size, i + 1, 4.0 * times)
     return found
 
 
-def bits_of(value: str) -> float:
-    """The least bits of guesses for a value of at most ``WHOLE`` characters."""
+def guess_bits(value: str) -> float:
+    """The least bits of guesses for a value."""
     per_place, parts = log2(alphabet(value)), patterned(value)
     # least[i]: the first i characters; a brute-force stretch goes on at no cut.
     least, brute = [0.0], [CUT]
@@ -162,10 +165,6 @@ def bits_of(value: str) -> float:
     return least[-1]
 
 
-def guess_bits(value: str) -> float:
-    return sum(bits_of(value[i : i + WHOLE]) for i in range(0, len(value), WHOLE))
-
-
 def spans(text: str) -> list[tuple[int, str, int]]:
     """Start, kind and end (code points) of all secrets: by start, then kind in the order of ``KINDS``."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= 6]

@@ -182,6 +182,37 @@ def test_guesses():
     assert [(k, text[a:b]) for a, k, b in spans(text)] == [("guess", "xK9mQ2vL5pR8")]
 
 
+def test_guess_costs_are_the_least():
+    """Against all ways to cut short values into parts; the price of a part doesn't depend on where it stands."""
+    from math import log2
+
+    from sitelode.llm.secrets import CUT, alphabet, guess_bits, patterned
+
+    rng = np.random.default_rng(15)
+    pieces = ["password", "2019-05-12", "abcd", "qwert", "aaaa", "x9", "K", "#7f", "abab", "dragon", "zq"]
+    for _ in range(300):
+        value = "".join(rng.choice(pieces, rng.integers(1, 4)))[: int(rng.integers(1, 15))]
+        parts, place = patterned(value), log2(alphabet(value))
+        known = {(start, end): min(b for s, b in parts[end] if s == start) for end in parts for start in {s for s, _ in parts[end]}}
+        best = np.inf
+        for mask in range(1 << (len(value) - 1)):
+            cuts = [0, *(i + 1 for i in range(len(value) - 1) if mask >> i & 1), len(value)]
+            best = min(best, sum(min(known.get((a, b), np.inf), place * (b - a)) + CUT for a, b in zip(cuts, cuts[1:], strict=False)))
+        assert abs(guess_bits(value) - best) < 1e-9, value
+
+
+def test_long_values_are_priced_whole():
+    from sitelode.llm.secrets import BITS, guess_bits
+
+    word, noise = "password", "xK9#mQ2$vL5pT7&w"
+    assert guess_bits("z" * 60 + word + "z" * 60) < guess_bits("z" * 60 + noise[:8] + "z" * 60)
+    # The same wherever the part stands, also across the sixty-fourth character.
+    prices = {round(guess_bits("z" * n + "!" + word + "!" + "z" * (200 - n)), 2) for n in (54, 57, 60, 63, 70)}
+    assert max(prices) - min(prices) < 1
+    assert guess_bits("ab" * 500) < BITS < guess_bits(noise * 2000)
+    assert guess_bits("abcdefghij" * 3000) < guess_bits("abcdefghij" + noise)
+
+
 @pytest.mark.parametrize("before", ["pwd=", "passphrase: ", "private_key=", "access_key => ", "auth: ", "The passcode is ", "Authorization: Bearer ", "auth: Bearer ", "bearer token: ", "pass: token="])
 @pytest.mark.parametrize("value", ["XkqZvBnmRtLpWqHd", "qzjvkxwbfhgtmrnplcsdqzjxvkwbhfgtmrnplcsd", "xK9mQ2vL5pR8"])
 def test_letters_and_bearers_are_scored(before, value):
