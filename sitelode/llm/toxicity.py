@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from sitelode.llm.common import LOWER, blocks, byte_table, fold, runs, table, word_hashes, words
 from sitelode.llm.quality import labelled
+from sitelode.llm.simhash import RADIUS, components, fingerprint
 
 # Labelled texts learned from, at most, toxic ones and others, each with all its windows; scoring has no such bound.
 SAMPLE = 1200
@@ -35,10 +36,9 @@ CHAR_BITS = 13
 # A stem is the first letters of a word, in bytes.
 STEM = 4
 # A word, stem or character group has an embedding of its own if texts that have it are toxic more or less often than
-# others by so many standard deviations; all others share row 0, so that chance doesn't learn single texts by heart. A
-# larger sample asks for more of them, as it has more near copies, which aren't independent: a ninth of its size's root.
-DEVIATIONS = 3.5
-PART_OF_ROOT = 9
+# others by so many standard deviations; all others share row 0, so that chance doesn't learn single texts by heart.
+# Texts count as independent, so near copies are taken out of the sample first.
+DEVIATIONS = 4.5
 LEAST_TEXTS = 4
 MOST_ROWS = 8192
 ROUNDS = 10
@@ -254,7 +254,7 @@ def choose(values: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> tuple[n
     total, share = label.sum(), label.mean()
     odds = np.log((bad + 0.5) / (total + 1)) - np.log((count - bad + 0.5) / (len(label) - total + 1))
     off = np.abs(bad - count * share) / np.sqrt(count * share * (1 - share))
-    kept = np.flatnonzero((count >= LEAST_TEXTS) & (off >= max(DEVIATIONS, len(label) ** 0.5 / PART_OF_ROOT)))
+    kept = np.flatnonzero((count >= LEAST_TEXTS) & (off >= DEVIATIONS))
     kept = np.sort(kept[np.lexsort((found[kept], -off[kept]))[:MOST_ROWS]])
     return found[kept], odds[kept]
 
@@ -346,13 +346,25 @@ def toxicity(text: Column, net: Network | float) -> Column:
     return F.arrow_udf(run, "double")(text.cast("string"))
 
 
+def far_apart(prints: np.ndarray) -> np.ndarray:
+    """The first of each component of fingerprints that link, as near copies do."""
+    parent = components(prints, np.ones(len(prints), bool), RADIUS)
+    return np.unique(parent, return_index=True)[1]
+
+
 def learned(documents: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE) -> Network | float:
+    """Trained on at most ``most`` texts of either label, one row of each id, and one of those that are near copies."""
     rows = []
     for value in (0, 1):
         found = labelled(documents, labels, "toxic", held_out, most, value)
-        rows += found.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
-    return train([r["text"] for r in rows], np.array([r["label"] for r in rows], np.int64))
+        text = F.coalesce("text", F.lit(""))
+        # Of an id that is repeated one text is sent to the driver.
+        once = found.groupBy("doc_id", "label").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
+        rows += sorted(once.select("doc_id", "text", "label", fingerprint(F.col("text")).alias("fp")).collect(), key=lambda r: (str(r["doc_id"]), r["text"]))
+    label = np.array([r["label"] for r in rows], np.int64)
+    prints = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+    kept = np.concatenate([at[far_apart(prints[at])] for at in (np.flatnonzero(label == value) for value in (0, 1))]) if len(rows) else np.zeros(0, np.int64)
+    return train([rows[i]["text"] for i in kept], label[kept])
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
