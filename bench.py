@@ -49,6 +49,12 @@ HEADLINE = (
     "stream_first_posts",
     "stream_scored_submissions",
     "stream_pain_points",
+    "stream_retries",
+    "stream_update_lines",
+    "replace_by_table",
+    "held_tokens",
+    "json_ld_nodes",
+    "ledger_of_write",
 )
 
 

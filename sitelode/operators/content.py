@@ -266,6 +266,15 @@ def replace_container(html: Column, inner: Column, tag: str = "main") -> Column:
     return F.regexp_replace(html, F.lit(pattern), F.concat(F.lit("$1\n"), quoted_replacement(inner), F.lit("\n$2")))
 
 
+def _done_before() -> Column:
+    return F.coalesce(F.contains("html", F.lit(PRERENDERED)), F.lit(False))
+
+
+def awaited(docs: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """Those of the documents that a page waits for which doesn't carry the marker yet; only these need be read and rendered."""
+    return docs.join(pages.where(~_done_before()).select(key), key, "left_semi")
+
+
 def prerender(pages: DataFrame, rendered: DataFrame, key: str, tag: str = "main", drop_script: str | None = None) -> DataFrame:
     """Put rendered bodies (``key, rendered``) into their pages.
 
@@ -280,7 +289,7 @@ def prerender(pages: DataFrame, rendered: DataFrame, key: str, tag: str = "main"
         new = F.regexp_replace(new, pattern, "")
     status = F.when(F.col("rendered").isNull(), "no_body").otherwise("updated")
     # Pages done before need no body, and their text isn't shuffled to find one.
-    before = F.coalesce(F.contains(html, F.lit(PRERENDERED)), F.lit(False))
+    before = _done_before()
     met = pages.where(~before).join(rendered.select(key, "rendered"), key, "left").withColumn("status", status)
     text = F.when(F.col("status") == "updated", new).otherwise(html)
     done = computed_once(met, {"html_new": text}).drop("rendered")

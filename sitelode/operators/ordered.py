@@ -20,7 +20,8 @@ def with_neighbours(rows: DataFrame, keys: Names, chunk: Column, order: Names, c
     """Adds position (1..n), group size, and the previous and next row's ``carry`` columns as structs.
 
     ``order`` must tell the rows of a group apart, and ``chunk`` must not decrease along it. Rows of a null key are a
-    group too.
+    group too. Chunks are by value: where the numbers behind them are so sparse that each row is a chunk of its own, the
+    summary of a group is as long as the group, and one task windows it.
     """
     cut = rows.withColumns({"_chunk": chunk, "_carry": F.struct(*carry)})
     summary = cut.groupBy(*keys, "_chunk").agg(

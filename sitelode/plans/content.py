@@ -114,9 +114,8 @@ def prerendered(spark: SparkSession, folder: str) -> DataFrame:
     marked = F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<article>"), F.lit("<article><!--PRERENDERED-->")))
     pages = table(spark, folder, "pages").select("page_id", F.coalesce(marked, "html").alias("html"))
     # Every other page has no document.
-    bodies = parsed(spark, folder).select(
-        (F.col("doc_id") * 2).alias("page_id"), content.render_body(F.col("body")).alias("rendered")
-    )
+    docs = content.awaited(markdown(spark, folder).withColumn("page_id", F.col("doc_id") * 2), pages, "page_id")
+    bodies = content.front_matter(docs).select("page_id", content.render_body(F.col("body")).alias("rendered"))
     return content.prerender(pages, bodies, "page_id", tag="article").select("page_id", "status", "html_new")
 
 

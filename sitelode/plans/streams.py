@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelode.operators.events import normalise_consent
+from sitelode.operators.scoring import split_valid, submission_payload
 from sitelode.plans.derived import (
     EVENTS_SQL,
     SUBMISSIONS_SQL,
@@ -116,7 +117,9 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
     session, work = stream_session(spark), work_dir(spark, "scored")
     source = submission_columns(table(session, folder, "customer"))
     posts = arrivals(session, work, posts=(source, F.col("submitted_at")))["posts"]
-    return payload_columns(finished(spark, submissions.score_stream(posts, DELAY, end_marks(session, work)), work))
+    # Invalid posts go first, so that they don't take the place of a valid retry.
+    valid, _ = split_valid(posts)
+    return payload_columns(submission_payload(kept(spark, submissions.submission_changes(valid, None), work).select("record.*")))
 
 
 def quarantined(spark: SparkSession, folder: str) -> DataFrame:

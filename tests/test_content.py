@@ -108,6 +108,12 @@ def test_article_parts_in_order(spark):
     )
 
 
+def test_only_awaited_documents_are_rendered(spark):
+    pages = spark.createDataFrame([(1, "<main></main>"), (2, "<main><!--PRERENDERED--></main>"), (3, None), (4, "")], "id int, html string")
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (5, "d"), (None, "e")], "id int, body string")
+    assert sorted(r.id for r in content.awaited(docs, pages, "id").collect()) == [1, 3]
+
+
 def test_prerender_keeps_the_tag_and_runs_once(spark):
     page = '<body><main id="m">old</main><main>two</main>\n <script src="/js/detail.js" defer></script></body>'
     pages = spark.createDataFrame([(1, page), (2, page)], "id int, html string")
