@@ -60,6 +60,30 @@ def leaks(documents, benchmark):
     return out
 
 
+def without_leaks(documents, benchmark, window=10):
+    """Texts without the stretches of words that stand in windows of the benchmark."""
+    windows = set()
+    for item in benchmark:
+        w = re.findall(LETTERS, (item["text"] or "").translate(LOWER))
+        windows |= {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1) if w else 0)}
+    sizes, out = {len(w) for w in windows}, []
+    for d in documents:
+        text = d["text"]
+        found = list(re.finditer(LETTERS, (text or "").translate(LOWER)))
+        w, hit = [m[0] for m in found], set()
+        for size in sizes:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in windows:
+                    hit.update(range(i, i + size))
+        kept, last = [], 0
+        for i in sorted(hit):
+            if i - 1 not in hit:
+                kept.append(text[last : found[i].start()])
+            last = found[i].end()
+        out.append((d["doc_id"], text if text is None else "".join([*kept, text[last:]])))
+    return out
+
+
 def fingerprint(text):
     w = [x.encode() for x in re.findall(BLANK, (text or "").translate(LOWER))]
     if not w:

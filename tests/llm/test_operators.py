@@ -348,6 +348,16 @@ def test_scores(spark, folder, name, label, cut, parts, held):
         assert np.mean(right) > 0.85
 
 
+@pytest.mark.parametrize(("name", "label", "accuracy", "recall"), [("op7", "toxic", 0.94, 0.7), ("op9", "quality", 0.94, 0.7)])
+def test_held_out_labels(spark, name, label, accuracy, recall):
+    """Rows that nothing was learned from, of both kinds: a constant passes neither."""
+    larger = DATA.replace("0.001", "0.01")
+    mark = {x["doc_id"]: x[label] for x in plain.rows(larger, "labels")}
+    got = [(mark[i], p) for i, held_out, p in result(spark, larger, name, "doc_id held_out predicted").elements() if held_out and i in mark]
+    assert len(got) > 100 and np.mean([y == p for y, p in got]) > accuracy
+    assert all(np.mean([y == p for y, p in got if y == value]) > recall for value in (0, 1))
+
+
 def test_langid(spark, folder):
     got = list(result(spark, folder, "op10", "doc_id held_out lang_pred score").elements())
     documents = plain.rows(folder, "documents")
