@@ -88,7 +88,9 @@ def sampled(rows: DataFrame, order: str, most: int) -> DataFrame:
     bound = min(high, low + int(1.25 * most / max(1, different) * 2**64))
     while bound < high and rows.where(column <= bound).select(order).distinct().count() < most:
         bound = min(high, low + 4 * (bound - low))
-    return rows.where(column <= bound).dropDuplicates([order]).orderBy(order).limit(most)
+    # The last hash that is taken, from hashes alone, so that whole rows meet in no one task.
+    last = rows.where(column <= bound).select(order).distinct().orderBy(order).limit(most).agg(F.max(order)).first()[0]
+    return rows.where(column <= (low if last is None else last)).dropDuplicates([order])
 
 
 def sampled_each(rows: DataFrame, group: str, order: str, most: int) -> DataFrame:

@@ -170,7 +170,7 @@ def stars(prints: DataFrame, radius: int, shard: int, block: int) -> DataFrame:
     """``fp, shard, block, root``: the members of every shard's components of two or more; ``prints`` has distinct ``fp``."""
     n = prints.count()
     depth = 0 if n <= shard else min(MAX_DEPTH, 1 + round(np.log2(n / shard) / 2))
-    sample = np.array([r[0] for r in sampled(prints.select("fp", F.xxhash64("fp").alias("order")), "order", SAMPLE).collect()], np.int64).view(np.uint64)
+    sample = np.array([r[0] for r in sampled(prints.select("fp", F.xxhash64("fp").alias("order")), "order", SAMPLE).orderBy("order").collect()], np.int64).view(np.uint64)
     tree = Tree(sample, depth, radius)  # at most 2^MAX_DEPTH nodes of 16 bytes
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
