@@ -243,7 +243,7 @@ def greatest(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 def once_a_text(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each text's different values, and the text of each; a text at a time, as that takes little memory."""
     found = [np.unique(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return np.concatenate(found).astype(np.uint64), np.repeat(np.arange(len(found)), [len(f) for f in found])
+    return np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), [len(f) for f in found])
 
 
 def choose(values: np.ndarray, bounds: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -364,7 +364,9 @@ def learned(documents: DataFrame, labels: DataFrame, held_out: Column, most: int
     label = np.array([r["label"] for r in rows], np.int64)
     prints = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
     kept = np.concatenate([at[far_apart(prints[at])] for at in (np.flatnonzero(label == value) for value in (0, 1))]) if len(rows) else np.zeros(0, np.int64)
-    return train([rows[i]["text"] for i in kept], label[kept])
+    texts = [rows[i]["text"] for i in kept]
+    del rows
+    return train(texts, label[kept])
 
 
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
