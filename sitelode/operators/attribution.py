@@ -19,6 +19,11 @@ from sitelode.operators.stages import computed_once
 
 
 
+# An article's block that has a date, and one up to its author.
+DATED_ARTICLE = r'"@type":"Article"[\s\S]*?"datePublished"'
+ARTICLE_AUTHOR = r'\A((?s:.*?)"@type":"Article",[\s\S]*?)("author":\{)'
+
+
 @dataclass(frozen=True)
 class Markup:
     """How a site marks its articles. Patterns and markup are the site's own, so the caller gives them."""
@@ -118,9 +123,8 @@ def backfill_dates(pages: DataFrame, path: str, markup: Markup, legacy: Sequence
     text, date = F.col(html), path_date(F.col(path))
     iso = F.date_format(date, "yyyy-MM-dd")
     dates = F.concat(F.lit('$1"datePublished":"'), iso, F.lit('","dateModified":"'), iso, F.lit('",$2'))
-    dated_block = r'"@type":"Article"[\s\S]*?"datePublished"'
-    with_dates = F.regexp_replace(text, F.lit(r'\A((?s:.*?)"@type":"Article",[\s\S]*?)("author":\{)'), dates)
-    step = F.when(F.rlike(text, F.lit(dated_block)), text).otherwise(with_dates)
+    with_dates = F.regexp_replace(text, F.lit(ARTICLE_AUTHOR), dates)
+    step = F.when(F.rlike(text, F.lit(DATED_ARTICLE)), text).otherwise(with_dates)
     who = F.regexp_extract(text, markup.plain_byline, 1)
     line = quoted_replacement(byline(F.trim(who), date, markup))
     stamped = F.regexp_replace(step, F.lit(rf"\A((?s:.*?)){markup.plain_byline}"), F.concat(F.lit("$1"), line))
