@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import re
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,19 +52,77 @@ def scan_text(
     return files.select(_relative(root).alias("path"), column).where(_outside(F.col("path"), skip))
 
 
+# Files in one folder that a task writes: listings of folders are shared out among tasks.
+FOLDER_FILES = 1000
+# What Spark names the folder of a null or empty value, and the signs it escapes there.
+NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile("[\\x01-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]")
+
+
+def _file_name(name: str | None) -> str:
+    if name == NO_NAME:
+        return f"=%5F{name[1:]}.txt"
+    return "=" + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", name or NO_NAME) + ".txt"
+
+
+def _file_writer(root: str, most: int = FOLDER_FILES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes a task's rows, in the order of their names, below a hidden folder of the attempt, whose name it gives."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        own = f"part-{task.partitionId():05d}"
+        hidden = f"_{own}.{task.taskAttemptId()}"
+        held, n, file = None, 0, None
+        try:
+            for batch in batches:
+                for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    name = _file_name(name)
+                    if name != held:
+                        if file is not None:
+                            file.close()
+                        folder = f"{root}/{hidden}/{n // most:05d}"
+                        if n % most == 0:
+                            os.makedirs(folder)
+                        held, n, file = name, n + 1, open(f"{folder}/{name}", "wb")
+                    file.write(value or b"")
+                    file.write(b"\n")
+        finally:
+            if file is not None:
+                file.close()
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([own]), pa.array([hidden])], names=["own", "hidden"])
+
+    return write
+
+
 def write_files(rows: DataFrame, root: str, name: Column, text: Column) -> None:
-    """One file per name below ``root``, each in a folder of its name; several rows of a name are its parts.
+    """One file per name below ``root``; several rows of a name are its parts: of one task in one file.
 
     ``text`` may be bytes, which are written as they are. Each file ends with a line feed. Names may hold anything.
+    On a file system that is mounted, tasks write their files themselves, and each task's folder is then shown by one
+    renaming. Elsewhere Spark's writer makes a folder for each name, and tasks move their own files.
     """
-    rows.select(name.cast("string").alias("name"), text.cast("string").alias("value")).write.partitionBy("name").text(root)
+    named = rows.select(name.cast("string").alias("name"), text.cast("string").alias("value"))
+    context = rows.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        named.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(root)
+        return
+    folder = system.makeQualified(path).toUri().getPath()
+    os.makedirs(folder)
+    ordered = named.select("name", F.col("value").cast("binary").alias("value")).sortWithinPartitions("name")
+    for done in ordered.mapInArrow(_file_writer(folder), "own string, hidden string").collect():
+        os.rename(f"{folder}/{done['hidden']}", f"{folder}/{done['own']}")
 
 
 def _written(path: Column) -> Column:
-    """``struct<folder, name>`` of a path that ``write_files`` made."""
-    name = F.regexp_extract(path, r"(?:^|/)name=([^/]*)/[^/]*\z", 1)
+    """``struct<folder, name>`` of a path that ``write_files`` made, in either way."""
+    ends = r"(?:part-\d+/\d+/=[^/]*\.txt|name=[^/]*/[^/]*)\z"
+    own = F.regexp_extract(path, r"(?:^|/)part-\d+/\d+/=([^/]*)\.txt\z", 1)
+    name = F.when(own != "", own).otherwise(F.regexp_extract(path, r"(?:^|/)name=([^/]*)/[^/]*\z", 1))
     return F.struct(
-        F.regexp_extract(path, r"^(.*?)/?name=[^/]*/[^/]*\z", 1).alias("folder"),
+        F.regexp_extract(path, r"^(?:(.*?)/)?" + ends, 1).alias("folder"),
         F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("name"),
     )
 

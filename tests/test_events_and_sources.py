@@ -399,6 +399,23 @@ def test_written_bytes_come_back(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema:")[1].split(">")[0]
 
 
+def test_written_files_share_folders(spark, tmp_path):
+    """Few folders for many files; a name's rows of one task are one file; what broken attempts leave is not read."""
+    rows = spark.range(0, 3000, 1, 2).selectExpr("concat('n', id) AS name", "concat('t', id) AS html")
+    odd = spark.createDataFrame([("__HIVE_DEFAULT_PARTITION__", "a"), (None, "b"), ("n0", "c")], "name string, html string").coalesce(1)
+    corpus.write_files(rows.union(odd).union(odd.where("name = 'n0'").coalesce(1)), f"{tmp_path}/b", F.col("name"), F.col("html"))
+    hidden = tmp_path / "b" / "_part-00000.9" / "00000"
+    hidden.mkdir(parents=True)
+    (hidden / "=n1.txt").write_text("half")
+    assert sum(p.is_dir() for p in (tmp_path / "b").rglob("*")) < 20
+    back = [tuple(r) for r in corpus.scan_files(spark, str(tmp_path)).collect()]
+    none = "__HIVE_DEFAULT_PARTITION__"
+    assert sorted(back) == sorted([("b", f"n{i}", f"t{i}") for i in range(3000)] + [("b", none, "a"), ("b", none, "b"), ("b", "n0", "c"), ("b", "n0", "c")])
+    twice = spark.createDataFrame([("x", "1"), ("y", "2"), ("x", "3")], "name string, html string").coalesce(1)
+    corpus.write_files(twice, f"{tmp_path}/c", F.col("name"), F.col("html"))
+    assert sorted(r.html.split("\n") for r in corpus.scan_files(spark, f"{tmp_path}/c").collect()) in ([["1", "3"], ["2"]], [["2"], ["3", "1"]])
+
+
 def test_sitemap_round_trip(spark, tmp_path):
     rows = [("https://own.ex/?a=1&b=<2>", "2026-05-01", "weekly", 0.8)]
     records.write_sitemap(spark.createDataFrame(rows, SITEMAP_URL), str(tmp_path / "map"))
