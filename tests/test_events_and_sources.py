@@ -196,6 +196,18 @@ def test_streamed_gate_releases_between_triggers(spark, tmp_path, shards):
     assert len(got) == len(set(got)) and set(got) == want and set(early) < want and len(early) > len(want) / 2
 
 
+def test_streamed_gate_state_grows_with_buckets(spark, tmp_path):
+    """Hundreds of visitors are a few keys of state, and each has consents of its own."""
+    many = [f"v{i}" for i in range(300)]
+    shown = events.classify_clicks(clicks(spark, *[click(v, m, "mailto:x@y.zz", text=f"{v} {m}") for v in many for m in (1, 50, 200)]))
+    allowed = consents(spark, *[(v, 10, i % 3 > 0) for i, v in enumerate(many)], *[(v, 100, i % 2 > 0) for i, v in enumerate(many)]).select("visitor_id", "ts", "analytics")
+    sources = feed(spark, tmp_path / "e", shown), feed(spark, tmp_path / "c", allowed, 2)
+    got = [r.link_text for r in streamed(spark, tmp_path, lambda marks: stream_events.gate_stream(*sources, "10 days", marks, buckets=3))]
+    assert sorted(got) == sorted([f"v{i} 50" for i in range(300) if i % 3 > 0] + [f"v{i} 200" for i in range(300) if i % 2 > 0])
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/work/checkpoint").option("stateVarName", "allowed").load()
+    assert held.count() == 6
+
+
 def test_streamed_gate_drops_late_rows_and_forgets(spark, tmp_path):
     day = 24 * 60
 
