@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -13,12 +14,19 @@ from pyspark.sql import types as T
 
 # Bytes of tokens that one automaton is built of; a larger table is dealt to several, each with a pass of its own.
 PART_BYTES = 8 << 20
+# Stretches of texts whose tokens a worker keeps, and the longest that it does.
+KEPT_STRETCHES = 100_000
+KEPT_SIGNS = 64
 
 
 class Automaton:
     """Aho and Corasick's automaton: a trie of the tokens, with links from each state to its longest suffix in the trie."""
 
     def __init__(self, tokens: list[str]) -> None:
+        # Stretches of signs that tokens hold: no token lies across the signs between them.
+        signs = "".join(map(re.escape, sorted(set().union(*tokens))))
+        self.stretches = re.compile(f"[{signs}]+" if signs else r"(?!)")
+        self.known: dict[str, list[str]] = {}
         self.next: list[dict[str, int]] = [{}]
         self.token: list[str | None] = [None]
         for token in tokens:
@@ -49,7 +57,24 @@ class Automaton:
             level = below
 
     def held(self, text: str) -> list[str]:
-        """The tokens in a text, in the order in which their first occurrences end; of those that end at one place the longest first."""
+        """The tokens in a text, in the order in which their first occurrences end; of those that end at one place the longest first.
+
+        Repeated stretches are walked once, and short ones also once for many texts.
+        """
+        out: dict[str, None] = {}
+        for stretch in dict.fromkeys(self.stretches.findall(text)):
+            found = self.known.get(stretch)
+            if found is None:
+                found = self.walked(stretch)
+                if len(stretch) <= KEPT_SIGNS:
+                    if len(self.known) >= KEPT_STRETCHES:
+                        self.known.clear()
+                    self.known[stretch] = found
+            out.update(dict.fromkeys(found))
+        return list(out)
+
+    def walked(self, text: str) -> list[str]:
+        """The same, sign by sign."""
         following, link, token, ends = self.next, self.link, self.token, self.ends
         seen: set[int] = set()
         out, state = [], 0
@@ -66,9 +91,20 @@ class Automaton:
         return out
 
 
+# The last automaton of this worker, with the tokens it was built of: tasks that follow use it again.
+_BUILT: list[tuple[list[str], Automaton]] = []
+
+
+def _automaton(tokens: list[str]) -> Automaton:
+    if not _BUILT or _BUILT[0][0] != tokens:
+        _BUILT.clear()
+        _BUILT.append((tokens, Automaton(tokens)))
+    return _BUILT[0][1]
+
+
 def _finder(tokens: Broadcast, names: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(tokens.value)
+        automaton = _automaton(tokens.value)
         for batch in batches:
             at, out = [], []
             for i, value in enumerate(batch.column(len(names)).to_pylist()):
@@ -88,6 +124,8 @@ def held_tokens(texts: DataFrame, tokens: DataFrame, keys: Sequence[str], text:
     and texts have no part. A text is read once, and once more for each further ``part_bytes`` of tokens.
     """
     different = tokens.select(F.col(token).cast("string").alias("token")).where("token IS NOT NULL").distinct()
+    # The table of tokens may be dear to make.
+    different.persist()
     n_bytes, has_empty = different.agg(F.sum(F.octet_length("token")), F.max(F.col("token") == "")).first()
     parts = -(-(n_bytes or 0) // part_bytes)
     rows = texts.where(F.col(text).isNotNull())
@@ -98,4 +136,5 @@ def held_tokens(texts: DataFrame, tokens: DataFrame, keys: Sequence[str], text:
         # At most about ``part_bytes`` of tokens.
         sent = texts.sparkSession.sparkContext.broadcast(sorted(r["token"] for r in some.collect()))
         found.append(rows.select(*keys, F.col(text).cast("string").alias("_text")).mapInArrow(_finder(sent, list(keys)), schema))
+    different.unpersist()
     return reduce(DataFrame.unionByName, found) if found else texts.sparkSession.createDataFrame([], schema)

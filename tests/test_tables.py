@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sitelode.operators import attribution, jsonld
 from sitelode.operators import rewrite as rw
+from sitelode.operators import tokens
 from sitelode.operators.tokens import Automaton, held_tokens
 from sitelode.sources import records
 
@@ -26,6 +27,18 @@ def test_automaton_finds_all_tokens():
         assert all(len(a) > len(b) for a, b, x, y in zip(held, held[1:], ends, ends[1:], strict=False) if x == y)
 
 
+def test_automaton_walks_a_stretch_once(monkeypatch):
+    """Also with signs that mean something in patterns; a worker builds an automaton once."""
+    walked = []
+    plain = Automaton.walked
+    monkeypatch.setattr(Automaton, "walked", lambda self, text: walked.append(text) or plain(self, text))
+    automaton = Automaton(["ab", "b", "^-]", "\\"])
+    texts = ["ab x ab\nbb ^-] ab", "ab", "\\", "", "bab" * 30, "bab" * 30]
+    assert [automaton.held(t) for t in texts] == [["ab", "b", "^-]"], ["ab", "b"], ["\\"], [], ["b", "ab"], ["b", "ab"]]
+    assert walked == ["ab", "bb", "^-]", "\\", "bab" * 30, "bab" * 30]
+    assert tokens._automaton(["a", "b"]) is tokens._automaton(["a", "b"]) is not tokens._automaton(["a"])
+
+
 @pytest.mark.parametrize("part_bytes", [8 << 20, 20_000])
 def test_ten_thousand_tokens_in_one_pass(spark, part_bytes):
     tokens = spark.range(10_000).select(F.concat(F.lit("t"), "id").alias("token")).union(spark.createDataFrame([("t1",), (None,), ("",), ("é",)], "token string"))
