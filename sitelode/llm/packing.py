@@ -23,7 +23,7 @@ from sitelode.llm.common import blocks, checkpointed, mixed, table
 SIZE = 4096
 END = 2
 GROUP_PIECES = 2048
-# Token ids of short words are kept in a task, up to this many words (some 200 bytes each).
+# Token ids of short words are kept in a worker, up to this many words (some 200 bytes each).
 KEPT_WORDS = 700_000
 KEPT_BYTES = 48
 # Neither letters, digits nor white space, and not the apostrophe, which the vocabulary's pattern treats apart.
@@ -98,6 +98,17 @@ class WordTokens:
             yield b"".join(map(get, text))
 
 
+# The coder of this worker: the words it knows serve the tasks that follow.
+_CODERS: dict[str, WordTokens] = {}
+
+
+def worker_coder(path: str) -> WordTokens:
+    if path not in _CODERS:
+        _CODERS.clear()
+        _CODERS[path] = WordTokens(path)
+    return _CODERS[path]
+
+
 def token_pieces(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """Each document's tokens and the end token, cut at multiples of ``size``; ``lot`` is a random number of the piece.
 
@@ -111,7 +122,7 @@ def token_pieces(documents: DataFrame, path: str, id_column: str = "doc_id", tex
     last = np.asarray([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, task, seen = WordTokens(path), TaskContext.get().partitionId(), 0
+        coder, task, seen = worker_coder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             for row, data, bounds in blocks(batch.column(1)):
                 raw = data.tobytes()

@@ -668,3 +668,13 @@ def test_sql(spark, oracle):
 
     for name, sql in SQL.items():
         assert differences(QUERIES[name](spark, DATA), oracle, sql) == []
+
+
+def test_packing_coder_serves_a_whole_worker():
+    from sitelode.llm import packing
+
+    path = packing.tokenizer_path()
+    coder = packing.worker_coder(path)
+    (ids,) = coder.ids([b"some words, again some"])
+    assert packing.worker_coder(path) is coder and b"again" in coder.known
+    assert ids == next(packing.WordTokens(path).ids([b"some words, again some"]))
