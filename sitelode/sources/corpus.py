@@ -35,6 +35,102 @@ def _outside(path: Column, folders: Sequence[str]) -> Column:
     return ~F.arrays_overlap(names, F.array(*[F.lit(f) for f in folders])) & ~hidden
 
 
+# Folders at most whose subfolders the driver names; what lies below them is listed by tasks.
+TOP_FOLDERS = 256
+# Paths in one block of a listing, and bytes of whole texts in one block.
+LISTED_FILES = 10_000
+BLOCK_BYTES = 1 << 20
+
+
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """``root`` as a path that tasks open themselves, if it lies on a file system that is mounted."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(context._jsc.hadoopConfiguration())
+    return system.makeQualified(path).toUri().getPath() if system.getScheme() == "file" else None
+
+
+def _packed(spark: SparkSession, extension: str) -> bool:
+    """Whether Spark's readers unpack files of this extension."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    codecs = hadoop.io.compress.CompressionCodecFactory(spark.sparkContext._jsc.hadoopConfiguration())
+    return codecs.getCodec(hadoop.fs.Path(f"x.{extension}")) is not None
+
+
+def _hidden(name: bytes) -> bool:
+    """Names that Spark's readers pass over."""
+    return name.startswith(b"_") and b"=" not in name or name.startswith(b".") or name.endswith(b"._COPYING_")
+
+
+def _entered(entry: os.DirEntry[bytes]) -> bool:
+    return entry.is_dir() and (not _hidden(entry.name) or entry.name.startswith((b"_metadata", b"_common_metadata")))
+
+
+def _top_folders(root: bytes, enough: int = TOP_FOLDERS) -> list[tuple[bytes, bool]]:
+    """Folders that hold all files below ``root``: by themselves, or with all that lies below them."""
+    alone, whole = [], [root]
+    while whole and len(alone) + len(whole) < enough:
+        below = []
+        for folder in whole:
+            with os.scandir(folder) as entries:
+                below += [e.path for e in entries if _entered(e)]
+        alone, whole = alone + whole, below
+    return [(folder, False) for folder in alone] + [(folder, True) for folder in whole]
+
+
+def _file_lister(root: bytes, ends: tuple[bytes, ...], most: int = LISTED_FILES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The paths, relative to ``root``, of the files in folders of ``_top_folders``."""
+    cut = len(root.rstrip(b"/")) + 1
+
+    def listed(paths: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary())], names=["path"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[bytes] = []
+        for batch in batches:
+            for top, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folders = [top]
+                while folders:
+                    with os.scandir(folders.pop()) as entries:
+                        for entry in entries:
+                            if entry.name.endswith(ends) and not _hidden(entry.name) and entry.is_file():
+                                paths.append(entry.path[cut:])
+                                if len(paths) == most:
+                                    yield listed(paths)
+                                    paths = []
+                            elif whole and _entered(entry):
+                                folders.append(entry.path)
+        yield listed(paths)
+
+    return run
+
+
+def _file_reader(root: bytes, column: str, most: int = BLOCK_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The bytes of the files of these paths. Empty files give no row, as in Spark's readers."""
+
+    def block(paths: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.binary()), pa.array(texts, pa.binary())], names=["path", column])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths: list[bytes] = []
+        texts: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with open(os.path.join(root, path), "rb") as file:
+                    text = file.read()
+                if text:
+                    paths.append(path)
+                    texts.append(text)
+                    size += len(text)
+                if size >= most:
+                    yield block(paths, texts)
+                    paths, texts, size = [], [], 0
+        yield block(paths, texts)
+
+    return run
+
+
 def scan_text(
     spark: SparkSession,
     root: str,
@@ -44,12 +140,24 @@ def scan_text(
 ) -> DataFrame:
     """Whole files below ``root`` as ``(path, text)``, with paths relative to it.
 
-    The extension filter works on the file listing, so other files are never opened.
+    The filters work on the file listing, so other files are never opened. On a file system that is mounted, tasks list
+    the folders and read the files, whose paths are dealt out evenly; the driver only names the topmost folders.
+    Elsewhere, and for packed files, Spark's reader lists all files through the driver.
     """
-    files = spark.read.text(
-        root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(extensions) + "}"
-    ).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias(column))
-    return files.select(_relative(root).alias("path"), column).where(_outside(F.col("path"), skip))
+    folder = _mounted(spark, root)
+    if folder is None or not os.path.isdir(folder) or any(_packed(spark, e) for e in extensions):
+        files = spark.read.text(
+            root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{" + ",".join(extensions) + "}"
+        ).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias(column))
+        return files.select(_relative(root).alias("path"), column).where(_outside(F.col("path"), skip))
+    home = os.fsencode(folder)
+    folders = spark.createDataFrame([(bytearray(f), whole) for f, whole in _top_folders(home)], "folder binary, whole boolean")
+    paths = folders.mapInArrow(_file_lister(home, tuple(os.fsencode("." + e) for e in extensions)), "path binary")
+    # The names weigh so little that Spark, left to itself, would read all files in one task.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    read = paths.where(_outside(F.col("path").cast("string"), skip)).repartition(parts, "path")
+    files = read.mapInArrow(_file_reader(home, column), f"path binary, `{column}` binary")
+    return files.select(F.col("path").cast("string").alias("path"), F.col(column).cast("string").alias(column))
 
 
 # Files in one folder that a task writes: listings of folders are shared out among tasks.
@@ -103,13 +211,10 @@ def write_files(rows: DataFrame, root: str, name: Column, text: Column) -> None:
     renaming. Elsewhere Spark's writer makes a folder for each name, and tasks move their own files.
     """
     named = rows.select(name.cast("string").alias("name"), text.cast("string").alias("value"))
-    context = rows.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(context._jsc.hadoopConfiguration())
-    if system.getScheme() != "file":
+    folder = _mounted(rows.sparkSession, root)
+    if folder is None:
         named.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(root)
         return
-    folder = system.makeQualified(path).toUri().getPath()
     os.makedirs(folder)
     ordered = named.select("name", F.col("value").cast("binary").alias("value")).sortWithinPartitions("name")
     for done in ordered.mapInArrow(_file_writer(folder), "own string, hidden string").collect():

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import datetime as dt
 import json
+import os
 from collections import Counter
 
 import pytest
@@ -428,6 +429,53 @@ def test_written_files_share_folders(spark, tmp_path):
     assert sorted(r.html.split("\n") for r in corpus.scan_files(spark, f"{tmp_path}/c").collect()) in ([["1", "3"], ["2"]], [["2"], ["3", "1"]])
 
 
+def test_tasks_list_and_read_files(spark, tmp_path):
+    """The driver holds no list of files, and one folder's files are dealt out to all tasks."""
+    rows = spark.range(0, 3000, 1, 2).selectExpr("concat('n', id) AS name", "concat('t', id) AS html")
+    corpus.write_files(rows, f"{tmp_path}/b", F.col("name"), F.col("html"))
+    files = corpus.scan_files(spark, str(tmp_path))
+    assert "FileScan" not in files._jdf.queryExecution().sparkPlan().toString()
+    counts = files.groupBy(F.spark_partition_id()).count().collect()
+    assert len(counts) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(r["count"] for r in counts) < 1.5 * 3000 / len(counts)
+    assert sorted(tuple(r) for r in files.collect()) == sorted(("b", f"n{i}", f"t{i}") for i in range(3000))
+
+
+def test_tasks_find_the_files_that_sparks_reader_finds(spark, tmp_path, monkeypatch):
+    files = {
+        "a.html": b"x", "_h.html": b"h", ".d.html": b"d", "_p=1.html": b"p", "_x/q.html": b"q", "_x=1/q.html": b"q", ".git/q.html": b"g",
+        "_metadata/z.html": b"z", "_metadata.html": b"z", "c.html._COPYING_": b"c", "c._COPYING_/k.html": b"k", "empty.html": b"",
+        "bad.html": b"\xff\xfe\x00z\xc3", "crlf.html": b"a\r\nb\r", "bom.html": b"\xef\xbb\xbfq", "d/node_modules/a.html": b"n", "UP.HTML": b"u",
+        "q?#%41 {z}[y]+ñ'\"\\.html": b"q", "deep/" * 30 + "f.html": b"f", "dir.html/in.html": b"i", "big.html": b"y" * 3_000_000, "m.html.md": b"m",
+    }
+    root = tmp_path / "odd 50%" / "a+b"
+    for name, content in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(content)
+    (root / "link.html").symlink_to(root / "a.html")
+    (root / "below").symlink_to(root / "deep")
+    (root / "gone.html").symlink_to(root / "nowhere")
+
+    def found() -> list[tuple[str, bytes]]:
+        texts = corpus.scan_text(spark, str(root)).select("path", F.col("html").cast("binary"))
+        return sorted((r.path, bytes(r.html)) for r in texts.collect())
+
+    by_tasks = found()
+    monkeypatch.setattr(corpus, "_mounted", lambda spark, root: None)
+    assert by_tasks == found()
+    assert ("bad.html", files["bad.html"]) in by_tasks and ("below/" + "deep/" * 29 + "f.html", b"f") in by_tasks
+
+
+def test_few_folders_are_named_on_the_driver(tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}" / "x" / "y").mkdir(parents=True)
+    root = os.fsencode(tmp_path)
+    assert corpus._top_folders(root, 1) == [(root, True)]
+    names = corpus._top_folders(root, 40)
+    assert names[0] == (root, False) and len(names) == 41 and all(whole for _, whole in names[1:])
+    assert len(corpus._top_folders(root)) == 121 and not any(whole for _, whole in corpus._top_folders(root))
+
+
 def test_sitemap_round_trip(spark, tmp_path):
     rows = [("https://own.ex/?a=1&b=<2>", "2026-05-01", "weekly", 0.8)]
     records.write_sitemap(spark.createDataFrame(rows, SITEMAP_URL), str(tmp_path / "map"))
